@@ -6,6 +6,8 @@ by a parameter, and fixed-width bitmaps.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,7 +22,12 @@ from pyspark.sql import types as T
 UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Rows of texts that go to Python at once; the default of 10,000 whole documents would be tens of megabytes.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +52,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def return_freed_memory() -> None:
+    """Large arrays go back to the system when freed, not to this Python worker's heap, which outlives the task."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of the C library
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
@@ -91,12 +104,18 @@ def gather(offsets: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat, lengths
 
 
+_SLICE = 1 << 19
+
+
 def pack_ints(values: np.ndarray) -> bytes:
     """Non-negative integers below 2**28 in one to four bytes each, low seven bits first."""
-    v = values.astype(np.int64)
+    return b"".join(_packed(values[k : k + _SLICE].astype(np.int64)) for k in range(0, len(values), _SLICE))
+
+
+def _packed(v: np.ndarray) -> bytes:
     size = 1 + (v >= 1 << 7) + (v >= 1 << 14) + (v >= 1 << 21)
     end = np.cumsum(size)
-    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    out = np.zeros(int(end[-1]), np.uint8)
     start = end - size
     for k in range(4):
         has = size > k
@@ -106,13 +125,17 @@ def pack_ints(values: np.ndarray) -> bytes:
 
 
 def unpack_ints(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8).astype(np.int64)
-    if not len(b):
-        return b
-    last = np.flatnonzero(b < 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    k = np.arange(len(b)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((b & 127) << (7 * k), first)
+    every = np.frombuffer(data, np.uint8)
+    parts, at = [], 0
+    while at < len(every):
+        b = every[at : at + _SLICE]
+        last = np.flatnonzero(b < 128)
+        b = b[: last[-1] + 1].astype(np.int32)
+        first = np.concatenate([[0], last[:-1] + 1])
+        k = np.arange(len(b), dtype=np.int32) - np.repeat(first, last - first + 1).astype(np.int32)
+        parts.append(np.add.reduceat((b & 127) << (7 * k), first, dtype=np.int32))
+        at += len(b)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 # --- rows of a key that more than one node has -------------------------------------------------

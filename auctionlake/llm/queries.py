@@ -20,7 +20,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
 @query

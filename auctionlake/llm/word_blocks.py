@@ -14,13 +14,14 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from auctionlake.llm.common import materialize, pack_ints, texts_of, unpack_ints
+from auctionlake.llm.common import materialize, pack_ints, return_freed_memory, texts_of, unpack_ints
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 BLOCK_DOCS = 200_000
 _SEPARATOR = b"\xff"  # never part of UTF-8
 
@@ -40,13 +41,33 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % buckets
 
 
+def _frequencies(flat: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Distinct codes of each document in rising order: how many, their steps, and how often each stands there."""
+    ends = np.cumsum(lengths)
+    sizes, steps, times, at = [], [], [], 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + (1 << 19), "right")))
+        document = np.repeat(np.arange(stop - at), lengths[at:stop])
+        pairs, often = np.unique(document << 32 | flat[before : int(ends[stop - 1])].astype(np.int64), return_counts=True)
+        document, code = pairs >> 32, pairs & 0xFFFFFFFF
+        rising = np.diff(code, prepend=0)
+        first = np.diff(document, prepend=-1) != 0
+        rising[first] = code[first]
+        sizes.append(np.bincount(document, minlength=stop - at))
+        steps.append(pack_ints(rising))
+        times.append(pack_ints(often))
+        at = stop
+    return pack_ints(np.concatenate(sizes)), b"".join(steps), b"".join(times)
+
+
 def _pack(*parts: bytes) -> bytes:
     head = np.array([len(p) for p in parts], "<u4").tobytes()
-    return zlib.compress(head + b"".join(parts), 1)
+    return zstandard.compress(head + b"".join(parts), 9)
 
 
 def _unpack(data: bytes, n: int) -> list[bytes]:
-    raw = zlib.decompress(data)
+    raw = zstandard.decompress(data)
     at, out = 4 * n, []
     for size in np.frombuffer(raw[: 4 * n], "<u4").tolist():
         out.append(raw[at : at + size])
@@ -54,7 +75,7 @@ def _unpack(data: bytes, n: int) -> list[bytes]:
     return out
 
 
-def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callable[[str], list[str]]], buckets: int, frequencies: bool, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callable[[str], list[str]]], buckets: int, frequencies: bool, block_chars: int) -> DataFrame:
     """The written block table: a row for each block's documents (bucket -1) and for each of its word lists.
 
     With ``frequencies`` a document is its distinct words with their counts, else its words in order.
@@ -70,6 +91,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callab
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
         find = split()
         base = TaskContext.get().partitionId() << 32
         seq = count()
@@ -83,29 +105,25 @@ def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callab
 
         def flush():
             block = base + next(seq)
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
             lengths = np.array([len(c) for c in codes], np.int64)
+            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            codes.clear()
             falling = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-            rank = np.empty(len(numbers), np.int64)
+            rank = np.empty(len(numbers), np.int32)
             rank[falling] = np.arange(len(numbers))
             flat = rank[flat]
             if frequencies:
-                document = np.repeat(np.arange(len(lengths)), lengths)
-                pairs, times = np.unique(document << 32 | flat, return_counts=True)
-                document, flat = pairs >> 32, pairs & 0xFFFFFFFF
-                lengths = np.bincount(document, minlength=len(lengths))
-                first = np.concatenate([[True], document[1:] != document[:-1]]) if len(flat) else np.zeros(0, bool)
-                steps = np.where(first, flat, np.diff(flat, prepend=0))
-                payload = _pack(pack_ints(lengths), pack_ints(steps), pack_ints(times))
+                payload = _pack(*_frequencies(flat, lengths))
             else:
                 payload = _pack(pack_ints(lengths), pack_ints(flat), b"")
+            del flat
             yield pa.RecordBatch.from_arrays([
                 pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([ids], pa.list_(arrow_id)),
                 pa.array([sizes], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
             ], names)
             words = list(numbers)
-            order = falling.tolist()
-            words = [words[k] for k in order]
+            numbers.clear()
+            words = [words[k] for k in falling.tolist()]
             where = _bucket_of(words, buckets)
             rows, heads = [], []
             by = np.argsort(where, kind="stable")
@@ -123,7 +141,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callab
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 found = find(text)
-                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 ids.append(key)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 chars += len(text)
@@ -169,6 +187,16 @@ def encode_words(written: DataFrame, encoder: Callable[[], Encoder]) -> DataFram
 class Block:
     """One block read back: its documents' word numbers and the encoded values of every word."""
 
+    def slices(self, codes: int = 1 << 18) -> Iterator[tuple[slice, slice]]:
+        """Runs of documents with about so many codes, and where their codes are."""
+        ends = np.cumsum(self.lengths)
+        at = 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + codes, "right")))
+            yield slice(at, stop), slice(before, int(ends[stop - 1]))
+            at = stop
+
     def __init__(self, t: pa.Table):
         values, numbers, sizes = [], [], []
         self.documents = None
@@ -193,7 +221,7 @@ class Block:
         lengths, codes, self.times = (unpack_ints(x) for x in self.documents)
         self.lengths, self.codes = lengths, codes
         if len(self.times):
-            steps = codes.copy()
+            steps = codes.astype(np.int64)
             total = np.cumsum(steps)
             first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             has = lengths > 0
@@ -207,5 +235,5 @@ def per_block(written: DataFrame, encoded: DataFrame, run: Callable[[Block], pa.
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Four buckets for each shuffle partition: the session's own measure of the input's size."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """One bucket for each shuffle partition: the session's own measure of the input's size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
