@@ -16,6 +16,8 @@ from auctionlake.llm.common import UPPER_TO_LOWER, fresh, materialize, rank_with
 BUCKETS = 10_000
 #: The target model is fitted on at most this many labelled documents (those with the smallest hashed ids).
 MAX_TARGET = 20_000
+#: Weights are those of a passage of so many n-grams with the document's mean ratio: length alone decides nothing.
+PASSAGE = 200
 
 
 class _Hashes(dict):
@@ -72,8 +74,8 @@ def log_ratios(docs: DataFrame, targets: list, id_col: str = "doc_id", text_col:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", log_weight: str = "log_weight", n_features: str = "n_features") -> DataFrame:
-    """Adds each whole text's log importance weight and number of n-grams, JVM columns unchanged."""
+def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", log_weight: str = "log_weight", n_features: str = "n_features", passage: int = PASSAGE) -> DataFrame:
+    """Adds each whole text's log importance weight and number of n-grams; other columns stay as they are."""
     table = docs.sparkSession.sparkContext.broadcast(ratios)
     place = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_features, T.LongType()), T.StructField(log_weight, T.DoubleType())])
@@ -84,7 +86,7 @@ def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", log_weigh
         for batch in batches:
             found = [features(t) for t in texts_of(batch.column(place))]
             n = pa.array([len(f) for f in found], pa.int64())
-            weights = pa.array([float(ratio[f].sum()) for f in found], pa.float64())
+            weights = pa.array([passage * float(ratio[f].mean()) if len(f) else 0.0 for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n, weights], [*batch.schema.names, n_features, log_weight])
 
     return docs.mapInArrow(run, schema)
