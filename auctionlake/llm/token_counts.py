@@ -16,6 +16,8 @@ from auctionlake.llm import vocab
 from auctionlake.llm.word_blocks import Block, blocks, default_buckets, encode_words, per_block
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Frequencies are small beside texts, so blocks can be small too, and their memory with them.
+BLOCK_CHARS = 8_000_000
 
 
 def _split(tokenizer: str):
@@ -44,12 +46,10 @@ def _split(tokenizer: str):
 
 def _pieces(tokenizer: str):
     def make():
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(vocab.path(tokenizer))
+        t = vocab.tokenizer(tokenizer)
 
         def encode(words: list[str]):
-            n = [len(e.ids) for k in range(0, len(words), 10_000) for e in t.encode_batch_fast(words[k : k + 10_000], add_special_tokens=False)]
+            n = [len(e) for k in range(0, len(words), 1000) for e in t.encode_batch_fast(words[k : k + 1000], add_special_tokens=False)]
             return np.array(n, np.int64), np.ones(len(n), np.int64)
 
         return encode
@@ -57,7 +57,7 @@ def _pieces(tokenizer: str):
     return make
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = 1024, block_chars: int = 16_000_000) -> DataFrame:
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = 1024, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text for a byte-level BPE ``.json`` tokenizer.
 
     Pieces are counted once for each distinct pre-token, joined to the documents' pre-token frequencies
@@ -69,8 +69,11 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(b: Block) -> pa.Table:
-        document = np.repeat(np.arange(len(b.lengths)), b.lengths)
-        n = np.bincount(document, weights=b.times * b.values[b.codes], minlength=len(b.lengths)) if len(b.codes) else np.zeros(len(b.lengths))
-        return pa.table({id_col: b.ids, "n_bytes": b.sizes, "n_tokens": pa.array(n.astype(np.int64))})
+        n = np.zeros(len(b.lengths), np.int64)
+        for documents, codes in b.slices():
+            document = np.repeat(np.arange(documents.stop - documents.start), b.lengths[documents])
+            pieces = b.times[codes] * b.values[b.codes[codes]].astype(np.int64)
+            n[documents] = np.bincount(document, weights=pieces, minlength=documents.stop - documents.start)
+        return pa.table({id_col: b.ids, "n_bytes": b.sizes, "n_tokens": pa.array(n)})
 
     return per_block(written, encoded, run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

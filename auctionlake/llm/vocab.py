@@ -42,3 +42,13 @@ def splitter(pattern: str):
     import regex
 
     return regex.compile(pattern).findall
+
+
+@lru_cache(2)
+def tokenizer(name: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path(name))
