@@ -22,3 +22,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from auctionlake.plans import queries_domain, queries_relational  # noqa: F401
