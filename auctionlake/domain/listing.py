@@ -89,3 +89,26 @@ def review_queue(candidates: DataFrame, key: str = "property_id") -> DataFrame:
     pending = candidates.filter(F.col("review_status") == "PENDING")
     item = F.struct("candidate_id", "score")
     return pending.groupBy(key).agg(F.bool_or(F.col("score") >= 1).alias("has_exact"), ordered_list([-F.col("score"), F.col("candidate_id")], item).alias("candidates"))
+
+
+def property_detail(properties: DataFrame, sales: DataFrame, property_id) -> DataFrame:
+    """A property with its latest sale, those without a date first."""
+    latest = latest_per_key(sales.filter(F.col("property_id") == property_id), ["property_id"], [F.desc_nulls_first("current_sale_date"), F.asc("sale_id")])
+    upset = upset_price(F.col("estimated_upset_price"), F.col("alternate_upset_price"), F.col("upset_price"))
+    return properties.filter(F.col("property_id") == property_id).join(latest.withColumn("upset_price", upset), "property_id", "left")
+
+
+def property_liens(liens: DataFrame, property_id) -> DataFrame:
+    """A property's liens: those that need a manual review first, then by amount, missing ones last."""
+    return liens.filter(F.col("property_id") == property_id).orderBy(F.desc_nulls_first("requires_manual_review"), F.desc_nulls_last("current_amount"), F.asc("lien_id"))
+
+
+def import_status(runs: DataFrame, parcels: DataFrame, details: DataFrame, county: str, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(one row with parcel and detail counts of a county, its latest runs)."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit is 1 to 100")
+    own = parcels.filter(F.col("county") == county).select("parcel_id")
+    with_detail = details.select("parcel_id").join(own, "parcel_id", "left_semi")
+    both = own.select(F.lit("parcel").alias("kind")).unionByName(with_detail.select(F.lit("detail").alias("kind")))
+    counts = both.agg(F.count(F.when(F.col("kind") == "parcel", 1)).alias("parcel_count"), F.count(F.when(F.col("kind") == "detail", 1)).alias("assessment_detail_count"))
+    return counts.withColumn("county", F.lit(county)), runs.filter(F.col("county") == county).orderBy(F.desc_nulls_first("started_at"), F.asc("run_id")).limit(limit)

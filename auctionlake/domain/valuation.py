@@ -128,3 +128,22 @@ def valuation_status(valued: Column, state: Column, county: Column, pa_matched:
         (~feature & pending, "PARCEL_MATCH_UNDER_REVIEW"), (~feature, "PARCEL_MATCH_REQUIRED"), (confidence < 90, "MANUAL_REVIEW_REQUIRED"),
         (F.trim(F.coalesce(property_class, F.lit(""))) != "2", "PROPERTY_TYPE_MODEL_UNAVAILABLE"),
     ], "MODEL_SCORING_REQUIRED")
+
+
+def training_rows(deeds: DataFrame, assessments: DataFrame, county: str = "13") -> DataFrame:
+    """Residential sales with a verified or reported price whose parcel is alone in the closest assessment year.
+
+    A price of zero counts as missing, and so does a building year of zero.
+    """
+    from auctionlake.functions.values import nonzero
+    from auctionlake.operators.relational import nearest_year_match
+
+    price = nonzero(F.col("verified_price").cast("decimal(14,2)"), F.col("reported_price").cast("decimal(14,2)"))
+    sales = deeds.filter((F.col("county_code") == county) & (F.trim("property_class") == "2") & (F.trim(F.coalesce("qualification_codes", F.lit(""))) == ""))
+    sales = sales.withColumn("sale_price", price).filter(F.col("sale_price") >= 10_000)
+    parcels = assessments.filter(F.trim("property_class") == "2")
+    matched = nearest_year_match(sales, parcels, "source_hash", "source_year", "source_year", ["municipality_code", "block", "lot"], "source_hash").filter("match_status = 'EXACT'")
+    m = matched.select(F.col("source_hash").alias("s_"), "match_id", F.col("chosen_year").alias("snapshot_year"))
+    p = parcels.select(F.col("source_hash").alias("p_"), "qualifier", "acreage", "zoning", "building_class", F.col("year_built").alias("p_year"), "total_assessed", "census_tract", "property_use_code")
+    d = sales.drop("qualifier", "acreage", "zoning", "building_class", "total_assessed", "census_tract", "property_use_code").join(m, F.col("source_hash") == F.col("s_")).join(p, F.col("match_id") == F.col("p_"))
+    return d.withColumn("year_built", F.coalesce(F.nullif("year_built", F.lit(0)), "p_year")).drop("s_", "p_", "p_year", "match_id")

@@ -67,3 +67,45 @@ def parse_features(features: DataFrame) -> DataFrame:
     d = features.select(map_number(F.col("properties.MAPNUMBER")).alias("map_number"), F.col("properties.OBJECTID").alias("object_id"), centroid(exterior).alias("c"))
     best = d.filter("map_number IS NOT NULL").groupBy("map_number").agg(F.max_by(F.struct("object_id", "c"), "object_id").alias("x"))
     return best.select("map_number", "x.object_id", F.col("x.c.latitude").cast("decimal(10,7)").alias("latitude"), F.col("x.c.longitude").cast("decimal(10,7)").alias("longitude"))
+
+
+# Counties of New Jersey in the order of their codes.
+NJ_COUNTIES = [
+    "Atlantic", "Bergen", "Burlington", "Camden", "Cape May", "Cumberland", "Essex", "Gloucester", "Hudson", "Hunterdon", "Mercer", "Middlesex", "Monmouth",
+    "Morris", "Ocean", "Passaic", "Salem", "Somerset", "Sussex", "Union", "Warren",
+]
+
+
+def county_code(c):
+    """The two-digit code of a county given by name or code; null if there is none."""
+    codes = {n.lower(): f"{k:02d}" for k, n in enumerate(NJ_COUNTIES, 1)}
+    by_name = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    text = F.lower(F.trim(c))
+    number = F.lpad(text, 2, "0")
+    return F.when(text.rlike(r"^\d{1,2}$") & number.isin(list(codes.values())), number).otherwise(F.try_element_at(by_name, text))
+
+
+def one_county_file(spark: SparkSession, pattern: str, county: str) -> str:
+    """The path of the one file whose name starts with the county's letters; more or none raise."""
+    files = spark.read.format("binaryFile").load(pattern).select("path")
+    name = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), "[^a-z.]", "")
+    found = [r["path"] for r in files.filter(name.startswith("".join(x for x in county.lower() if x.isalpha()))).limit(2).collect()]
+    if len(found) != 1:
+        raise FileNotFoundError(f"expected one file for {county}; found {'several' if found else 'none'}")
+    return found[0]
+
+
+def assessment_attributes(attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of parcel attributes: both numbers are required; the assessed value sums what is there."""
+    from auctionlake.functions.values import sum_or_null
+    from auctionlake.operators.merge import split_rejects
+
+    text = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    good, bad = split_rejects(attributes, [(text("MAPNUMBER").isNull(), "no map number"), (text("PARID").isNull(), "no tax parcel number")])
+    value = lambda c: F.col(c).cast("decimal(14,2)")
+    parts = [value("LANDVALUE"), value("BLDGVALUE"), value("PREFVALUE")]
+    good = good.select(
+        text("MAPNUMBER").alias("map_number"), text("PARID").alias("tax_parcel_id"), map_number(F.col("PARID")).alias("normalized_tax_parcel_id"), sum_or_null(*parts).alias("assessed_value"),
+        parts[0].alias("land_value"), parts[1].alias("improvement_value"), text("CLASS").alias("property_type"), F.try_to_date(text("SALEDATE"), "M/d/yyyy").alias("last_sale_date"), value("SALEAMT").alias("last_sale_price"),
+    )
+    return good, bad

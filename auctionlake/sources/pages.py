@@ -115,3 +115,60 @@ def embedded_grid(pages: DataFrame, id_col: str, html_col: str, schema: T.Struct
 def synthetic_id(url: Column, prefix: str) -> Column:
     """A stable number for a listing without one: a prefix and twelve hexadecimal digits of its address."""
     return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(F.sha2(url, 256), 1, 12)))
+
+
+# Words in an auction platform's status and the status that they mean, first match first.
+AUCTION_RULES = [("preview", "scheduled"), ("active", "scheduled"), ("open", "scheduled"), ("postpon", "adjourned"), ("stay", "stayed"), ("cancel", "cancelled"), ("withdraw", "cancelled"), ("sold", "sold"), ("closed", "sold")]
+# Labels of detail fields, tried in this order.
+DETAIL_UPSET = ["estimated upset", "approximate upset", "upset sheriff", "upset price", "upset amount"]
+DETAIL_JUDGMENT = ["judgment amount", "final judgment", "approximate judgment", "judgment"]
+DETAIL_CASE = ["court case", "case number", "docket number", "docket"]
+
+
+def auction_status(raw: Column) -> Column:
+    return F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "unknown").otherwise(F.coalesce(first_rule(raw, AUCTION_RULES), F.lower(F.trim(raw))))
+
+
+def detail_record(pages: DataFrame, id_col: str, html_col: str, listed_upset: Column | None = None) -> DataFrame:
+    """What a detail page says: the highest upset price anywhere, other fields from the notice, then from labels."""
+    from auctionlake.domain.notices import parse_notice
+
+    fields, text = labelled_values(F.col(html_col)), visible_text(F.col(html_col))
+    d = pages.withColumn("fields_", fields).withColumn("notice_", parse_notice(text))
+    label = lambda names: field_named(F.col("fields_"), names)
+    n = F.col("notice_")
+    listed = listed_upset if listed_upset is not None else F.lit(None).cast("decimal(14,2)")
+    return d.select(
+        id_col,
+        F.greatest(n["estimated_upset_price"], n["alternate_upset_price"], amount(found(label(DETAIL_UPSET), r"([\d,]+(?:\.\d+)?)")), listed).alias("upset_price"),
+        F.coalesce(n["judgment_amount"], amount(found(label(DETAIL_JUDGMENT), r"([\d,]+(?:\.\d+)?)"))).alias("judgment_amount"),
+        label(["plaintiff attorney", "attorney"]).alias("plaintiff_attorney"), F.coalesce(n["docket_number"], label(DETAIL_CASE)).alias("court_case_number"),
+        F.coalesce(n["block"], label(["block"])).alias("block"), F.coalesce(n["lot"], label(["lot"])).alias("lot"), F.coalesce(n["qualifier"], label(["qualifier"])).alias("qualifier"),
+    )
+
+
+def dated_links(pages: DataFrame, id_col: str, html_col: str, prefix: str, base: str) -> DataFrame:
+    """Listings written as linked lines: a date, ``Sale of``, an address with its code, perhaps a cancellation; the number is made from the link."""
+    line = r"(?i)([A-Z][a-z]+\s+\d{1,2},\s+\d{4})\s*-\s*Sale of\s+(.+?\bNY\s+\d{5})(?:\s*-\s*(Cancell?ed))?$"
+    each = links(pages, id_col, html_col).filter(F.col("text").rlike(line))
+    url = F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("href", "^/+", "")))
+    status = F.when(F.regexp_extract("text", line, 3) != "", "cancelled").otherwise("scheduled")
+    return each.select(id_col, synthetic_id(url, prefix).alias("sheriff_number"), F.regexp_extract("text", line, 2).alias("address"), any_date(F.regexp_extract("text", line, 1)).alias("sale_date"), status.alias("status"), url.alias("source_url"))
+
+
+def docket_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Pages about one sale: docket, date, address and section, block and lot; pages without the first three go."""
+    text = visible_text(F.col(html_col))
+    parcel = r"(?i)Section\s+(\S+)\s+Block\s+(\S+)\s+Lot\s+(\S+)"
+    d = pages.select(id_col, text.alias("t_")).select(
+        id_col, found(F.col("t_"), r"(?i)Civil Docket\s+([A-Za-z0-9-]+)").alias("sheriff_number"), any_date(found(F.col("t_"), r"(?i)Sale to take place\s+([A-Z][a-z]+\s+\d{1,2},\s+\d{4})")).alias("sale_date"),
+        F.trim(found(F.col("t_"), r"(?i)Premises:?\s+(.+?\bNY\s+\d{5})")).alias("address"), found(F.col("t_"), parcel, 2).alias("block"), F.regexp_replace(found(F.col("t_"), parcel, 3), "[.,]+$", "").alias("lot"),
+    )
+    return d.filter("sheriff_number IS NOT NULL AND sale_date IS NOT NULL AND address IS NOT NULL")
+
+
+def future_sale_dates(pages: DataFrame, id_col: str, html_col: str, as_of: Column) -> DataFrame:
+    """(page, sale_day) of the options of the sale-date list that are not over."""
+    values = F.regexp_extract_all(html_col, F.lit(r"""(?i)<option[^>]*value\s*=\s*["'](\d{8})["']"""), 1)
+    days = pages.select(id_col, F.explode(values).alias("v")).select(id_col, F.try_to_date("v", "yyyyMMdd").alias("sale_day"))
+    return days.filter(F.col("sale_day") >= as_of)
