@@ -110,6 +110,17 @@ def promoted(candidate: Sequence[float], baseline: Sequence[float]) -> bool:
     return all(c < b for c, b in zip(candidate, baseline, strict=True))
 
 
+def best_model(errors: dict[str, float]) -> str:
+    """The model with the smallest validation error; the first of equals."""
+    return min(errors, key=errors.get)
+
+
+def save_model(fitted, errors: DataFrame, path: str) -> None:
+    """A fitted pipeline and its metrics, side by side."""
+    fitted.write().overwrite().save(f"{path}/model")
+    errors.write.mode("overwrite").json(f"{path}/metrics")
+
+
 def valuations(scored: DataFrame, mae: float, imputed: str = "living_area_imputed", comps: str = "local_comp_count", prediction: str = "prediction") -> DataFrame:
     """Adds estimate, low and high value and confidence: floors, and a wider interval where the area was imputed."""
     wide = F.when(F.col(imputed), 1.75 * mae).otherwise(mae)

@@ -209,3 +209,27 @@ def test_promotion_and_split(spark):
     assert [p.count() for p in valuation.split_by_year(d, "y", 2020)] == [2, 1, 1]
     with pytest.raises(ValueError, match="rows"):
         valuation.split_by_year(d, "y", 2022)
+
+
+def test_conservative_match(spark):
+    properties = spark.createDataFrame([(1, "12 Ocean Avenue", "A"), (2, "14 Ocen Boulevard Extension", "A"), (3, "99 Nowhere Rd", "B"), (4, "20 Elm St", "B"), (5, "30 Pine Streetway", "C")], "property_id long, street_address string, city string")
+    parcels = spark.createDataFrame([(10, "1", "12 OCEAN AVE", "2"), (11, "1", "14 OCEAN BLVD EXTENSION", "2"), (12, "2", "20 ELM ST", "2"), (13, "3", "20 ELM ST", "2"), (14, "1", "30 PINE STREETWAYS", "2"), (15, "1", "30 PINE STREETWAYZ", "2"), (16, "1", "14 OCEN BLVD EXTENSION", "4A")], "parcel_id long, municipality_code string, property_location string, property_class string")
+    codes = spark.createDataFrame([("A", "1"), ("B", "2")], "city string, municipality_code string")
+    got = {r.property_id: tuple(r)[1:] for r in identity.conservative_match(properties, parcels, codes).collect()}
+    assert got[1] == (10, 95, "unique street address")
+    assert got[2] == (11, 90, "fuzzy street of the same number")
+    assert got[3] == (None, None, "review: no candidates")
+    assert got[4] == (12, 90, "fuzzy street of the same number")  # its city is known to be in municipality 2
+    assert got[5] == (None, None, "review: ambiguous candidates")
+
+
+def test_model_choice_and_saving(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    assert valuation.best_model({"a": 2.0, "b": 1.0}) == "b"
+    d = spark.createDataFrame([(float(k), "x" if k % 2 else "y", float(k * 3)) for k in range(40)], "n double, c string, label double")
+    fitted = valuation.model(["n"], ["c"], "label", trees=5, depth=3).fit(d)
+    errors = valuation.metrics(fitted.transform(d), "label", "prediction")
+    assert errors.first().mae < 10 and errors.first().r2 > 0.8
+    valuation.save_model(fitted, errors, str(tmp_path))
+    assert PipelineModel.load(f"{tmp_path}/model").transform(d).count() == 40
