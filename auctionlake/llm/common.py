@@ -9,15 +9,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -42,12 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end, but for those to be kept, which by then have read the others."""
+    folders = _open.__dict__.setdefault("folders", [])
+    folders.append(f"{folders[-1] if folders else shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and rows are fixed.
 
     A lost executor then costs a re-read, never a recomputation that could deal rows out differently.
+    With ``keep`` it outlives the innermost ``scratch``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    folders = [shared_dir(df.sparkSession), *_open.__dict__.get("folders", [])]
+    path = f"{folders[max(0, len(folders) - 1 - keep)]}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,10 +75,6 @@ def return_freed_memory() -> None:
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of the C library
 
 
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names starting as asked that ``df`` does not have yet (case-insensitively)."""
     taken = {c.lower() for c in df.columns}
@@ -223,23 +236,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Labels go to neighbours and are then replaced by their own label's label, so the number of rounds
     grows with the logarithm of the longest path. Each round is written to the shared folder.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(both.a.alias("n")).agg(F.min("component").alias("low"))
-        lower = labels.join(near, labels.node == near.n, "left").select("node", "component", F.least("component", "low").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        moved = lower.join(up, "low", "left").select("node", F.least("low", "up").alias("component"), F.col("component").alias("was"))
-        labels = materialize(moved, "labels")
-        if labels.filter("component <> was").isEmpty():
-            return labels.select("node", "component")
+    with scratch(edges.sparkSession):
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+        both = materialize(both, "edges")
+        labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+        while True:
+            near = both.join(labels, both.b == labels.node).groupBy(both.a.alias("n")).agg(F.min("component").alias("low"))
+            lower = labels.join(near, labels.node == near.n, "left").select("node", "component", F.least("component", "low").alias("low"))
+            up = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
+            moved = lower.join(up, "low", "left").select("node", F.least("low", "up").alias("component"), F.col("component").alias("was"))
+            labels = materialize(moved, "labels")
+            if labels.filter("component <> was").isEmpty():
+                return materialize(labels.select("node", "component"), "components", keep=True)
 
 
 # --- exact ranks without one task per group ------------------------------------------------------
 
 
-def rank_within(df: DataFrame, group: str, order: list[str | Column], spread: Column, rows: int, name: str, per_task: int = 50_000) -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: list[str | Column], spread: Column, rows: int, name: str, per_task: int = 10_000) -> DataFrame:
     """Adds a 0-based gapless rank within ``group`` as ``name``.
 
     ``spread`` (a long) is cut into buckets that the rank follows first; ``order`` orders rows inside a
@@ -248,8 +262,6 @@ def rank_within(df: DataFrame, group: str, order: list[str | Column], spread: Co
     """
     buckets = max(1, min(1 << 20, -(-rows // per_task)))
     bucket, rank = fresh(df, "bucket", "rank_in_bucket")
-    from pyspark.sql import Window
-
     d = df.withColumn(bucket, F.pmod(spread, F.lit(buckets)).cast("int"))
     if buckets == 1:
         return d.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long")).drop(bucket)

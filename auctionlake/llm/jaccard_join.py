@@ -9,6 +9,7 @@ component, and only nodes of different components are then compared pair by pair
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,108 +18,183 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import UPPER_TO_LOWER, binary, bitmap, connected_components, in_bitmap, materialize, shared_keys, texts_of
+from auctionlake.llm.common import UPPER_TO_LOWER, binary, bitmap, connected_components, in_bitmap, materialize, return_freed_memory, scratch, shared_keys, texts_of
 
-#: Size of the table of shingle counts that orders shingles (any order is correct; a truer one makes fewer candidates).
-COUNT_BITS = 18
+#: Shingles are ordered by two tables of fixed size (any order is correct; a truer one makes fewer candidates):
+#: counts of words by 2**17 buckets, and counts of shingles that stand out in 2**20 buckets.
+WORD_BITS, SHINGLE_BITS = 17, 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: Characters of text whose words are hashed at once.
+SLICE = 300_000
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _weights(n: int) -> np.ndarray:
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _B)
+
+
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _A)
+_PLACE = _weights(1024)
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in ``data`` and where each starts: sums of byte values weighted by place, mixed."""
+    a = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACE[a], [True]])
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    starts, lengths = turns[::2], turns[1::2] - turns[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    longest = int(lengths.max())
+    weights = _PLACE if longest <= len(_PLACE) else _weights(longest)
+    h = np.zeros(len(starts), np.uint64)
+    order = np.argsort(-lengths, kind="stable")  # longest first: those that have a k-th byte are the first so many
+    at, having = starts[order], np.bincount(lengths)[::-1].cumsum()[::-1]
+    with np.errstate(over="ignore"):
+        for k in range(longest):
+            n = having[k + 1]
+            h[:n] += _BYTE[a[at[:n] + k]] * weights[k]
+        out = np.empty_like(h)
+        out[order] = h
+        return _mix(out + lengths.astype(np.uint64) * _A), starts
+
+
+def _chain(h: np.ndarray, size: int) -> np.ndarray:
+    """One hash for each run of ``size`` word hashes."""
+    out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = _mix(out ^ h[k : len(h) - size + 1 + k]) * _B + np.uint64(k + 1)
+    return _mix(out)
 
 
 class Shingles:
-    """Distinct shingles of a text as sorted 64-bit hashes; words are hashed once and remembered."""
+    """Distinct shingles of texts as sorted 64-bit hashes, many texts at a time.
+
+    With ``word_weights`` (by word bucket) each text also gets the sum of its shingles' word weights; with
+    ``count_words`` words are counted by bucket in ``word_counts``.
+    """
 
-    def __init__(self, n: int):
-        self.n = n
-        self.known = _Hashes()
+    def __init__(self, n: int, word_weights: np.ndarray | None = None, count_words: bool = False):
+        self.n, self.weights = n, word_weights
+        self.word_counts = np.zeros(1 << WORD_BITS, np.int64) if count_words else None
 
     def __call__(self, text: str) -> np.ndarray:
-        w = text.encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split()
-        if not w:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        h = np.fromiter(map(self.known.__getitem__, w), np.uint64, len(w))
-        size = min(self.n, len(w))
-        out = np.full(len(w) - size + 1, size, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                out = (out ^ h[k : len(h) - size + 1 + k]) * _A
-                out ^= out >> np.uint64(29)
-                out = out * _B + np.uint64(k + 1)
-            out ^= out >> np.uint64(32)
-        return np.unique(out)
+        return next(self.each([text]))
+
+    def each(self, texts: list[str]) -> Iterator:
+        part, size = [], 0
+        for text in texts:
+            part.append(text.encode("utf-8", "surrogatepass"))
+            size += len(text)
+            if size >= SLICE:
+                yield from self._slice(part)
+                part, size = [], 0
+        yield from self._slice(part)
+
+    def _slice(self, texts: list[bytes]) -> Iterator:
+        if not texts:
+            return
+        h, starts = _word_hashes(b" ".join(texts).translate(UPPER_TO_LOWER))
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+        shingles = _chain(h, self.n)
+        bucket = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        if self.word_counts is not None:
+            self.word_counts += np.bincount(bucket, minlength=1 << WORD_BITS)
+        total = np.concatenate([[0.0], np.cumsum(self.weights[bucket])]) if self.weights is not None else None
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            size = min(self.n, high - low)
+            part = shingles[low : high - self.n + 1] if high - low >= self.n else _chain(h[low:high], size) if size else np.zeros(0, np.uint64)
+            if total is None:
+                part = np.sort(part)
+                yield part[np.concatenate([[True], part[1:] != part[:-1]])] if len(part) else part
+            else:
+                part, first = np.unique(part, return_index=True)
+                yield part, (total[low + size : high + 1] - total[low : high + 1 - size])[first].round(6)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def _text_key(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def _buckets(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+    return (shingles >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)
 
 
 def _survey(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """Each document's set (size and digest), and how often shingles fall into each of 2**18 buckets."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("size", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    """Each document's set (size, digest, key of its text), and counts: words by bucket, then shingle buckets that stand out."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("size", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("text_key", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
     id_type = to_arrow_type(schema["id"].dataType)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(n)
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        shingles = Shingles(n, count_words=True)
+        counts = np.zeros(1 << SHINGLE_BITS, np.int64)
         for batch in batches:
+            texts = texts_of(batch.column(1))
             sizes, nodes = [], []
-            for text in texts_of(batch.column(1)):
-                s = shingles(text)
-                counts += np.bincount(_buckets(s), minlength=1 << COUNT_BITS) if len(s) > 50_000 else 0
-                if 0 < len(s) <= 50_000:
-                    np.add.at(counts, _buckets(s), 1)
+            for s in shingles.each(texts):
+                np.add.at(counts, _buckets(s), 1)
                 sizes.append(len(s))
                 nodes.append(_digest(s) if len(s) else None)
+            keys = [_text_key(t) if size else None for t, size in zip(texts, sizes, strict=True)]
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(sizes, pa.int64()), binary(nodes), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(sizes, pa.int64()), binary(nodes), binary(keys), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names)
+        # Of shingles only buckets well above this task's mean are passed on: the common ones, which are to come last.
+        mean = counts.mean()
+        counts = np.concatenate([shingles.word_counts, np.where(counts > mean + 4 * np.sqrt(mean) + 4, counts, 0)])
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 50_000):
             part = used[at : at + 50_000]
             k = len(part)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names)
 
-    both = materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "survey")
-    return both.filter("bucket IS NULL").select("id", "size", "node"), both.filter("bucket IS NOT NULL").select("bucket", "n")
+    both = materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "survey", keep=True)
+    return both.filter("bucket IS NULL").select("id", "size", "node", "text_key"), both.filter("bucket IS NOT NULL").select("bucket", "n")
 
 
-def _order(counts: DataFrame) -> np.ndarray:
-    """The count table; its length is fixed, whatever the input."""
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+def _order(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Word weights and shingle counts; both tables have a fixed length, whatever the input."""
+    out = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
+    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
-    return out
+    return np.log2(out[: 1 << WORD_BITS] + 1.0), out[1 << WORD_BITS :].astype(np.float32)
 
 
-def _prefixes(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(key, node, tag) of prefix shingles; tag holds position and set size. Copies within a task are posted once."""
-    table = docs.sparkSession.sparkContext.broadcast(counts)
+def _prefixes(docs: DataFrame, text_col: str, n: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, node, tag) of prefix shingles; tag holds position and set size. Copies within a task are posted once.
+
+    Rare first: by the product of the words' frequencies, shingles that stand out last and by their count.
+    """
+    tables = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, order, seen = Shingles(n), table.value, set()
+        weights, common = tables.value
+        shingles, seen = Shingles(n, weights), set()
         for batch in batches:
             keys, nodes, tags, each = [], [], [], []
-            for text in texts_of(batch.column(0)):
-                s = shingles(text)
+            for s, rarity in shingles.each(texts_of(batch.column(0))):
                 if not len(s) or (node := _digest(s)) in seen:
                     continue
                 seen.add(node)
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                rarity = order[_buckets(s)]
+                often = common[_buckets(s)]
+                rarity = np.where(often > 0, 1e6 + often, rarity)
                 if length < len(s):
                     rare = np.argpartition(rarity, length - 1)
                     cut = rarity[rare[length - 1]]
@@ -148,67 +224,97 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & ((100 + percent) * rest >= percent * (sa + sb))
 
 
-def _suffix_bound(a: np.ndarray, b: np.ndarray, need: int) -> bool:
-    """Suffix filter: both sets cut at one pivot hash must leave room for ``need`` shared shingles."""
-    if not len(a) or not len(b):
-        return need <= 0
-    pivot = a[len(a) // 2]
-    la, lb = len(a) // 2, int(np.searchsorted(b, pivot))
-    return min(la, lb) + min(len(a) - la, len(b) - lb) >= need
+SKETCH = 1024
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    total = len(a) + len(b)
-    need = -(-percent * total // (100 + percent))
-    if min(len(a), len(b)) < need or not _suffix_bound(a, b, need):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (total - common)
+def _sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 1024 parts of the hash range."""
+    return zlib.compress(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=SKETCH).astype("<u4").tobytes(), 1)
 
 
-def _texts_of_nodes(docs: DataFrame, text_col: str, n: int, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes asked for: one text for each. A bitmap of fixed size keeps other texts from shuffling."""
-    hashed = nodes.select("node", F.expr("conv(hex(substring(node, 1, 7)), 16, 10)").cast("long").alias("h"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(hashed, "h"))
+def _opened(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sketch), "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, table, seen = Shingles(n), bits.value, set()
-        for batch in batches:
-            found, texts = [], []
-            for text in texts_of(batch.column(0)):
-                s = shingles(text)
-                if not len(s) or (node := _digest(s)) in seen:
-                    continue
-                if in_bitmap(table, np.array([int.from_bytes(node[:7])]))[0]:
-                    seen.add(node)
-                    found.append(node)
-                    texts.append(text)
-            yield pa.RecordBatch.from_arrays([binary(found), pa.array(texts, pa.string())], ["node", "text"])
 
-    every = docs.select(text_col).mapInArrow(run, "node binary, text string")
-    return every.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+def suffix_bound(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The suffix filter with 1024 parts at once: shared shingles are shared part by part, so the smaller counts bound them."""
+    total = int(a.sum()) + int(b.sum())
+    return (100 + percent) * int(np.minimum(a, b).sum()) >= percent * total
+
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
-def _verify(docs: DataFrame, text_col: str, n: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, each compared once."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = materialize(_texts_of_nodes(docs, text_col, n, materialize(nodes, "nodes")), "texts")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(n)
-        held: tuple[bytes, np.ndarray] | None = None
+def _fetch(docs: DataFrame, text_col: str, n: int, wanted: DataFrame, sketches: bool) -> DataFrame:
+    """(node, value) of the nodes asked for (node, text_key): their sketch or text.
+
+    A bitmap of fixed size keeps other rows from shuffling; the join decides.
+    """
+    low = F.conv(F.hex(F.substring("text_key", 1, 7)), 16, 10).cast("long")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(low.alias("h")), "h"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
+        table, seen, shingles = bits.value, set(), Shingles(n)
         for batch in batches:
-            keep = []
-            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if held is None or held[0] != b:
-                    held = (b, shingles(tb))
-                keep.append(similar(shingles(ta), held[1], percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            texts = texts_of(batch.column(0))
+            keys = [_text_key(t) for t in texts]
+            hit = in_bitmap(table, np.array([int.from_bytes(k[:7]) for k in keys], np.int64)).tolist() if keys else []
+            take = []
+            for k, key in enumerate(keys):
+                if hit[k] and key not in seen:
+                    seen.add(key)
+                    take.append(k)
+            texts = [texts[k] for k in take]
+            values = [_sketch(s) for s in shingles.each(texts)] if sketches else [t.encode("utf-8", "surrogatepass") for t in texts]
+            yield pa.RecordBatch.from_arrays([binary([keys[k] for k in take]), binary(values)], ["text_key", "value"])
+
+    every = docs.select(text_col).mapInArrow(pick, "text_key binary, value binary")
+    return materialize(every.join(wanted, "text_key").dropDuplicates(["node"]).select("node", "value"), "fetched")
+
+
+def _verify(docs: DataFrame, text_col: str, n: int, percent: int, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: bounded by their sketches first, those left compared once by their texts."""
+
+    def compare(asked: DataFrame, sketches: bool, rule) -> DataFrame:
+        nodes = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).distinct()
+        wanted = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+        values = _fetch(docs, text_col, n, materialize(wanted, "nodes"), sketches)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            check = rule()
+            for batch in batches:
+                rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array([check(*r) for r in rows], pa.bool_()))
+
+        left = values.select(F.col("node").alias("a"), F.col("value").alias("value_a"))
+        right = values.select(F.col("node").alias("b"), F.col("value").alias("value_b"))
+        both = asked.join(left, "a").join(right, "b").select("a", "b", "value_a", "value_b")
+        return materialize(both.mapInArrow(run, "a binary, b binary"), "compared")
+
+    def remembering(reader, holds):
+        def make():
+            read = reader()
+            held: dict[bytes, np.ndarray] = {}
+
+            def check(b: bytes, value_a: bytes, value_b: bytes) -> bool:
+                if b not in held:
+                    held.clear()
+                    held[b] = read(value_b)
+                return holds(read(value_a), held[b], percent)
+
+            return check
+
+        return make
+
+    def reading_texts():
+        shingles = Shingles(n)
+        return lambda value: shingles(value.decode("utf-8", "surrogatepass"))
 
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a binary, b binary")
+    bounded = compare(pairs.select("a", "b"), True, remembering(lambda: _opened, suffix_bound))
+    return bounded if bounded.isEmpty() else compare(bounded, False, remembering(reading_texts, similar))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -219,33 +325,34 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
-    sets, counts = _survey(docs, id_col, text_col, n)
-    postings = materialize(shared_keys(_prefixes(docs, text_col, n, percent, _order(counts))), "postings")
-    p = postings.select("key", "node", F.shiftright("tag", 32).alias("pos"), F.col("tag").bitwiseAND(0xFFFFFFFF).alias("size"))
-    q = p.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "pos", "size")))
-
-    # Round 1: of each key the node with the fewest rarer shingles before it is the one all others meet.
-    centre = p.groupBy("key").agg(F.min(F.struct("pos", "node", "size")).alias("y"))
-    star = q.join(centre.select("key", F.col("y.node").alias("y_node"), F.col("y.pos").alias("y_pos"), F.col("y.size").alias("y_size")), "key")
-    star = star.filter((F.col("x_node") != F.col("y_node")) & _may_link("x", "y", percent))
-    first = materialize(star.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
-    linked = materialize(_verify(docs, text_col, n, percent, first), "links")
-    parts = connected_components(linked)
-
-    # Round 2: whatever is left between different components, pair by pair.
-    of = parts.select(F.col("node").alias("n_"), "component")
-    known = materialize(p.join(of, p.node == of.n_, "left").select("key", "node", "pos", "size", F.coalesce("component", "node").alias("part")), "parts")
-    mixed = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    mixed = materialize(known.join(mixed, "key", "left_semi"), "mixed")
-    x = mixed.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "pos", "size", "part")))
-    y = mixed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "pos", "size", "part")))
-    rest = x.join(y, (x.key == y.key) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & _may_link("x", "y", percent))
-    second = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "pairs")
-    if second.isEmpty():
-        return sets, linked
-    more = _verify(docs, text_col, n, percent, second)
-    return sets, materialize(linked.unionByName(more), "links")
+    with scratch(docs.sparkSession):
+        sets, counts = _survey(docs, id_col, text_col, n)
+        postings = materialize(shared_keys(_prefixes(docs, text_col, n, percent, _order(counts))), "postings")
+        p = postings.select("key", "node", F.shiftright("tag", 32).alias("pos"), F.col("tag").bitwiseAND(0xFFFFFFFF).alias("size"))
+        q = p.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "pos", "size")))
+
+        # Round 1: of each key the node with the fewest rarer shingles before it is the one all others meet.
+        centre = p.groupBy("key").agg(F.min(F.struct("pos", "node", "size")).alias("y"))
+        star = q.join(centre.select("key", F.col("y.node").alias("y_node"), F.col("y.pos").alias("y_pos"), F.col("y.size").alias("y_size")), "key")
+        star = star.filter((F.col("x_node") != F.col("y_node")) & _may_link("x", "y", percent))
+        first = materialize(star.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
+        linked = materialize(_verify(docs, text_col, n, percent, sets, first), "links")
+        parts = connected_components(linked)
+
+        # Round 2: whatever is left between different components, pair by pair.
+        of = parts.select(F.col("node").alias("n_"), "component")
+        known = materialize(p.join(of, p.node == of.n_, "left").select("key", "node", "pos", "size", F.coalesce("component", "node").alias("part")), "parts")
+        mixed = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+        mixed = materialize(known.join(mixed, "key", "left_semi"), "mixed")
+        x = mixed.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "pos", "size", "part")))
+        y = mixed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "pos", "size", "part")))
+        rest = x.join(y, (x.key == y.key) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & _may_link("x", "y", percent))
+        second = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        second = materialize(second, "pairs")
+        if second.isEmpty():
+            return sets, materialize(linked, "links", keep=True)
+        more = _verify(docs, text_col, n, percent, sets, second)
+        return sets, materialize(linked.unionByName(more), "links", keep=True)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
