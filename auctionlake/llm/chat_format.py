@@ -77,10 +77,7 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
         back = parse(F.array_join(F.transform(_render(F.col("tried")), lambda s: s["text"]), ""))
         d = d.withColumn("exact", back == F.col("source"))
         if k < ROUNDS - 1:
-            harder = F.transform(
-                "source",
-                lambda t, k=k: F.struct(t["role"].alias("role"), t["text"].alias("text"), escape_role(t["role"]).alias("raw_role"), escape(t["text"]).alias("raw_text")),
-            )
+            harder = F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), escape_role(t["role"]).alias("raw_role"), escape(t["text"]).alias("raw_text")))
             d = d.withColumn("tried", F.when(F.col("exact"), F.col("tried")).otherwise(harder)).withColumn("escapes", F.col("escapes") + F.when(F.col("exact"), 0).otherwise(1))
     d = d.withColumn("segments", _render(F.col("tried"))).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
     return d.select(F.col("conv").alias(conv_col), F.size("source").cast("long").alias("n_turns"), "formatted", "segments", parse(F.col("formatted")).alias("turns"), "escapes", "exact")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from auctionlake.llm.common import UPPER_TO_LOWER, fresh, materialize, texts_of
 
@@ -107,7 +108,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
         names = ["n_words", "hit_spans", "hit_items"] if not number else fresh(out, "more_words", "more_spans", "more_items")
         found = docs.sparkSession.sparkContext.broadcast(items)
         schema = T.StructType([*out.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(span)), T.StructField(names[2], T.ArrayType(item_type))])
-        out = out.mapInArrow(_search(found, window, out.columns.index(text_col), names), schema)
+        out = out.mapInArrow(_search(found, window, out.columns.index(text_col), names, to_arrow_type(item_type)), schema)
         if number:
             spans = F.array_sort(F.concat("hit_spans", names[1]))
             out = out.withColumn("hit_items", F.array_distinct(F.concat("hit_items", names[2]))).withColumn("hit_spans", _merged(spans)).drop(*names)
@@ -126,19 +127,18 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.slice(spans, 1, 0), add)
 
 
-def _search(found, window: int, place: int, names: list[str]):
+def _search(found, window: int, place: int, names: list[str], item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = [s.search for s in searchers(found.value, window)]
-        lengths = [s.length for s in searchers(found.value, window)]
+        ready = searchers(found.value, window)
         for batch in batches:
             counts, spans, hits = [], [], []
             for text in texts_of(batch.column(place)):
                 w = words(text)
                 counts.append(len(w))
                 ranges, items = [], {}
-                for find, m in zip(search, lengths, strict=True):
-                    for start, who in find(w):
-                        ranges.append((start, start + m))
+                for s in ready:
+                    for start, who in s.search(w):
+                        ranges.append((start, start + s.length))
                         items.update(dict.fromkeys(who))
                 merged: list[list[int]] = []
                 for start, end in sorted(ranges):
@@ -149,8 +149,7 @@ def _search(found, window: int, place: int, names: list[str]):
                 spans.append([{"start": a, "end": b} for a, b in merged])
                 hits.append(list(items))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            item_kind = pa.list_(pa.int64()) if all(isinstance(i, int | None) for h in hits for i in h) else pa.list_(pa.string())
-            columns = [pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(hits, item_kind)]
+            columns = [pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(hits, pa.list_(item_type))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     return run

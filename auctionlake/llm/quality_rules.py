@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auctionlake.llm import vocab
-from auctionlake.llm.common import ascii_words, materialize, texts_of
+from auctionlake.llm.common import ascii_words, materialize, scratch, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REPEAT_WINDOW = 8
@@ -126,7 +126,7 @@ def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH) ->
         mid = F.col(f"{c}_mid")
         dev = F.greatest(1.4826 * F.col(f"{c}_dev"), F.lit(least) if c == "byte_share" else least * mid)
         limits += [(mid - width * dev).alias(f"{c}_low"), (mid + width * dev).alias(f"{c}_high")]
-    return materialize(spread.select(*keys, *limits), "bands")
+    return materialize(spread.select(*keys, *limits), "bands", keep=True)
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang") -> DataFrame:
@@ -149,6 +149,6 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of ``df`` that pass, with their own columns. Texts never shuffle: they are measured again beside the limits."""
-    clean = df.select(text_col, lang_col)
-    limits = bands(materialize(measure(clean, text_col, vocabulary).drop(text_col), "measured"), lang_col)
+    with scratch(df.sparkSession):
+        limits = bands(materialize(measure(df.select(text_col, lang_col), text_col, vocabulary).drop(text_col), "measured"), lang_col)
     return judge(measure(df, text_col, vocabulary), limits, lang_col).filter("kept").select(*df.columns)

@@ -18,8 +18,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import materialize, pack_ints, return_freed_memory, texts_of, unpack_ints
+from auctionlake.llm.common import gather, materialize, pack_ints, return_freed_memory, texts_of, unpack_ints
 
 BLOCK_CHARS = 32_000_000
 BLOCK_DOCS = 200_000
@@ -81,10 +82,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callab
     With ``frequencies`` a document is its distinct words with their counts, else its words in order.
     """
     id_type = df.schema[id_col].dataType
-    arrow_id = pa.int64() if isinstance(id_type, T.LongType) else None
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_id = arrow_id or to_arrow_type(id_type)
+    arrow_id = to_arrow_type(id_type)
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
         T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType()),
@@ -172,8 +170,6 @@ def encode_words(written: DataFrame, encoder: Callable[[], Encoder]) -> DataFram
         places = [np.fromiter(map(distinct.__getitem__, x), np.int64, len(x)) for x in lists]
         flat, lengths = encode([w.decode("utf-8", "surrogatepass") for w in distinct])
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        from auctionlake.llm.common import gather
-
         out = []
         for numbered, place in zip(steps, places, strict=True):
             at, sizes = gather(offsets, place)
@@ -214,8 +210,6 @@ class Block:
         flat = np.concatenate(values) if values else np.zeros(0, np.uint32)
         starts = np.concatenate([[0], np.cumsum(size)])
         order = np.argsort(number, kind="stable")
-        from auctionlake.llm.common import gather
-
         at, lengths = gather(starts, order)
         self.values, self.offsets = flat[at], np.concatenate([[0], np.cumsum(lengths)])
         lengths, codes, self.times = (unpack_ints(x) for x in self.documents)
