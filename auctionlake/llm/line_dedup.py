@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import binary, bitmap, connected_components, fresh, in_bitmap, materialize, shared_keys, texts_of
+from auctionlake.llm.common import binary, bitmap, connected_components, fresh, in_bitmap, materialize, return_freed_memory, scratch, shared_keys, texts_of
 
 THRESHOLD = 2
 #: Shorter lines (headings, single words) are left alone: they recur in clean texts too.
@@ -65,6 +66,7 @@ def _postings(docs: DataFrame, text_col: str, threshold: int, min_chars: int) ->
     """(key, node, tag) for the segments and substrings of lines; a line is posted once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
         seen: set[bytes] = set()
         plans: dict[int, list] = {}
         digest = xxhash.xxh3_64_intdigest
@@ -84,12 +86,17 @@ def _postings(docs: DataFrame, text_col: str, threshold: int, min_chars: int) ->
                 plan = plans.get(n)
                 if plan is None:
                     aligned = {(k, at) for k, (at, _) in enumerate(segments(n, threshold))}
-                    plan = [((n - less) * 64 + k, start, start + size, _PROBE_LONGER if less else _INDEX if (k, start) in aligned else _PROBE_SAME) for less, k, start, size in probes(n, threshold)]
+                    found = probes(n, threshold)
+                    plan = (
+                        [((n - less) * 64 + k, 4 * start, 4 * (start + size)) for less, k, start, size in found],
+                        [_PROBE_LONGER if less else _INDEX if (k, start) in aligned else _PROBE_SAME for less, k, start, _ in found],
+                    )
                     if len(plans) < 20_000:
                         plans[n] = plan
-                keys += [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for seed, a, b, _ in plan]
-                roles += [role for *_, role in plan]
-                each.append(len(plan))
+                wide = line.encode("utf-32-le", "surrogatepass")  # four bytes a character, so places are the same in all lines
+                keys += [digest(wide[a:b], seed) for seed, a, b in plan[0]]
+                roles += plan[1]
+                each.append(len(plan[1]))
             rows = np.repeat(np.arange(len(lines)), each)
             tag = _letter_counts(lines)[rows] << 2 | np.array(roles, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), binary(nodes).take(pa.array(rows)), pa.array(tag)], ["key", "node", "tag"])
@@ -167,11 +174,17 @@ def _low_bits(node: str) -> Column:
     return F.conv(F.hex(F.substring(F.col(node), 1, 7)), 16, 10).cast("long")
 
 
+def _low(nodes: list[bytes]) -> np.ndarray:
+    """The first seven bytes of 16-byte hashes, as numbers."""
+    return (np.frombuffer(b"".join(nodes), ">u8")[::2] >> np.uint64(8)).astype(np.int64)
+
+
 def _lines_of(docs: DataFrame, text_col: str, nodes: DataFrame, min_chars: int) -> DataFrame:
     """(node, line) of the lines asked for; a bitmap of fixed size keeps most others from shuffling."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select(_low_bits("node").alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
         table, seen = bits.value, set()
         for batch in batches:
             found, lines = [], []
@@ -182,7 +195,7 @@ def _lines_of(docs: DataFrame, text_col: str, nodes: DataFrame, min_chars: int)
                         found.append(node)
                         lines.append(line)
             if found:
-                hit = in_bitmap(table, np.array([int.from_bytes(x[:7]) for x in found]))
+                hit = in_bitmap(table, _low(found))
                 yield pa.RecordBatch.from_arrays([binary(found), pa.array(lines, pa.string())], ["node", "line"]).filter(pa.array(hit))
 
     every = docs.select(text_col).mapInArrow(run, "node binary, line string")
@@ -196,27 +209,28 @@ def near_lines(docs: DataFrame, text_col: str = "text", threshold: int = THRESHO
     """
     if not 1 <= threshold <= 7 or min_chars <= threshold:
         raise ValueError("threshold is 1 to 7 and below min_chars")
-    p = materialize(shared_keys(_postings(docs, text_col, threshold, min_chars)), "postings")
-    role = F.col("tag").bitwiseAND(3)
-    x = p.filter(role == _INDEX).select("key", F.col("node").alias("a"), F.col("tag").alias("tag_a"))
-    y = p.select("key", F.col("node").alias("b"), F.col("tag").alias("tag_b"))
-    one_way = (F.col("tag_b").bitwiseAND(3) == _PROBE_LONGER) | (F.col("a") < F.col("b"))
-    candidates = x.join(y, (x.key == y.key) & (F.col("a") != F.col("b")) & one_way & _near("tag_a", "tag_b", threshold))
-    pairs = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-    lines = materialize(_lines_of(docs, text_col, nodes, min_chars), "lines")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = within(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-    both = (
-        pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
-        .join(lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-        .select("a", "b", "line_a", "line_b")
-    )
-    return materialize(both.mapInArrow(verify, "a binary, b binary"), "links")
+    with scratch(docs.sparkSession):
+        p = materialize(shared_keys(_postings(docs, text_col, threshold, min_chars)), "postings")
+        role = F.col("tag").bitwiseAND(3)
+        x = p.filter(role == _INDEX).select("key", F.col("node").alias("a"), F.col("tag").alias("tag_a"))
+        y = p.select("key", F.col("node").alias("b"), F.col("tag").alias("tag_b"))
+        one_way = (F.col("tag_b").bitwiseAND(3) == _PROBE_LONGER) | (F.col("a") < F.col("b"))
+        candidates = x.join(y, (x.key == y.key) & (F.col("a") != F.col("b")) & one_way & _near("tag_a", "tag_b", threshold))
+        pairs = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+        lines = materialize(_lines_of(docs, text_col, nodes, min_chars), "lines")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = within(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+        both = (
+            pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
+            .join(lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
+            .select("a", "b", "line_a", "line_b")
+        )
+        return materialize(both.mapInArrow(verify, "a binary, b binary"), "links", keep=True)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -226,12 +240,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with one. A class is what links of up to ``threshold`` edits join.
     """
     id_type = docs.schema[id_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow_id = to_arrow_type(id_type)
     schema = T.StructType([T.StructField("line", T.BinaryType()), T.StructField("id", id_type), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
         for batch in batches:
             least: dict[bytes, list] = {}
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -247,12 +260,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = pa.array([v[0] for v in least.values()], arrow_id)
             yield pa.RecordBatch.from_arrays([binary(least), ids, pa.array([v[1] for v in least.values()], pa.int64())], ["line", "id", "n"])
 
-    counted = docs.select(id_col, text_col).mapInArrow(run, schema).groupBy("line").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
-    parts = connected_components(near_lines(docs, text_col, threshold, min_chars)).select(F.col("node").alias("n_"), "component")
-    placed = counted.join(parts, counted.line == parts.n_, "left").filter("n > 1 OR component IS NOT NULL")
-    placed = materialize(placed.select("line", "n", "id", F.coalesce("component", "line").alias("class")), "classes")
-    least = placed.groupBy("class").agg(F.sum("n").alias("n_lines"), F.min("id").alias("keep_id"))
-    return placed.join(least, "class").select("line", "class", "n_lines", "keep_id")
+    with scratch(docs.sparkSession):
+        counted = docs.select(id_col, text_col).mapInArrow(run, schema).groupBy("line").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+        parts = connected_components(near_lines(docs, text_col, threshold, min_chars)).select(F.col("node").alias("n_"), "component")
+        placed = counted.join(parts, counted.line == parts.n_, "left").filter("n > 1 OR component IS NOT NULL")
+        placed = materialize(placed.select("line", "n", "id", F.coalesce("component", "line").alias("class")), "placed")
+        least = placed.groupBy("class").agg(F.sum("n").alias("n_lines"), F.min("id").alias("keep_id"))
+        return materialize(placed.join(least, "class").select("line", "class", "n_lines", "keep_id"), "classes", keep=True)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -266,7 +280,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clash = {"n_lines", "n_dropped"} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
-    classes = materialize(line_classes(docs, id_col, text_col, threshold, min_chars).select("line", "class", "keep_id"), "dropped")
+    classes = line_classes(docs, id_col, text_col, threshold, min_chars).select("line", "class", "keep_id")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(classes.select(_low_bits("line").alias("h")), "h"))
     row, found, class_, keep_, list_ = fresh(docs, "row", "found", "class", "keep_id", "lines_")
     place, text_at = len(docs.columns), docs.columns.index(text_col)
@@ -274,27 +288,34 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The hashes of a text's lines that may recur; null where none can."""
+        return_freed_memory()
         table = bits.value
         for batch in batches:
-            out = []
+            nodes, each = [], []
             for text in texts_of(batch.column(text_at)):
-                nodes = [line_hash(x) for x in text.split("\n") if len(x) >= min_chars]
-                hit = in_bitmap(table, np.array([int.from_bytes(x[:7]) for x in nodes], np.int64)) if nodes else np.zeros(0, bool)
-                out.append([x for x, h in zip(nodes, hit.tolist(), strict=True) if h] or None)
+                own = [line_hash(x) for x in text.split("\n") if len(x) >= min_chars]
+                nodes += own
+                each.append(len(own))
+            hit = in_bitmap(table, _low(nodes)).tolist() if nodes else []
+            out, at = [], 0
+            for n in each:
+                out.append([x for x, h in zip(nodes[at : at + n], hit[at : at + n], strict=True) if h] or None)
+                at += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.binary()))], [*batch.schema.names, list_])
 
     # A row's own number follows from its content's place in the input, fixed once it is written.
     marked = docs.mapInArrow(suspects, schema)
     touched = materialize(marked.filter(F.col(list_).isNotNull()).withColumn(row, F.monotonically_increasing_id()), "touched")
-    clean = marked.filter(F.col(list_).isNull()).select(*docs.columns, F.lit(None).cast("array<struct<line:binary,stays:boolean,class:binary>>").alias(found))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long")
+    clean = marked.filter(F.col(list_).isNull()).select(*docs.columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     exploded = touched.select(F.col(row).alias("r_"), F.col(id_col).alias("i_"), F.explode(F.array_distinct(list_)).alias("line"))
     hits = exploded.join(classes, "line").select("r_", F.struct(F.col("line"), F.col("i_").eqNullSafe(F.col("keep_id")).alias("stays"), F.col("class")).alias("hit"))
     by_row = hits.groupBy("r_").agg(F.collect_list("hit").alias(found))
     touched = touched.join(by_row, touched[row] == by_row.r_, "left").select(*docs.columns, found)
-    both = clean.unionByName(touched)
     out_schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
         for batch in batches:
             texts, totals, dropped = [], [], []
             for text, hits in zip(batch.column(text_at).to_pylist(), batch.column(place).to_pylist(), strict=True):
@@ -317,7 +338,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [pa.array(texts, pa.string()) if k == text_at else batch.column(k) for k in range(place)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:place], "n_lines", "n_dropped"])
 
-    return both.mapInArrow(rewrite, out_schema)
+    return clean.union(touched.mapInArrow(rewrite, out_schema))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
