@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,8 +28,13 @@ def _mapping(pairs: Mapping[str, str]) -> Column:
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, null where nothing matches."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """A group of the first match, null where nothing matches or the group is empty."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def squeeze(c: Column) -> Column:
