@@ -1,18 +1,16 @@
 """Sharding by balanced label propagation: DataFrame operations only.
 
-Linked documents move towards the shard in which most of their neighbours are, as far as the quota of
-that shard allows; documents without links then fill every shard to its exact share.
+Linked documents are dealt group by group, then move towards the shard in which most of their neighbours
+are, as far as its quota or an exchange allows; documents without links fill every shard to its exact share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auctionlake.llm.common import materialize, rank_within
 
-ITERATIONS = 6
-
 
 def _quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
@@ -23,45 +21,109 @@ def _case(shard: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), shard.cast("int") + 1)
 
 
-def propagate(links: DataFrame, quotas: list[int], iterations: int = ITERATIONS) -> DataFrame:
+def _deal(nodes: DataFrame, total: int, quotas: list[int]) -> DataFrame:
+    """(node, first_hub, shard): whole hubs one after another, each shard with its share of the nodes.
+
+    Hubs are placed by a running sum of their sizes, so only a hub across the end of a shard is cut, and
+    only its nodes are ranked.
+    """
+    rows, ends, upto = max(sum(quotas), 1), [], 0
+    for q in quotas:
+        upto += q
+        ends.append(upto * total // rows)
+
+    def shard_at(place: Column) -> Column:
+        return sum(((place >= end).cast("int") for end in ends[:-1]), F.lit(0))
+
+    buckets = max(1, min(1 << 20, -(-total // 10_000)))
+    sizes = nodes.groupBy("first_hub").agg(F.count("*").alias("size")).withColumn("bucket", F.pmod(F.xxhash64("first_hub"), F.lit(buckets)).cast("int"))
+    sizes = materialize(sizes, "hubs")
+    sums = sizes.groupBy("bucket").agg(F.sum("size").alias("n")).withColumn("all_", F.lit(0))
+    earlier = F.sum("n").over(Window.partitionBy("all_").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("bucket", F.coalesce(earlier, F.lit(0)).alias("start"))
+    inside = F.sum("size").over(Window.partitionBy("bucket").orderBy("first_hub").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, "bucket").withColumn("start", F.col("start") + F.col("inside"))
+    placed = placed.select("first_hub", "start", shard_at(F.col("start")).alias("low"), shard_at(F.col("start") + F.col("size") - 1).alias("high"))
+    dealt = materialize(nodes.join(placed, "first_hub"), "dealt")
+    cut = rank_within(dealt.filter("low <> high"), "first_hub", ["node"], F.xxhash64("node"), total, "turn")
+    cut = cut.select("node", "first_hub", shard_at(F.col("start") + F.col("turn")).alias("shard"))
+    return dealt.filter("low = high").select("node", "first_hub", F.col("low").alias("shard")).unionByName(cut)
+
+
+def _allowed(wanted: dict[tuple[int, int], int], room: list[int], exchange: bool) -> list[int]:
+    """How many may go from each shard to each other: as many as come back, where exchanged, and what there is room for."""
+    shards, left, out = len(room), list(room), []
+    for a in range(shards):
+        for b in range(shards):
+            n = wanted.get((a, b), 0)
+            back = min(n, wanted.get((b, a), 0)) if exchange else 0
+            more = min(n - back, left[b])
+            left[b] -= more
+            out.append(back + more)
+    return out
+
+
+def _votes(links: DataFrame, state: DataFrame) -> tuple[DataFrame, int]:
+    """Each hub's nodes by shard, and how many ordered pairs of neighbours are together: what every round must raise."""
+    votes = materialize(links.join(state, "node").groupBy("hub", "shard").agg(F.count("*").alias("votes")), "votes")
+    n = F.col("votes").cast("decimal(18,0)")
+    return votes, int(votes.agg(F.sum(n * n).alias("n")).first()["n"] or 0)
+
+
+def _round(links: DataFrame, state: DataFrame, votes: DataFrame, quotas: list[int], exchange: bool) -> DataFrame | None:
+    """The nodes with their shards after one round of moves; None if none may move."""
+    shards = len(quotas)
+    load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quotas)]
+    if not exchange and not any(room):
+        return None
+    offers = links.join(votes, "hub").groupBy("node", "shard").agg(F.sum("votes").alias("votes"))
+    choice = offers.withColumnRenamed("shard", "to").join(state, "node")
+    if not exchange:  # a node's own shard stays open to it; the others only while they have room
+        choice = choice.filter((F.col("to") == F.col("shard")) | (_case(F.col("to"), room) > 0))
+    tie = F.pmod(F.xxhash64("first_hub", "to"), F.lit(1 << 20))
+    best = choice.groupBy("node").agg(F.max_by(F.struct("to", "shard", "first_hub"), F.struct(F.col("votes"), tie)).alias("b"))
+    way = (F.col("shard") * shards + F.col("to")).alias("way")
+    movers = materialize(best.select("node", "b.to", "b.shard", "b.first_hub").filter("to <> shard").select("node", "to", "first_hub", way), "movers")
+    wanted = {(r["way"] // shards, r["way"] % shards): r["n"] for r in movers.groupBy("way").agg(F.count("*").alias("n")).collect()}
+    allowed = _allowed(wanted, room, exchange)
+    if not any(allowed):
+        return None
+    going = movers.filter(_case(F.col("way"), allowed) > 0)
+    if any(n > allowed[a * shards + b] > 0 for (a, b), n in wanted.items()):
+        by_hub = F.shiftright(F.xxhash64("first_hub"), 43).bitwiseAND((1 << 20) - 1)
+        ranked = rank_within(going, "way", [F.xxhash64("first_hub"), "node"], by_hub, sum(wanted.values()), "turn")
+        going = ranked.filter(F.col("turn") < _case(F.col("way"), allowed))
+    moved = going.select("node", F.col("to").alias("moved"))
+    return materialize(state.join(moved, "node", "left").select("node", "first_hub", F.coalesce("moved", "shard").alias("shard")), "shards")
+
+
+def propagate(links: DataFrame, quotas: list[int]) -> DataFrame:
     """(node, shard) for the nodes in ``links`` (node long, hub long), never more in a shard than its quota.
 
     Nodes of one hub are neighbours of each other; a hub stands for all their pairs, so a hub of any size
-    costs as many rows as it has nodes. A node may have several hubs. Each round counts, for every hub,
-    its nodes by shard, lets each node prefer the shard with most neighbours among its own and those with
-    room, and takes as many movers into a shard as there is room for, whole hubs one after another.
+    costs as many rows as it has nodes. A node may have several hubs. Whole hubs are dealt first. Each round
+    then counts, for every hub, its nodes by shard, lets each node prefer the shard with most neighbours, and
+    takes as many movers as there is room for, whole hubs one after another; where room brings no neighbours
+    together any more, shards exchange as many nodes as want to go either way. It ends when neither does.
     """
-    shards = len(quotas)
     nodes = links.groupBy("node").agg(F.min("hub").alias("first_hub"))
-    total = nodes.count()
-    start = rank_within(nodes.withColumn("all_", F.lit(0)), "all_", ["node"], F.xxhash64("node"), total, "place")
-    state = materialize(start.select("node", "first_hub", F.pmod("place", F.lit(shards)).cast("int").alias("shard")), "shards")
-    for _ in range(iterations):
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quotas)]
-        placed = links.join(state, "node")
-        votes = placed.groupBy("hub", "shard").agg(F.count("*").alias("votes"))
-        # A node's own shard stays open to it; the others only while they have room.
-        offers = links.join(votes, "hub").groupBy("node", "shard").agg(F.sum("votes").alias("votes"))
-        choice = offers.withColumnRenamed("shard", "to").join(state, "node").filter((F.col("to") == F.col("shard")) | (_case(F.col("to"), room) > 0))
-        tie = F.pmod(F.xxhash64("first_hub", "to"), F.lit(1 << 20))
-        best = choice.groupBy("node").agg(F.max_by(F.struct("to", "votes", "shard", "first_hub"), F.struct(F.col("votes"), tie)).alias("b"))
-        movers = materialize(best.select("node", "b.to", "b.votes", "b.shard", "b.first_hub").filter("to <> shard"), "movers")
-        wanted = {r["to"]: r["n"] for r in movers.groupBy("to").agg(F.count("*").alias("n")).collect()}
-        if not wanted:
-            break
-        if all(n <= room[s] for s, n in wanted.items()):
-            going = movers
-        else:
-            by_hub = F.shiftright(F.xxhash64("first_hub"), 1).bitwiseAND((1 << 42) - 1) * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-            ranked = rank_within(movers, "to", [F.xxhash64("first_hub"), "node"], F.shiftright(by_hub, 42), sum(wanted.values()), "turn")
-            going = ranked.filter(F.col("turn") < _case(F.col("to"), room))
-        moved = going.select("node", F.col("to").alias("moved"))
-        state = materialize(state.join(moved, "node", "left").select("node", "first_hub", F.coalesce("moved", "shard").alias("shard")), "shards")
-    return state.select("node", "shard")
-
-
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, iterations: int = ITERATIONS) -> DataFrame:
+    state = materialize(_deal(nodes, nodes.count(), quotas), "shards")
+    votes, together = _votes(links, state)
+    exchange = False
+    while True:
+        moved = _round(links, state, votes, quotas, exchange)
+        if moved is not None:
+            new_votes, new_together = _votes(links, moved)
+            if new_together > together:
+                state, votes, together, exchange = moved, new_votes, new_together, False
+                continue
+        if exchange:
+            return state.select("node", "shard")
+        exchange = True
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard): every row in one of ``shards`` shards.
 
     The law is ``rows``: counts of any two shards differ by one at most. Rows with equal texts are linked
@@ -82,7 +144,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     quotas = _quotas(n, shards)
     groups = rows.filter("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub")
     links = materialize(rows.join(groups, "hub").select("node", "hub"), "links")
-    linked = materialize(propagate(links, quotas, iterations), "linked")
+    linked = materialize(propagate(links, quotas), "linked")
     load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     ends, total = [], 0
     for s, q in enumerate(quotas):

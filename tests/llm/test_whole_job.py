@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_dedup import brute_components
 
+from auctionlake.llm import sharding
+
 
 def scattered(seed: int, length: int, edits: int, groups: int):
     """Pairs of a text and its copy with single words replaced at even distances."""
@@ -26,3 +29,21 @@ def test_pipeline_drops_copies_with_scattered_edits(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect())
     assert kept == sorted(k for k, _, low in brute_components(rows, 5, 80) if k == low) == list(range(0, 40, 2))
+
+
+def test_sharding_where_every_text_has_a_copy(spark):
+    rows = [(k, f"text {k // 2}") for k in range(1600)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [200] * 8
+    pairs = defaultdict(set)
+    for r in got:
+        pairs[r.doc_id // 2].add(r.shard)
+    assert sum(len(p) > 1 for p in pairs.values()) == 0
+
+
+def test_sharding_exchanges_nodes_of_several_groups(spark):
+    """Every node has two groups, so whole groups can't just be dealt; shards have no room."""
+    links = [(k, k // 4) for k in range(64)] + [(k, 100 + (k // 4 if k % 4 else (k // 4 + 8) % 16)) for k in range(64)]
+    got = {r.node: r.shard for r in sharding.propagate(spark.createDataFrame(links, "node long, hub long"), [16] * 4).collect()}
+    assert sorted(Counter(got.values()).values()) == [16] * 4 and len(got) == 64
+    assert sharding._allowed({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 1, 0], True) == [0, 4, 0, 3, 0, 0, 0, 0, 0]
