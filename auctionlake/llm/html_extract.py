@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,12 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import materialize, texts_of
+from auctionlake.llm.common import bitmap, in_bitmap, materialize, texts_of
 
-#: A subtree is part of a site's template if it stands on so many pages of the host with different main texts ...
+#: A subtree is part of a site's template if it stands on so many pages of the host with different main texts.
 MIN_PAGES = 5
-#: ... and on this share of them.
-MIN_SHARE = 0.2
 
 # Element names of HTML by their part on a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video", "head"}
@@ -65,11 +64,11 @@ class _Open:
         self.parts: list[int] = []  # the blocks in it
 
 
-def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, list[int]]]]:
-    """Blocks (text, furniture, in the main element) in page order, and subtrees (hash, block numbers)."""
+def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, list[int], bool]]]:
+    """Blocks (text, furniture, in the main element) in page order, and subtrees (hash, block numbers, inside the main element)."""
     stack = [_Open("", False, False)]
     blocks: list[tuple[str, bool, bool]] = []
-    subtrees: list[tuple[int, list[int]]] = []
+    subtrees: list[tuple[int, list[int], bool]] = []
     pending: list[str] = []
 
     def end_block() -> None:
@@ -87,7 +86,7 @@ def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int
         while len(stack) > to:
             e = stack.pop()
             if e.parts and e.tag in BLOCKS:
-                subtrees.append((xxhash.xxh3_64_intdigest(f"{e.tag}\0" + "\0".join(e.texts)) - (1 << 63), e.parts))
+                subtrees.append((xxhash.xxh3_64_intdigest(f"{e.tag}\0" + "\0".join(e.texts)) - (1 << 63), e.parts, stack[-1].main))
 
     at = 0
     while at < len(source):
@@ -138,8 +137,9 @@ def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int
 def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """One row for each page: its blocks outside furniture, and the subtrees that count towards its host's template.
 
-    Where a page has an article or main element, that is its main text, which is never a template; furniture
-    is recognised by elements and names. Other subtrees are left to the counts.
+    Where a page has an article or main element, that is its main text: the element itself and what it
+    stands in are never a template. Furniture is recognised by elements and names. All other subtrees, those
+    inside the main element too, are left to the counts; their hashes hold the host.
     """
     ids = T.StructType([pages.schema[id_col], pages.schema[url_col]])
     schema = T.StructType([
@@ -165,9 +165,10 @@ def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
                 texts = [blocks[k][0] for k in place]
                 kept.append(texts)
                 contents.append(xxhash.xxh3_64_intdigest("\0".join(texts)) - (1 << 63))
-                outside = [(h, parts) for h, parts in subtrees if not (has_main and any(blocks[k][2] for k in parts))]
-                seen.append(sorted({h for h, _ in outside}))
-                doubtful.append([{"hash": h, "block": place[k]} for h, parts in outside for k in parts if k in place] or None)
+                counted = [(h, [place[k] for k in parts if k in place]) for h, parts, inside in subtrees if inside or not (has_main and any(blocks[k][2] for k in parts))]
+                counted = [(xxhash.xxh3_64_intdigest(f"{hosts[-1]}\0{h}") - (1 << 63), parts) for h, parts in counted if parts]
+                seen.append(sorted({h for h, _ in counted}))
+                doubtful.append([{"hash": h, "block": k} for h, parts in counted for k in parts] or None)
             columns = [hosts, contents, kept, seen, doubtful]
             rest = [pa.array(c, f.type) for c, f in zip(columns, arrow[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], [f.name for f in arrow])
@@ -175,15 +176,26 @@ def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
     return pages.select(id_col, url_col, F.col(html_col).cast("string")).mapInArrow(run, schema)
 
 
-def templates(read: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur on many pages of a host. Copies of one page count once."""
+def templates(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(hash) of the subtrees that recur on many pages of a host. Copies of one page count once."""
     distinct = read.groupBy("host", "content").agg(F.first("seen").alias("seen"))
-    pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = distinct.select("host", F.explode("seen").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(pages, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    return distinct.select(F.explode("seen").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("hash")
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def _suspects(read: DataFrame, common: DataFrame) -> DataFrame:
+    """Adds suspect: whether a page may hold one of the hashes. A bitmap of fixed size keeps the others from shuffling."""
+    bits = read.sparkSession.sparkContext.broadcast(bitmap(common, "hash"))
+    place = read.columns.index("doubtful")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [x is not None and bool(in_bitmap(bits.value, np.array([d["hash"] for d in x], np.int64)).any()) for x in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "suspect"])
+
+    return read.mapInArrow(run, T.StructType([*read.schema.fields, T.StructField("suspect", T.BooleanType())]))
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of each page: its main blocks in order, joined by line feeds.
 
     White space inside a block becomes one space and character references are decoded. Null html is empty
@@ -191,11 +203,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     it goes. Repeated rows and null ids give a row each; an empty table gives none; other columns are not read.
     """
     read = materialize(read_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
-    plain = read.filter("doubtful IS NULL").select("id", "url", "blocks")
-    doubt = read.filter("doubtful IS NOT NULL")
-    common = materialize(templates(read, min_pages, min_share), "templates")
-    each = doubt.select("row", "host", F.explode("doubtful").alias("d")).select("row", "host", "d.hash", "d.block")
-    hits = each.join(common, ["host", "hash"], "left_semi")
+    common = materialize(templates(read, min_pages), "templates")
+    marked = _suspects(read, common)
+    plain = marked.filter("NOT suspect").select("id", "url", "blocks")
+    doubt = materialize(marked.filter("suspect").drop("suspect"), "suspects")
+    each = doubt.select("row", F.explode("doubtful").alias("d")).select("row", "d.hash", "d.block")
+    hits = each.join(common, "hash", "left_semi")
     gone = hits.groupBy("row").agg(F.collect_set("block").alias("gone")).withColumnRenamed("row", "r_")
     cleaned = doubt.join(gone, doubt.row == gone.r_, "left")
     index = F.transform("blocks", lambda b, k: F.when(F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k), F.lit(None)).otherwise(b))

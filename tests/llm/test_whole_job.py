@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from test_dedup import brute_components
 
-from auctionlake.llm import sharding
+from auctionlake.llm import html_extract, sharding
 
 
 def scattered(seed: int, length: int, edits: int, groups: int):
@@ -47,3 +47,14 @@ def test_sharding_exchanges_nodes_of_several_groups(spark):
     got = {r.node: r.shard for r in sharding.propagate(spark.createDataFrame(links, "node long, hub long"), [16] * 4).collect()}
     assert sorted(Counter(got.values()).values()) == [16] * 4 and len(got) == 64
     assert sharding._allowed({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 1, 0], True) == [0, 4, 0, 3, 0, 0, 0, 0, 0]
+
+
+def test_recurring_block_inside_the_main_element_goes(spark):
+    page = '<body><article><h1>Title {0}</h1><div class="x7f3">Buy our <b>gold</b> plan<p>Only today</p></div><p>Story {0} is told.</p></article></body>'
+    rows = [(k, "http://a.com/x", page.format(k)) for k in range(6)]
+    rows += [(100 + k, f"http://big.com/{k}", page.format(k) if k < 6 else f"<main><p>Other story {k}</p></main>") for k in range(200)]  # 3 % of a host
+    rows += [(500 + k, "http://copies.com/", page.format("same")) for k in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[at + k] == f"Title {k}\nStory {k} is told." for at in (0, 100) for k in range(6))
+    assert all(got[100 + k] == f"Other story {k}" for k in range(6, 200))
+    assert {got[500 + k] for k in range(8)} == {"Title same\nBuy our gold plan\nOnly today\nStory same is told."}
