@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auctionlake.llm import vocab
-from auctionlake.llm.common import ascii_words, materialize, scratch, texts_of
+from auctionlake.llm.common import ascii_words, fresh, materialize, scratch, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REPEAT_WINDOW = 8
@@ -19,6 +19,8 @@ REPEAT_WINDOW = 8
 WIDTH = 6.0
 #: ... where a deviation is never taken as less than this: characters per token and bits as shares of the median, the byte share absolutely.
 LEAST = {"chars_per_token": 0.02, "token_entropy": 0.02, "byte_share": 0.01}
+#: Limits come from so many different texts; a class with fewer also reads the nearest classes of its language, all of them if need be.
+MIN_TEXTS = 30
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 METRICS = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "n_tokens": T.LongType(), "chars_per_token": T.DoubleType(), "byte_share": T.DoubleType(), "token_entropy": T.DoubleType()}
@@ -108,13 +110,34 @@ def _length_class() -> Column:
     return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")
 
 
-def bands(measured: DataFrame, lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
+def _text_key(text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def _pooled(d: DataFrame) -> DataFrame:
+    """(pool_lang, from_class, band_class): the classes whose texts give a class its limits, the class itself always."""
+    counts = materialize(d.groupBy("band_lang", "band_class").agg(F.count("*").alias("n")), "counts")
+    other = counts.select(F.col("band_lang").alias("pool_lang"), F.col("band_class").alias("from_class"), F.col("n").alias("from_n"))
+    pairs = counts.join(other, counts.band_lang.eqNullSafe(other.pool_lang)).withColumn("far", F.abs(F.col("band_class") - F.col("from_class")))
+    nearer = Window.partitionBy("band_lang", "band_class").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+    pairs = pairs.withColumn("before", F.coalesce(F.sum("from_n").over(nearer), F.lit(0)))
+    return materialize(pairs.filter(F.col("before") < MIN_TEXTS).select("pool_lang", "from_class", "band_class"), "pools")
+
+
+def bands(measured: DataFrame, key_col: str, lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """Lower and upper limits of each figure by language (null is one) and length class.
 
-    Medians and median deviations over all documents that pass the base rules: figures of short texts
-    scatter more, so documents are compared with those of their own power of two of tokens.
+    Medians and median deviations over the different texts (``key_col``) that pass the base rules, so copies
+    have no more weight than one text. Figures of short texts scatter more, so documents are compared with
+    those of their own power of two of tokens, and of the nearest ones where these are too few.
     """
-    d = measured.filter(~base_failed() & (F.col("n_tokens") > 0)).select(F.col(lang_col).alias("band_lang"), _length_class().alias("band_class"), *LEAST)
+    passed = measured.filter(~base_failed() & (F.col("n_tokens") > 0))
+    one = passed.groupBy(F.col(lang_col).alias("band_lang"), _length_class().alias("band_class"), F.col(key_col).alias("key")).agg(*(F.first(c).alias(c) for c in LEAST))
+    one = materialize(one.drop("key"), "texts")
+    pools = _pooled(one).withColumnRenamed("band_class", "for_class")
+    d = one.join(pools, one.band_lang.eqNullSafe(pools.pool_lang) & (one.band_class == pools.from_class))
+    d = d.select("band_lang", F.col("for_class").alias("band_class"), *LEAST)
     keys = ["band_lang", "band_class"]
     middle = d.groupBy(*keys).agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in LEAST))
     middle = materialize(middle, "medians")
@@ -143,12 +166,17 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang") -> Dat
 def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
     """Counts, figures and verdict of each document, without its text. The figures are measured once and written."""
     columns = [id_col, lang_col, text_col]
-    measured = materialize(measure(df.select(*columns), text_col, vocabulary).drop(text_col), "measured")
-    return judge(measured, bands(measured, lang_col), lang_col)
+    source = df.select(*columns)
+    (key,) = fresh(source, "text_key")
+    measured = materialize(measure(source.withColumn(key, _text_key(text_col)), text_col, vocabulary).drop(text_col), "measured")
+    return judge(measured.drop(key), bands(measured, key, lang_col), lang_col)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of ``df`` that pass, with their own columns. Texts never shuffle: they are measured again beside the limits."""
     with scratch(df.sparkSession):
-        limits = bands(materialize(measure(df.select(text_col, lang_col), text_col, vocabulary).drop(text_col), "measured"), lang_col)
+        source = df.select(text_col, lang_col)
+        (key,) = fresh(source, "text_key")
+        measured = materialize(measure(source.withColumn(key, _text_key(text_col)), text_col, vocabulary).drop(text_col), "measured")
+        limits = bands(measured, key, lang_col)
     return judge(measure(df, text_col, vocabulary), limits, lang_col).filter("kept").select(*df.columns)

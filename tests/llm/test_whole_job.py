@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from test_dedup import brute_components
 
-from auctionlake.llm import html_extract, sharding
+from auctionlake.llm import html_extract, quality_rules, sharding
 
 
 def scattered(seed: int, length: int, edits: int, groups: int):
@@ -49,6 +49,20 @@ def test_sharding_exchanges_nodes_of_several_groups(spark):
     assert sharding._allowed({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 1, 0], True) == [0, 4, 0, 3, 0, 0, 0, 0, 0]
 
 
+def test_copies_of_junk_do_not_set_the_limits(spark):
+    rng = random.Random(3)
+    words = "the of and to in is that for it was on are with they be at this have from or had by word but what some we can out other were all there when up use your how said an each she".split()
+    clean = [" ".join(rng.choice(words) for _ in range(rng.randint(130, 230))) for _ in range(60)]
+    alone = " ".join(rng.choice(words) for _ in range(3000))  # the only clean text of its length, beside two copies of junk
+    junk, long_junk = (" ".join("".join(rng.choice("#*$%&|qxzjkvw0189") for _ in range(9)) for _ in range(n)) for n in (30, 600))
+    rows = [*((k, t) for k, t in enumerate(clean)), *((1000 + k, junk) for k in range(200)), (2000, alone), (3000, long_junk), (3001, long_junk)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string")
+    judged = quality_rules.apply_rules(docs).collect()
+    kept = {r.doc_id for r in judged if r.kept}
+    assert kept == {*range(60), 2000}
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == kept
+
+
 def test_recurring_block_inside_the_main_element_goes(spark):
     page = '<body><article><h1>Title {0}</h1><div class="x7f3">Buy our <b>gold</b> plan<p>Only today</p></div><p>Story {0} is told.</p></article></body>'
     rows = [(k, "http://a.com/x", page.format(k)) for k in range(6)]
