@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import UPPER_TO_LOWER, binary, bitmap, connected_components, in_bitmap, materialize, return_freed_memory, scratch, shared_keys, texts_of
+from auctionlake.llm.common import UPPER_TO_LOWER, binary, bitmap, connected_components, fresh, in_bitmap, materialize, return_freed_memory, scratch, shared_keys, texts_of
 
 #: Shingles are ordered by two tables of fixed size (any order is correct; a truer one makes fewer candidates):
 #: counts of words by 2**17 buckets, and counts of shingles that stand out in 2**20 buckets.
@@ -355,6 +355,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
         return sets, materialize(linked.unionByName(more), "links", keep=True)
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(id, size, text_key, component_id) of each row; rows without shingles have no text key."""
+    sets, found = links(docs, id_col, text_col, n, percent)
+    lows = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"))
+    parts = connected_components(found).select(F.col("node").alias("n_"), "component")
+    placed = lows.join(parts, lows.node == parts.n_, "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_node = placed.join(least, "component").select(F.col("node").alias("n_"), "component_id")
+    return sets.join(by_node, sets.node == by_node.n_, "left").select("id", "size", "text_key", F.coalesce("component_id", "id").alias("component_id"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id): documents whose shingle sets have Jaccard similarity ``percent`` or more, directly or through others.
 
@@ -363,20 +374,34 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts are one component; repeated rows give a row each with the same component; the component id is
     its smallest id (null ids count last). Empty tables give no rows; other columns are not read.
     """
-    sets, found = links(docs, id_col, text_col, n, percent)
-    lows = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"))
-    parts = connected_components(found).select(F.col("node").alias("n_"), "component")
-    placed = lows.join(parts, lows.node == parts.n_, "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_node = placed.join(least, "component").select(F.col("node").alias("n_"), "component_id")
-    return sets.join(by_node, sets.node == by_node.n_, "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    placed = _placed(docs, id_col, text_col, n, percent)
+    return placed.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest: one document of each group stays.
 
-    Repeated rows with that id all stay, as do rows with a null id.
+    Repeated rows with that id all stay, as do rows with a null id. Where an id repeats with different texts,
+    each row goes or stays by its own text.
     """
-    found = components(docs, id_col, text_col, n, percent)
-    others = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(materialize(others, "others"), id_col, "left_anti").select(*docs.columns)
+    found = materialize(_placed(docs, id_col, text_col, n, percent), "placed")
+    others = materialize(found.filter("id <> component_id").select("id", "text_key").distinct(), "others")
+    # Ids with a row that stays too: only for these do texts decide.
+    stay = found.filter("id = component_id").select("id").distinct()
+    several = materialize(others.join(stay, "id", "left_semi").select("id").distinct(), "several")
+    whole = others.join(several, "id", "left_anti").select(F.col("id").alias(id_col)).distinct()
+    left = docs.join(materialize(whole, "whole"), id_col, "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return left
+    place, (key,) = docs.columns.index(text_col), fresh(docs, "text_key")
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, binary([_text_key(t) for t in texts_of(batch.column(place))])], [*batch.schema.names, key])
+
+    gone = others.join(several, "id", "left_semi").select(F.col("id").alias(id_col), F.col("text_key").alias(key))
+    repeated = several.select(F.col("id").alias(id_col))
+    mixed = left.join(repeated, id_col, "left_semi").select(*docs.columns).mapInArrow(keyed, schema)
+    mixed = mixed.join(materialize(gone, "gone"), [id_col, key], "left_anti").select(*docs.columns)
+    return left.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(mixed)

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from test_dedup import brute_components
 
-from auctionlake.llm import html_extract, quality_rules, sharding
+from auctionlake.llm import html_extract, jaccard_join, quality_rules, sharding
 
 
 def scattered(seed: int, length: int, edits: int, groups: int):
@@ -72,3 +72,10 @@ def test_recurring_block_inside_the_main_element_goes(spark):
     assert all(got[at + k] == f"Title {k}\nStory {k} is told." for at in (0, 100) for k in range(6))
     assert all(got[100 + k] == f"Other story {k}" for k in range(6, 200))
     assert {got[500 + k] for k in range(8)} == {"Title same\nBuy our gold plan\nOnly today\nStory same is told."}
+
+
+def test_a_repeated_id_keeps_its_other_text(spark):
+    a, b, c = "one two three four five", "other words that stand nowhere else", "some more words in a row"
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (11, c), (11, None), (None, a)]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(3, a), (7, b), (9, c), (9, c), (11, None), (None, a)]))
