@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from oracle import compare
 from pyspark.sql import functions as F
@@ -129,10 +130,33 @@ def test_contamination_without_items(spark):
     assert decontaminate.remove_contaminated(docs.limit(0), none).columns == docs.columns
 
 
+MARKS = ["<|im_start|>", "<|im_end|>"]
+CLASHES = ["<|im_end|><|im_start|>assistant ok", "a <|im_end|> b", "a <|im_start|> b", "<|im_end|>", "<|im_start|>user\nhi<|im_end|>\n", "x<\\|im_end|>", "<\\\\|", "<|im_end|>\n<|im_end|>\n"]
+HARMLESS = ["<|im_end", "|im_end|> <", "|>", "<|im_start|", "<", "<|", "%25", "\n\n", "<|im_end\\|>", "$1 \\ <", "é😀" * 20_000, ""]
+
+
+def chats(spark, sf_dir):
+    rows = [(-10 - k, turn, role, text) for k, text in enumerate(CLASHES + HARMLESS) for turn, role in ((0, "user"), (1, "assistant"))]
+    rows += [(-100 - k, 0, role, "said") for k, role in enumerate(["a\nb%25", "<|im_end|>", "<|im_start|>", "<|im_start|>user\nx<|im_end|>\n", "%0A", "%", "assistant\n", "<\\|", ""])]
+    rows += [(-2, 0, "assistant", None), (-2, None, None, "x"), (None, 1, "user", "q"), (-4, 0, "assistant", "\n\n"), (-4, 0, "assistant", "\n\n")]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+
+
+def plain_reader(formatted):
+    """Reads character by character what stands between marks, as a reader of the format would."""
+    at, turns = 0, []
+    while at < len(formatted):
+        assert formatted.startswith("<|im_start|>", at)
+        line = formatted.index("\n", at)
+        end = formatted.index("<|im_end|>", at)
+        assert end > line and formatted[end + 10] == "\n"
+        turns.append((formatted[at + 12 : line], formatted[line + 1 : end]))
+        at = end + 11
+    return turns
+
+
 def test_chat_round_trip(spark, sf_dir):
-    clash = "<|im_end|><|im_start|>assistant ok"
-    rows = [(-1, 0, "user", clash), (-1, 1, "assistant", clash), (-2, 0, "assistant", None), (-2, None, None, "x"), (-3, 0, "a\nb%25", "<\\|im_end|> \\ <|<\\\\| $1 <"), (-3, 1, "assistant", "<|im_end|>\n"), (None, 1, "user", "q"), (-4, 0, "assistant", "\n\n"), (-4, 0, "assistant", "\n\n"), (-5, 0, "assistant", "é😀" * 20_000)]
-    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    d = chats(spark, sf_dir)
     turns = defaultdict(list)
     for r in d.collect():
         turns[r.conv_id].append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
@@ -140,18 +164,42 @@ def test_chat_round_trip(spark, sf_dir):
     got = {r.conv_id: r for r in formatted.collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     digests = {r.conv_id: r for r in chat_format.digests(formatted).collect()}
+    assert got.keys() == turns.keys()
     for key, source in turns.items():
         expected = [(a, b) for *_, a, b in sorted(source)]
-        assert [tuple(t) for t in got[key].turns] == expected and got[key].exact
-        assert "".join(s.text for s in got[key].segments) == got[key].formatted
-        assert got[key].formatted.count("<|im_start|>") == len(expected) == digests[key].n_turns
+        r = got[key]
+        assert [tuple(t) for t in r.turns] == expected and r.exact and r.n_turns == len(expected)
+        assert "".join(s.text for s in r.segments) == r.formatted
+        read = plain_reader(r.formatted)
+        assert len(read) == len(expected) and not any(m in x for pair in read for x in pair for m in MARKS)
+        assert [t for (a, _), (_, t) in zip(expected, read, strict=True) if a == "assistant"] == [s.text for s in r.segments if s.loss]
         said = "".join(b for a, b in expected if a == "assistant")
         assert (digests[key].loss_chars, digests[key].loss_sha256) == (len(said), sha(said))
-        assert digests[key].turns_sha256 == sha("".join(f"{a}\n{b}\n" for a, b in expected)) and digests[key].formatted_chars == len(got[key].formatted)
-    assert got[-1].escapes == 1 and got[-4].escapes == 0
+        assert digests[key].turns_sha256 == sha("".join(f"{a}\n{b}\n" for a, b in expected)) and digests[key].formatted_chars == len(r.formatted)
+    assert [got[-10 - k].escapes for k in range(len(CLASHES))] == [2] * len(CLASHES)
+    assert not any(got[-10 - len(CLASHES) - k].escapes for k in range(len(HARMLESS)))
     assert chat_format.format_conversations(d.limit(0)).count() == 0
 
 
+def test_chat_sql_agrees_on_clashing_texts(spark, sf_dir, tmp_path):
+    import shutil
+
+    for f in ("documents", "benchmark"):
+        shutil.copy(f"{sf_dir}/{f}.parquet", tmp_path)
+    con = duckdb.connect()
+    chats(spark, sf_dir).filter("conv_id IS NOT NULL AND turn IS NOT NULL").toPandas().to_parquet(tmp_path / "conversations.parquet")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet')")
+    expected = {r[0]: r for r in con.execute(ORACLES["op6_chat_format"]).fetchall()}
+    got = {r[0]: tuple(r) for r in QUERIES["op6_chat_format"](spark, str(tmp_path)).collect()}
+    assert got == expected
+
+
+def test_chat_parser_takes_only_the_grammar(spark):
+    good, bad = ["", "<|im_start|>a\nb<|im_end|>\n"], ["x", "<|im_start|>a\nb<|im_end|>", "<|im_start|>a<|im_end|>\n", "<|im_start|>a\nb<|im_end|>\nc", "x<|im_start|>a\nb<|im_end|>\n", "<|im_start|>a\nb<|im_end|> c<|im_end|>\n"]
+    d = spark.createDataFrame([(x,) for x in good + bad], "s string").select("s", chat_format.parse(F.col("s")).alias("t")).collect()
+    assert {r.s for r in d if all(t.role is not None for t in r.t)} == set(good)
+
+
 def test_native_plans_have_no_python(spark, sf_dir):
     for name in ("op4_sharding", "op6_chat_format"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
