@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +22,15 @@ from auctionlake.llm.common import bitmap, in_bitmap, materialize, texts_of
 MIN_PAGES = 5
 
 # Element names of HTML by their part on a page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video", "head"}
-FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "input", "label", "fieldset", "datalist", "option", *RAW}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
+EMBEDDED = {"svg", "math", "canvas", "object", "audio", "video", "head"}
+FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "input", "label", "fieldset", "datalist", "option", *RAW, *EMBEDDED}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *FURNITURE}
 #: A new one ends an open one of the same kind (the end tag may be left out).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ENDS_P = BLOCKS - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "title", "style", "script", "noscript", "template", "button", "select", "input", "label", "option", "datalist", "textarea", "iframe", "svg", "math", "canvas", "object", "audio", "video"}
+ENDS_P = BLOCKS - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "button", "select", "input", "label", "option", "datalist", *RAW, *EMBEDDED}
+CONTAINERS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "td", "th"}
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side-bar|"
     r"menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|toolbar|share|sharing|social|related|recommend\w*|comments?|comment-list|"
@@ -34,7 +38,9 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
+#: Inside a main element these alone, without attributes, are prose: an article may say a sentence that others of its site say too.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "li", "blockquote", "pre", "dt", "dd", "td", "th", "tr", "caption", "figcaption"}
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'){0,2000})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -56,19 +62,41 @@ def _is_furniture(tag: str, attributes: str, inside_main: bool) -> bool:
 
 
 class _Open:
-    __slots__ = ("tag", "furniture", "main", "texts", "parts")
+    __slots__ = ("tag", "furniture", "main", "prose", "first")
 
-    def __init__(self, tag: str, furniture: bool, main: bool):
-        self.tag, self.furniture, self.main = tag, furniture, main
-        self.texts: list[str] = []  # what the subtree's hash covers
-        self.parts: list[int] = []  # the blocks in it
+    def __init__(self, tag: str, furniture: bool, main: bool, prose: bool, first: int):
+        self.tag, self.furniture, self.main, self.prose = tag, furniture, main, prose
+        self.first = first  # the first block that may be in it
 
 
-def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, list[int], bool]]]:
-    """Blocks (text, furniture, in the main element) in page order, and subtrees (hash, block numbers, inside the main element)."""
-    stack = [_Open("", False, False)]
+class _Ranges:
+    """Hashes of runs of blocks from running sums, so that one costs the same whatever the run's length."""
+
+    MODULUS, BASE = (1 << 89) - 1, 0x1D8AF066C3E5B1D7
+
+    def __init__(self):
+        self.sums, self.powers = [0], [1]
+
+    def add(self, text: str) -> None:
+        h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+        self.sums.append((self.sums[-1] * self.BASE + h + 1) % self.MODULUS)
+        self.powers.append(self.powers[-1] * self.BASE % self.MODULUS)
+
+    def digest(self, start: int, stop: int) -> int:
+        return (self.sums[stop] - self.sums[start] * self.powers[stop - start]) % self.MODULUS
+
+
+def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int, bool, bool]]]:
+    """Blocks (text, furniture, in the main element) in page order, and subtrees (hash, first block, stop, inside the main element, prose).
+
+    Time and memory grow with the page's length, however its elements are nested: a subtree is a range of
+    blocks, and of inline elements only furniture and what stands in it is followed.
+    """
+    stack = [_Open("", False, False, False, 0)]
+    opened: Counter[str] = Counter()
     blocks: list[tuple[str, bool, bool]] = []
-    subtrees: list[tuple[int, list[int], bool]] = []
+    ranges = _Ranges()
+    subtrees: list[tuple[int, int, int, bool, bool]] = []
     pending: list[str] = []
 
     def end_block() -> None:
@@ -76,17 +104,26 @@ def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int
             text = _SPACE.sub(" ", entities.unescape("".join(pending))).strip()
             pending.clear()
             if text:
-                top = stack[-1]
-                for e in stack[1:]:
-                    e.texts.append(text)
-                    e.parts.append(len(blocks))
-                blocks.append((text, top.furniture, top.main))
+                blocks.append((text, stack[-1].furniture, stack[-1].main))
+                ranges.add(text)
 
     def close(to: int) -> None:
         while len(stack) > to:
             e = stack.pop()
-            if e.parts and e.tag in BLOCKS:
-                subtrees.append((xxhash.xxh3_64_intdigest(f"{e.tag}\0" + "\0".join(e.texts)) - (1 << 63), e.parts, stack[-1].main))
+            opened[e.tag] -= 1
+            if len(blocks) > e.first and e.tag in BLOCKS:
+                h = xxhash.xxh3_64_intdigest(f"{e.tag} {len(blocks) - e.first} {ranges.digest(e.first, len(blocks))}") - (1 << 63)
+                subtrees.append((h, e.first, len(blocks), stack[-1].main, e.prose))
+
+    def close_to(wanted: set[str], until: set[str]) -> None:
+        """Closes the innermost open element of ``wanted``, unless one of ``until`` stands before it."""
+        if any(opened[t] for t in wanted):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in wanted:
+                    return close(k)
+                if stack[k].tag in until:
+                    return None
+        return None
 
     at = 0
     while at < len(source):
@@ -103,32 +140,28 @@ def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int
         if m[1] or m[4]:  # an end tag
             if tag in BLOCKS:
                 end_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            close_to({tag}, set())
             continue
         if tag in BLOCKS:
             end_block()
-        if tag in RAW and tag != "head":  # its content is no markup
+        attributes = m[3] or m[6] or ""
+        if tag in RAW:  # its content is no markup
             over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = over.end() if over else len(source)
             continue
-        if tag in VOID:
-            continue
-        if tag in CLOSES or tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES.get(tag, ()) or stack[k].tag == "p" and tag in ENDS_P:
-                    close(k)
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "td", "th"):
-                    break
-        attributes = m[3] or m[6] or ""
-        if attributes.rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in VOID or attributes.rstrip().endswith("/") and (tag not in BLOCKS or tag in ("svg", "math")):
             continue
+        if stack[-1].tag == "head" and tag in BLOCKS:
+            close(len(stack) - 1)
+        closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
+        if closes:
+            close_to(closes, CONTAINERS)
         parent = stack[-1]
         main = parent.main or tag in ("article", "main") and not parent.furniture
-        stack.append(_Open(tag, parent.furniture or _is_furniture(tag, attributes, parent.main), main))
+        furniture = parent.furniture or _is_furniture(tag, attributes, parent.main)
+        if tag in BLOCKS or furniture:
+            stack.append(_Open(tag, furniture, main, tag in PROSE and not attributes.strip(), len(blocks)))
+            opened[tag] += 1
     end_block()
     close(1)
     return blocks, subtrees
@@ -138,14 +171,16 @@ def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
     """One row for each page: its blocks outside furniture, and the subtrees that count towards its host's template.
 
     Where a page has an article or main element, that is its main text: the element itself and what it
-    stands in are never a template. Furniture is recognised by elements and names. All other subtrees, those
-    inside the main element too, are left to the counts; their hashes hold the host.
+    stands in are never a template. Furniture is recognised by elements and names. All other subtrees are left
+    to the counts; their hashes hold the host. Inside the main element bare prose (paragraphs, headings, list
+    items without attributes) is the article's own, however often its words recur; what is put in there by a
+    site stands in an element of its own (div, section, table, or any with a class), and these are counted.
     """
     ids = T.StructType([pages.schema[id_col], pages.schema[url_col]])
     schema = T.StructType([
         T.StructField("id", ids[0].dataType), T.StructField("url", ids[1].dataType), T.StructField("host", T.StringType()), T.StructField("content", T.LongType()),
         T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("seen", T.ArrayType(T.LongType())),
-        T.StructField("doubtful", T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("block", T.IntegerType())]))),
+        T.StructField("doubtful", T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("stop", T.IntegerType())]))),
     ])
     arrow = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
     host_of = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
@@ -158,17 +193,20 @@ def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
                 hosts.append(m[1].rpartition("@")[2].lower() if m else "")
                 blocks, subtrees = read_page(source)
                 has_main = any(main and not furniture for _, furniture, main in blocks)
-                place = {}
-                for k, (_, furniture, main) in enumerate(blocks):
-                    if not furniture and (main or not has_main):
-                        place[k] = len(place)
-                texts = [blocks[k][0] for k in place]
+                keep = [not furniture and (main or not has_main) for _, furniture, main in blocks]
+                place = [0, *itertools.accumulate(map(int, keep))]  # kept blocks before each block
+                main_before = [0, *itertools.accumulate(int(main) for *_, main in blocks)]
+                texts = [b[0] for b, k in zip(blocks, keep, strict=True) if k]
                 kept.append(texts)
                 contents.append(xxhash.xxh3_64_intdigest("\0".join(texts)) - (1 << 63))
-                counted = [(h, [place[k] for k in parts if k in place]) for h, parts, inside in subtrees if inside or not (has_main and any(blocks[k][2] for k in parts))]
-                counted = [(xxhash.xxh3_64_intdigest(f"{hosts[-1]}\0{h}") - (1 << 63), parts) for h, parts in counted if parts]
-                seen.append(sorted({h for h, _ in counted}))
-                doubtful.append([{"hash": h, "block": k} for h, parts in counted for k in parts] or None)
+                counted = []
+                for h, first, stop, inside, prose in subtrees:
+                    if place[first] == place[stop] or (inside and prose):
+                        continue
+                    if inside or not (has_main and main_before[first] < main_before[stop]):
+                        counted.append((xxhash.xxh3_64_intdigest(f"{hosts[-1]}\0{h}") - (1 << 63), place[first], place[stop]))
+                seen.append(sorted({h for h, *_ in counted}))
+                doubtful.append([{"hash": h, "first": a, "stop": b} for h, a, b in counted] or None)
             columns = [hosts, contents, kept, seen, doubtful]
             rest = [pa.array(c, f.type) for c, f in zip(columns, arrow[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], [f.name for f in arrow])
@@ -195,6 +233,19 @@ def _suspects(read: DataFrame, common: DataFrame) -> DataFrame:
     return read.mapInArrow(run, T.StructType([*read.schema.fields, T.StructField("suspect", T.BooleanType())]))
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes the blocks of the ranges in ``gone`` (sorted) out of (id, url, blocks, gone)."""
+    for batch in batches:
+        left = []
+        for blocks, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            kept, at = [], 0
+            for r in gone or []:
+                kept += blocks[at : r["first"]]
+                at = max(at, r["stop"])
+            left.append(kept + blocks[at:])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.list_(pa.string()))], batch.schema.names[:3])
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of each page: its main blocks in order, joined by line feeds.
 
@@ -207,11 +258,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     marked = _suspects(read, common)
     plain = marked.filter("NOT suspect").select("id", "url", "blocks")
     doubt = materialize(marked.filter("suspect").drop("suspect"), "suspects")
-    each = doubt.select("row", F.explode("doubtful").alias("d")).select("row", "d.hash", "d.block")
+    each = doubt.select("row", F.explode("doubtful").alias("d")).select("row", "d.hash", "d.first", "d.stop")
     hits = each.join(common, "hash", "left_semi")
-    gone = hits.groupBy("row").agg(F.collect_set("block").alias("gone")).withColumnRenamed("row", "r_")
-    cleaned = doubt.join(gone, doubt.row == gone.r_, "left")
-    index = F.transform("blocks", lambda b, k: F.when(F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k), F.lit(None)).otherwise(b))
-    cleaned = cleaned.select("id", "url", F.array_compact(index).alias("blocks"))
+    gone = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "stop"))).alias("gone")).withColumnRenamed("row", "r_")
+    cleaned = doubt.join(gone, doubt.row == gone.r_, "left").select("id", "url", "blocks", "gone").mapInArrow(_cut, T.StructType(plain.schema.fields))
     text = F.array_join("blocks", "\n")
     return plain.unionByName(cleaned).select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -206,10 +206,11 @@ def test_native_plans_have_no_python(spark, sf_dir):
         assert not re.search("Python|Pandas|Arrow", plan), name
 
 
-def test_page_text(spark, sf_dir):
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_page_text(spark, data):
     import html
 
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, data, "pages")
     expected = {}
     for r in pages.collect():
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
@@ -237,6 +238,24 @@ def test_site_templates_and_furniture(spark):
     assert html_extract.extract_text(d.limit(0)).count() == 0
 
 
+def test_counts_decide_what_names_do_not(spark):
+    page = '<head><title>t</title><body><article><h1>Title {0}</h1><div class="k9">Buy our <b>gold</b> plan</div><p>Story {0}.</p><p>Said everywhere.</p><svg><g><svg><text>no</text></svg></g>x</svg></article>'
+    rows = [(k, f"http://a.com/{k}", page.format(k)) for k in range(6)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = lambda **o: {r.page_id: r.text for r in html_extract.extract_text(d, **o).collect()}
+    assert text() == {k: f"Title {k}\nStory {k}.\nSaid everywhere." for k in range(6)}
+    assert text(min_pages=1000) == {k: f"Title {k}\nBuy our gold plan\nStory {k}.\nSaid everywhere." for k in range(6)}
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<div>x", "<p><i>x", "<li><b>x</p>", "<span class=ad>x", "<blockquote><li>x</i>", "<h1>x</h2><td>", "<div>x</section>"])
+def test_a_long_page_of_unclosed_elements(unit):
+    import time
+
+    began = time.time()
+    blocks, subtrees = html_extract.read_page(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 5 and blocks and len(subtrees) <= 1_000_000
+
+
 def test_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hot = [(100_000 + k, "same") for k in range(90)] + [(200_000 + k, f"pair {k // 2}") for k in range(60)] + [(-1, None), (-2, None), (None, ""), (-3, "")]
