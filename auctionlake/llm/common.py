@@ -1,17 +1,19 @@
 """Helpers shared by the training-data operators.
 
-Only three things ever leave the executors: counts, tables whose size is fixed
-by a parameter, and fixed-width bitmaps.
+Only three things ever leave the executors: counts, tables whose size a
+parameter fixes, and bitmaps of bounded size.
 """
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +47,50 @@ def shared_dir(spark: SparkSession) -> str:
 _open = threading.local()
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that this application has materialized; results not yet read are lost. Done at its end anyway."""
+    _delete(spark, _own_dir(spark))
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        release(spark)
+
+
+@lru_cache(1)
+def _release_at_exit(spark: SparkSession, application: str) -> None:
+    atexit.register(_at_exit, spark)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    _release_at_exit(spark, application)
+    return f"{shared_dir(spark)}/tables-{application}"
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialized inside are deleted at the end, but for those to be kept, which by then have read the others."""
     folders = _open.__dict__.setdefault("folders", [])
-    folders.append(f"{folders[-1] if folders else shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    folders.append(f"{folders[-1] if folders else _own_dir(spark)}/scratch-{uuid.uuid4().hex}")
     try:
         yield
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folders.pop())
 
 
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and rows are fixed.
 
     A lost executor then costs a re-read, never a recomputation that could deal rows out differently.
-    With ``keep`` it outlives the innermost ``scratch``.
+    With ``keep`` it outlives the innermost ``scratch``; outside any it lasts until the application ends.
     """
-    folders = [shared_dir(df.sparkSession), *_open.__dict__.get("folders", [])]
+    folders = [_own_dir(df.sparkSession), *_open.__dict__.get("folders", [])]
     path = f"{folders[max(0, len(folders) - 1 - keep)]}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -202,29 +229,59 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- a fixed-width bitmap to thin rows before a shuffle ----------------------------------------
 
-BITMAP_WORDS = 1 << 17
+#: A bitmap has eight bits for each hash, within these bounds: 1 MB to 8 MB. Beyond, it thins less and the join does more.
+BITMAP_LEAST, BITMAP_MOST = 1 << 17, 1 << 20
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**23 bits (1 MB, whatever the input) with the low bits of a long column set.
+    """A bitmap, 8 MB at most whatever the input, with the low bits of a long column set.
 
     Rows whose bit is clear cannot have a partner; the join that follows decides about the others.
+    ``hashes`` is read twice: once to be counted.
     """
-    h = F.col(column)
+    size = BITMAP_LEAST
+    rows = hashes.count()
+    while size < BITMAP_MOST and 64 * size < 8 * rows:
+        size *= 2
+    bits = size.bit_length() - 1
     words = (
-        hashes.select(h.bitwiseAND(BITMAP_WORDS - 1).alias("word"), F.expr(f"shiftleft(1L, cast((shiftright({column}, 17) & 63) as int))").alias("bit"))
+        hashes.select(F.col(column).bitwiseAND(size - 1).alias("word"), F.expr(f"shiftleft(1L, cast((shiftright({column}, {bits}) & 63) as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
-        .collect()
+        .toArrow()
     )
-    out = np.zeros(BITMAP_WORDS, np.uint64)
-    for r in words:
-        out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    out = np.zeros(size, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     h = hashes.astype(np.int64)
-    return (bits[h & (BITMAP_WORDS - 1)] >> ((h >> 17) & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return (bits[h & (len(bits) - 1)] >> ((h >> (len(bits).bit_length() - 1)) & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+# --- joins on keys of which one may hold a third of all rows -------------------------------------
+
+#: A key with more than this share of all rows is a hot one. There can be no more than SHARE of them.
+SHARE = 1000
+
+
+def hot_keys(counted: DataFrame, n_col: str, total: int, least: int = 2000) -> DataFrame:
+    """The rows of ``counted`` (one for each key) whose ``n_col`` is above ``total / SHARE``: fewer than SHARE, so they may be broadcast."""
+    return counted.filter((F.col(n_col) * SHARE > total) & (F.col(n_col) > least))
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, which has one row for each key and the key's number of rows in ``n_col``.
+
+    Hot keys meet their rows where these are (fewer than SHARE rows are broadcast); all others are joined by
+    a shuffle in which no key holds more than a thousandth of the rows. ``n_col`` is dropped.
+    """
+    hot = materialize(hot_keys(counted, n_col, total).drop(n_col), "hot")
+    if hot.isEmpty():
+        return rows.join(counted.drop(n_col), key)
+    cold = counted.join(F.broadcast(hot.select(key)), key, "left_anti").drop(n_col)
+    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(usual)
 
 
 # --- connected components -----------------------------------------------------------------------

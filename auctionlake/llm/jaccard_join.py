@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import UPPER_TO_LOWER, binary, bitmap, connected_components, fresh, in_bitmap, materialize, return_freed_memory, scratch, shared_keys, texts_of
+from auctionlake.llm.common import SHARE, UPPER_TO_LOWER, binary, bitmap, connected_components, fresh, hot_keys, in_bitmap, join_counted, materialize, return_freed_memory, scratch, shared_keys, texts_of
 
 #: Shingles are ordered by two tables of fixed size (any order is correct; a truer one makes fewer candidates):
 #: counts of words by 2**17 buckets, and counts of shingles that stand out in 2**20 buckets.
 WORD_BITS, SHINGLE_BITS = 17, 20
+#: Above every sum of word weights.
+STANDS_OUT = 1 << 50
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -40,12 +42,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _weights(n: int) -> np.ndarray:
-    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _B)
-
-
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _A)
-_PLACE = _weights(1024)
+_PLACE = _mix(np.arange(1, LONG_WORD + 1, dtype=np.uint64) * _B)
 
 
 def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -56,17 +56,19 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, lengths = turns[::2], turns[1::2] - turns[::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    longest = int(lengths.max())
-    weights = _PLACE if longest <= len(_PLACE) else _weights(longest)
+    short = np.where(lengths <= LONG_WORD, lengths, 0)
+    longest = int(short.max())
     h = np.zeros(len(starts), np.uint64)
-    order = np.argsort(-lengths, kind="stable")  # longest first: those that have a k-th byte are the first so many
-    at, having = starts[order], np.bincount(lengths)[::-1].cumsum()[::-1]
+    order = np.argsort(-short, kind="stable")  # longest first: those that have a k-th byte are the first so many
+    at, having = starts[order], np.bincount(short)[::-1].cumsum()[::-1]
     with np.errstate(over="ignore"):
         for k in range(longest):
             n = having[k + 1]
-            h[:n] += _BYTE[a[at[:n] + k]] * weights[k]
+            h[:n] += _BYTE[a[at[:n] + k]] * _PLACE[k]
         out = np.empty_like(h)
         out[order] = h
+        for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + lengths[k]])
         return _mix(out + lengths.astype(np.uint64) * _A), starts
 
 
@@ -82,8 +84,8 @@ def _chain(h: np.ndarray, size: int) -> np.ndarray:
 class Shingles:
     """Distinct shingles of texts as sorted 64-bit hashes, many texts at a time.
 
-    With ``word_weights`` (by word bucket) each text also gets the sum of its shingles' word weights; with
-    ``count_words`` words are counted by bucket in ``word_counts``.
+    With ``word_weights`` (integers by word bucket) each text also gets its shingles' sums of word weights,
+    which depend on the shingle alone; with ``count_words`` words are counted by bucket in ``word_counts``.
     """
 
     def __init__(self, n: int, word_weights: np.ndarray | None = None, count_words: bool = False):
@@ -112,7 +114,7 @@ class Shingles:
         bucket = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         if self.word_counts is not None:
             self.word_counts += np.bincount(bucket, minlength=1 << WORD_BITS)
-        total = np.concatenate([[0.0], np.cumsum(self.weights[bucket])]) if self.weights is not None else None
+        total = np.concatenate([[0], np.cumsum(self.weights[bucket])]) if self.weights is not None else None
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             size = min(self.n, high - low)
             part = shingles[low : high - self.n + 1] if high - low >= self.n else _chain(h[low:high], size) if size else np.zeros(0, np.uint64)
@@ -121,7 +123,7 @@ class Shingles:
                 yield part[np.concatenate([[True], part[1:] != part[:-1]])] if len(part) else part
             else:
                 part, first = np.unique(part, return_index=True)
-                yield part, (total[low + size : high + 1] - total[low : high + 1 - size])[first].round(6)
+                yield part, (total[low + size : high + 1] - total[low : high + 1 - size])[first]
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -169,17 +171,18 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFr
 
 
 def _order(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Word weights and shingle counts; both tables have a fixed length, whatever the input."""
+    """Word weights and shingle counts, as integers; both tables have a fixed length, whatever the input."""
     out = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
     for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
-    return np.log2(out[: 1 << WORD_BITS] + 1.0), out[1 << WORD_BITS :].astype(np.float32)
+    return np.rint(np.log2(out[: 1 << WORD_BITS] + 1.0) * (1 << 20)).astype(np.int64), out[1 << WORD_BITS :]
 
 
 def _prefixes(docs: DataFrame, text_col: str, n: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, node, tag) of prefix shingles; tag holds position and set size. Copies within a task are posted once.
 
-    Rare first: by the product of the words' frequencies, shingles that stand out last and by their count.
+    Rare first: by the product of the words' frequencies, shingles that stand out last and by their count, equal
+    ones by hash. All are integers that a shingle alone decides, so the order is the same in every text.
     """
     tables = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -194,7 +197,7 @@ def _prefixes(docs: DataFrame, text_col: str, n: int, percent: int, order: tuple
                 seen.add(node)
                 length = len(s) - -(-percent * len(s) // 100) + 1
                 often = common[_buckets(s)]
-                rarity = np.where(often > 0, 1e6 + often, rarity)
+                rarity = np.where(often > 0, STANDS_OUT + often, rarity)
                 if length < len(s):
                     rare = np.argpartition(rarity, length - 1)
                     cut = rarity[rare[length - 1]]
@@ -276,7 +279,10 @@ def _fetch(docs: DataFrame, text_col: str, n: int, wanted: DataFrame, sketches:
 
 
 def _verify(docs: DataFrame, text_col: str, n: int, percent: int, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: bounded by their sketches first, those left compared once by their texts."""
+    """The pairs (a, b) of ``pairs`` (a, b, centre) whose sets are similar: bounded by their sketches first, those left compared once by their texts.
+
+    Partners go to their centre, whose value is sent once for each part of its partners, not for each pair.
+    """
 
     def compare(asked: DataFrame, sketches: bool, rule) -> DataFrame:
         nodes = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).distinct()
@@ -287,23 +293,30 @@ def _verify(docs: DataFrame, text_col: str, n: int, percent: int, sets: DataFram
             check = rule()
             for batch in batches:
                 rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array([check(*r) for r in rows], pa.bool_()))
-
-        left = values.select(F.col("node").alias("a"), F.col("value").alias("value_a"))
-        right = values.select(F.col("node").alias("b"), F.col("value").alias("value_b"))
-        both = asked.join(left, "a").join(right, "b").select("a", "b", "value_a", "value_b")
-        return materialize(both.mapInArrow(run, "a binary, b binary"), "compared")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["partner", "centre"]).filter(pa.array([check(*r) for r in rows], pa.bool_()))
+
+        total = asked.count()
+        several = asked.groupBy("centre").agg(F.count("*").alias("n"))
+        parts = materialize(hot_keys(several, "n", total).select("centre", F.ceil(F.col("n") * SHARE / max(total, 1)).alias("parts")), "parts")
+        partner = F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        part = F.pmod(F.xxhash64("partner"), F.coalesce("parts", F.lit(1)))
+        dealt = asked.withColumn("partner", partner).join(F.broadcast(parts), "centre", "left").select("partner", "centre", part.alias("part"))
+        centres = values.join(dealt.select(F.col("centre").alias("node"), "part").distinct(), "node")
+        both = dealt.join(values.select(F.col("node").alias("partner"), F.col("value").alias("own")), "partner")
+        both = both.join(centres.select(F.col("node").alias("centre"), "part", F.col("value").alias("central")), ["centre", "part"]).select("partner", "centre", "own", "central")
+        held = both.mapInArrow(run, "partner binary, centre binary")
+        return materialize(held.select(F.least("partner", "centre").alias("a"), F.greatest("partner", "centre").alias("b"), "centre"), "compared")
 
     def remembering(reader, holds):
         def make():
             read = reader()
             held: dict[bytes, np.ndarray] = {}
 
-            def check(b: bytes, value_a: bytes, value_b: bytes) -> bool:
-                if b not in held:
+            def check(centre: bytes, own: bytes, central: bytes) -> bool:
+                if centre not in held:
                     held.clear()
-                    held[b] = read(value_b)
-                return holds(read(value_a), held[b], percent)
+                    held[centre] = read(central)
+                return holds(read(own), held[centre], percent)
 
             return check
 
@@ -313,8 +326,28 @@ def _verify(docs: DataFrame, text_col: str, n: int, percent: int, sets: DataFram
         shingles = Shingles(n)
         return lambda value: shingles(value.decode("utf-8", "surrogatepass"))
 
-    bounded = compare(pairs.select("a", "b"), True, remembering(lambda: _opened, suffix_bound))
-    return bounded if bounded.isEmpty() else compare(bounded, False, remembering(reading_texts, similar))
+    bounded = compare(pairs, True, remembering(lambda: _opened, suffix_bound))
+    return (bounded if bounded.isEmpty() else compare(bounded, False, remembering(reading_texts, similar))).select("a", "b")
+
+
+#: Postings of one key that are compared with each other in one place.
+CELL = 1000
+
+
+def _across(known: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of different parts that share a key and may be similar, from postings (key, node, pos, size, part).
+
+    A key of many postings is cut into blocks; each pair of blocks meets in a place of its own, so that no
+    task holds a whole key.
+    """
+    counts = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    mixed = known.join(counts.select("key", F.ceil(F.col("n") / cell).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    mixed = materialize(mixed.withColumn("cell", F.explode(cells)).select("key", "node", "pos", "size", "part", "block", "cell.i", "cell.j"), "mixed")
+    sides = [mixed.select("key", "i", "j", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "pos", "size", "part", "block"))) for side in "xy"]
+    met = sides[0].join(sides[1], ["key", "i", "j"])
+    here = (F.least("x_block", "y_block") == F.col("i")) & (F.greatest("x_block", "y_block") == F.col("j"))
+    return met.filter(here & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & _may_link("x", "y", percent)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -335,20 +368,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
         centre = p.groupBy("key").agg(F.min(F.struct("pos", "node", "size")).alias("y"))
         star = q.join(centre.select("key", F.col("y.node").alias("y_node"), F.col("y.pos").alias("y_pos"), F.col("y.size").alias("y_size")), "key")
         star = star.filter((F.col("x_node") != F.col("y_node")) & _may_link("x", "y", percent))
-        first = materialize(star.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
+        first = materialize(star.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.min("y_node").alias("centre")), "pairs")
         linked = materialize(_verify(docs, text_col, n, percent, sets, first), "links")
         parts = connected_components(linked)
 
         # Round 2: whatever is left between different components, pair by pair.
         of = parts.select(F.col("node").alias("n_"), "component")
         known = materialize(p.join(of, p.node == of.n_, "left").select("key", "node", "pos", "size", F.coalesce("component", "node").alias("part")), "parts")
-        mixed = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-        mixed = materialize(known.join(mixed, "key", "left_semi"), "mixed")
-        x = mixed.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "pos", "size", "part")))
-        y = mixed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "pos", "size", "part")))
-        rest = x.join(y, (x.key == y.key) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & _may_link("x", "y", percent))
-        second = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        second = materialize(second, "pairs")
+        second = materialize(_across(known, percent).join(first.select("a", "b"), ["a", "b"], "left_anti").withColumn("centre", F.col("b")), "pairs")
         if second.isEmpty():
             return sets, materialize(linked, "links", keep=True)
         more = _verify(docs, text_col, n, percent, sets, second)
@@ -357,13 +384,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """(id, size, text_key, component_id) of each row; rows without shingles have no text key."""
-    sets, found = links(docs, id_col, text_col, n, percent)
-    lows = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"))
-    parts = connected_components(found).select(F.col("node").alias("n_"), "component")
-    placed = lows.join(parts, lows.node == parts.n_, "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_node = placed.join(least, "component").select(F.col("node").alias("n_"), "component_id")
-    return sets.join(by_node, sets.node == by_node.n_, "left").select("id", "size", "text_key", F.coalesce("component_id", "id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        sets, found = links(docs, id_col, text_col, n, percent)
+        alike = materialize(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
+        parts = connected_components(found).select(F.col("node").alias("n_"), "component")
+        placed = alike.join(parts, alike.node == parts.n_, "left").select("node", "low", "n", F.coalesce("component", "node").alias("component"))
+        least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+        by_node = materialize(placed.join(least, "component").select("node", "component_id", "n"), "by_node")
+        with_set = join_counted(sets.filter("node IS NOT NULL"), by_node, "node", "n", sets.count())
+        none = sets.filter("node IS NULL").withColumn("component_id", F.col("id"))
+        both = with_set.select("id", "size", "text_key", "component_id").unionByName(none.select("id", "size", "text_key", "component_id"))
+        return materialize(both.withColumn("component_id", F.coalesce("component_id", "id")), "placed", keep=True)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -381,10 +412,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest: one document of each group stays.
 
-    Repeated rows with that id all stay, as do rows with a null id. Where an id repeats with different texts,
-    each row goes or stays by its own text.
+    Repeated rows with that id all stay, as do rows with a null id, null, empty and wordless texts. Where an id
+    repeats with different texts, each row goes or stays by its own text. Ties cannot occur: of equal texts the
+    smallest id stays. Empty tables give no rows; all columns stay as they are, whatever their names.
     """
-    found = materialize(_placed(docs, id_col, text_col, n, percent), "placed")
+    found = _placed(docs, id_col, text_col, n, percent)
     others = materialize(found.filter("id <> component_id").select("id", "text_key").distinct(), "others")
     # Ids with a row that stays too: only for these do texts decide.
     stay = found.filter("id = component_id").select("id").distinct()

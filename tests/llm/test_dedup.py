@@ -73,6 +73,57 @@ def test_jaccard_empty_and_kept(spark):
     assert sorted(r.node for r in jaccard_join.keep_one(d).collect()) == ["n", "y", "z"]
 
 
+def test_jaccard_order_depends_on_the_shingle_alone():
+    """A text and a copy of its end, far along a long slice: equal shingles have equal rarity."""
+    rng = np.random.default_rng(4)
+    weights = np.rint(np.log2(rng.integers(1, 10**9, 1 << jaccard_join.WORD_BITS)) * (1 << 20)).astype(np.int64)
+    words = [f"v{k}" for k in rng.zipf(1.3, 300_000) % 50_000]
+    long, end = " ".join(words), " ".join(words[-20_000:])
+    found = list(jaccard_join.Shingles(3, weights).each([long, end, "x y", end, long]))
+    rarity = dict(zip(found[0][0].tolist(), found[0][1].tolist(), strict=True))
+    assert all(rarity[s] == r for f in (found[1], found[3], found[4]) for s, r in zip(f[0].tolist(), f[1].tolist(), strict=True))
+
+
+def test_jaccard_finds_copies_of_a_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    words = [f"v{k}" for k in rng.integers(0, 200_000, 3_000_000)]
+    copy = list(words)
+    for k in range(0, len(copy), 100):
+        copy[k] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(words[:1_000_000])), (4, "w" * 1_000_000 + " a b"), (5, "w" * 1_000_000 + " a b"), (6, "w" * 999_999 + " a b")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_long_words_hash_by_their_bytes():
+    words = ["a" * n for n in (1, 63, 64, 65, 66, 200)] + ["a" * 64 + "b", "é" * 50]
+    h, _ = jaccard_join._word_hashes(" ".join(words + words[::-1]).encode())
+    assert (h[: len(words)] == h[len(words) :][::-1]).all() and len({*h.tolist()}) == len(words)
+
+
+@pytest.mark.parametrize("cell", [3, 7, 1000])
+def test_a_common_key_is_compared_in_places_of_its_own(spark, cell):
+    from pyspark.sql import functions as F
+
+    nodes = [(k % 3, bytes([k]), 0, 5, bytes([k % 7])) for k in range(40)]
+    known = spark.createDataFrame(nodes, "key long, node binary, pos long, size long, part binary").withColumn("pos", F.lit(0).cast("long"))
+    got = {(bytes(r.a), bytes(r.b)) for r in jaccard_join._across(known, 80, cell).collect()}
+    assert got == {(x[1], y[1]) for x in nodes for y in nodes if x[0] == y[0] and x[1] < y[1] and x[4] != y[4]}
+
+
+def test_counted_join_with_hot_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from auctionlake.llm import common
+
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 500).alias("k"), "id")
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    for least in (0, 2000):
+        monkeypatch.setattr(common, "hot_keys", lambda c, n_col, total, least=least: c.filter((F.col(n_col) * 20 > total) & (F.col(n_col) > least)))
+        got = common.join_counted(rows, counted, "k", "n", 9000)
+        assert sorted(map(tuple, got.select("id", "k", "low").collect())) == sorted(map(tuple, rows.join(counted, "k").select("id", "k", "low").collect()))
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
