@@ -284,6 +284,45 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n_col: str, tota
     return rows.join(F.broadcast(hot), key).unionByName(usual)
 
 
+# --- pairs within keys, and partners beside their centres -----------------------------------------
+
+#: Postings of one key that are compared with each other in one place.
+CELL = 1000
+
+
+def in_cells(known: DataFrame, cell: int = CELL) -> DataFrame:
+    """Postings (key, node, part, ...) of keys with several parts, each in the cells (i, j) where it meets others.
+
+    A key of many postings is cut into blocks, and each pair of blocks meets in a place of its own, so that no
+    task holds a whole key. Every pair of postings of a key is in one cell that ``meet`` accepts.
+    """
+    counts = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    mixed = known.join(counts.select("key", F.ceil(F.col("n") / cell).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    return materialize(mixed.withColumn("cell", F.explode(cells)).select(*known.columns, "block", "cell.i", "cell.j"), "cells")
+
+
+def meet(x_block: str, y_block: str) -> Column:
+    return (F.least(x_block, y_block) == F.col("i")) & (F.greatest(x_block, y_block) == F.col("j"))
+
+
+def beside_centre(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(partner, centre, own, central) for pairs (a, b, centre) and values (node, value).
+
+    Partners go to their centre, whose value is sent once for each part of its partners, not for each pair;
+    a centre of many partners is cut into parts, so that none holds more than a thousandth of all pairs.
+    """
+    total = pairs.count()
+    several = pairs.groupBy("centre").agg(F.count("*").alias("n"))
+    parts = materialize(hot_keys(several, "n", total).select("centre", F.ceil(F.col("n") * SHARE / max(total, 1)).alias("parts")), "parts")
+    partner = F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    part = F.pmod(F.xxhash64("partner"), F.coalesce("parts", F.lit(1)))
+    dealt = pairs.withColumn("partner", partner).join(F.broadcast(parts), "centre", "left").select("partner", "centre", part.alias("part"))
+    centres = values.join(dealt.select(F.col("centre").alias("node"), "part").distinct(), "node")
+    both = dealt.join(values.select(F.col("node").alias("partner"), F.col("value").alias("own")), "partner")
+    return both.join(centres.select(F.col("node").alias("centre"), "part", F.col("value").alias("central")), ["centre", "part"]).select("partner", "centre", "own", "central")
+
+
 # --- connected components -----------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import SHARE, UPPER_TO_LOWER, binary, bitmap, connected_components, fresh, hot_keys, in_bitmap, join_counted, materialize, return_freed_memory, scratch, shared_keys, texts_of
+from auctionlake.llm.common import CELL, UPPER_TO_LOWER, beside_centre, binary, bitmap, connected_components, fresh, in_bitmap, in_cells, join_counted, materialize, meet, return_freed_memory, scratch, shared_keys, texts_of
 
 #: Shingles are ordered by two tables of fixed size (any order is correct; a truer one makes fewer candidates):
 #: counts of words by 2**17 buckets, and counts of shingles that stand out in 2**20 buckets.
@@ -280,8 +280,6 @@ def _fetch(docs: DataFrame, text_col: str, n: int, wanted: DataFrame, sketches:
 
 def _verify(docs: DataFrame, text_col: str, n: int, percent: int, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` (a, b, centre) whose sets are similar: bounded by their sketches first, those left compared once by their texts.
-
-    Partners go to their centre, whose value is sent once for each part of its partners, not for each pair.
     """
 
     def compare(asked: DataFrame, sketches: bool, rule) -> DataFrame:
@@ -295,16 +293,7 @@ def _verify(docs: DataFrame, text_col: str, n: int, percent: int, sets: DataFram
                 rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["partner", "centre"]).filter(pa.array([check(*r) for r in rows], pa.bool_()))
 
-        total = asked.count()
-        several = asked.groupBy("centre").agg(F.count("*").alias("n"))
-        parts = materialize(hot_keys(several, "n", total).select("centre", F.ceil(F.col("n") * SHARE / max(total, 1)).alias("parts")), "parts")
-        partner = F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-        part = F.pmod(F.xxhash64("partner"), F.coalesce("parts", F.lit(1)))
-        dealt = asked.withColumn("partner", partner).join(F.broadcast(parts), "centre", "left").select("partner", "centre", part.alias("part"))
-        centres = values.join(dealt.select(F.col("centre").alias("node"), "part").distinct(), "node")
-        both = dealt.join(values.select(F.col("node").alias("partner"), F.col("value").alias("own")), "partner")
-        both = both.join(centres.select(F.col("node").alias("centre"), "part", F.col("value").alias("central")), ["centre", "part"]).select("partner", "centre", "own", "central")
-        held = both.mapInArrow(run, "partner binary, centre binary")
+        held = beside_centre(asked, values).mapInArrow(run, "partner binary, centre binary")
         return materialize(held.select(F.least("partner", "centre").alias("a"), F.greatest("partner", "centre").alias("b"), "centre"), "compared")
 
     def remembering(reader, holds):
@@ -330,24 +319,13 @@ def _verify(docs: DataFrame, text_col: str, n: int, percent: int, sets: DataFram
     return (bounded if bounded.isEmpty() else compare(bounded, False, remembering(reading_texts, similar))).select("a", "b")
 
 
-#: Postings of one key that are compared with each other in one place.
-CELL = 1000
-
-
 def _across(known: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
-    """Pairs (a, b) of different parts that share a key and may be similar, from postings (key, node, pos, size, part).
-
-    A key of many postings is cut into blocks; each pair of blocks meets in a place of its own, so that no
-    task holds a whole key.
-    """
-    counts = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    mixed = known.join(counts.select("key", F.ceil(F.col("n") / cell).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    mixed = materialize(mixed.withColumn("cell", F.explode(cells)).select("key", "node", "pos", "size", "part", "block", "cell.i", "cell.j"), "mixed")
+    """Pairs (a, b) of different parts that share a key and may be similar, from postings (key, node, pos, size, part)."""
+    mixed = in_cells(known, cell)
     sides = [mixed.select("key", "i", "j", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "pos", "size", "part", "block"))) for side in "xy"]
-    met = sides[0].join(sides[1], ["key", "i", "j"])
-    here = (F.least("x_block", "y_block") == F.col("i")) & (F.greatest("x_block", "y_block") == F.col("j"))
-    return met.filter(here & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & _may_link("x", "y", percent)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    met = sides[0].join(sides[1], ["key", "i", "j"]).filter(meet("x_block", "y_block"))
+    met = met.filter((F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & _may_link("x", "y", percent))
+    return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import binary, bitmap, connected_components, fresh, in_bitmap, materialize, return_freed_memory, scratch, shared_keys, texts_of
+from auctionlake.llm.common import beside_centre, binary, bitmap, connected_components, fresh, in_bitmap, in_cells, join_counted, materialize, meet, return_freed_memory, scratch, shared_keys, texts_of
 
 THRESHOLD = 2
-#: Shorter lines (headings, single words) are left alone: they recur in clean texts too.
-MIN_CHARS = 24
+#: A line has so many characters for each edit that may tell it from a near one; shorter lines must be equal.
+PER_EDIT = 12
 _CLASSES = 15
 _INDEX, _PROBE_SAME, _PROBE_LONGER = 3, 1, 2
 
@@ -25,12 +25,23 @@ def line_hash(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
+def lines_in(text: str, min_chars: int = 0) -> list[str]:
+    """The lines of a text that may repeat others: all but blank ones and those under ``min_chars`` characters."""
+    return [x for x in text.split("\n") if len(x) >= min_chars and x and not x.isspace()]
+
+
+def edits_for(length: int, threshold: int) -> int:
+    """Edits by which a line of ``length`` characters may differ from a longer or equal one that counts as its repeat."""
+    return min(threshold, length // PER_EDIT)
+
+
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
-    """(start, length) of the threshold-plus-one even segments of a line."""
-    base, longer = divmod(length, threshold + 1)
+    """(start, length) of the even segments of a line, one more than the edits it allows."""
+    n = edits_for(length, threshold) + 1
+    base, longer = divmod(length, n)
     out, at = [], 0
-    for k in range(threshold + 1):
-        size = base + (k > threshold - longer)
+    for k in range(n):
+        size = base + (k >= n - longer)
         out.append((at, size))
         at += size
     return out
@@ -43,11 +54,12 @@ def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
     """
     out = []
     for less in range(threshold + 1):
-        if length - less < threshold + 1:
+        edits = edits_for(length - less, threshold)
+        if not edits or edits < less:
             continue
         for k, (at, size) in enumerate(segments(length - less, threshold)):
-            low = max(at - k, at + less - (threshold - k), 0)
-            high = min(at + k, at + less + (threshold - k), length - size)
+            low = max(at - k, at + less - (edits - k), 0)
+            high = min(at + k, at + less + (edits - k), length - size)
             out += [(less, k, start, size) for start in range(low, high + 1)]
     return out
 
@@ -73,8 +85,8 @@ def _postings(docs: DataFrame, text_col: str, threshold: int, min_chars: int) ->
         for batch in batches:
             lines, nodes = [], []
             for text in texts_of(batch.column(0)):
-                for line in text.split("\n"):
-                    if len(line) >= min_chars and (node := line_hash(line)) not in seen:
+                for line in lines_in(text, max(min_chars, PER_EDIT)):
+                    if (node := line_hash(line)) not in seen:
                         seen.add(node)
                         lines.append(line)
                         nodes.append(node)
@@ -180,7 +192,7 @@ def _low(nodes: list[bytes]) -> np.ndarray:
 
 
 def _lines_of(docs: DataFrame, text_col: str, nodes: DataFrame, min_chars: int) -> DataFrame:
-    """(node, line) of the lines asked for; a bitmap of fixed size keeps most others from shuffling."""
+    """(node, value) of the lines asked for; a bitmap of bounded size keeps most others from shuffling."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select(_low_bits("node").alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,55 +201,76 @@ def _lines_of(docs: DataFrame, text_col: str, nodes: DataFrame, min_chars: int)
         for batch in batches:
             found, lines = [], []
             for text in texts_of(batch.column(0)):
-                for line in text.split("\n"):
-                    if len(line) >= min_chars and (node := line_hash(line)) not in seen:
+                for line in lines_in(text, max(min_chars, PER_EDIT)):
+                    if (node := line_hash(line)) not in seen:
                         seen.add(node)
                         found.append(node)
                         lines.append(line)
             if found:
                 hit = in_bitmap(table, _low(found))
-                yield pa.RecordBatch.from_arrays([binary(found), pa.array(lines, pa.string())], ["node", "line"]).filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([binary(found), pa.array(lines, pa.string())], ["node", "value"]).filter(pa.array(hit))
 
-    every = docs.select(text_col).mapInArrow(run, "node binary, line string")
+    every = docs.select(text_col).mapInArrow(run, "node binary, value string")
     return every.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def near_lines(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Links (a, b) between hashes of different lines at most ``threshold`` edits apart (characters put in, left out or replaced).
+def _verified(docs: DataFrame, text_col: str, threshold: int, min_chars: int, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` (a, b, centre) whose lines are near, each compared once."""
+    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    lines = materialize(_lines_of(docs, text_col, nodes, min_chars), "lines")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, central = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            edits = np.array([edits_for(min(len(a), len(b)), threshold) for a, b in zip(own, central, strict=True)], np.int64)
+            ok = np.zeros(len(own), bool)
+            for k in np.unique(edits[edits > 0]).tolist():
+                rows = np.flatnonzero(edits == k)
+                ok[rows] = within([(own[r], central[r]) for r in rows.tolist()], k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["partner", "centre"]).filter(pa.array(ok))
+
+    held = beside_centre(pairs, lines).mapInArrow(verify, "partner binary, centre binary")
+    return materialize(held.select(F.least("partner", "centre").alias("a"), F.greatest("partner", "centre").alias("b")), "verified")
+
+
+def near_lines(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = 0) -> DataFrame:
+    """Links (a, b) between hashes of near lines; every near pair is linked, itself or through others.
 
-    Lines are the parts between line feeds with at least ``min_chars`` characters. Each pair is verified once.
+    Two different lines are near if at most ``threshold`` edits (characters put in, left out or replaced) are
+    between them, and no more than one for each PER_EDIT characters of the shorter. Blank lines and those under
+    ``min_chars`` characters are left out. First every line meets one central line for each of its segments;
+    only what these links leave in different components is then compared pair by pair.
     """
-    if not 1 <= threshold <= 7 or min_chars <= threshold:
-        raise ValueError("threshold is 1 to 7 and below min_chars")
+    if not 1 <= threshold <= 7:
+        raise ValueError("threshold is 1 to 7")
     with scratch(docs.sparkSession):
         p = materialize(shared_keys(_postings(docs, text_col, threshold, min_chars)), "postings")
         role = F.col("tag").bitwiseAND(3)
-        x = p.filter(role == _INDEX).select("key", F.col("node").alias("a"), F.col("tag").alias("tag_a"))
-        y = p.select("key", F.col("node").alias("b"), F.col("tag").alias("tag_b"))
-        one_way = (F.col("tag_b").bitwiseAND(3) == _PROBE_LONGER) | (F.col("a") < F.col("b"))
-        candidates = x.join(y, (x.key == y.key) & (F.col("a") != F.col("b")) & one_way & _near("tag_a", "tag_b", threshold))
-        pairs = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-        lines = materialize(_lines_of(docs, text_col, nodes, min_chars), "lines")
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = within(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-        both = (
-            pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
-            .join(lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-            .select("a", "b", "line_a", "line_b")
-        )
-        return materialize(both.mapInArrow(verify, "a binary, b binary"), "links", keep=True)
-
-
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(line, class, n_lines, keep_id) of each line that recurs, exactly or nearly.
-
-    ``line`` and ``class`` are hashes; n_lines counts the class's occurrences; keep_id is the smallest id
-    with one. A class is what links of up to ``threshold`` edits join.
+        centres = p.filter(role == _INDEX).groupBy("key").agg(F.min(F.struct("node", "tag")).alias("c"))
+        star = p.join(centres.select("key", F.col("c.node").alias("centre"), F.col("c.tag").alias("tag_c")), "key")
+        star = star.filter((F.col("node") != F.col("centre")) & _near("tag", "tag_c", threshold))
+        first = materialize(star.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre")), "pairs")
+        linked = _verified(docs, text_col, threshold, min_chars, first)
+
+        of = connected_components(linked).select(F.col("node").alias("n_"), "component")
+        known = p.join(of, p.node == of.n_, "left").select("key", "node", "tag", F.coalesce("component", "node").alias("part"))
+        mixed = in_cells(materialize(known, "parts"))
+        x = mixed.filter(role == _INDEX).select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("node", "tag", "part", "block")))
+        y = mixed.select("key", "i", "j", *(F.col(c).alias(f"y_{c}") for c in ("node", "tag", "part", "block")))
+        one_way = (F.col("y_tag").bitwiseAND(3) == _PROBE_LONGER) | (F.col("x_node") < F.col("y_node"))
+        met = x.join(y, ["key", "i", "j"]).filter(meet("x_block", "y_block") & one_way & (F.col("x_part") != F.col("y_part")) & _near("x_tag", "y_tag", threshold))
+        rest = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+        second = materialize(rest.join(first.select("a", "b"), ["a", "b"], "left_anti").withColumn("centre", F.col("b")), "pairs")
+        if second.isEmpty():
+            return materialize(linked, "links", keep=True)
+        return materialize(linked.unionByName(_verified(docs, text_col, threshold, min_chars, second)), "links", keep=True)
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = 0) -> DataFrame:
+    """(line, class, n, n_lines, keep_id) of each line that recurs, exactly or nearly.
+
+    ``line`` and ``class`` are hashes; n counts the line's occurrences and n_lines those of its class; keep_id
+    is the smallest id with one. A class is what links between near lines join.
     """
     id_type = docs.schema[id_col].dataType
     arrow_id = to_arrow_type(id_type)
@@ -248,15 +281,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             least: dict[bytes, list] = {}
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                for line in text.split("\n"):
-                    if len(line) >= min_chars:
-                        known = least.get(node := line_hash(line))
-                        if known is None:
-                            least[node] = [key, 1]
-                        else:
-                            known[1] += 1
-                            if key is not None and (known[0] is None or key < known[0]):
-                                known[0] = key
+                for line in lines_in(text, min_chars):
+                    known = least.get(node := line_hash(line))
+                    if known is None:
+                        least[node] = [key, 1]
+                    else:
+                        known[1] += 1
+                        if key is not None and (known[0] is None or key < known[0]):
+                            known[0] = key
             ids = pa.array([v[0] for v in least.values()], arrow_id)
             yield pa.RecordBatch.from_arrays([binary(least), ids, pa.array([v[1] for v in least.values()], pa.int64())], ["line", "id", "n"])
 
@@ -265,24 +297,25 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = connected_components(near_lines(docs, text_col, threshold, min_chars)).select(F.col("node").alias("n_"), "component")
         placed = counted.join(parts, counted.line == parts.n_, "left").filter("n > 1 OR component IS NOT NULL")
         placed = materialize(placed.select("line", "n", "id", F.coalesce("component", "line").alias("class")), "placed")
-        least = placed.groupBy("class").agg(F.sum("n").alias("n_lines"), F.min("id").alias("keep_id"))
-        return materialize(placed.join(least, "class").select("line", "class", "n_lines", "keep_id"), "classes", keep=True)
+        least = placed.groupBy("class").agg(F.sum("n").alias("n_lines"), F.min("id").alias("keep_id"), F.count("*").alias("members"))
+        classes = join_counted(placed.select("line", "n", "class"), materialize(least, "least"), "class", "members", placed.count())
+        return materialize(classes.select("line", "class", "n", "n_lines", "keep_id"), "classes", keep=True)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and n_lines and n_dropped added.
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = 0, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and how many lines there were and went, named by ``counts``.
 
     Of each class of lines the first line of the row with the smallest id stays; repeated rows with that id
-    each keep theirs. Lines under ``min_chars`` characters stay always. Null texts stay null with no lines;
-    rows with a null id keep nothing that another row has; empty tables give no rows; a document that loses
-    all its lines keeps its row with an empty text. n_lines and n_dropped must not exist yet.
+    each keep theirs. Blank lines and those under ``min_chars`` characters stay always. Null texts stay null
+    with no lines; rows with a null id keep nothing that another row has; empty tables give no rows; a document
+    that loses all its lines keeps its row with an empty text. The two names must not exist yet.
     """
-    clash = {"n_lines", "n_dropped"} & {c.lower() for c in docs.columns}
+    clash = {c.lower() for c in counts} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
-    classes = line_classes(docs, id_col, text_col, threshold, min_chars).select("line", "class", "keep_id")
+    classes = line_classes(docs, id_col, text_col, threshold, min_chars).select("line", "class", "n", "keep_id")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(classes.select(_low_bits("line").alias("h")), "h"))
-    row, found, class_, keep_, list_ = fresh(docs, "row", "found", "class", "keep_id", "lines_")
+    row, found, list_, other = fresh(docs, "row", "found", "lines_", "other_row")
     place, text_at = len(docs.columns), docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(list_, T.ArrayType(T.BinaryType()))])
 
@@ -293,7 +326,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             nodes, each = [], []
             for text in texts_of(batch.column(text_at)):
-                own = [line_hash(x) for x in text.split("\n") if len(x) >= min_chars]
+                own = [line_hash(x) for x in lines_in(text, min_chars)]
                 nodes += own
                 each.append(len(own))
             hit = in_bitmap(table, _low(nodes)).tolist() if nodes else []
@@ -303,16 +336,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 at += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.binary()))], [*batch.schema.names, list_])
 
-    # A row's own number follows from its content's place in the input, fixed once it is written.
-    marked = docs.mapInArrow(suspects, schema)
-    touched = materialize(marked.filter(F.col(list_).isNotNull()).withColumn(row, F.monotonically_increasing_id()), "touched")
+    # Written once: a row's own number holds from then on, and texts are hashed no second time.
+    marked = materialize(docs.mapInArrow(suspects, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
+    touched = marked.filter(F.col(list_).isNotNull())
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long")
-    clean = marked.filter(F.col(list_).isNull()).select(*docs.columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    exploded = touched.select(F.col(row).alias("r_"), F.col(id_col).alias("i_"), F.explode(F.array_distinct(list_)).alias("line"))
-    hits = exploded.join(classes, "line").select("r_", F.struct(F.col("line"), F.col("i_").eqNullSafe(F.col("keep_id")).alias("stays"), F.col("class")).alias("hit"))
-    by_row = hits.groupBy("r_").agg(F.collect_list("hit").alias(found))
-    touched = touched.join(by_row, touched[row] == by_row.r_, "left").select(*docs.columns, found)
-    out_schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    clean = marked.filter(F.col(list_).isNull()).select(*docs.columns, n_lines.alias(counts[0]), F.lit(0).cast("long").alias(counts[1]))
+    exploded = touched.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.explode(F.array_distinct(list_)).alias("line"))
+    total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hits = join_counted(exploded, classes, "line", "n", total).select("row", F.struct(F.col("line"), F.col("id").eqNullSafe(F.col("keep_id")).alias("stays"), F.col("class")).alias("hit"))
+    by_row = hits.groupBy("row").agg(F.collect_list("hit").alias(found)).withColumnRenamed("row", other)
+    touched = touched.join(by_row, F.col(row) == F.col(other), "left").select(*docs.columns, found)
+    out_schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return_freed_memory()
@@ -327,7 +361,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     continue
                 known, kept, used = {h["line"]: h for h in hits}, [], set()
                 for line in lines:
-                    h = known.get(line_hash(line)) if len(line) >= min_chars else None
+                    h = known.get(line_hash(line)) if line and len(line) >= min_chars else None
                     if h is None:
                         kept.append(line)
                     elif h["stays"] and h["class"] not in used:
@@ -336,7 +370,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 texts.append("\n".join(kept))
                 dropped.append(len(lines) - len(kept))
             columns = [pa.array(texts, pa.string()) if k == text_at else batch.column(k) for k in range(place)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:place], "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:place], *counts])
 
     return clean.union(touched.mapInArrow(rewrite, out_schema))
 

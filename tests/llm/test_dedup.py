@@ -156,43 +156,96 @@ def test_bit_parallel_distance(threshold):
 
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_segments_find_every_near_pair(threshold):
+    checked = 0
     for _ in range(1500):
-        a = "".join(RNG.choice("ab") for _ in range(RNG.randint(8, 30)))
+        a = "".join(RNG.choice("ab") for _ in range(RNG.randint(8, 50)))
         b = edited(a, RNG.randint(0, threshold)).replace("é", "a").replace("😀", "b").replace("c", "a")
         short, long = sorted((a, b), key=len)
-        if distance(a, b) > threshold or len(short) <= threshold:
+        if short == long or distance(a, b) > line_dedup.edits_for(len(short), threshold):
             continue
+        checked += 1
         index = {(k, short[at : at + n]) for k, (at, n) in enumerate(line_dedup.segments(len(short), threshold))}
         assert any((k, long[at : at + n]) in index for less, k, at, n in line_dedup.probes(len(long), threshold) if less == len(long) - len(short))
+    assert checked > 200
+
+
+def line_components(lines, threshold=2):
+    """Each different line with the least line that near ones lead to, pair by pair."""
+    present = sorted(set(lines), key=len)
+    parent = {x: x for x in present}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    letters = {x: Counter(x) for x in present}
+    for i, a in enumerate(present):
+        edits = min(threshold, len(a) // 12)
+        for b in present[i + 1 :] if edits else []:
+            if len(b) - len(a) > edits:
+                break
+            if sum(abs(letters[a][c] - letters[b][c]) for c in {*letters[a], *letters[b]}) <= 2 * edits and root(a) != root(b) and distance(a, b) <= edits:
+                parent[root(a)] = root(b)
+    groups = defaultdict(list)
+    for x in present:
+        groups[root(x)].append(x)
+    return {x: min(g) for g in groups.values() for x in g}
 
 
 @pytest.mark.parametrize("threshold", [1, 2])
 def test_near_lines_match_brute_force(spark, threshold):
-    bases = ["".join(RNG.choice("abcdefgh é") for _ in range(RNG.randint(24, 60))) for _ in range(25)]
-    lines = bases + [edited(RNG.choice(bases), RNG.randint(0, 4)) for _ in range(250)]
-    docs = [(k, "\n".join(RNG.sample(lines, 6))) for k in range(60)]
-    present = sorted({x for _, t in docs for x in t.split("\n") if len(x) >= 24})
+    bases = ["".join(RNG.choice("abcdefgh é") for _ in range(RNG.randint(4, 60))).strip() or "x" for _ in range(40)]
+    lines = bases + [edited(RNG.choice(bases), RNG.randint(0, 4)) for _ in range(400)]
+    docs = [(k, "\n".join(RNG.sample(lines, 6))) for k in range(100)]
+    present = sorted({x for _, t in docs for x in t.split("\n") if x.strip()})
     by_hash = {line_dedup.line_hash(x): x for x in present}
-    got = {frozenset((by_hash[bytes(r.a)], by_hash[bytes(r.b)])) for r in line_dedup.near_lines(spark.createDataFrame(docs, "doc_id long, text string"), threshold=threshold).collect()}
-    expected = {frozenset((a, b)) for i, a in enumerate(present) for b in present[i + 1 :] if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold}
-    assert got == expected and expected
+    got = line_dedup.near_lines(spark.createDataFrame(docs, "doc_id long, text string"), threshold=threshold).collect()
+    pairs = [(by_hash[bytes(r.a)], by_hash[bytes(r.b)]) for r in got]
+    assert pairs and len({frozenset(p) for p in pairs}) == len(pairs)
+    assert all(a != b and distance(a, b) <= min(threshold, min(len(a), len(b)) // 12) for a, b in pairs)
+    parent = {x: x for x in present}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    groups = defaultdict(list)
+    for x in present:
+        groups[root(x)].append(x)
+    assert {x: min(g) for g in groups.values() for x in g} == line_components(present, threshold)
+
+
+def test_many_variants_of_a_line_give_links_in_proportion(spark):
+    base = "the same words stand in each of these many lines but for one letter"
+    lines = sorted({base[:k] + c + base[k + 1 :] for k in range(len(base)) for c in "xyzq"})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.near_lines(docs).count() < 6 * len(lines)
+    assert line_dedup.line_classes(docs).select("class").distinct().count() == 1
 
 
 def test_dropped_lines(spark):
     line = "this line stands in many of the documents"
     near = "this line stands in many of the document!"
     own = "something that only this document says at all"
-    rows = [(2, f"{line}\n{own} 2\nshort\nshort", "x", 1), (1, f"{near}\n{line}\nshort", "y", 2), (3, line, "z", 3), (None, f"{line}\n{own} and more", "n", 4), (4, None, "null", 5), (5, "", "empty", 6), (2, f"{line}\nagain but otherwise another text", "x2", 7), (6, "y" * 30_000 + "\n" + "y" * 30_000, "long", 8)]
+    rows = [(2, f"{line}\n{own} 2\nshort\nshort\n \n", "x", 1), (1, f"{near}\n{line}\nshort\n \n", "y", 2), (3, line, "z", 3), (None, f"{line}\n{own} and more\nshirt", "n", 4), (4, None, "null", 5), (5, "", "empty", 6), (2, f"{line}\nagain but otherwise another text", "x2", 7), (6, "y" * 30_000 + "\n" + "y" * 30_000, "long", 8)]
     d = spark.createDataFrame(rows, "doc_id long, text string, found string, line int")
-    got = {r.found: r for r in line_dedup.drop_repeated_lines(d).collect()}
-    assert got["y"].text == f"{near}\nshort" and got["y"].n_dropped == 1
-    assert got["x"].text == f"{own} 2\nshort\nshort" and got["x"].n_lines == 4
-    assert got["z"].text == "" and got["n"].text == f"{own} and more" and got["x2"].text == "again but otherwise another text"
-    assert got["null"].text is None and got["null"].n_lines == 0 and got["empty"].text == ""
-    assert got["long"].text == "y" * 30_000
-    assert line_dedup.drop_repeated_lines(d.limit(0)).count() == 0
+    for d in (d, d.withColumnsRenamed({"line": "r_"}), d.withColumnsRenamed({"line": "row", "doc_id": "id"}).withColumnRenamed("id", "doc_id")):
+        got = {r.found: r for r in line_dedup.drop_repeated_lines(d).collect()}
+        assert got["y"].text == f"{near}\nshort\n \n" and got["y"].n_dropped == 1
+        assert got["x"].text == f"{own} 2\n \n" and got["x"].n_lines == 6 and got["x"].n_dropped == 3
+        assert got["z"].text == "" and got["n"].text == f"{own} and more\nshirt" and got["x2"].text == "again but otherwise another text"
+        assert got["null"].text is None and got["null"].n_lines == 0 and got["empty"].text == ""
+        assert got["long"].text == "y" * 30_000
+        assert line_dedup.drop_repeated_lines(d.limit(0)).count() == 0
+    assert {r.found: r.text for r in line_dedup.drop_repeated_lines(d, min_chars=24).collect()}["x"] == f"{own} 2\nshort\nshort\n \n"
+    taken = d.withColumnRenamed("row", "N_LINES")
     with pytest.raises(ValueError, match="exist already"):
-        line_dedup.drop_repeated_lines(d.withColumnRenamed("line", "N_LINES"))
+        line_dedup.drop_repeated_lines(taken)
+    assert "gone" in line_dedup.drop_repeated_lines(taken, counts=("all", "gone")).columns
 
 
 def test_components_of_a_long_path(spark):

@@ -3,52 +3,32 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import corpus_pipeline
-from test_dedup import brute_components
+from test_dedup import brute_components, line_components
 
-from auctionlake.llm import byte_bpe, line_dedup, quality_rules, vocab
+from auctionlake.llm import byte_bpe, quality_rules, vocab
 from auctionlake.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
 
 
 def brute_lines(rows):
-    """Lines of 24 characters or more: of each class of near equal ones the first of the smallest id stays."""
-    from test_dedup import distance
-
-    present = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= 24}, key=len)
-    parent = {x: x for x in present}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    letters = {x: defaultdict(int) for x in present}
-    for x in present:
-        for c in x:
-            letters[x][c] += 1
-    for i, a in enumerate(present):
-        for b in present[i + 1 :]:
-            if len(b) - len(a) > 2:
-                break
-            if sum(abs(letters[a][c] - letters[b][c]) for c in {*letters[a], *letters[b]}) <= 4 and distance(a, b) <= 2:
-                parent[root(a)] = root(b)
+    """Lines that are not blank: of each class of near equal ones the first of the smallest id stays."""
+    low = line_components([x for _, t in rows for x in (t or "").split("\n") if x.strip()])
     least = {}
     for k, t in rows:
         for x in (t or "").split("\n"):
-            if len(x) >= 24:
-                least[root(x)] = min(k, least.get(root(x), k))
+            if x in low:
+                least[low[x]] = min(k, least.get(low[x], k))
     out = []
     for k, t in rows:
         used, kept = set(), []
         for x in (t or "").split("\n"):
-            if len(x) < 24:
+            if x not in low:
                 kept.append(x)
-            elif least[root(x)] == k and root(x) not in used:
-                used.add(root(x))
+            elif least[low[x]] == k and low[x] not in used:
+                used.add(low[x])
                 kept.append(x)
         text = "\n".join(kept)
         if text == (t or "") or text.strip():
@@ -60,7 +40,7 @@ def test_pipeline(spark):
     docs = table(spark, DATA, "documents")
     kept = {r.doc_id for r in quality_rules.apply_rules(docs).collect() if r.kept}
     rows = brute_lines([(r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept])
-    first = {k for k, _, low in brute_components(rows) if k == low}
+    first = {k for k, _, low in brute_components(rows, 5, 80) if k == low}
     rows = [(k, t) for k, t in rows if k in first]
     find = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.lower())
     windows = {tuple(w[k : k + 10]) for r in table(spark, DATA, "benchmark").collect() for w in [find(r.text)] for k in range(len(w) - 9)}
@@ -76,4 +56,3 @@ def test_stages_keep_columns(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "decontamination", "byte_bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), DATA).columns == docs.columns
-    assert line_dedup.MIN_CHARS == 24
