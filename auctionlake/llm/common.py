@@ -184,11 +184,12 @@ def unpack_ints(data: bytes) -> np.ndarray:
 def shared_keys(postings: DataFrame) -> DataFrame:
     """Of postings (key long, node binary, tag long), the distinct rows whose key has two nodes or more.
 
-    One exchange on ``key``, one sort, one streaming pass; of a key only its current run is held, and
-    once a key is known to be shared its rows are passed on batch by batch, however many there are.
+    One exchange on ``key``, one sort by that number alone, one streaming pass; of a key only its current
+    run is held while it has one node, and once a key is known to be shared its rows are passed on batch by
+    batch, however many there are. What is left is made distinct afterwards.
     """
-    ordered = postings.repartition("key").sortWithinPartitions("key", "node", "tag")
-    return ordered.mapInArrow(_shared_runs, "key long, node binary, tag long")
+    ordered = postings.repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(_shared_runs, "key long, node binary, tag long").distinct()
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,27 +203,21 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         key = t["key"].to_numpy()
-        tag = t["tag"].to_numpy()
         node = t["node"]
         same_node = pc.equal(node.slice(0, n - 1), node.slice(1)).to_numpy(zero_copy_only=False) if n > 1 else np.zeros(0, bool)
         same_key = key[1:] == key[:-1]
-        repeat = np.concatenate([[False], same_key & same_node & (tag[1:] == tag[:-1])])
         starts = np.flatnonzero(np.concatenate([[True], ~same_key]))
-        differs = np.concatenate([[False], same_key & ~same_node])
-        shared = np.logical_or.reduceat(differs, starts)
+        shared = np.logical_or.reduceat(np.concatenate([[False], same_key & ~same_node]), starts)
         if open_key is not None and key[0] == open_key:
             shared[0] = True
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-        keep = shared[run] & ~repeat
-        last = starts[-1]
-        if open_key is not None and held is not None and held.num_rows:
+        keep = np.repeat(shared, np.diff(np.append(starts, n)))
+        if open_key is not None:
             keep[0] = False  # that row has been passed on already
         if shared[-1]:
             open_key, held = int(key[-1]), t.slice(n - 1)
-        else:
-            open_key = None
-            keep[last:] = False
-            held = t.filter(pa.array(np.concatenate([np.zeros(last, bool), ~repeat[last:]])))
+        else:  # one node so far: its different tags wait
+            open_key, held = None, t.slice(int(starts[-1]))
+            held = held.take(np.unique(held["tag"].to_numpy(), return_index=True)[1])
         if keep.any():
             yield from t.filter(pa.array(keep)).to_batches()
 

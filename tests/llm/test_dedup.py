@@ -111,6 +111,22 @@ def test_a_common_key_is_compared_in_places_of_its_own(spark, cell):
     assert got == {(x[1], y[1]) for x in nodes for y in nodes if x[0] == y[0] and x[1] < y[1] and x[4] != y[4]}
 
 
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_shared_keys(rows):
+    import pyarrow as pa
+
+    from auctionlake.llm.common import _shared_runs
+
+    rng = random.Random(rows)
+    data = sorted(((rng.randrange(40), bytes([rng.randrange(4)]), rng.randrange(3)) for _ in range(120)), key=lambda r: r[0])
+    nodes = defaultdict(set)
+    for key, node, _ in data:
+        nodes[key].add(node)
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in data[at : at + rows]], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["key", "node", "tag"]) for at in range(0, len(data), rows)]
+    got = [tuple(r.values()) for b in _shared_runs(iter(batches)) for r in b.to_pylist()]
+    assert set(got) == {r for r in data if len(nodes[r[0]]) > 1}
+
+
 def test_counted_join_with_hot_keys(spark, monkeypatch):
     from pyspark.sql import functions as F
 
