@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from auctionlake.llm import vocab
 from auctionlake.llm.common import fresh, gather, list_array, return_freed_memory
-from auctionlake.llm.word_blocks import BLOCK_CHARS, Block, blocks, default_buckets, encode_words, per_block
+from auctionlake.llm.word_blocks import BLOCK_CHARS, Block, blocks, encode_words, per_block, sizes_for
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -42,8 +42,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     not read. Very long texts are one document of a block and are never cut.
     """
     pattern = public_tokenizers.PATTERN
-    written = blocks(df, id_col, text_col, lambda: vocab.splitter(pattern), default_buckets(df), False, block_chars)
-    encoded = encode_words(written, _encoder(ranks))
+    buckets, tasks = sizes_for(df, text_col, block_chars)
+    written = blocks(df, id_col, text_col, lambda: vocab.splitter(pattern), buckets, False, block_chars)
+    encoded = encode_words(written, _encoder(ranks), buckets)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decoded:
@@ -63,11 +64,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
         out = {id_col: b.ids, "n_bytes": b.sizes, "ids": pa.chunked_array(lists, pa.list_(pa.int32()))}
         return pa.table(out | ({"decoded": pa.chunked_array(texts, pa.binary())} if decoded else {}))
 
-    return per_block(written, encoded, run, schema)
+    return per_block(written, encoded, run, schema, tasks)
 
 
 def _bytes_of(values: np.ndarray, counts: np.ndarray, ranks: str) -> list[bytes]:
-    """The bytes of each list of ids: ids are joined on the token-byte table, whose rows the vocabulary fixes."""
+    """The bytes of each list of ids: a lookup join with the token-byte table.
+
+    The table has one row for each token, a number that the vocabulary fixes, so every task has it whole; a
+    shuffle of every id with its position to a table of 50,000 rows would move the corpus for nothing.
+    """
     table, starts = vocab.token_bytes(ranks)
     if len(values) and (values.min() < 0 or values.max() >= len(starts) - 1):
         raise IndexError("an id is not in the vocabulary")

@@ -148,7 +148,9 @@ _SLICE = 1 << 19
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Non-negative integers below 2**28 in one to four bytes each, low seven bits first."""
+    """Non-negative integers below 2**28 in one to four bytes each, low seven bits first; others raise."""
+    if len(values) and (values.min() < 0 or values.max() >= 1 << 28):
+        raise OverflowError("a number of words beyond 2**28")
     return b"".join(_packed(values[k : k + _SLICE].astype(np.int64)) for k in range(0, len(values), _SLICE))
 
 

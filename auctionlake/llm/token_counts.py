@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auctionlake.llm import vocab
-from auctionlake.llm.word_blocks import Block, blocks, default_buckets, encode_words, per_block
+from auctionlake.llm.word_blocks import Block, blocks, encode_words, per_block, sizes_for
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Frequencies are small beside texts, so blocks can be small too, and their memory with them.
@@ -64,8 +64,9 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and summed. Null text: zero bytes and tokens. Repeated rows and null or repeated ids give a row each;
     an empty table gives none; other columns are not read; nothing is truncated.
     """
-    written = blocks(df, id_col, text_col, _split(tokenizer), default_buckets(df), True, block_chars)
-    encoded = encode_words(written, _pieces(tokenizer))
+    buckets, tasks = sizes_for(df, text_col, block_chars)
+    written = blocks(df, id_col, text_col, _split(tokenizer), buckets, True, block_chars)
+    encoded = encode_words(written, _pieces(tokenizer), buckets)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(b: Block) -> pa.Table:
@@ -76,4 +77,4 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n[documents] = np.bincount(document, weights=pieces, minlength=documents.stop - documents.start)
         return pa.table({id_col: b.ids, "n_bytes": b.sizes, "n_tokens": pa.array(n)})
 
-    return per_block(written, encoded, run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return per_block(written, encoded, run, schema, tasks).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -3,12 +3,15 @@
 Documents are read in blocks. A block numbers its distinct pre-tokens by falling frequency and writes
 its documents as those numbers, one to three bytes for each position. The distinct pre-tokens go out
 by hash to buckets, where equal ones of all blocks meet and are encoded once; the answers go back to
-the blocks. A block's size is a parameter, so what meets in one task has a bound whatever the input.
+the blocks. A block's size is a parameter; buckets stream through their tasks in short lists and forget
+what they know beyond a limit, so no task holds more whatever the input, and the numbers of buckets and
+of tasks follow the input's size.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -17,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -24,6 +28,10 @@ from auctionlake.llm.common import gather, materialize, pack_ints, return_freed_
 
 BLOCK_CHARS = 32_000_000
 BLOCK_DOCS = 200_000
+#: A bucket for so many characters of text, within MOST_BUCKETS.
+BUCKET_CHARS, MOST_BUCKETS = 16_000_000, 1 << 14
+#: Words of one list, and words that a task remembers; one beyond that may be encoded again.
+LIST_WORDS, KNOWN_WORDS = 8192, 1_000_000
 _SEPARATOR = b"\xff"  # never part of UTF-8
 
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -127,9 +135,11 @@ def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callab
             by = np.argsort(where, kind="stable")
             cuts = np.flatnonzero(np.diff(where[by])) + 1
             for part in np.split(by, cuts) if len(by) else []:
-                heads.append(int(where[part[0]]))
-                listed = _SEPARATOR.join([words[k].encode("utf-8", "surrogatepass") for k in part.tolist()])
-                rows.append(_pack(pack_ints(np.diff(part, prepend=0)), listed))
+                for first in range(0, len(part), LIST_WORDS):
+                    some = part[first : first + LIST_WORDS]
+                    heads.append(int(where[some[0]]))
+                    listed = _SEPARATOR.join([words[k].encode("utf-8", "surrogatepass") for k in some.tolist()])
+                    rows.append(_pack(pack_ints(np.diff(some, prepend=0)), listed))
             if rows:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block] * len(rows), pa.int64()), pa.array(heads, pa.int32()), pa.nulls(len(rows), pa.list_(arrow_id)),
@@ -153,31 +163,36 @@ def blocks(df: DataFrame, id_col: str, text_col: str, split: Callable[[], Callab
     return materialize(df.select(id_col, text_col).mapInArrow(run, schema), "blocks")
 
 
-def encode_words(written: DataFrame, encoder: Callable[[], Encoder]) -> DataFrame:
+def encode_words(written: DataFrame, encoder: Callable[[], Encoder], buckets: int) -> DataFrame:
     """For each word list of a block, its words' numbers and values; a word is encoded once in its bucket.
 
     ``encoder()`` gives a function from distinct words to (flat values, number of values of each word).
     """
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        lists, steps = [], []
-        for data in t["payload"].to_pylist():
-            numbered, listed = _unpack(data, 2)
-            steps.append(numbered)
-            lists.append(listed.split(_SEPARATOR))
-        distinct = _Numbers()
-        places = [np.fromiter(map(distinct.__getitem__, x), np.int64, len(x)) for x in lists]
-        flat, lengths = encode([w.decode("utf-8", "surrogatepass") for w in distinct])
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        out = []
-        for numbered, place in zip(steps, places, strict=True):
-            at, sizes = gather(offsets, place)
-            out.append(_pack(numbered, pack_ints(sizes), flat[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
-        return pa.table({"block": t["block"], "bucket": t["bucket"], "payload": pa.array(out, pa.binary())})
+        known: dict[bytes, int] = {}
+        values, ends = array("I"), array("q", [0])
+        bucket = None
+        for batch in batches:
+            out = []
+            for own, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != bucket or len(known) > KNOWN_WORDS:
+                    bucket, known, values, ends = own, {}, array("I"), array("q", [0])
+                numbered, listed = _unpack(data, 2)
+                words = listed.split(_SEPARATOR)
+                new = [w for w in words if w not in known]
+                if new:
+                    flat, lengths = encode([w.decode("utf-8", "surrogatepass") for w in new])
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                    values.frombytes(flat.astype(np.uint32).tobytes())
+                    ends.frombytes((ends[-1] + np.cumsum(lengths, dtype=np.int64)).tobytes())
+                at, sizes = gather(np.array(ends), np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                out.append(_pack(numbered, pack_ints(sizes), np.array(values)[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
 
     words = written.filter("bucket >= 0").select("block", "bucket", "payload")
-    return words.groupBy("bucket").applyInArrow(run, "block long, bucket int, payload binary")
+    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, payload binary")
 
 
 class Block:
@@ -222,12 +237,14 @@ class Block:
             self.codes = total - np.repeat((total - steps)[np.minimum(first, len(steps) - 1)][has], lengths[has])
 
 
-def per_block(written: DataFrame, encoded: DataFrame, run: Callable[[Block], pa.Table], schema: T.StructType) -> DataFrame:
+def per_block(written: DataFrame, encoded: DataFrame, run: Callable[[Block], pa.Table], schema: T.StructType, tasks: int) -> DataFrame:
     """``run`` on every block, its documents and encoded words brought together by the block's number."""
     both = written.filter("bucket < 0").unionByName(encoded, allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(lambda t: run(Block(t)), schema)
+    return both.repartition(tasks, "block").groupBy("block").applyInArrow(lambda t: run(Block(t)), schema)
 
 
-def default_buckets(df: DataFrame) -> int:
-    """One bucket for each shuffle partition: the session's own measure of the input's size."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def sizes_for(df: DataFrame, text_col: str, block_chars: int) -> tuple[int, int]:
+    """Numbers of buckets and of tasks over blocks: in proportion to the characters of all texts."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = df.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
+    return max(1, min(MOST_BUCKETS, max(least, chars // BUCKET_CHARS))), max(least, 2 * chars // block_chars)

@@ -82,3 +82,16 @@ def test_packed_integers():
     for n in (0, 1, 7, 1000, (1 << 19) + 5):
         values = np.array([rng.randrange(1 << rng.choice((7, 14, 21, 28))) for _ in range(n)], np.int64)
         assert (unpack_ints(pack_ints(values)) == values).all()
+    for wrong in (-1, 1 << 28):
+        with pytest.raises(OverflowError):
+            pack_ints(np.array([0, wrong]))
+
+
+def test_a_word_beyond_what_a_task_remembers_is_encoded_again(spark, sf_dir, monkeypatch):
+    from auctionlake.llm import word_blocks
+
+    docs = with_cases(spark, sf_dir)
+    expected = by_text(tuple(r) for r in byte_bpe.encode(docs).collect())
+    for name, value in (("LIST_WORDS", 50), ("KNOWN_WORDS", 100), ("BUCKET_CHARS", 50_000)):
+        monkeypatch.setattr(word_blocks, name, value)
+    assert by_text(tuple(r) for r in byte_bpe.encode(docs, block_chars=50_000).collect()) == expected
