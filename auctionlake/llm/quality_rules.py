@@ -1,7 +1,9 @@
-"""Quality rules: word and repetition counts, and tokeniser fertility with bands for each language."""
+"""Quality rules: word and repetition counts, and tokeniser fertility with bands for each language or script."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,19 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auctionlake.llm import vocab
-from auctionlake.llm.common import ascii_words, fresh, materialize, scratch, texts_of
+from auctionlake.llm.common import ascii_words, materialize, scratch, texts_of
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Characters per token and token entropy come from a vocabulary of whole byte pairs, the share of fallback bytes from one that has them.
+VOCABULARY, FALLBACK_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 REPEAT_WINDOW = 8
 #: A document outside median +- WIDTH robust deviations of its language and length class is rejected ...
-WIDTH = 6.0
+WIDTH = 4.5
 #: ... where a deviation is never taken as less than this: characters per token and bits as shares of the median, the byte share absolutely.
 LEAST = {"chars_per_token": 0.02, "token_entropy": 0.02, "byte_share": 0.01}
+#: Figures are counted by steps of one in so many, so that medians are exact whatever the order of rows.
+STEPS = 1000
 #: Limits come from so many different texts; a class with fewer also reads the nearest classes of its language, all of them if need be.
 MIN_TEXTS = 30
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-METRICS = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "n_tokens": T.LongType(), "chars_per_token": T.DoubleType(), "byte_share": T.DoubleType(), "token_entropy": T.DoubleType()}
+METRICS = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "n_tokens": T.LongType(), "chars_per_token": T.DoubleType(), "token_entropy": T.DoubleType(), "n_pieces": T.LongType(), "byte_share": T.DoubleType(), "band": T.StringType()}
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def repeated_words(w: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -51,53 +57,54 @@ def repeated_words(w: list[bytes], window: int = REPEAT_WINDOW) -> int:
     return int((np.cumsum(change[:-1]) > 0).sum())
 
 
-def _fertility(vocabulary: str):
-    """Characters per token, share of tokens that are bytes of an unfinished character, and entropy in bits."""
-    encode = vocab.encoding(vocabulary).encode_ordinary
-    table = vocab.ranks(vocabulary)
-    partial = np.zeros(max(table.values()) + 1, bool)
-    for token, rank in table.items():
-        try:
-            token.decode()
-        except UnicodeDecodeError:
-            partial[rank] = True
+def fertility(text: str, vocabulary: str = VOCABULARY, fallback: str = FALLBACK_VOCABULARY) -> tuple:
+    """(tokens, characters per token, entropy in bits, pieces, share of pieces that are fallback bytes); null figures without tokens."""
+    ids = np.array(vocab.encoding(vocabulary).encode_ordinary(text), np.int64)
+    model, is_byte = vocab.pieces(fallback)
+    pieces = np.array(model.encode(text), np.int64)
+    share = float(is_byte[pieces].mean()) if len(pieces) else None
+    if not len(ids):
+        return 0, None, None, len(pieces), share
+    ids.sort()
+    ends = np.flatnonzero(np.diff(ids, append=-1))
+    p = np.diff(ends, prepend=-1) / len(ids)
+    return len(ids), len(text) / len(ids), float(-(p * np.log2(p)).sum()), len(pieces), share
 
-    def measure(text: str):
-        ids = np.array(encode(text), np.int64)
-        if not len(ids):
-            return 0, None, None, None
-        ids.sort()
-        ends = np.flatnonzero(np.diff(ids, append=-1))
-        p = np.diff(ends, prepend=-1) / len(ids)
-        return len(ids), len(text) / len(ids), float(partial[ids].mean()), float(-(p * np.log2(p)).sum())
 
-    return measure
+def script_of(text: str) -> str:
+    """The script of most letters, as their Unicode names begin (LATIN, CYRILLIC, CJK ...); empty without letters. Ties go by name."""
+    counts: Counter[str] = Counter()
+    for char, n in Counter(text).items():
+        if char.isalpha():
+            counts[unicodedata.name(char, "").split(" ")[0]] += n
+    return min(counts, key=lambda s: (-counts[s], s), default="")
 
 
-def measure(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds the counts and fertility figures of each whole text; a null text counts as an empty one.
+def measure(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, fallback: str = FALLBACK_VOCABULARY) -> DataFrame:
+    """Adds the counts and fertility figures of each whole text, and its band: the language or, where that is null, the script.
 
-    Every row keeps all its columns, repeated rows too. The result columns must not exist yet. Without
-    tokens the three fertility figures are null.
+    A null text counts as an empty one. Every row keeps all its columns, repeated rows too. The result columns
+    must not exist yet. Without tokens the figures are null. An empty table gives no rows.
     """
     clash = set(METRICS) & {c.lower() for c in df.columns}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     schema = T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in METRICS.items())])
-    place = df.columns.index(text_col)
+    place, lang_at = df.columns.index(text_col), df.columns.index(lang_col)
+    kinds = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = _fertility(vocabulary)
         for batch in batches:
             rows = []
-            for text in texts_of(batch.column(place)):
+            for text, lang in zip(texts_of(batch.column(place)), batch.column(lang_at).to_pylist(), strict=True):
                 w = ascii_words(text)
                 data = np.frombuffer(b"".join(w), np.uint8)
                 lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")] if w else []
-                rows.append((len(w), int(((data & 0xC0) != 0x80).sum()), int(_SYMBOLS[data].sum()), len(lines) - len(set(lines)), repeated_words(w), *fertility(text)))
+                counts = (len(w), int(((data & 0xC0) != 0x80).sum()), int(_SYMBOLS[data].sum()), len(lines) - len(set(lines)), repeated_words(w))
+                band = f"script {script_of(text)}" if lang is None else f"language {lang}"
+                rows.append((*counts, *fertility(text, vocabulary, fallback), band))
             columns = list(zip(*rows, strict=True)) or [()] * len(METRICS)
-            kinds = [pa.int64() if isinstance(v, T.LongType) else pa.float64() for v in METRICS.values()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names, *METRICS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kinds[k]) for c, k in zip(columns, METRICS.values(), strict=True))], [*batch.schema.names, *METRICS])
 
     return df.mapInArrow(run, schema)
 
@@ -107,76 +114,103 @@ def base_failed() -> Column:
 
 
 def _length_class() -> Column:
-    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")
+    """Half powers of two of tokens."""
+    return F.floor(2 * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")
 
 
-def _text_key(text_col: str) -> Column:
+def text_key(text_col: str) -> Column:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return F.xxhash64(text, F.octet_length(text))
 
 
-def _pooled(d: DataFrame) -> DataFrame:
-    """(pool_lang, from_class, band_class): the classes whose texts give a class its limits, the class itself always."""
-    counts = materialize(d.groupBy("band_lang", "band_class").agg(F.count("*").alias("n")), "counts")
-    other = counts.select(F.col("band_lang").alias("pool_lang"), F.col("band_class").alias("from_class"), F.col("n").alias("from_n"))
-    pairs = counts.join(other, counts.band_lang.eqNullSafe(other.pool_lang)).withColumn("far", F.abs(F.col("band_class") - F.col("from_class")))
-    nearer = Window.partitionBy("band_lang", "band_class").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+def _pooled(one: DataFrame) -> DataFrame:
+    """(band, from_class, class): the classes whose texts give a class its limits, the class itself always."""
+    counts = materialize(one.groupBy("band", "class").agg(F.count("*").alias("n")), "counts")
+    other = counts.select("band", F.col("class").alias("from_class"), F.col("n").alias("from_n"))
+    pairs = counts.join(other, "band").withColumn("far", F.abs(F.col("class") - F.col("from_class")))
+    nearer = Window.partitionBy("band", "class").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
     pairs = pairs.withColumn("before", F.coalesce(F.sum("from_n").over(nearer), F.lit(0)))
-    return materialize(pairs.filter(F.col("before") < MIN_TEXTS).select("pool_lang", "from_class", "band_class"), "pools")
+    return materialize(pairs.filter(F.col("before") < MIN_TEXTS).select("band", "from_class", "class"), "pools")
 
 
-def bands(measured: DataFrame, key_col: str, lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
-    """Lower and upper limits of each figure by language (null is one) and length class.
+def _median(counted: DataFrame, value: Column, name: str) -> DataFrame:
+    """(band, class, figure, name): the lower median of ``value``, an integer, where rows count ``n`` times."""
+    keys = ["band", "class", "figure"]
+    values = counted.groupBy(*keys, value.alias("value")).agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    return values.withColumn("reached", 2 * upto >= total).filter("reached").groupBy(*keys).agg(F.min("value").alias(name))
+
+
+def bands(measured: DataFrame, key_col: str, width: float = WIDTH) -> DataFrame:
+    """(band, class, lower and upper limits of each figure) by language or script and length class.
 
     Medians and median deviations over the different texts (``key_col``) that pass the base rules, so copies
     have no more weight than one text. Figures of short texts scatter more, so documents are compared with
-    those of their own power of two of tokens, and of the nearest ones where these are too few.
+    those of their own length class, and of the nearest ones where these are too few. All comes from counts
+    of figures in steps, whose number does not grow with the documents.
     """
     passed = measured.filter(~base_failed() & (F.col("n_tokens") > 0))
-    one = passed.groupBy(F.col(lang_col).alias("band_lang"), _length_class().alias("band_class"), F.col(key_col).alias("key")).agg(*(F.first(c).alias(c) for c in LEAST))
+    one = passed.groupBy("band", _length_class().alias("class"), F.col(key_col).alias("key")).agg(*(F.first(c).alias(c) for c in LEAST))
     one = materialize(one.drop("key"), "texts")
-    pools = _pooled(one).withColumnRenamed("band_class", "for_class")
-    d = one.join(pools, one.band_lang.eqNullSafe(pools.pool_lang) & (one.band_class == pools.from_class))
-    d = d.select("band_lang", F.col("for_class").alias("band_class"), *LEAST)
-    keys = ["band_lang", "band_class"]
-    middle = d.groupBy(*keys).agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in LEAST))
-    middle = materialize(middle, "medians")
-    m = middle.select(F.col("band_lang").alias("l_"), F.col("band_class").alias("c_"), *(f"{c}_mid" for c in LEAST))
-    far = d.join(m, d.band_lang.eqNullSafe(m.l_) & (d.band_class == m.c_))
-    spread = far.groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000).alias(f"{c}_dev") for c in LEAST), *(F.first(f"{c}_mid").alias(f"{c}_mid") for c in LEAST))
-    limits = []
-    for c, least in LEAST.items():
-        mid = F.col(f"{c}_mid")
-        dev = F.greatest(1.4826 * F.col(f"{c}_dev"), F.lit(least) if c == "byte_share" else least * mid)
-        limits += [(mid - width * dev).alias(f"{c}_low"), (mid + width * dev).alias(f"{c}_high")]
-    return materialize(spread.select(*keys, *limits), "bands", keep=True)
-
-
-def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Adds base_failed and kept. A document without limits of its own (no such class) is judged by the base rules."""
-    b = limits.withColumnRenamed("band_lang", "l_").withColumnRenamed("band_class", "c_")
-    joined = measured.withColumn("class_", _length_class()).join(b, F.col(lang_col).eqNullSafe(F.col("l_")) & (F.col("class_") == F.col("c_")), "left")
+    figures = F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.floor(F.coalesce(c, F.lit(0.0)) * STEPS).alias("step")) for c in LEAST)))
+    counted = materialize(one.select("band", F.col("class").alias("from_class"), figures.alias("f")).groupBy("band", "from_class", "f.figure", "f.step").agg(F.count("*").alias("n")), "steps")
+    pooled = counted.join(_pooled(one), ["band", "from_class"]).groupBy("band", "class", "figure", "step").agg(F.sum("n").alias("n"))
+    pooled = materialize(pooled, "pooled")
+    middle = materialize(_median(pooled, F.col("step"), "middle"), "medians")
+    keys = ["band", "class", "figure"]
+    away = _median(pooled.join(middle, keys), F.abs(F.col("step") - F.col("middle")), "away")
+    middle_value, away_value = (F.col(c) / STEPS for c in ("middle", "away"))
+    least = F.coalesce(*(F.when(F.col("figure") == c, F.lit(x) if c == "byte_share" else x * middle_value) for c, x in LEAST.items()))
+    dev = width * F.greatest(1.4826 * away_value, least)
+    each = middle.join(away, keys).select(*keys, (middle_value - dev).alias("low"), (middle_value + dev).alias("high"))
+    limits = [F.max(F.when(F.col("figure") == c, F.col(end))).alias(f"{c}_{end}") for c in LEAST for end in ("low", "high")]
+    return materialize(each.groupBy("band", "class").agg(*limits), "bands", keep=True)
+
+
+def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds base_failed and kept to what ``measure`` gives. A document without limits (no such class) is judged by the base rules.
+
+    A figure that is null is within its limits; ties with a limit are kept. Rows are neither merged nor dropped.
+    """
+    known = measured.columns
+    joined = measured.withColumn("class_of_length", _length_class()).join(limits.withColumnRenamed("class", "class_of_length"), ["band", "class_of_length"], "left")
     inside = F.lit(True)
     for c in LEAST:
         inside = inside & F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(True))
     failed = base_failed()
-    return joined.select(*measured.columns, failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return joined.select(*known, failed.alias("base_failed"), (~failed & inside).alias("kept"))
+
+
+def _judged(df: DataFrame, text: str, lang: str, vocabulary: str, keep_text: bool) -> DataFrame:
+    """Every row of ``df`` (columns c0, c1 ...) with its figures and verdict. Texts are measured once; they never shuffle."""
+    with scratch(df.sparkSession):
+        measured = measure(df, text, lang, vocabulary).withColumn("text_key", text_key(text))
+        measured = materialize(measured if keep_text else measured.drop(text), "measured", keep=True)
+        return judge(measured.drop("text_key"), bands(measured, "text_key"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Columns under names that clash with nothing; ``df`` may have any."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
 def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts, figures and verdict of each document, without its text. The figures are measured once and written."""
-    columns = [id_col, lang_col, text_col]
-    source = df.select(*columns)
-    (key,) = fresh(source, "text_key")
-    measured = materialize(measure(source.withColumn(key, _text_key(text_col)), text_col, vocabulary).drop(text_col), "measured")
-    return judge(measured.drop(key), bands(measured, key, lang_col), lang_col)
+    """Counts, verdict, language and figures of each document, without its text.
+
+    Null and empty texts have no words and fail the base rules; a null language is judged by script. Repeated
+    rows and null ids give a row each with the same verdict; an empty table gives none; other columns are not read.
+    """
+    judged = _judged(_numbered(df.select(id_col, lang_col, text_col)), "c2", "c1", vocabulary, False)
+    more = [c for c in METRICS if c not in BASE]
+    return judged.select(F.col("c0").alias(id_col), *BASE, "base_failed", "kept", F.col("c1").alias(lang_col), *more)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The rows of ``df`` that pass, with their own columns. Texts never shuffle: they are measured again beside the limits."""
-    with scratch(df.sparkSession):
-        source = df.select(text_col, lang_col)
-        (key,) = fresh(source, "text_key")
-        measured = materialize(measure(source.withColumn(key, _text_key(text_col)), text_col, vocabulary).drop(text_col), "measured")
-        limits = bands(measured, key, lang_col)
-    return judge(measure(df, text_col, vocabulary), limits, lang_col).filter("kept").select(*df.columns)
+    """The rows of ``df`` that pass, with their own columns, whatever their names.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives no rows.
+    """
+    n = _numbered(df)
+    judged = _judged(n, f"c{df.columns.index(text_col)}", f"c{df.columns.index(lang_col)}", vocabulary, True)
+    return judged.filter("kept").select(*n.columns).toDF(*df.columns)

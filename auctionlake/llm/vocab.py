@@ -52,3 +52,12 @@ def tokenizer(name: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path(name))
+
+
+@lru_cache(2)
+def pieces(name: str):
+    """A ``.model`` vocabulary with byte fallback, and which of its ids are single bytes."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path(name))
+    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])

@@ -51,39 +51,94 @@ def test_quality_counts(spark, sf_dir):
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
-    docs = table(spark, "/root/testdata/sf0.01", "documents")
-    labels = table(spark, "/root/testdata/sf0.01", "labels")
-    judged = quality_rules.apply_rules(docs).join(labels, "doc_id").collect()
-    fair = [r for r in judged if not r.base_failed]
-    good = [r for r in fair if r.quality == 1]
-    junk = [r for r in fair if r.n_symbols > 0.05 * r.word_chars]
-    assert sum(r.kept for r in good) >= 0.99 * len(good)
-    assert sum(r.kept for r in junk) <= 0.35 * len(junk)
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    labels = table(spark, "/root/testdata/sf0.1", "labels")
+    judged = quality_rules.apply_rules(docs)
+    assert judged.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    fair = [r for r in judged.join(labels, "doc_id").collect() if not r.base_failed]
+    good, junk = ([r.kept for r in fair if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(junk) <= 0.1 * len(junk)
     kept = quality_rules.keep_good(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in quality_rules.apply_rules(docs).collect())
+    assert kept.columns == docs.columns and kept.count() == judged.filter("kept").count()
 
 
-def test_quality_fertility_figures(spark):
+def plain_verdicts(rows):
+    """rows: (id, text, lang). The bands written out plainly."""
     import math
 
+    def middle(values):
+        return sorted(values)[(len(values) - 1) // 2]
+
+    measured, seen, classes = [], set(), defaultdict(lambda: defaultdict(list))
+    for key, text, lang in rows:
+        text = text or ""
+        w = quality_rules.ascii_words(text)
+        n, per, bits, _, share = quality_rules.fertility(text)
+        failed = len(w) < 20 or 100 * quality_rules.repeated_words(w) > 30 * len(w)
+        band = f"language {lang}" if lang is not None else f"script {quality_rules.script_of(text)}"
+        cls = math.floor(2 * math.log2(max(n, 1)))
+        figures = {"chars_per_token": per, "token_entropy": bits, "byte_share": share}
+        measured.append((key, failed, band, cls, figures))
+        if not failed and n and (band, text) not in seen:
+            seen.add((band, text))
+            classes[band][cls].append(figures)
+    out = []
+    for key, failed, band, cls, figures in measured:
+        kept = not failed
+        if kept:
+            by_distance = defaultdict(list)
+            for c, members in classes[band].items():
+                by_distance[abs(c - cls)] += members
+            pool = []
+            for far in sorted(by_distance):
+                if len(pool) < quality_rules.MIN_TEXTS:
+                    pool += by_distance[far]
+            for name, least in quality_rules.LEAST.items():
+                steps = [math.floor(f[name] * 1000) for f in pool]
+                mid = middle(steps)
+                away = middle([abs(x - mid) for x in steps])
+                dev = 4.5 * max(1.4826 * away / 1000, least if name == "byte_share" else least * mid / 1000)
+                kept = kept and mid / 1000 - dev <= figures[name] <= mid / 1000 + dev
+        out.append((key, failed, kept))
+    return sorted(map(str, out))
+
+
+def test_quality_verdicts_match_plain_ones(spark):
+    docs = with_extra(spark, "/root/testdata/sf0.01").withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    expected = plain_verdicts([tuple(r) for r in docs.collect()])
+    assert sorted(str(tuple(r)) for r in quality_rules.apply_rules(docs).select("doc_id", "base_failed", "kept").collect()) == expected
+    assert any("False, False" in x for x in expected)
+
+
+def test_quality_takes_any_columns(spark):
+    rows = [(k, " ".join(f"word{j * k % 50}" for j in range(200)), None, k, k) for k in range(5)] + [(7, None, None, 1, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, class int")
+    for names in (("n_words", "class"), ("l_", "c_"), ("band", "byte_share_low"), ("kept", "text_key"), ("c0", "c2")):
+        named = d.toDF("doc_id", "text", "lang", *names)
+        got = quality_rules.keep_good(named)
+        assert got.columns == named.columns and all(r[3] == r[0] for r in got.collect())
+        assert quality_rules.apply_rules(named).count() == 6
+    assert quality_rules.keep_good(d.limit(0)).count() == 0
+
+
+def test_quality_fertility_figures():
+    import math
+
+    import sentencepiece
+
     from auctionlake.llm import vocab
 
-    text = "Ceci est un texte, 中文 and more text text text."
-    r = quality_rules.measure(spark.createDataFrame([(text, 1)], "text string, x int")).first()
+    text = "Ceci est un texte, 中文 and more ᚠᛇᚻ text text text."
+    n, per, bits, pieces, fallback = quality_rules.fertility(text)
     ids = vocab.encoding(quality_rules.VOCABULARY).encode_ordinary(text)
     share = Counter(ids)
-    back = {v: k for k, v in vocab.ranks(quality_rules.VOCABULARY).items()}
-
-    def whole(b):
-        try:
-            return bool(b.decode() or True)
-        except UnicodeDecodeError:
-            return False
-
-    assert r.n_tokens == len(ids) and r.chars_per_token == pytest.approx(len(text) / len(ids)) and r.x == 1
-    assert r.token_entropy == pytest.approx(-sum(c / len(ids) * math.log2(c / len(ids)) for c in share.values()))
-    assert r.byte_share == pytest.approx(sum(not whole(back[i]) for i in ids) / len(ids))
-    assert quality_rules.measure(spark.createDataFrame([], "text string")).count() == 0
+    model = sentencepiece.SentencePieceProcessor(model_file=vocab.path(quality_rules.FALLBACK_VOCABULARY))
+    found = model.encode(text, out_type=str)
+    assert n == len(ids) and per == pytest.approx(len(text) / len(ids)) and pieces == len(found)
+    assert bits == pytest.approx(-sum(c / len(ids) * math.log2(c / len(ids)) for c in share.values()))
+    assert fallback == pytest.approx(sum(bool(re.fullmatch("<0x..>", x)) for x in found) / len(found)) and fallback > 0
+    assert quality_rules.fertility("") == (0, None, None, 0, None)
+    assert [quality_rules.script_of(t) for t in ("ab é", "привет a", "中文", "12", "")] == ["LATIN", "CYRILLIC", "CJK", "", ""]
 
 
 def brute_hits(docs, items, window=10):
