@@ -17,6 +17,7 @@ BUCKETS = 10_000
 #: The target model is fitted on at most this many labelled documents (those with the smallest hashed ids).
 MAX_TARGET = 20_000
 #: Weights are those of a passage of so many n-grams with the document's mean ratio: length alone decides nothing.
+#: None gives the ratio of the two models for the whole document, by which short ones are drawn almost at random.
 PASSAGE = 200
 
 
@@ -74,8 +75,14 @@ def log_ratios(docs: DataFrame, targets: list, id_col: str = "doc_id", text_col:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", log_weight: str = "log_weight", n_features: str = "n_features", passage: int = PASSAGE) -> DataFrame:
-    """Adds each whole text's log importance weight and number of n-grams; other columns stay as they are."""
+def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", log_weight: str = "log_weight", n_features: str = "n_features", passage: int | None = PASSAGE) -> DataFrame:
+    """Adds each whole text's log importance weight and number of n-grams; other columns stay as they are.
+
+    The weight is the sum of its n-grams' log ratios, brought to the length of a ``passage`` unless that is
+    None. Null texts and those without words weigh 0. The two names must be new.
+    """
+    if {log_weight.lower(), n_features.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"{log_weight} or {n_features} is a column already")
     table = docs.sparkSession.sparkContext.broadcast(ratios)
     place = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_features, T.LongType()), T.StructField(log_weight, T.DoubleType())])
@@ -86,7 +93,7 @@ def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", log_weigh
         for batch in batches:
             found = [features(t) for t in texts_of(batch.column(place))]
             n = pa.array([len(f) for f in found], pa.int64())
-            weights = pa.array([passage * float(ratio[f].mean()) if len(f) else 0.0 for f in found], pa.float64())
+            weights = pa.array([float(ratio[f].sum()) * (passage / len(f) if passage else 1.0) if len(f) else 0.0 for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n, weights], [*batch.schema.names, n_features, log_weight])
 
     return docs.mapInArrow(run, schema)
@@ -95,7 +102,8 @@ def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", log_weigh
 def gumbel_top_k(scored: DataFrame, weight_col: str, key_col: str, k: int, seed: int = 0, out_col: str = "selected") -> DataFrame:
     """Adds whether a row is among the ``k`` with the largest weight plus Gumbel noise: a sample without replacement.
 
-    The noise comes from the row's key and the seed, so reruns agree; rows of one key share their noise.
+    The noise comes from the row's key and the seed, so reruns agree on any partitioning; rows of one key share
+    their noise, and of equal sums the smaller keys come first. Equal rows are interchangeable.
     Quantiles bracket the k-th value; only rows inside the bracket are ranked.
     """
     noisy, row, rank = fresh(scored, "noisy", "row", "rank")
@@ -110,18 +118,18 @@ def gumbel_top_k(scored: DataFrame, weight_col: str, key_col: str, k: int, seed:
     reached = d.filter(F.col(noisy) >= low).count()
     if above > k or reached < k:  # the quantiles missed: rank everything
         low, high, above, reached = float("-inf"), float("inf"), 0, n
-    between = d.filter((F.col(noisy) >= low) & (F.col(noisy) <= high)).select(row, noisy)
+    between = d.filter((F.col(noisy) >= low) & (F.col(noisy) <= high)).select(row, noisy, key_col)
     span = (high - low) or 1.0
     place = F.floor((F.lit(high) - F.col(noisy)) / span * 1_000_000).cast("long") if np.isfinite(span) else F.lit(0).cast("long")
     size = max(1, reached - above)
     spread = F.floor(place * max(1, -(-size // 50_000)) / 1_000_001).cast("long")
-    ranked = rank_within(between.withColumn("all_", F.lit(0)), "all_", [F.desc(noisy), row], spread, size, rank)
+    ranked = rank_within(between.withColumn("all_", F.lit(0)), "all_", [F.desc(noisy), key_col, row], spread, size, rank)
     chosen = ranked.filter(F.col(rank) < k - above).select(F.col(row).alias("r_"))
     joined = d.join(chosen, d[row] == F.col("r_"), "left")
     return joined.select(*scored.columns, ((F.col(noisy) > high) | F.col("r_").isNotNull()).alias(out_col))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, buckets: int = BUCKETS, max_target: int = MAX_TARGET, seed: int = 0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, buckets: int = BUCKETS, max_target: int = MAX_TARGET, seed: int = 0, passage: int | None = PASSAGE) -> DataFrame:
     """(id, n_features, log_weight, selected) of every document.
 
     ``share`` of all documents is sampled; by default that of good ones among the labelled. Null texts and
@@ -132,6 +140,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         found = labels.agg(F.avg((F.col(label_col) == 1).cast("double")).alias("share")).first()["share"]
         share = 1.0 if found is None else found
     ratios = log_ratios(docs, target_ids(labels, id_col, label_col, max_target), id_col, text_col, buckets)
-    scored = score(docs.select(id_col, text_col), ratios, text_col).drop(text_col)
+    scored = score(docs.select(id_col, text_col), ratios, text_col, passage=passage).drop(text_col)
     scored = materialize(scored, "scored")
     return gumbel_top_k(scored, "log_weight", id_col, round(share * scored.count()), seed)

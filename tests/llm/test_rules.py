@@ -340,6 +340,43 @@ def test_importance(spark):
     assert got.filter("selected").select("doc_id").exceptAll(again.filter("selected").select("doc_id")).count() == 0
 
 
+@pytest.mark.parametrize("passage", [None, 200])
+def test_importance_matches_a_plain_computation(spark, sf_dir, passage):
+    import math
+
+    import xxhash
+
+    docs = with_extra(spark, sf_dir).select("doc_id", "text").filter("doc_id IS NOT NULL")
+    labels = table(spark, sf_dir, "labels")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    share = sum(r.quality == 1 for r in labels.collect()) / labels.count()
+    word = lambda w: xxhash.xxh3_64_intdigest(w.encode())
+
+    def grams(text):
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        out = [word(x) % importance.BUCKETS for x in w]
+        for a, b in zip(w, w[1:], strict=False):
+            h = ((word(a) * 0x9E3779B97F4A7C15) % (1 << 64)) ^ ((word(b) + 0x165667B19E3779F9) % (1 << 64))
+            out.append((h ^ h >> 31) % importance.BUCKETS)
+        return out
+
+    rows = [(r.doc_id, grams(r.text)) for r in docs.collect()]
+    raw, target = [1] * importance.BUCKETS, [1] * importance.BUCKETS
+    for key, g in rows:
+        for b in g:
+            raw[b] += 1
+            target[b] += key in good
+    n, m = sum(raw), sum(target)
+    ratio = [math.log(t / m) - math.log(r / n) for t, r in zip(target, raw, strict=True)]
+    weights = [(key, len(g), sum(ratio[b] for b in g) * (passage / len(g) if passage and g else 1)) for key, g in rows]
+    uniform = {r.doc_id: ((r.h % ((1 << 52) - 1)) + 0.5) / (1 << 52) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(0)).alias("h")).distinct().collect()}
+    noisy = sorted((-(w - math.log(-math.log(uniform[key]))), key, size, w) for key, size, w in weights)
+    k = round(share * len(rows))
+    expected = sorted((key, size, round(w, 6), at < k) for at, (_, key, size, w) in enumerate(noisy))
+    got = importance.classify(docs, labels, passage=passage).collect()
+    assert sorted((r.doc_id, r.n_features, round(r.log_weight, 6), r.selected) for r in got) == expected
+
+
 def test_importance_edges_and_top_k(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     rows = [(1, "good words here"), (2, None), (None, ""), (1, "good words here"), (3, "bad " * 5000)]
