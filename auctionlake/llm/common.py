@@ -268,9 +268,9 @@ def hot_keys(counted: DataFrame, n_col: str, total: int, least: int = 2000) -> D
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``counted``, which has one row for each key and the key's number of rows in ``n_col``.
+    """Inner join of ``rows`` with ``counted``, which has a few rows for each key, all with the key's number of rows in ``n_col``.
 
-    Hot keys meet their rows where these are (fewer than SHARE rows are broadcast); all others are joined by
+    Hot keys meet their rows where these are (fewer than SHARE are broadcast); all others are joined by
     a shuffle in which no key holds more than a thousandth of the rows. ``n_col`` is dropped.
     """
     hot = materialize(hot_keys(counted, n_col, total).drop(n_col), "hot")
@@ -346,16 +346,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 # --- exact ranks without one task per group ------------------------------------------------------
 
 
-def rank_within(df: DataFrame, group: str, order: list[str | Column], spread: Column, rows: int, name: str, per_task: int = 10_000) -> DataFrame:
+#: Parts of a bucket whose rows follow a second number: a group of equal first numbers is never one task's alone.
+PARTS = 32
+
+
+def rank_within(df: DataFrame, group: str, order: list[str | Column], spread: Column, rows: int, name: str, per_task: int = 2_000, within: Column | None = None) -> DataFrame:
     """Adds a 0-based gapless rank within ``group`` as ``name``.
 
     ``spread`` (a long) is cut into buckets that the rank follows first; ``order`` orders rows inside a
-    bucket. Each (group, bucket) is one window, so no task ever holds a whole group; only bucket counts
-    meet in the running sum.
+    bucket. Each (group, bucket) is one window, so a task holds a whole group only where it is small; only
+    bucket counts meet in the running sum. Rows of one ``spread`` stay in one bucket; where these may be many,
+    ``within`` (a long) cuts each bucket into PARTS.
     """
-    buckets = max(1, min(1 << 20, -(-rows // per_task)))
+    buckets = max(1, min(1 << 20 if within is None else (1 << 20) // PARTS, -(-rows // per_task)))
     bucket, rank = fresh(df, "bucket", "rank_in_bucket")
-    d = df.withColumn(bucket, F.pmod(spread, F.lit(buckets)).cast("int"))
+    place = F.pmod(spread, F.lit(buckets))
+    if within is not None and buckets > 1:
+        place = place * PARTS + F.pmod(within, F.lit(PARTS))
+    d = df.withColumn(bucket, place.cast("int"))
     if buckets == 1:
         return d.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long")).drop(bucket)
     counts = d.groupBy(group, bucket).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auctionlake.llm.common import materialize, rank_within
+from auctionlake.llm.common import join_counted, materialize, rank_within
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -35,7 +35,7 @@ def _deal(nodes: DataFrame, total: int, quotas: list[int]) -> DataFrame:
     def shard_at(place: Column) -> Column:
         return sum(((place >= end).cast("int") for end in ends[:-1]), F.lit(0))
 
-    buckets = max(1, min(1 << 20, -(-total // 10_000)))
+    buckets = max(1, min(1 << 20, -(-total // 2_000)))
     sizes = nodes.groupBy("first_hub").agg(F.count("*").alias("size")).withColumn("bucket", F.pmod(F.xxhash64("first_hub"), F.lit(buckets)).cast("int"))
     sizes = materialize(sizes, "hubs")
     sums = sizes.groupBy("bucket").agg(F.sum("size").alias("n")).withColumn("all_", F.lit(0))
@@ -43,8 +43,8 @@ def _deal(nodes: DataFrame, total: int, quotas: list[int]) -> DataFrame:
     sums = sums.select("bucket", F.coalesce(earlier, F.lit(0)).alias("start"))
     inside = F.sum("size").over(Window.partitionBy("bucket").orderBy("first_hub").rowsBetween(Window.unboundedPreceding, -1))
     placed = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, "bucket").withColumn("start", F.col("start") + F.col("inside"))
-    placed = placed.select("first_hub", "start", shard_at(F.col("start")).alias("low"), shard_at(F.col("start") + F.col("size") - 1).alias("high"))
-    dealt = materialize(nodes.join(placed, "first_hub"), "dealt")
+    placed = placed.select("first_hub", "size", "start", shard_at(F.col("start")).alias("low"), shard_at(F.col("start") + F.col("size") - 1).alias("high"))
+    dealt = materialize(join_counted(nodes, materialize(placed, "placed"), "first_hub", "size", total), "dealt")
     cut = rank_within(dealt.filter("low <> high"), "first_hub", ["node"], F.xxhash64("node"), total, "turn")
     cut = cut.select("node", "first_hub", shard_at(F.col("start") + F.col("turn")).alias("shard"))
     return dealt.filter("low = high").select("node", "first_hub", F.col("low").alias("shard")).unionByName(cut)
@@ -63,21 +63,22 @@ def _allowed(wanted: dict[tuple[int, int], int], room: list[int], exchange: bool
     return out
 
 
-def _votes(links: DataFrame, state: DataFrame) -> tuple[DataFrame, int]:
-    """Each hub's nodes by shard, and how many ordered pairs of neighbours are together: what every round must raise."""
+def _votes(links: DataFrame, state: DataFrame) -> tuple[DataFrame, int, int]:
+    """Each hub's nodes by shard and in all, how many ordered pairs of neighbours are together (what every round must raise), and all links."""
     votes = materialize(links.join(state, "node").groupBy("hub", "shard").agg(F.count("*").alias("votes")), "votes")
     n = F.col("votes").cast("decimal(18,0)")
-    return votes, int(votes.agg(F.sum(n * n).alias("n")).first()["n"] or 0)
+    sums = votes.agg(F.sum(n * n).alias("together"), F.sum("votes").alias("members")).first()
+    return votes.withColumn("members", F.sum("votes").over(Window.partitionBy("hub"))), int(sums["together"] or 0), int(sums["members"] or 0)
 
 
-def _round(links: DataFrame, state: DataFrame, votes: DataFrame, quotas: list[int], exchange: bool) -> DataFrame | None:
+def _round(links: DataFrame, state: DataFrame, votes: DataFrame, members: int, quotas: list[int], exchange: bool) -> DataFrame | None:
     """The nodes with their shards after one round of moves; None if none may move."""
     shards = len(quotas)
     load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quotas)]
     if not exchange and not any(room):
         return None
-    offers = links.join(votes, "hub").groupBy("node", "shard").agg(F.sum("votes").alias("votes"))
+    offers = join_counted(links, votes, "hub", "members", members).groupBy("node", "shard").agg(F.sum("votes").alias("votes"))
     choice = offers.withColumnRenamed("shard", "to").join(state, "node")
     if not exchange:  # a node's own shard stays open to it; the others only while they have room
         choice = choice.filter((F.col("to") == F.col("shard")) | (_case(F.col("to"), room) > 0))
@@ -91,8 +92,7 @@ def _round(links: DataFrame, state: DataFrame, votes: DataFrame, quotas: list[in
         return None
     going = movers.filter(_case(F.col("way"), allowed) > 0)
     if any(n > allowed[a * shards + b] > 0 for (a, b), n in wanted.items()):
-        by_hub = F.shiftright(F.xxhash64("first_hub"), 43).bitwiseAND((1 << 20) - 1)
-        ranked = rank_within(going, "way", [F.xxhash64("first_hub"), "node"], by_hub, sum(wanted.values()), "turn")
+        ranked = rank_within(going, "way", [F.xxhash64("first_hub"), "node"], F.xxhash64("first_hub"), sum(wanted.values()), "turn", within=F.xxhash64("node"))
         going = ranked.filter(F.col("turn") < _case(F.col("way"), allowed))
     moved = going.select("node", F.col("to").alias("moved"))
     return materialize(state.join(moved, "node", "left").select("node", "first_hub", F.coalesce("moved", "shard").alias("shard")), "shards")
@@ -109,12 +109,12 @@ def propagate(links: DataFrame, quotas: list[int]) -> DataFrame:
     """
     nodes = links.groupBy("node").agg(F.min("hub").alias("first_hub"))
     state = materialize(_deal(nodes, nodes.count(), quotas), "shards")
-    votes, together = _votes(links, state)
+    votes, together, members = _votes(links, state)
     exchange = False
     while True:
-        moved = _round(links, state, votes, quotas, exchange)
+        moved = _round(links, state, votes, members, quotas, exchange)
         if moved is not None:
-            new_votes, new_together = _votes(links, moved)
+            new_votes, new_together, _ = _votes(links, moved)
             if new_together > together:
                 state, votes, together, exchange = moved, new_votes, new_together, False
                 continue
@@ -142,8 +142,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     rows = materialize(rows.withColumn("node", F.monotonically_increasing_id()), "rows")  # numbers hold once written
     n = rows.count()
     quotas = _quotas(n, shards)
-    groups = rows.filter("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub")
-    links = materialize(rows.join(groups, "hub").select("node", "hub"), "links")
+    groups = materialize(rows.filter("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    links = materialize(join_counted(rows.select("node", "hub"), groups, "hub", "n", n).select("node", "hub"), "links")
     linked = materialize(propagate(links, quotas), "linked")
     load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     ends, total = [], 0
