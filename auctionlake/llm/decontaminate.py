@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -81,53 +82,78 @@ def searchers(items: list[tuple[object, str]], window: int) -> list[WuManber]:
     return [WuManber(patterns, length) for length, patterns in sorted(by_length.items())]
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The test strings in blocks of bounded size, each collected on its own."""
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_chars: int) -> tuple[int, Callable[[int], list[tuple[object, str]]]]:
+    """The number of blocks of test strings, and a reader of one: no more than a block is ever on the driver."""
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text") + 16).alias("n")).first()["n"] or 0
     n = max(1, -(-total // pass_chars))
-    for k in range(n):
-        yield [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
+    return n, lambda k: [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
 
 
-def find_occurrences(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """``docs`` with n_words, hit_spans (disjoint [start, end) word ranges in order) and hit_items.
+RESULTS = ("n_words", "hit_spans", "hit_items")
+
+
+def find_occurrences(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_chars: int = PASS_CHARS, names: tuple[str, str, str] = RESULTS
+) -> DataFrame:
+    """``docs`` with n_words, hit_spans (disjoint [start, end) word ranges in order) and hit_items, under ``names``.
 
     Every occurrence of every window of ``window`` consecutive item words counts, as does a whole item of
     fewer words. Null texts and items have no words and hit nothing; repeated rows each get their own
-    result; an empty table on either side is allowed; other columns stay as they are. The three result
-    columns must not exist yet. A benchmark beyond ``pass_chars`` is searched block after block.
+    result; an empty table on either side is allowed; other columns stay as they are. The three names must
+    not exist yet. A benchmark beyond ``pass_chars`` is searched block after block: each block's hits are
+    written and its tables dropped before the next is read.
     """
-    clash = {"n_words", "hit_spans", "hit_items"} & {c.lower() for c in docs.columns}
+    clash = {n.lower() for n in names} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     item_type = benchmark.schema[item_col].dataType
-    out = docs
-    for number, items in enumerate(_passes(benchmark, item_col, item_text_col, pass_chars)):
-        names = ["n_words", "hit_spans", "hit_items"] if not number else fresh(out, "more_words", "more_spans", "more_items")
-        found = docs.sparkSession.sparkContext.broadcast(items)
-        schema = T.StructType([*out.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(span)), T.StructField(names[2], T.ArrayType(item_type))])
-        out = out.mapInArrow(_search(found, window, out.columns.index(text_col), names, to_arrow_type(item_type)), schema)
-        if number:
-            spans = F.array_sort(F.concat("hit_spans", names[1]))
-            out = out.withColumn("hit_items", F.array_distinct(F.concat("hit_items", names[2]))).withColumn("hit_spans", _merged(spans)).drop(*names)
-    return out
-
-
-def _merged(spans: Column) -> Column:
-    """Sorted spans with those that meet or overlap made one."""
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"])
-        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(spans, F.slice(spans, 1, 0), add)
-
-
-def _search(found, window: int, place: int, names: list[str], item_type: pa.DataType):
+    found = [T.LongType(), T.ArrayType(span), T.ArrayType(item_type)]
+    passes, read = _passes(benchmark, item_col, item_text_col, pass_chars)
+    spark = docs.sparkSession
+    if passes == 1:
+        schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, found)])
+        return docs.mapInArrow(_search(spark.sparkContext.broadcast(read(0)), window, docs.columns.index(text_col), names, to_arrow_type(item_type)), schema)
+
+    row, other = fresh(docs, "row", "other_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # a number holds once written
+    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([*texts.schema.fields, *map(T.StructField, RESULTS, found)])
+    hits = []
+    for k in range(passes):
+        items = spark.sparkContext.broadcast(read(k))
+        each = texts.mapInArrow(_search(items, window, 1, RESULTS, to_arrow_type(item_type)), schema).drop("text")
+        hits.append(materialize(each if not k else each.filter(F.size("hit_spans") > 0), "hits"))
+        items.destroy()
+    every = functools.reduce(DataFrame.unionByName, hits)
+    gathered = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("hit_items"))
+    merged = gathered.select(F.col("row").alias(other), "n_words", "hit_spans", "hit_items").mapInArrow(_merge_rows, T.StructType([T.StructField(other, T.LongType()), *map(T.StructField, RESULTS, found)]))
+    renamed = merged.toDF(other, *names)
+    return numbered.join(renamed, F.col(row) == F.col(other)).select(*docs.columns, *names)
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Ranges in order, with those that meet or overlap made one."""
+    out: list[list[int]] = []
+    for start, end in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([start, end])
+    return [{"start": a, "end": b} for a, b in out]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [_merged([(s["start"], s["end"]) for s in x]) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), batch.column(3)], batch.schema.names)
+
+
+def _search(found, window: int, place: int, names: tuple[str, ...], item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = searchers(found.value, window)
         for batch in batches:
@@ -140,16 +166,9 @@ def _search(found, window: int, place: int, names: list[str], item_type: pa.Data
                     for start, who in s.search(w):
                         ranges.append((start, start + s.length))
                         items.update(dict.fromkeys(who))
-                merged: list[list[int]] = []
-                for start, end in sorted(ranges):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(end, merged[-1][1])
-                    else:
-                        merged.append([start, end])
-                spans.append([{"start": a, "end": b} for a, b in merged])
+                spans.append(_merged(ranges))
                 hits.append(list(items))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(hits, pa.list_(item_type))]
+            columns = [pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(hits, pa.list_(item_type))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     return run
@@ -169,5 +188,9 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no test string occurs, with their own columns."""
-    return find_occurrences(docs, materialize(benchmark, "benchmark"), **options).filter(F.size("hit_spans") == 0).select(*docs.columns)
+    """The rows of ``docs`` in which no test string occurs, with their own columns, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; empty tables are allowed on either side.
+    """
+    names = tuple(fresh(docs, *RESULTS))
+    return find_occurrences(docs, materialize(benchmark, "benchmark"), names=names, **options).filter(F.size(names[1]) == 0).select(*docs.columns)

@@ -170,6 +170,8 @@ def test_contamination(spark, sf_dir, pass_chars):
     docs += [(-1, None), (-2, ""), (-3, "ZWEI wörter; und EIN Wort"), (-4, "aa " * 40), (-5, f"x {items[0][1].upper()} y"), (-5, "null ITEM id-here"), (None, "ein ein")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("start", F.lit(1))
     found = decontaminate.find_occurrences(d, spark.createDataFrame(items, "item_id long, text string"), pass_chars=pass_chars)
+    clean = decontaminate.remove_contaminated(d.withColumnsRenamed({"start": "n_words"}).withColumns({"row": F.lit(1), "hit_spans": F.lit(2)}), spark.createDataFrame(items, "item_id long, text string"), pass_chars=pass_chars)
+    assert clean.columns == ["doc_id", "text", "n_words", "row", "hit_spans"] and clean.count() == found.filter(F.size("hit_spans") == 0).count()
     got = [tuple(r) for r in decontaminate.report(found).collect()]
     expected = brute_hits(docs, [i for i in items if i[0] is not None] + [(None, "null item id here")])
     drop = lambda rows: sorted(r for r in rows if "-5" not in r)  # noqa: E731  a null item has no place in a digest
