@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from auctionlake.llm import vocab
 from auctionlake.llm.common import ascii_words, materialize, scratch, texts_of
 
-#: Characters per token and token entropy come from a vocabulary of whole byte pairs, the share of fallback bytes from one that has them.
+#: Characters per token and token entropy come from a byte-level vocabulary; the share of fallback bytes in words from one that falls back to bytes.
 VOCABULARY, FALLBACK_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 REPEAT_WINDOW = 8
 #: A document outside median +- WIDTH robust deviations of its language and length class is rejected ...
@@ -23,7 +24,9 @@ WIDTH = 4.5
 #: ... where a deviation is never taken as less than this: characters per token and bits as shares of the median, the byte share absolutely.
 LEAST = {"chars_per_token": 0.02, "token_entropy": 0.02, "byte_share": 0.01}
 #: Figures are counted by steps of one in so many, so that medians are exact whatever the order of rows.
-STEPS = 1000
+STEPS = 250
+#: Words whose pieces a task remembers, and the longest of them in bytes.
+KNOWN_WORDS, KNOWN_BYTES = 500_000, 64
 #: Limits come from so many different texts; a class with fewer also reads the nearest classes of its language, all of them if need be.
 MIN_TEXTS = 30
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -57,18 +60,42 @@ def repeated_words(w: list[bytes], window: int = REPEAT_WINDOW) -> int:
     return int((np.cumsum(change[:-1]) > 0).sum())
 
 
-def fertility(text: str, vocabulary: str = VOCABULARY, fallback: str = FALLBACK_VOCABULARY) -> tuple:
-    """(tokens, characters per token, entropy in bits, pieces, share of pieces that are fallback bytes); null figures without tokens."""
+class _Pieces(dict):
+    """Pieces of a word << 32 | fallback bytes among them; every distinct word is encoded once."""
+
+    def __init__(self, fallback: str):
+        self.model, self.is_byte = vocab.pieces(fallback)
+
+    def __missing__(self, word: bytes) -> int:
+        ids = self.model.encode(word.decode("utf-8", "surrogatepass"))
+        found = len(ids) << 32 | int(self.is_byte[ids].sum())
+        if len(word) <= KNOWN_BYTES:
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> tuple[int, float | None]:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        total = sum(map(self.__getitem__, words))
+        n = total >> 32
+        return n, (total & 0xFFFFFFFF) / n if n else None
+
+
+@lru_cache(2)
+def _pieces(fallback: str) -> _Pieces:
+    return _Pieces(fallback)
+
+
+def fertility(text: str, words: list[bytes], vocabulary: str = VOCABULARY, fallback: str = FALLBACK_VOCABULARY) -> tuple:
+    """(tokens, characters per token, entropy in bits, pieces of the words, share of pieces that are fallback bytes); null figures without tokens."""
+    n_pieces, share = _pieces(fallback).of(words)
     ids = np.array(vocab.encoding(vocabulary).encode_ordinary(text), np.int64)
-    model, is_byte = vocab.pieces(fallback)
-    pieces = np.array(model.encode(text), np.int64)
-    share = float(is_byte[pieces].mean()) if len(pieces) else None
     if not len(ids):
-        return 0, None, None, len(pieces), share
+        return 0, None, None, n_pieces, share
     ids.sort()
     ends = np.flatnonzero(np.diff(ids, append=-1))
     p = np.diff(ends, prepend=-1) / len(ids)
-    return len(ids), len(text) / len(ids), float(-(p * np.log2(p)).sum()), len(pieces), share
+    return len(ids), len(text) / len(ids), float(-(p * np.log2(p)).sum()), n_pieces, share
 
 
 def script_of(text: str) -> str:
@@ -102,7 +129,7 @@ def measure(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab
                 lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")] if w else []
                 counts = (len(w), int(((data & 0xC0) != 0x80).sum()), int(_SYMBOLS[data].sum()), len(lines) - len(set(lines)), repeated_words(w))
                 band = f"script {script_of(text)}" if lang is None else f"language {lang}"
-                rows.append((*counts, *fertility(text, vocabulary, fallback), band))
+                rows.append((*counts, *fertility(text, w, vocabulary, fallback), band))
             columns = list(zip(*rows, strict=True)) or [()] * len(METRICS)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kinds[k]) for c, k in zip(columns, METRICS.values(), strict=True))], [*batch.schema.names, *METRICS])
 

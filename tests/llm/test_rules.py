@@ -73,7 +73,7 @@ def plain_verdicts(rows):
     for key, text, lang in rows:
         text = text or ""
         w = quality_rules.ascii_words(text)
-        n, per, bits, _, share = quality_rules.fertility(text)
+        n, per, bits, _, share = quality_rules.fertility(text, w)
         failed = len(w) < 20 or 100 * quality_rules.repeated_words(w) > 30 * len(w)
         band = f"language {lang}" if lang is not None else f"script {quality_rules.script_of(text)}"
         cls = math.floor(2 * math.log2(max(n, 1)))
@@ -94,11 +94,11 @@ def plain_verdicts(rows):
                 if len(pool) < quality_rules.MIN_TEXTS:
                     pool += by_distance[far]
             for name, least in quality_rules.LEAST.items():
-                steps = [math.floor(f[name] * 1000) for f in pool]
+                steps = [math.floor(f[name] * 250) for f in pool]
                 mid = middle(steps)
                 away = middle([abs(x - mid) for x in steps])
-                dev = 4.5 * max(1.4826 * away / 1000, least if name == "byte_share" else least * mid / 1000)
-                kept = kept and mid / 1000 - dev <= figures[name] <= mid / 1000 + dev
+                dev = 4.5 * max(1.4826 * away / 250, least if name == "byte_share" else least * mid / 250)
+                kept = kept and mid / 250 - dev <= figures[name] <= mid / 250 + dev
         out.append((key, failed, kept))
     return sorted(map(str, out))
 
@@ -129,15 +129,15 @@ def test_quality_fertility_figures():
     from auctionlake.llm import vocab
 
     text = "Ceci est un texte, 中文 and more ᚠᛇᚻ text text text."
-    n, per, bits, pieces, fallback = quality_rules.fertility(text)
+    n, per, bits, pieces, fallback = quality_rules.fertility(text, quality_rules.ascii_words(text))
     ids = vocab.encoding(quality_rules.VOCABULARY).encode_ordinary(text)
     share = Counter(ids)
     model = sentencepiece.SentencePieceProcessor(model_file=vocab.path(quality_rules.FALLBACK_VOCABULARY))
-    found = model.encode(text, out_type=str)
+    found = [p for w in text.split() for p in model.encode(w, out_type=str)]
     assert n == len(ids) and per == pytest.approx(len(text) / len(ids)) and pieces == len(found)
     assert bits == pytest.approx(-sum(c / len(ids) * math.log2(c / len(ids)) for c in share.values()))
     assert fallback == pytest.approx(sum(bool(re.fullmatch("<0x..>", x)) for x in found) / len(found)) and fallback > 0
-    assert quality_rules.fertility("") == (0, None, None, 0, None)
+    assert quality_rules.fertility("", []) == (0, None, None, 0, None)
     assert [quality_rules.script_of(t) for t in ("ab é", "привет a", "中文", "12", "")] == ["LATIN", "CYRILLIC", "CJK", "", ""]
 
 
