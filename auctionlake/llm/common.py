@@ -358,7 +358,7 @@ def rank_within(df: DataFrame, group: str, order: list[str | Column], spread: Co
     bucket counts meet in the running sum. Rows of one ``spread`` stay in one bucket; where these may be many,
     ``within`` (a long) cuts each bucket into PARTS.
     """
-    buckets = max(1, min(1 << 20 if within is None else (1 << 20) // PARTS, -(-rows // per_task)))
+    buckets = max(64 if rows > 1000 else 1, min(1 << 20 if within is None else (1 << 20) // PARTS, -(-rows // per_task)))
     bucket, rank = fresh(df, "bucket", "rank_in_bucket")
     place = F.pmod(spread, F.lit(buckets))
     if within is not None and buckets > 1:

@@ -35,7 +35,7 @@ def _deal(nodes: DataFrame, total: int, quotas: list[int]) -> DataFrame:
     def shard_at(place: Column) -> Column:
         return sum(((place >= end).cast("int") for end in ends[:-1]), F.lit(0))
 
-    buckets = max(1, min(1 << 20, -(-total // 2_000)))
+    buckets = max(64, min(1 << 20, -(-total // 2_000)))
     sizes = nodes.groupBy("first_hub").agg(F.count("*").alias("size")).withColumn("bucket", F.pmod(F.xxhash64("first_hub"), F.lit(buckets)).cast("int"))
     sizes = materialize(sizes, "hubs")
     sums = sizes.groupBy("bucket").agg(F.sum("size").alias("n")).withColumn("all_", F.lit(0))
