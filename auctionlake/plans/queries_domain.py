@@ -131,10 +131,10 @@ def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("whitespace_and_case", r"""
-SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(left(text, 200), '\s+', ' ', 'g'), ' ,', ',', 'g'), '^[ ,]+|[ ,]+$', '', 'g')) AS cleaned_hash, lower(regexp_replace(source, '[^A-Za-z0-9]', '', 'g')) AS alias FROM documents""")
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), ' ,', ',', 'g'), '^[ ,]+|[ ,]+$', '', 'g')) AS cleaned_hash, lower(regexp_replace(source, '[^A-Za-z0-9]', '', 'g')) AS alias FROM documents""")
 def whitespace_and_case(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents", ["doc_id", "text", "source"])
-    return d.select("doc_id", F.sha2(X.clean_whitespace(F.left("text", F.lit(200))), 256).alias("cleaned_hash"), X.alias_key(F.col("source")).alias("alias"))
+    return d.select("doc_id", F.sha2(X.clean_whitespace(F.col("text")), 256).alias("cleaned_hash"), X.alias_key(F.col("source")).alias("alias"))
 
 
 _TOWNS = ["Asbury Park", "Long Branch", "West Long Branch", "Red Bank"]
@@ -213,18 +213,64 @@ def page_visible_title(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages", ["page_id", "html"]).select("page_id", pages.visible_text(X.found(F.col("html"), "(?is)<title>(.*?)</title>")).alias("title"))
 
 
-@query("sale_listing_rows", """
-SELECT CAST(o_orderkey AS VARCHAR) AS sheriff_number, CAST(o_orderdate AS DATE) AS sale_date, 'Bank ' || o_orderstatus AS plaintiff, CASE o_orderstatus WHEN 'F' THEN 'sold' WHEN 'O' THEN 'scheduled' ELSE 'adjourned' END AS status FROM orders WHERE o_orderkey % 10 = 0""")
+#: Wordings of listing statuses and what they mean.
+_LISTED = [('Scheduled - Adjourned', 'scheduled'), ('Bankruptcy', 'bankruptcy'), ('Adjourned Plaintiff', 'adjourned'), ('Cancelled', 'cancelled'), ('Redeemed by owner', 'redeemed'), ('Sold to plaintiff', 'sold'), ('Stayed', 'stayed'), ('Sale  Pending', 'sale_pending')]
+_AUCTIONED = [('Preview', 'scheduled'), ('Active', 'scheduled'), ('OPEN ', 'scheduled'), ('Postponed to May', 'adjourned'), ('Stayed', 'stayed'), ('Cancelled', 'cancelled'), ('Withdrawn', 'cancelled'), ('Sold', 'sold'), ('Closed early', 'sold'), ('Inactive', 'inactive'), ('Reopening', 'reopening'), (' ', 'unknown')]
+_COURT = [('Active', 'scheduled'), ('Postponed', 'adjourned'), ('CANCELLED', 'cancelled'), ('Stayed', 'stayed'), ('Postponed again', 'postponed again'), ('', 'unknown')]
+
+
+def _wording(k: Column, words: list[tuple[str, str]]) -> Column:
+    return F.element_at(F.array(*(F.lit(w) for w, _ in words)), (k % len(words) + 1).cast("int"))
+
+
+def _meaning_sql(k: str, words: list[tuple[str, str]]) -> str:
+    return f"list_extract([{', '.join(repr(m) for _, m in words)}], CAST({k} % {len(words)} + 1 AS INTEGER))"
+
+
+@query("sale_listing_rows", f"""
+SELECT 'FOR-' || CAST(o_orderkey AS VARCHAR) AS sheriff_number, CAST(o_orderdate AS DATE) AS sale_date, 'Bank ' || o_orderstatus AS plaintiff, 'Owner ' || CAST(o_custkey AS VARCHAR) AS defendant, CAST(o_custkey AS VARCHAR) || ' Main St' AS address,
+  CASE WHEN o_custkey % 3 = 1 THEN 'scheduled' ELSE {_meaning_sql('o_orderkey', _LISTED)} END AS status, '/Sales/SaleDetails?PropertyId=' || CAST(o_orderkey AS VARCHAR) AS detail_href FROM orders""")
 def sale_listing_rows(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").filter("o_orderkey % 10 = 0")
-    status = F.when(F.col("o_orderstatus") == "F", "Sold to plaintiff").when(F.col("o_orderstatus") == "O", "").otherwise("Adjourned")
+    """Three layouts: headings in the usual order with a status, without one, and headings in another order."""
+    o = read(spark, sf, "orders")
     cell = lambda c: F.concat(F.lit("<td> <b>"), c, F.lit("</b></td>"))
-    html = F.concat(
-        F.lit("<table><tr><th>Sheriff #</th><th>Date</th></tr><tr>"), cell(F.col("o_orderkey").cast("string")), cell(F.date_format("o_orderdate", "M/d/yyyy")), cell(F.concat(F.lit("Bank&nbsp;"), "o_orderstatus")),
-        cell(F.lit("Owner")), cell(F.lit("1 Main")), cell(status), F.lit("</tr></table>"),
-    )
-    rows = pages.sale_listing(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "page_id", "html")
-    return rows.select("sheriff_number", "sale_date", "plaintiff", "status")
+    text = lambda c: F.col(c).cast("string")
+    number, day = cell(F.concat(F.lit("for-"), text("o_orderkey"))), cell(F.date_format("o_orderdate", "M/d/yyyy"))
+    bank, owner, address = cell(F.concat(F.lit("Bank&nbsp;"), "o_orderstatus")), cell(F.concat(F.lit("Owner "), text("o_custkey"))), cell(F.concat(text("o_custkey"), F.lit(" Main St")))
+    status, link = cell(_wording(F.col("o_orderkey"), _LISTED)), F.concat(F.lit("<td><a href='/Sales/SaleDetails?PropertyId="), text("o_orderkey"), F.lit("'>Details</a></td>"))
+    head = lambda *names: F.lit("<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr><tr>")
+    layout = F.col("o_custkey") % 3
+    html = (
+        F.when(layout == 0, F.concat(head("", "Sheriff #", "Status", "Sales Date", "Plaintiff", "Defendant", "Address"), link, number, status, day, bank, owner, address))
+        .when(layout == 1, F.concat(head("", "Sheriff #", "Sales Date", "Plaintiff", "Defendant", "Address"), link, number, day, bank, owner, address))
+        .otherwise(F.concat(head("Address:", "Defendant", "Plaintiff", "Sale Date", "Status", "Sheriff Number", ""), address, owner, bank, day, status, number, link))
+    )
+    listed = pages.sale_listing(o.select(F.col("o_orderkey").alias("page_id"), F.concat(html, F.lit("</tr></table>")).alias("html")), "page_id", "html")
+    return listed.select("sheriff_number", "sale_date", "plaintiff", "defendant", "address", "status", "detail_href")
+
+
+@query("auction_statuses", f"""
+SELECT o_orderkey, {_meaning_sql('o_orderkey', _AUCTIONED)} AS status FROM orders""")
+def auction_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders", ["o_orderkey"]).select("o_orderkey", pages.auction_status(_wording(F.col("o_orderkey"), _AUCTIONED)).alias("status"))
+
+
+@query("party_listing_rows", f"""
+SELECT 'CV-' || CAST(o_orderkey AS VARCHAR) AS sheriff_number, 'Bank ' || o_orderstatus AS plaintiff, CASE WHEN o_custkey % 4 <> 3 THEN 'Owner vs. Others ' || CAST(o_custkey AS VARCHAR) END AS defendant, CAST(o_custkey AS VARCHAR) || ' Main St' AS address,
+  CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE CAST(o_totalprice AS DECIMAL(14,2)) END AS judgment_amount, {_meaning_sql('o_orderkey', _COURT)} AS status, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS sale_date, '/case/' || CAST(o_orderkey AS VARCHAR) AS source_href FROM orders""")
+def party_listing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    versus = F.element_at(F.array(*map(F.lit, [" vs. ", " VS ", " vs "])), (c % 4 + 1).cast("int"))
+    parties = F.concat(F.lit("Bank "), "o_orderstatus", F.when(c % 4 != 3, F.concat(F.coalesce(F.when(c % 4 < 3, versus), F.lit("")), F.lit("Owner vs. Others "), c.cast("string"))).otherwise(""))
+    money_text = F.when(c % 5 == 0, "n/a").otherwise(F.concat(F.lit("US $"), F.format_number("o_totalprice", 2)))
+    dated = F.concat(_wording(k, _COURT), F.when(k % 2 == 0, F.concat(F.lit(" (P) "), F.date_format("o_orderdate", "M/d/yyyy"))).otherwise(""))
+    number = F.concat(F.lit('<a href="/case/'), k.cast("string"), F.lit('">CV-'), k.cast("string"), F.lit("</a>"))
+    row = F.concat(*map(cell, [number, parties, F.lit("Smith"), F.concat(c.cast("string"), F.lit(" Main St")), money_text, dated]))
+    html = F.concat(F.lit("<table><tr><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td><td>6</td></tr></table><table class='wide body-table'><tr><td>Case</td><td>Parties</td><td>Attorney</td><td>Address</td><td>Amount</td><td>Status</td></tr><tr>"), row, F.lit("</tr><tr><td></td></tr></table>"))
+    listed = pages.party_listing(o.select(k.alias("page_id"), html.alias("html")), "page_id", "html")
+    return listed.select("sheriff_number", "plaintiff", "defendant", "address", "judgment_amount", "status", "sale_date", "source_href")
 
 
 @query("json_path_fallback", """
@@ -298,12 +344,12 @@ def risk_level_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("category_coverage", """
-WITH r AS (SELECT n_regionkey AS region, c_mktsegment AS category, count(*) AS n, sum(CAST(c_acctbal AS DECIMAL(14,2))) AS amount FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 97 = 0 GROUP BY 1, 2)
+WITH r AS (SELECT n_regionkey AS region, c_mktsegment AS category, count(*) AS n, sum(CAST(c_acctbal AS DECIMAL(14,2))) AS amount FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE NOT (c_mktsegment = 'BUILDING' AND n_regionkey < 2) GROUP BY 1, 2)
 SELECT r_regionkey AS region, c.category, CASE WHEN n > 0 THEN 'PARTIAL' ELSE 'NOT_CHECKED' END AS coverage_status, coalesce(n, 0) AS records_found, amount AS known_amount
 FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS category FROM customer) AS c LEFT JOIN r ON r.region = r_regionkey AND r.category = c.category""")
 def category_coverage(spark: SparkSession, sf: str) -> DataFrame:
     c, n = read(spark, sf, "customer"), read(spark, sf, "nation")
-    records = c.filter("c_custkey % 97 = 0").join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("category"), money("c_acctbal").alias("amount"))
+    records = c.join(n, c.c_nationkey == n.n_nationkey).filter("NOT (c_mktsegment = 'BUILDING' AND n_regionkey < 2)").select(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("category"), money("c_acctbal").alias("amount"))
     entities = read(spark, sf, "region").select(F.col("r_regionkey").alias("region"))
     return scoring.category_coverage(entities, c.select(F.col("c_mktsegment").alias("category")).distinct(), records, "region", "category", "amount")
 

@@ -86,10 +86,10 @@ def reject_pending(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("alias_backfill", """
-SELECT lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS normalized_alias, min(c_custkey % 2) AS jurisdiction_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 < 3 GROUP BY 1 HAVING count(DISTINCT c_custkey % 2) = 1""")
+SELECT lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS normalized_alias, min(CASE WHEN n_regionkey < 3 THEN n_regionkey ELSE c_custkey % 2 END) AS jurisdiction_id FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(DISTINCT CASE WHEN n_regionkey < 3 THEN n_regionkey ELSE c_custkey % 2 END) = 1""")
 def alias_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    c, n = read(spark, sf, "customer", ["c_custkey", "c_nationkey"]).filter("c_custkey % 50 < 3"), read(spark, sf, "nation")
-    return loading.aliases_from_matches(c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("city"), (F.col("c_custkey") % 2).alias("jurisdiction_id")))
+    c, n = read(spark, sf, "customer", ["c_custkey", "c_nationkey"]), read(spark, sf, "nation")
+    return loading.aliases_from_matches(c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("city"), F.when(F.col("n_regionkey") < 3, F.col("n_regionkey")).otherwise(F.col("c_custkey") % 2).cast("long").alias("jurisdiction_id")))
 
 
 @query("confidence_rescale", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity / 25 BETWEEN 0 AND 1 THEN l_quantity / 25 * 100 ELSE l_quantity / 25 END AS confidence FROM lineitem")
@@ -171,9 +171,9 @@ def assessment_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("detail_records", """
-SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) + 100 AS upset_price, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DECIMAL(14,2)) END AS judgment_amount, 'F-' || CAST(o_orderkey AS VARCHAR) AS court_case_number, 'Attorney ' || o_orderstatus AS plaintiff_attorney FROM orders WHERE o_orderkey % 5 = 0""")
+SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) + 100 AS upset_price, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DECIMAL(14,2)) END AS judgment_amount, 'F-' || CAST(o_orderkey AS VARCHAR) AS court_case_number, 'Attorney ' || o_orderstatus AS plaintiff_attorney FROM orders""")
 def detail_records(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").filter("o_orderkey % 5 = 0")
+    o = read(spark, sf, "orders")
     row = lambda k, v: F.concat(F.lit(f"<tr><th>{k}</th><td>"), v, F.lit("</td></tr>"))
     text = lambda c: F.col(c).cast("string")
     judged = F.when(F.col("o_orderkey") % 2 == 0, row("Final Judgment:", F.concat(F.lit("$"), text("o_custkey")))).otherwise("")
@@ -183,17 +183,17 @@ def detail_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("dated_link_listing", """
-SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || ' Elm St, Town NY 14201' AS address, CAST(o_orderdate AS DATE) AS sale_date, CASE WHEN o_orderkey % 2 = 0 THEN 'cancelled' ELSE 'scheduled' END AS status, 'ERIE-' || upper(left(sha256('https://x.org/sale/' || CAST(o_orderkey AS VARCHAR)), 12)) AS sheriff_number FROM orders WHERE o_orderkey % 5 = 1""")
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || ' Elm St, Town NY 14201' AS address, CAST(o_orderdate AS DATE) AS sale_date, CASE WHEN o_orderkey % 2 = 0 THEN 'cancelled' ELSE 'scheduled' END AS status, 'ERIE-' || upper(left(sha256('https://x.org/sale/' || CAST(o_orderkey AS VARCHAR)), 12)) AS sheriff_number FROM orders""")
 def dated_link_listing(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").filter("o_orderkey % 5 = 1")
+    o = read(spark, sf, "orders")
     html = F.concat(F.lit('<li><a href="/sale/'), F.col("o_orderkey").cast("string"), F.lit('">'), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" - Sale of "), F.col("o_custkey").cast("string"), F.lit(" Elm St, Town NY 14201"), F.when(F.col("o_orderkey") % 2 == 0, " - Cancelled").otherwise(""), F.lit('</a></li><li><a href="/about">About us</a></li>'))
     return pages.dated_links(o.withColumn("html", html), "o_orderkey", "html", "ERIE", "https://x.org").select("o_orderkey", "address", "sale_date", "status", "sheriff_number")
 
 
 @query("docket_listing", """
-SELECT o_orderkey, 'EF-' || CAST(o_orderkey AS VARCHAR) AS sheriff_number, CAST(o_orderdate AS DATE) AS sale_date, CAST(o_custkey AS VARCHAR) AS block, '7' AS lot FROM orders WHERE o_orderkey % 5 = 2""")
+SELECT o_orderkey, 'EF-' || CAST(o_orderkey AS VARCHAR) AS sheriff_number, CAST(o_orderdate AS DATE) AS sale_date, CAST(o_custkey AS VARCHAR) AS block, '7' AS lot FROM orders""")
 def docket_listing(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").filter("o_orderkey % 5 = 2")
+    o = read(spark, sf, "orders")
     html = F.concat(F.lit("<p>Civil Docket EF-"), F.col("o_orderkey").cast("string"), F.lit("</p><p>Sale to take place "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("</p><p>Premises: 5 Elm St, Town NY 10924</p><p>Section 3 Block "), F.col("o_custkey").cast("string"), F.lit(" Lot 7.</p>"))
     return pages.docket_pages(o.withColumn("html", html), "o_orderkey", "html").select("o_orderkey", "sheriff_number", "sale_date", "block", "lot")
 

@@ -264,12 +264,12 @@ def status_change_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("nulls_sort", """
-WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus = 'O' END AS is_open FROM orders WHERE o_orderkey % 100 < 10)
-SELECT o_orderkey, CAST(row_number() OVER (ORDER BY price DESC NULLS LAST, o_orderkey) AS INTEGER) AS by_price, CAST(row_number() OVER (ORDER BY is_open DESC NULLS FIRST, o_orderkey) AS INTEGER) AS by_flag FROM d""")
+WITH d AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus = 'O' END AS is_open FROM orders)
+SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY price DESC NULLS LAST, o_orderkey) AS INTEGER) AS by_price, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY is_open DESC NULLS FIRST, o_orderkey) AS INTEGER) AS by_flag FROM d""")
 def nulls_sort(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "orders").filter("o_orderkey % 100 < 10").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus") == "O").alias("is_open"))
-    price = Window.orderBy(F.desc_nulls_last("price"), "o_orderkey")
-    flag = Window.orderBy(F.desc_nulls_first("is_open"), "o_orderkey")
+    d = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus") == "O").alias("is_open"))
+    own = Window.partitionBy("o_custkey")
+    price, flag = own.orderBy(F.desc_nulls_last("price"), "o_orderkey"), own.orderBy(F.desc_nulls_first("is_open"), "o_orderkey")
     return d.select("o_orderkey", F.row_number().over(price).alias("by_price"), F.row_number().over(flag).alias("by_flag"))
 
 

@@ -13,9 +13,13 @@ from auctionlake.functions.values import any_date
 
 # Words in a raw status and the status that they mean, first match first.
 STATUS_RULES = [
-    ("cancel", "cancelled"), ("bankrupt", "bankruptcy"), ("adjourn", "adjourned"), ("postpone", "adjourned"),
-    ("sold", "sold"), ("purchased", "sold"), ("stay", "stayed"), ("schedul", "scheduled"),
+    ("scheduled", "scheduled"), ("bankrupt", "bankruptcy"), ("adjourn", "adjourned"), ("cancel", "cancelled"),
+    ("redeem", "redeemed"), ("sold", "sold"), ("stay", "stayed"),
 ]
+# How sale numbers are written, in one county and in the others of its portal.
+SALE_NUMBER, COUNTY_SALE_NUMBER = r"(?i)\bFOR-\d+\b", r"(?i)\b[A-Z]{1,4}-\d+\b"
+# A listing's columns where it has no headings that name them all.
+LISTING_COLUMNS = ["sheriff_number", "sale_date", "plaintiff", "defendant", "address"]
 
 
 def visible_text(html: Column) -> Column:
@@ -32,6 +36,11 @@ def elements(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), 1)
 
 
+def elements_of(html: Column, tag: str) -> Column:
+    """As ``elements``, where ``tag`` is a pattern of names."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tag})\b[^>]*>(.*?)</(?:{tag})\s*>"), 1)
+
+
 def table_rows(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(page, row number, cells): rows of all tables with their cells' visible text; rows without cells go."""
     rows = pages.select(F.col(id_col), F.posexplode(elements(F.col(html_col), "tr")).alias("row_number", "row_html"))
@@ -70,28 +79,89 @@ def field_named(fields: Column, names: Sequence[str]) -> Column:
 
 
 def normalise_status(raw: Column) -> Column:
-    return F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "scheduled").otherwise(F.coalesce(first_rule(raw, STATUS_RULES), F.lower(F.trim(raw))))
+    """The status that a portal's words mean; other words stay, joined by underscores; blank is unknown."""
+    v = squeeze(F.lower(F.coalesce(raw, F.lit(""))))
+    return F.when(v == "", "unknown").otherwise(F.coalesce(first_rule(v, STATUS_RULES), F.replace(v, F.lit(" "), F.lit("_"))))
+
+
+def _heading(cell: Column) -> Column:
+    return squeeze(F.replace(F.replace(F.lower(cell), F.lit("#"), F.lit(" number ")), F.lit(":"), F.lit(" ")))
+
+
+def _heading_kind(h: Column) -> Column:
+    dated = h.contains("sales date") | h.contains("sale date")
+    kinds = F.when(h.contains("sheriff"), "sheriff_number").when(h == "status", "status").when(dated, "sale_date")
+    return kinds.when(h.contains("plaintiff"), "plaintiff").when(h.contains("defendant"), "defendant").when(h.contains("address"), "address").otherwise("")
+
+
+def sale_listing(pages: DataFrame, id_col: str, html_col: str, number: str = SALE_NUMBER) -> DataFrame:
+    """Listing rows keyed by sale number, the last row of a number winning; rows without a number go.
+
+    Columns go by their headings, the last of a kind; a listing whose headings do not name them all has them in
+    the usual order. A value that is blank there is looked for at its usual distance from the number's cell.
+    """
+    lines = F.transform(elements(F.col(html_col), "tr"), lambda r: F.struct(r.alias("html"), F.transform(elements_of(r, "t[dh]"), lambda c: _heading(visible_text(c))).alias("headings")))
+    d = pages.select(id_col, lines.alias("lines"))
+    joined = F.filter(F.transform("lines", lambda x: F.struct(x["headings"].alias("headings"), F.array_join(x["headings"], " ").alias("text"))), lambda x: F.size(x["headings"]) > 0)
+    d = d.withColumn("joined", joined).withColumn("head", F.coalesce(F.get(F.filter("joined", lambda x: x["text"].contains("sheriff") & x["text"].contains("address")), F.lit(0)), F.try_element_at("joined", F.lit(-1))))
+    d = d.withColumn("kinds", F.transform("head.headings", _heading_kind)).withColumn("late", F.col("head.text").contains("status").cast("int"))
+    named = F.forall(F.array(*map(F.lit, LISTING_COLUMNS)), lambda c: F.array_contains("kinds", c))
+    d = d.withColumn("named", F.coalesce(named, F.lit(False)))
+
+    def place(kind: str) -> Column:
+        last = F.array_position(F.reverse("kinds"), kind)
+        own = F.when(last > 0, F.size("kinds") - last)
+        usual = F.lit(1) if kind == "status" else F.lit(LISTING_COLUMNS.index(kind) + 1)
+        usual = F.when(F.col("late") == 1, F.lit(2) if kind == "status" else usual + (0 if kind == "sheriff_number" else 1))
+        return F.when(F.col("named"), own).otherwise(usual if kind == "status" else F.coalesce(usual, F.lit(LISTING_COLUMNS.index(kind) + 1))).cast("int").alias(f"at_{kind}")
+
+    kinds = [*LISTING_COLUMNS[1:], "status"]
+    rows = d.select(id_col, *map(place, kinds), F.posexplode("lines").alias("row_number", "line"))
+    rows = rows.select(id_col, "row_number", *(f"at_{k}" for k in kinds), F.col("line.html").alias("row_html"), F.transform(elements_of(F.col("line.html"), "td"), visible_text).alias("cells"))
+    rows = rows.withColumn("number_at", F.array_position(F.transform("cells", lambda c: c.rlike(number)), True) - 1).filter("number_at >= 0")
+
+    def value(kind: str, distance: int) -> Column:
+        own = F.when(F.col(f"at_{kind}").isNotNull(), F.nullif(F.get("cells", F.col(f"at_{kind}")), F.lit("")))
+        beside = F.nullif(F.get("cells", (F.col("number_at") + distance).cast("int")), F.lit(""))
+        return F.coalesce(own, F.when(F.col(f"at_{kind}").isNotNull(), beside))
+
+    raw = value("status", 1)
+    found_rows = rows.select(
+        F.upper(F.regexp_extract(F.get("cells", F.col("number_at").cast("int")), number, 0)).alias("sheriff_number"), id_col, "row_number", any_date(value("sale_date", 2)).alias("sale_date"), value("plaintiff", 3).alias("plaintiff"),
+        value("defendant", 4).alias("defendant"), value("address", 5).alias("address"), raw.alias("raw_status"), F.when(raw.isNull(), "scheduled").otherwise(normalise_status(raw)).alias("status"),
+        found(F.col("row_html"), r"""(?is)<a\b[^>]*?href\s*=\s*["']\s*([^"']*/Sales/SaleDetails[^"']*?)\s*["']""").alias("detail_href"),
+    )
+    columns = [c for c in found_rows.columns if c not in ("sheriff_number", id_col, "row_number")]
+    last = found_rows.groupBy("sheriff_number").agg(F.max_by(F.struct(*columns), F.struct(id_col, "row_number")).alias("x"))
+    return last.select("sheriff_number", "x.*")
+
+
+# A court list's statuses, compared whole.
+PARTY_STATUSES = {"active": "scheduled", "postponed": "adjourned", "cancelled": "cancelled", "stayed": "stayed"}
 
 
-def sale_listing(pages: DataFrame, id_col: str, html_col: str, columns: Sequence[str] = ("sheriff_number", "sale_date", "plaintiff", "defendant", "address", "raw_status")) -> DataFrame:
-    """Listing rows keyed by sale number, the last row of a number winning; rows without a number go."""
-    rows = table_rows(pages, id_col, html_col).filter(F.size("cells") >= len(columns))
-    named = rows.select(id_col, "row_number", *[F.col("cells")[k].alias(c) for k, c in enumerate(columns)]).filter(F.col(columns[0]).rlike(r"\d"))
-    last = named.groupBy(columns[0]).agg(F.max_by(F.struct(*columns[1:]), F.struct(id_col, "row_number")).alias("x"))
-    out = last.select(columns[0], "x.*")
-    return out.withColumn("sale_date", any_date(F.col("sale_date"))).withColumn("status", normalise_status(F.col("raw_status")))
+def party_status(raw: Column) -> Column:
+    """The status before any bracket; one that is not known stays as it is; blank is unknown."""
+    v = F.lower(F.trim(F.split(F.coalesce(raw, F.lit("")), r"\(", 2)[0]))
+    known = F.coalesce(*(F.when(v == k, x) for k, x in PARTY_STATUSES.items()))
+    return F.coalesce(known, F.nullif(v, F.lit("")), F.lit("unknown"))
 
 
 def party_listing(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Six-cell listings: parties on either side of ``vs.``, a date inside the status, an amount or 0."""
-    rows = table_rows(pages, id_col, html_col).filter((F.size("cells") >= 6) & F.col("cells")[0].rlike(r"\d"))
-    parties = F.split(F.col("cells")[1], r"(?i)\s+vs?\.\s+")
+    """The six-cell table of class ``body-table``: parties on either side of the first ``vs``, a date inside the status, an amount or 0.
+
+    Its first row is the heading; pages without the table give no rows.
+    """
+    table = found(F.col(html_col), r"""(?is)<table\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?body-table(?:\s[^"']*)?["'][^>]*>(.*?)</table\s*>""")
+    lines = pages.select(F.col(id_col), F.posexplode(elements(table, "tr")).alias("row_number", "row_html")).filter("row_number > 0")
+    rows = lines.withColumn("cells", F.transform(elements_of(F.col("row_html"), "td"), visible_text)).filter("size(cells) >= 6 AND cells[0] <> ''")
+    parties = F.split(F.col("cells")[1], r"(?i)\s+vs\.?\s+", 2)
+    digits = F.regexp_replace(F.col("cells")[4], r"[^0-9.]", "")
     return rows.select(
-        id_col, F.col("cells")[0].alias("sheriff_number"), F.trim(parties[0]).alias("plaintiff"), F.trim(F.get(parties, F.lit(1))).alias("defendant"),
-        F.col("cells")[2].alias("attorney"), F.col("cells")[3].alias("address"),
-        F.coalesce(amount(found(F.col("cells")[4], r"([\d,]+(?:\.\d+)?)")), F.lit(0).cast("decimal(14,2)")).alias("judgment_amount"),
-        F.col("cells")[5].alias("raw_status"), normalise_status(F.col("cells")[5]).alias("status"),
-        any_date(found(F.col("cells")[5], r"(\d{1,2}/\d{1,2}/\d{4})")).alias("sale_date"),
+        id_col, F.col("cells")[0].alias("sheriff_number"), F.nullif(parties[0], F.lit("")).alias("plaintiff"), F.get(parties, F.lit(1)).alias("defendant"),
+        F.col("cells")[2].alias("attorney"), F.col("cells")[3].alias("address"), F.when(digits == "", F.lit("0")).otherwise(digits).try_cast("decimal(14,2)").alias("judgment_amount"),
+        F.col("cells")[5].alias("raw_status"), party_status(F.col("cells")[5]).alias("status"), any_date(found(F.col("cells")[5], r"(\d{1,2}/\d{1,2}/\d{4})")).alias("sale_date"),
+        found(F.col("row_html"), r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["']""").alias("source_href"),
     )
 
 
@@ -117,8 +187,9 @@ def synthetic_id(url: Column, prefix: str) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(F.sha2(url, 256), 1, 12)))
 
 
-# Words in an auction platform's status and the status that they mean, first match first.
-AUCTION_RULES = [("preview", "scheduled"), ("active", "scheduled"), ("open", "scheduled"), ("postpon", "adjourned"), ("stay", "stayed"), ("cancel", "cancelled"), ("withdraw", "cancelled"), ("sold", "sold"), ("closed", "sold")]
+# An auction platform's statuses, some compared whole, some by a word in them, first match first.
+AUCTION_OPEN = ["preview", "active", "open"]
+AUCTION_RULES = [("postpon", "adjourned"), ("stay", "stayed"), ("cancel", "cancelled"), ("withdraw", "cancelled"), ("sold", "sold"), ("closed", "sold")]
 # Labels of detail fields, tried in this order.
 DETAIL_UPSET = ["estimated upset", "approximate upset", "upset sheriff", "upset price", "upset amount"]
 DETAIL_JUDGMENT = ["judgment amount", "final judgment", "approximate judgment", "judgment"]
@@ -126,7 +197,8 @@ DETAIL_CASE = ["court case", "case number", "docket number", "docket"]
 
 
 def auction_status(raw: Column) -> Column:
-    return F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "unknown").otherwise(F.coalesce(first_rule(raw, AUCTION_RULES), F.lower(F.trim(raw))))
+    v = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    return F.when(v == "", "unknown").when(v.isin(AUCTION_OPEN), "scheduled").otherwise(F.coalesce(first_rule(v, AUCTION_RULES), v))
 
 
 def detail_record(pages: DataFrame, id_col: str, html_col: str, listed_upset: Column | None = None) -> DataFrame:

@@ -153,6 +153,29 @@ def test_pages(spark):
     assert d.select(fields["sheriff #"].alias("v")).first().v == "F-1"
 
 
+def test_statuses(spark):
+    listed = {"Scheduled - Adjourned": "scheduled", None: "unknown", " ": "unknown", "Sale Pending": "sale_pending", "Bankruptcy filed": "bankruptcy", "Adjourned": "adjourned", "REDEEMED": "redeemed", "stay": "stayed", "Purchased": "purchased"}
+    auctioned = {"Inactive": "inactive", "active ": "scheduled", "Postponed": "adjourned", "": "unknown", "Closed": "sold", "Withdrawn": "cancelled"}
+    court = {"Active (P) 1/2/2026": "scheduled", "Postponed (x)": "adjourned", "Active again": "active again", None: "unknown", "(x)": "unknown"}
+    for words, rule in ((listed, pages.normalise_status), (auctioned, pages.auction_status), (court, pages.party_status)):
+        d = spark.createDataFrame([(w,) for w in words], "w string")
+        assert {r.w: r.s for r in d.select("w", rule(F.col("w")).alias("s")).collect()} == words
+
+
+def test_sale_listing_layouts(spark):
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    head = "<table><tr><th>x</th><th>Sheriff #</th><th>Status</th><th>Sales Date</th><th>Plaintiff</th><th>Defendant</th><th>Address</th></tr>"
+    html = [
+        head + row("", "FOR-1", "Adjourned", "1/2/2026", "A", "B", "1 Elm") + row("", "none", "Sold", "1/2/2026", "A", "B", "1 Elm") + "</table>",
+        "<table>" + row("FOR-2", "1/3/2026", "A", "B", "2 Elm", "") + row("", "FOR-3", "1/4/2026", "C", "D", "3 Elm") + "</table>",
+        head + row("", "FOR-1", "", "2/2/2026", "A2", "B2", "9 Elm") + row("", "L-77", "Sold", "1/2/2026", "A", "B", "1 Elm") + "</table>",
+    ]
+    d = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    got = {r.sheriff_number: (str(r.sale_date), r.plaintiff, r.defendant, r.address, r.status) for r in pages.sale_listing(d, "page_id", "html").collect()}
+    assert got["FOR-1"] == ("2026-02-02", "A2", "B2", "9 Elm", "scheduled") and got["FOR-3"] == ("2026-01-04", "C", "D", "3 Elm", "scheduled")
+    assert set(got) == {"FOR-1", "FOR-2", "FOR-3"} and "L-77" in {r.sheriff_number for r in pages.sale_listing(d, "page_id", "html", pages.COUNTY_SALE_NUMBER).collect()}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿sheriff_number,estimated_value\n F-1 , \"$250,000\"\nF-2,-5\n,100\n\n", encoding="utf-8")
     good, bad = files.read_table(spark, str(tmp_path / "a.csv"), ["sheriff_number", "estimated_value"], ["estimated_value"])
