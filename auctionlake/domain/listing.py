@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auctionlake.domain.scoring import lien_position, lien_totals, upset_price
+from auctionlake.domain.valuation import pending_reason, valuation_status
 from auctionlake.functions.text import map_number
-from auctionlake.operators.relational import latest_per_key, ordered_list, page, where_all
+from auctionlake.operators.relational import largest_per_key, latest_per_key, ordered_list, page, where_all
 
 
 @dataclass(frozen=True)
@@ -27,28 +28,82 @@ class ListingFilters:
     max_risk: int | None = None
 
 
-def listing(sales: DataFrame, properties: DataFrame, valuations: DataFrame, liens: DataFrame, reports: DataFrame, filters: ListingFilters, as_of: date) -> DataFrame:
-    """Every sale with its property, current valuation, equity, lien totals and latest risk, filtered but not paged.
+@dataclass(frozen=True)
+class ListingTables:
+    """The tables that a listing is made of. Only sales and properties are needed; each other adds its columns."""
+
+    sales: DataFrame
+    properties: DataFrame
+    valuations: DataFrame
+    liens: DataFrame
+    features: DataFrame
+    training_sales: DataFrame
+    parcel_matches: DataFrame
+    candidates: DataFrame
+    predictions: DataFrame
+    assessments: DataFrame
+    reports: DataFrame
+
+
+PLACE = ["municipality_code", "block", "lot"]
+
+
+def _latest(df: DataFrame, wanted: DataFrame, key: list[str], when: str, tie: str, keep: dict[str, str]) -> DataFrame:
+    """The newest row of each wanted key, of equal times that of the largest ``tie``; columns under their listing names.
 
-    Each side table is reduced to one row for a key before it is joined, so no join multiplies rows.
+    Rows of other keys go before the aggregate, and the aggregate is one pass with partial results.
+    """
+    own = df.join(wanted, key, "left_semi").select(*key, when, tie, *(F.col(c).alias(name) for c, name in keep.items() if name not in (when, tie)))
+    return largest_per_key(own, key, [when, tie], list(keep.values()))
+
+
+def listing(t: ListingTables, filters: ListingFilters, as_of: date) -> DataFrame:
+    """Every sale with its property, valuation, gaps, equity, predictions, risks and liens, filtered but not paged.
+
+    Sales and properties are narrowed first; every other table then keeps only what these need and is reduced
+    to one row for a key before it is joined, so no join multiplies rows.
     """
     f = filters
-    value = latest_per_key(valuations.filter("is_current"), ["property_id"], [F.desc("retrieved_at"), F.asc("valuation_id")]).select("property_id", "estimated_value", "provider")
-    report = latest_per_key(reports, ["property_id"], [F.desc("calculated_at"), F.asc("report_id")]).select("property_id", "risk_score", "risk_level")
-    kept = where_all(sales, [
+    kept = where_all(t.sales.filter("property_id IS NOT NULL"), [
         F.col("current_status") == f.status if f.status else None,
         F.to_date("current_sale_date") >= F.lit(as_of) if f.future_only else None,
     ])
-    wanted = where_all(properties, [
+    wanted = where_all(t.properties, [
         F.col("state").isin([s.upper() for s in f.states]) if f.states else None,
         F.col("county").isin(list(f.counties)) if f.counties else None,
         F.col("zip_code") == f.zip_code if f.zip_code else None,
     ])
-    d = kept.join(wanted, "property_id").join(value, "property_id", "left").join(report, "property_id", "left").join(lien_totals(liens, "property_id"), "property_id", "left")
-    d = d.withColumn("upset_price", upset_price(F.col("estimated_upset_price"), F.col("alternate_upset_price"), F.col("upset_price")))
-    gross = F.col("estimated_value") - F.col("upset_price")
-    d = d.withColumn("gross_equity", gross).withColumn("gross_equity_percent", F.when(F.col("estimated_value") > 0, F.try_divide(gross, F.col("estimated_value"))))
-    return where_all(d, [F.col("gross_equity") >= f.min_equity if f.min_equity is not None else None, F.col("risk_score") <= f.max_risk if f.max_risk is not None else None])
+    upset = upset_price(F.col("estimated_upset_price"), F.col("alternate_upset_price"), F.col("upset_price"))
+    d = kept.join(wanted, "property_id").withColumn("upset_price", upset).withColumn("court_case_number", F.coalesce("docket_number", "court_case_number"))
+    properties, sales = d.select("property_id").distinct(), d.select("sale_id")
+
+    value = _latest(t.valuations.filter("is_current"), properties, ["property_id"], "retrieved_at", "valuation_id", {
+        "estimated_value": "market_value", "low_value": "market_value_low", "high_value": "market_value_high", "provider": "valuation_provider", "confidence_score": "valuation_confidence", "retrieved_at": "retrieved_at", "valuation_id": "valuation_id",
+    }).withColumnRenamed("retrieved_at", "valuation_retrieved_at")
+    risk = _latest(t.assessments, sales, ["sale_id"], "calculated_at", "assessment_id", {"risk_score": "risk_score", "risk_level": "risk_level"})
+    prediction = _latest(t.predictions.filter("prediction_target = 'reaches_auction'"), sales, ["sale_id"], "predicted_at", "prediction_id", {"probability": "sale_probability", "feature_values": "sale_probability_features"})
+    report = _latest(t.reports, properties, ["property_id"], "calculated_at", "report_id", {
+        "risk_score": "lien_risk_score", "risk_level": "lien_risk_level", "confidence_score": "lien_risk_confidence", "known_exposure": "known_lien_exposure", "calculated_at": "calculated_at",
+    }).withColumnRenamed("calculated_at", "lien_risk_calculated_at")
+    own_liens = t.liens.join(properties, "property_id", "left_semi")
+    feature = t.features.join(properties, "property_id", "left_semi").select("property_id", *PLACE, F.col("match_confidence").alias("parcel_match_confidence"), "property_class", F.lit(True).alias("has_feature"))
+    space = _latest(t.training_sales, feature.select(*PLACE).distinct(), PLACE, "deed_date", "training_id", {"living_space": "living_space"})
+    pending = t.candidates.filter("review_status = 'PENDING'").select("property_id").distinct().withColumn("has_pending", F.lit(True))
+    matched = t.parcel_matches.select("sale_id").distinct().withColumn("has_match", F.lit(True))
+
+    d = d.join(value, "property_id", "left").join(risk, "sale_id", "left")
+    gross = F.col("market_value") - F.col("upset_price")
+    d = d.withColumn("gross_equity", gross).withColumn("gross_equity_percent", F.when(F.col("market_value") > 0, F.try_divide(gross, F.col("market_value"))))
+    d = where_all(d, [F.col("gross_equity") >= f.min_equity if f.min_equity is not None else None, F.col("risk_score") <= f.max_risk if f.max_risk is not None else None])
+    for side in (prediction, matched):
+        d = d.join(side, "sale_id", "left")
+    for side in (feature.join(space, PLACE, "left").drop(*PLACE), report, pending, lien_totals(own_liens, "property_id"), lien_items(own_liens)):
+        d = d.join(side, "property_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    gaps = (F.col("valuation_id").isNotNull(), F.col("state"), F.col("county"), yes("has_match"), yes("has_feature"), yes("has_pending"), F.col("parcel_match_confidence"), F.col("property_class"))
+    d = d.withColumn("valuation_status", valuation_status(*gaps)).withColumn("valuation_pending_reason", pending_reason(*gaps, F.coalesce("square_feet", "living_space")))
+    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("lien_record_count", "open_lien_count", "potentially_surviving_count", "manual_review_count")}
+    return d.withColumns(counts).drop("valuation_id", "has_match", "has_feature", "has_pending", "living_space", "property_class")
 
 
 def listing_page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
@@ -59,7 +114,8 @@ def lien_items(liens: DataFrame, key: str = "property_id") -> DataFrame:
     """Each property's liens as one ordered list: largest amounts first, missing ones last, then by type."""
     value = F.coalesce("current_amount", "original_amount")
     unnamed = F.when(F.col("lien_type").isin("MUNICIPAL_LIEN", "PROPERTY_TAX"), "Municipal/utility authority not specified").otherwise("Claimant not specified")
-    item = F.struct("lien_id", F.coalesce("creditor_name", unnamed).alias("holder"), value.alias("amount"), "lien_type", "status", lien_position(F.col("is_foreclosing_lien"), F.col("priority_classification")).alias("position"))
+    position = lien_position(F.col("is_foreclosing_lien"), F.col("priority_classification")).alias("position")
+    item = F.struct("lien_id", F.coalesce("creditor_name", unnamed).alias("holder"), value.alias("amount"), "lien_type", "lien_subtype", "status", position, F.col("priority_confidence").alias("position_confidence"))
     return liens.groupBy(key).agg(ordered_list([value.isNull(), -value, F.col("lien_type"), F.col("lien_id")], item).alias("lien_items"))
 
 

@@ -131,14 +131,38 @@ def valuations(scored: DataFrame, mae: float, imputed: str = "living_area_impute
     )
 
 
+# What each gap is called, and how it is told to a reader.
+PENDING = [
+    ("VALUED", None),
+    ("MODEL_SCORING_REQUIRED", "Property has official KIZ details and is ready for experimental Monroe scoring."),
+    ("PARCEL_MATCH_REQUIRED", "The official KIZ crosswalk does not cover this parcel; no AVM estimate was fabricated."),
+    ("COUNTY_MODEL_UNAVAILABLE", "A validated valuation model is not available for this county."),
+    ("PARCEL_MATCH_UNDER_REVIEW", "Parcel candidates require identity review."),
+    ("PARCEL_MATCH_REQUIRED", "A reliable parcel match has not been identified."),
+    ("MANUAL_REVIEW_REQUIRED", "The parcel match requires manual review."),
+    ("PROPERTY_TYPE_MODEL_UNAVAILABLE", "The current local model is validated only for residential class-2 property."),
+]
+READY_IMPUTED = "Ready for lower-confidence model scoring with imputed living area."
+READY = "Property is ready for local model scoring."
+
+
+def _gaps(valued: Column, state: Column, county: Column, pa_matched: Column, feature: Column, pending: Column, confidence: Column, property_class: Column) -> list[Column]:
+    """The conditions of PENDING, in its order; the first that holds counts."""
+    monroe = (state == "PA") & (county == "Monroe")
+    return [valued, monroe & pa_matched, monroe, (state != "NJ") | (county != "Monmouth"), ~feature & pending, ~feature, confidence < 90, F.trim(F.coalesce(property_class, F.lit(""))) != "2"]
+
+
 def valuation_status(valued: Column, state: Column, county: Column, pa_matched: Column, feature: Column, pending: Column, confidence: Column, property_class: Column) -> Column:
     """What a property still lacks before it can be valued."""
-    monroe = (state == "PA") & (county == "Monroe")
-    return first_label([
-        (valued, "VALUED"), (monroe & pa_matched, "MODEL_SCORING_REQUIRED"), (monroe, "PARCEL_MATCH_REQUIRED"), ((state != "NJ") | (county != "Monmouth"), "COUNTY_MODEL_UNAVAILABLE"),
-        (~feature & pending, "PARCEL_MATCH_UNDER_REVIEW"), (~feature, "PARCEL_MATCH_REQUIRED"), (confidence < 90, "MANUAL_REVIEW_REQUIRED"),
-        (F.trim(F.coalesce(property_class, F.lit(""))) != "2", "PROPERTY_TYPE_MODEL_UNAVAILABLE"),
-    ], "MODEL_SCORING_REQUIRED")
+    gaps = _gaps(valued, state, county, pa_matched, feature, pending, confidence, property_class)
+    return first_label([(gap, status) for gap, (status, _) in zip(gaps, PENDING, strict=True)], "MODEL_SCORING_REQUIRED")
+
+
+def pending_reason(valued: Column, state: Column, county: Column, pa_matched: Column, feature: Column, pending: Column, confidence: Column, property_class: Column, living_space: Column) -> Column:
+    """The same in words; null for a property that is valued."""
+    gaps = _gaps(valued, state, county, pa_matched, feature, pending, confidence, property_class)
+    rules = [(gap, words) for gap, (_, words) in zip(gaps, PENDING, strict=True)]
+    return first_label([*rules, (living_space.isNull(), READY_IMPUTED)], READY)
 
 
 def training_rows(deeds: DataFrame, assessments: DataFrame, county: str = "13") -> DataFrame:

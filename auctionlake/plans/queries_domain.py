@@ -302,7 +302,7 @@ def equity(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "orders", ["o_orderkey", "o_totalprice"]).join(u, F.col("o_orderkey") == u.l_orderkey)
     fee = lambda x: F.lit(x).cast("decimal(14,2)")
     e = scoring.equity(money("o_totalprice"), F.col("upset"), fee(800), fee(400), fee(200), fee(100))
-    e["gross_equity_percent"] = F.round(F.when(F.col("o_totalprice") > 0, (F.col("o_totalprice") - F.col("upset").cast("double")) / F.col("o_totalprice")), 4)
+    e["gross_equity_percent"] = F.round(e["gross_equity_percent"].cast("double"), 4)
     return d.select("o_orderkey", *[v.alias(k) for k, v in e.items()])
 
 
@@ -315,11 +315,15 @@ _LIENS = """SELECT l_orderkey AS property_id, CASE l_linenumber % 6 WHEN 0 THEN
 WITH l AS ({_LIENS}), w AS (SELECT *, status <> 'RELEASED' AS opened, CASE lien_type WHEN 'MORTGAGE' THEN 15 WHEN 'PROPERTY_TAX' THEN 25 WHEN 'JUDGMENT' THEN 13 WHEN 'MUNICIPAL_LIEN' THEN 24 WHEN 'UCC' THEN 10 ELSE 8 END AS wt FROM l),
 a AS (SELECT property_id, least(100, count(*) FILTER (WHERE opened) * 14 + count(*) * 3) AS title, least(100, coalesce(sum(round_even(wt * greatest(conf, 25) / 100.0, 0)) FILTER (WHERE opened AND survival = 'MAY_SURVIVE'), 0)) AS surv,
   least(100, coalesce(sum(wt) FILTER (WHERE opened AND lien_type IN ('PROPERTY_TAX', 'MUNICIPAL_LIEN')), 0)) AS tax, least(100, 20 * count(*) FILTER (WHERE opened AND lien_type = 'JUDGMENT')) AS judg,
-  least(100, coalesce(sum(CASE WHEN foreclosing THEN 5 ELSE 18 END) FILTER (WHERE opened AND lien_type = 'MORTGAGE'), 0)) AS mort, least(100, count(*) FILTER (WHERE manual) * 12) AS man,
+  least(100, coalesce(sum(CASE WHEN foreclosing THEN 5 ELSE 18 END) FILTER (WHERE opened AND lien_type = 'MORTGAGE'), 0)) AS mort, count(*) FILTER (WHERE manual) AS man,
   coalesce(sum(CASE WHEN cur <> 0 THEN cur ELSE orig END) FILTER (WHERE opened AND survival = 'MAY_SURVIVE' AND status <> 'UNKNOWN'), 0) AS exposure, avg(conf) AS c FROM w GROUP BY property_id),
-b AS (SELECT o_orderkey, title, surv, tax, judg, mort, man, exposure, c FROM orders LEFT JOIN a ON o_orderkey = property_id),
-s AS (SELECT o_orderkey, coalesce(surv, 0) * 0.25 + coalesce(tax, 0) * 0.18 + coalesce(mort, 0) * 0.12 + coalesce(judg, 0) * 0.1 + coalesce(title, 0) * 0.1 + 100 * 0.15 + coalesce(man, 0) * 0.1 AS score, exposure, c FROM b)
-SELECT o_orderkey AS property_id, CAST(least(100, greatest(0, round_even(round(CAST(score AS DOUBLE), 6), 0))) AS INTEGER) AS risk_score, CAST(coalesce(exposure, 0) AS DECIMAL(24,2)) AS known_exposure, CAST(least(100, round_even(coalesce(c, 0) * 0.3, 0)) AS INTEGER) AS confidence_score FROM s""")
+b AS (SELECT o_orderkey, coalesce(title, 0) AS title, coalesce(surv, 0) AS surv, coalesce(tax, 0) AS tax, coalesce(judg, 0) AS judg, coalesce(mort, 0) AS mort, coalesce(man, 0) AS man, coalesce(exposure, 0) AS exposure, coalesce(c, 0) AS c,
+  CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 75 WHEN o_orderkey % 3 = 1 THEN 50 ELSE 25 END AS cov, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 2 THEN 1 ELSE 0 END AS failed FROM orders LEFT JOIN a ON o_orderkey = property_id),
+s AS (SELECT *, surv * 0.25 + tax * 0.18 + mort * 0.12 + judg * 0.1 + title * 0.1 + (100 - cov) * 0.15 + least(100, man * 12 + failed * 10) * 0.1 AS score FROM b),
+t AS (SELECT *, CAST(least(100, greatest(0, round_even(round(CAST(score AS DOUBLE), 6), 0))) AS INTEGER) AS risk_score FROM s)
+SELECT o_orderkey AS property_id, risk_score, CASE WHEN risk_score >= 75 THEN 'VERY_HIGH' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 25 THEN 'MODERATE' ELSE 'LOW' END AS risk_level, CAST(cov AS DOUBLE) AS completeness, CAST(surv AS DOUBLE) AS surviving_lien_risk, CAST(title AS DOUBLE) AS title_complexity_risk, CAST(tax AS DOUBLE) AS tax_municipal_risk,
+  CAST(judg AS DOUBLE) AS judgment_risk, CAST(mort AS DOUBLE) AS mortgage_priority_risk, CAST(100 - cov AS DOUBLE) AS data_quality_risk, CAST(least(100, man * 12 + failed * 10) AS DOUBLE) AS manual_review_risk,
+  CAST(exposure AS DECIMAL(24,2)) AS known_exposure, CAST(least(100, round_even(cov * 0.7 + c * 0.3, 0)) AS INTEGER) AS confidence_score FROM t""")
 def lien_risk(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "lineitem")
     kinds = F.array(*map(F.lit, ["MORTGAGE", "PROPERTY_TAX", "JUDGMENT", "MUNICIPAL_LIEN", "UCC", "UNLISTED"]))
@@ -330,16 +334,17 @@ def lien_risk(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_linestatus") == "O").alias("requires_manual_review"), (F.col("l_linenumber") == 6).alias("is_foreclosing_lien"),
         F.when(F.col("l_discount") > 0.05, F.lit(0).cast("decimal(14,2)")).otherwise(money("l_extendedprice")).alias("current_amount"), (money("l_extendedprice") + 1).cast("decimal(14,2)").alias("original_amount"),
     )
-    properties = read(spark, sf, "orders", ["o_orderkey"]).withColumnRenamed("o_orderkey", "property_id")
-    coverage = spark.createDataFrame([], "property_id long, coverage_status string")
-    return scoring.lien_risk(properties, liens, coverage, "property_id").select("property_id", "risk_score", "known_exposure", "confidence_score")
+    o = read(spark, sf, "orders", ["o_orderkey"]).withColumnRenamed("o_orderkey", "property_id")
+    way = F.col("property_id") % 3
+    statuses = F.array(F.when(way == 0, "SUCCESS").when(way == 1, "PARTIAL").otherwise("FAILED"), F.lit("PARTIAL"))
+    coverage = o.filter("property_id % 5 <> 0").select("property_id", F.explode(statuses).alias("coverage_status"))
+    return scoring.lien_risk(o, liens, coverage, "property_id").select("property_id", "risk_score", "risk_level", "completeness", *scoring.COMPONENT_SHARES, "known_exposure", "confidence_score")
 
 
 @query("risk_level_histogram", """
-SELECT CASE WHEN p_size >= 40 THEN 'VERY_HIGH' WHEN p_size >= 25 THEN 'HIGH' WHEN p_size >= 10 THEN 'MODERATE' ELSE 'LOW' END AS level, count(*) AS n FROM part GROUP BY 1""")
+SELECT CASE WHEN p_size * 2 >= 75 THEN 'VERY_HIGH' WHEN p_size * 2 >= 50 THEN 'HIGH' WHEN p_size * 2 >= 25 THEN 'MODERATE' ELSE 'LOW' END AS level, count(*) AS n FROM part GROUP BY 1""")
 def risk_level_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.col("p_size")
-    level = R.first_label([(size >= 40, "VERY_HIGH"), (size >= 25, "HIGH"), (size >= 10, "MODERATE")], "LOW")
+    level = scoring.risk_level(F.col("p_size") * 2)
     return read(spark, sf, "part", ["p_size"]).groupBy(level.alias("level")).agg(F.count("*").alias("n"))
 
 
@@ -449,42 +454,84 @@ def train_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LISTING_SQL = """
-WITH ss AS (SELECT o_orderkey AS sale_id, o_custkey AS property_id, CASE o_orderstatus WHEN 'O' THEN 'scheduled' ELSE 'sold' END AS current_status, o_orderdate AS current_sale_date, CAST(o_totalprice AS DECIMAL(14,2)) - 700 AS est, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(14,2)) - 500 END AS alt, CAST(o_totalprice AS DECIMAL(14,2)) - 900 AS upset FROM orders),
-p AS (SELECT c_custkey AS property_id, c_name AS normalized_address, CASE WHEN c_nationkey % 2 = 0 THEN 'NJ' ELSE 'PA' END AS state, c_mktsegment AS county FROM customer),
-l AS (SELECT o_custkey AS property_id, l_orderkey * 10 + l_linenumber AS lien_id, CAST(l_extendedprice AS DECIMAL(14,2)) AS amount, l_returnflag <> 'R' AS opened, l_quantity > 40 AS surv, l_linestatus = 'F' AS man FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-lt AS (SELECT property_id, sum(amount) FILTER (WHERE opened) AS total, count(*) AS n, count(*) FILTER (WHERE opened) AS n_open, count(*) FILTER (WHERE surv) AS n_surv, count(*) FILTER (WHERE man) AS n_man FROM l GROUP BY property_id),
-pv AS (SELECT property_id, arg_max(value, k) AS estimated_value FROM (SELECT o_custkey AS property_id, CAST(o_totalprice AS DECIMAL(14,2)) AS value, CAST(epoch(o_orderdate) AS BIGINT) * 100000000 - o_orderkey AS k FROM orders WHERE o_orderpriority <> '5-LOW') GROUP BY property_id),
-j AS (SELECT ss.*, p.normalized_address, p.state, pv.estimated_value, greatest(est, alt, upset) AS up, lt.* EXCLUDE (property_id) FROM ss JOIN p ON ss.property_id = p.property_id LEFT JOIN pv ON pv.property_id = p.property_id LEFT JOIN lt ON lt.property_id = p.property_id
-  WHERE p.state = 'NJ' AND current_status = 'scheduled' AND estimated_value - greatest(est, alt, upset) >= 1000)
-SELECT sale_id, property_id, normalized_address, current_sale_date, up AS upset_price, estimated_value, estimated_value - up AS gross_equity, round(CAST(estimated_value - up AS DOUBLE) / CAST(estimated_value AS DOUBLE), 4) AS equity_share, total AS total_lien_amount, coalesce(n, 0) AS lien_record_count, coalesce(n_open, 0) AS open_lien_count, coalesce(n_surv, 0) AS surviving_count, coalesce(n_man, 0) AS manual_count
-FROM j ORDER BY current_sale_date ASC NULLS LAST, normalized_address ASC NULLS LAST, sale_id LIMIT 50 OFFSET 50"""
-
-
-def _listing_rows(spark: SparkSession, sf: str) -> DataFrame:
-    o, c = read(spark, sf, "orders"), read(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
-    price, k = F.col("o_totalprice"), F.col("o_orderkey")
+WITH ss AS (SELECT o_orderkey AS sale_id, o_custkey AS property_id, CASE o_orderstatus WHEN 'O' THEN 'scheduled' ELSE 'sold' END AS current_status, o_orderdate AS current_sale_date, CAST(o_totalprice AS DECIMAL(14,2)) - 700 AS est, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(14,2)) - 500 END AS alt, CAST(o_totalprice AS DECIMAL(14,2)) - 900 AS upset,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'D-' || CAST(o_orderkey AS VARCHAR) ELSE 'C-' || CAST(o_orderkey AS VARCHAR) END AS court_case_number, 'Bank ' || o_orderstatus AS plaintiff, greatest(CAST(o_totalprice AS DECIMAL(14,2)) - 700, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(14,2)) - 500 END, CAST(o_totalprice AS DECIMAL(14,2)) - 900) AS up, CAST(o_totalprice AS DECIMAL(14,2)) AS judgment_amount FROM orders),
+p AS (SELECT c_custkey AS property_id, c_name AS normalized_address, CASE WHEN c_nationkey % 2 = 0 THEN 'NJ' ELSE 'PA' END AS state, CASE c_mktsegment WHEN 'BUILDING' THEN 'Monmouth' WHEN 'AUTOMOBILE' THEN 'Monmouth' WHEN 'MACHINERY' THEN 'Monroe' ELSE c_mktsegment END AS county, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 900 END AS square_feet FROM customer),
+l AS (SELECT o_custkey AS property_id, l_partkey * 1000 + l_suppkey % 100 * 10 + l_linenumber AS lien_id, CASE WHEN l_discount > 0.08 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(14,2)) END AS amount, l_returnflag <> 'R' AS opened, l_quantity > 40 AS surv, l_linestatus = 'F' AS man,
+  CASE WHEN l_linenumber = 1 THEN 'PROPERTY_TAX' ELSE 'MORTGAGE' END AS lien_type, CASE WHEN l_linenumber > 3 THEN 'Holder ' || CAST(l_suppkey AS VARCHAR) WHEN l_linenumber = 1 THEN 'Municipal/utility authority not specified' ELSE 'Claimant not specified' END AS holder,
+  CASE WHEN l_linenumber = 2 THEN 'PRIMARY_FORECLOSING' WHEN l_returnflag = 'A' THEN 'POTENTIALLY_SENIOR' WHEN l_returnflag = 'R' THEN 'SECONDARY_JUNIOR' ELSE 'PRIORITY_UNKNOWN' END AS position FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+lt AS (SELECT property_id, sum(amount) FILTER (WHERE opened) AS total_lien_amount, count(*) AS n, count(*) FILTER (WHERE opened) AS n_open, count(*) FILTER (WHERE surv) AS n_surv, count(*) FILTER (WHERE man) AS n_man,
+  string_agg(CAST(lien_id AS VARCHAR) || '|' || holder || '|' || coalesce(CAST(amount AS VARCHAR), '') || '|' || lien_type || '|' || CASE WHEN opened THEN 'ACTIVE' ELSE 'RELEASED' END || '|' || position, ';' ORDER BY amount DESC NULLS LAST, lien_type, lien_id) AS items FROM l GROUP BY property_id),
+pv AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY retrieved_at DESC, valuation_id DESC) AS rn FROM (SELECT o_custkey AS property_id, o_orderkey AS valuation_id, o_orderdate AS retrieved_at, CAST(o_totalprice AS DECIMAL(14,2)) AS v, o_orderkey % 90 AS conf, o_orderstatus AS provider FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 3 <> 0)),
+f AS (SELECT c_custkey AS property_id, 80 + c_custkey % 21 AS conf, CASE WHEN c_custkey % 7 = 0 THEN '4A' WHEN c_custkey % 7 = 1 THEN NULL ELSE ' 2 ' END AS cls, c_custkey AS lot FROM customer WHERE c_custkey % 5 <> 0),
+spl AS (SELECT lot, CASE WHEN last_key % 2 = 0 THEN last_key % 3000 END AS living FROM (SELECT o_custkey AS lot, arg_max(o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) * 100000000 + o_orderkey) AS last_key FROM orders GROUP BY o_custkey)),
+pr AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey * 1000 + l_suppkey % 100 * 10 + l_linenumber DESC) AS rn FROM lineitem WHERE l_linenumber > 1),
+ra AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey * 1000 + l_suppkey % 100 * 10 + l_linenumber DESC) AS rn FROM lineitem WHERE l_quantity < 45),
+rp AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'F'),
+j AS (SELECT ss.*, p.normalized_address, p.state, p.county, pv.v AS market_value, pv.v - 5 AS market_value_low, pv.v + 5 AS market_value_high, pv.provider AS valuation_provider, pv.conf AS valuation_confidence, pv.retrieved_at AS valuation_retrieved_at, f.conf AS parcel_match_confidence,
+  CASE WHEN pv.valuation_id IS NOT NULL THEN 1 WHEN state = 'PA' AND county = 'Monroe' AND sale_id % 2 = 1 THEN 2 WHEN state = 'PA' AND county = 'Monroe' THEN 3 WHEN state <> 'NJ' OR county <> 'Monmouth' THEN 4 WHEN f.property_id IS NULL AND p.property_id % 2 = 0 THEN 5 WHEN f.property_id IS NULL THEN 6 WHEN f.conf < 90 THEN 7 WHEN trim(coalesce(f.cls, '')) <> '2' THEN 8 WHEN coalesce(p.square_feet, spl.living) IS NULL THEN 9 ELSE 10 END AS gap,
+  pr.l_discount AS sale_probability, CAST(ra.l_quantity AS INTEGER) AS risk_score, ra.l_linestatus AS risk_level, CAST(rp.o_orderkey % 100 AS INTEGER) AS lien_risk_score, rp.o_orderpriority AS lien_risk_level, rp.o_orderdate AS lien_risk_calculated_at, CAST(rp.o_totalprice AS DECIMAL(14,2)) AS known_lien_exposure,
+  lt.total_lien_amount, coalesce(lt.n, 0) AS lien_record_count, coalesce(lt.n_open, 0) AS open_lien_count, coalesce(lt.n_surv, 0) AS surviving_count, coalesce(lt.n_man, 0) AS manual_count, coalesce(lt.items, '') AS lien_items
+  FROM ss JOIN p ON ss.property_id = p.property_id LEFT JOIN pv ON pv.property_id = p.property_id AND pv.rn = 1 LEFT JOIN f ON f.property_id = p.property_id LEFT JOIN spl ON spl.lot = f.lot LEFT JOIN pr ON pr.l_orderkey = sale_id AND pr.rn = 1 LEFT JOIN ra ON ra.l_orderkey = sale_id AND ra.rn = 1 LEFT JOIN rp ON rp.o_custkey = p.property_id AND rp.rn = 1 LEFT JOIN lt ON lt.property_id = p.property_id)
+SELECT sale_id, property_id, normalized_address, state, county, court_case_number, plaintiff, current_status, current_sale_date, judgment_amount, up AS upset_price, market_value, market_value_low, market_value_high, valuation_provider, valuation_confidence, valuation_retrieved_at, CAST(parcel_match_confidence AS INTEGER) AS parcel_match_confidence,
+  list_extract(['VALUED', 'MODEL_SCORING_REQUIRED', 'PARCEL_MATCH_REQUIRED', 'COUNTY_MODEL_UNAVAILABLE', 'PARCEL_MATCH_UNDER_REVIEW', 'PARCEL_MATCH_REQUIRED', 'MANUAL_REVIEW_REQUIRED', 'PROPERTY_TYPE_MODEL_UNAVAILABLE', 'MODEL_SCORING_REQUIRED', 'MODEL_SCORING_REQUIRED'], gap) AS valuation_status,
+  list_extract([NULL, 'Property has official KIZ details and is ready for experimental Monroe scoring.', 'The official KIZ crosswalk does not cover this parcel; no AVM estimate was fabricated.', 'A validated valuation model is not available for this county.', 'Parcel candidates require identity review.', 'A reliable parcel match has not been identified.', 'The parcel match requires manual review.', 'The current local model is validated only for residential class-2 property.', 'Ready for lower-confidence model scoring with imputed living area.', 'Property is ready for local model scoring.'], gap) AS valuation_pending_reason,
+  market_value - up AS gross_equity, CASE WHEN market_value > 0 THEN round(CAST(market_value - up AS DOUBLE) / CAST(market_value AS DOUBLE), 4) END AS gross_equity_percent, sale_probability, risk_score, risk_level, lien_risk_score, lien_risk_level, lien_risk_calculated_at, known_lien_exposure, total_lien_amount, lien_record_count, open_lien_count, surviving_count, manual_count, lien_items
+FROM j"""
+_PAGE_SQL = _LISTING_SQL + """
+WHERE state = 'NJ' AND current_status = 'scheduled' AND market_value - up >= 1000 ORDER BY current_sale_date ASC NULLS LAST, normalized_address ASC NULLS LAST, sale_id LIMIT 50 OFFSET 50"""
+
+
+def _listing_tables(spark: SparkSession, sf: str) -> listing.ListingTables:
+    o, c, i = read(spark, sf, "orders"), read(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]), read(spark, sf, "lineitem")
+    price, k, owner = F.col("o_totalprice"), F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    none = lambda kind: F.lit(None).cast(kind)
     sales = o.select(
-        k.alias("sale_id"), F.col("o_custkey").alias("property_id"), F.when(F.col("o_orderstatus") == "O", "scheduled").otherwise("sold").alias("current_status"), F.col("o_orderdate").alias("current_sale_date"),
-        (money(price) - 700).alias("estimated_upset_price"), F.when(k % 3 != 0, money(price) - 500).alias("alternate_upset_price"), (money(price) - 900).alias("upset_price"),
+        k.alias("sale_id"), owner.alias("property_id"), F.when(F.col("o_orderstatus") == "O", "scheduled").otherwise("sold").alias("current_status"), F.col("o_orderdate").alias("current_sale_date"), F.when(k % 2 == 0, F.concat(F.lit("D-"), text(k))).alias("docket_number"),
+        F.concat(F.lit("C-"), text(k)).alias("court_case_number"), F.concat(F.lit("Bank "), "o_orderstatus").alias("plaintiff"), money(price).alias("judgment_amount"), (money(price) - 700).alias("estimated_upset_price"), F.when(k % 3 != 0, money(price) - 500).alias("alternate_upset_price"), (money(price) - 900).alias("upset_price"),
     )
-    properties = c.select(F.col("c_custkey").alias("property_id"), F.col("c_name").alias("normalized_address"), F.when(F.col("c_nationkey") % 2 == 0, "NJ").otherwise("PA").alias("state"), F.col("c_mktsegment").alias("county"), F.lit(None).cast("string").alias("zip_code"))
-    valued = o.select(F.col("o_custkey").alias("property_id"), k.alias("valuation_id"), (F.col("o_orderpriority") != "5-LOW").alias("is_current"), F.col("o_orderdate").alias("retrieved_at"), money(price).alias("estimated_value"), F.lit("model").alias("provider"))
-    items = read(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_quantity", "l_linestatus"]).join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == k)
-    liens = items.select(
-        F.col("o_custkey").alias("property_id"), money("l_extendedprice").alias("current_amount"), F.lit(None).cast("decimal(14,2)").alias("original_amount"), F.when(F.col("l_returnflag") == "R", "RELEASED").otherwise("ACTIVE").alias("status"),
-        F.when(F.col("l_quantity") > 40, "MAY_SURVIVE").otherwise("NONE").alias("survival_classification"), (F.col("l_linestatus") == "F").alias("requires_manual_review"),
+    segment = F.col("c_mktsegment")
+    county = F.when(segment.isin("BUILDING", "AUTOMOBILE"), "Monmouth").when(segment == "MACHINERY", "Monroe").otherwise(segment)
+    properties = c.select(F.col("c_custkey").alias("property_id"), F.col("c_name").alias("normalized_address"), F.when(F.col("c_nationkey") % 2 == 0, "NJ").otherwise("PA").alias("state"), county.alias("county"), none("string").alias("zip_code"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 900).alias("square_feet"))
+    valuations = o.filter("o_custkey % 3 <> 0").select(
+        owner.alias("property_id"), k.alias("valuation_id"), (F.col("o_orderpriority") == "1-URGENT").alias("is_current"), F.col("o_orderdate").alias("retrieved_at"), money(price).alias("estimated_value"), (money(price) - 5).alias("low_value"), (money(price) + 5).alias("high_value"), F.col("o_orderstatus").alias("provider"), (k % 90).alias("confidence_score"),
     )
-    reports = spark.createDataFrame([], "property_id long, report_id long, calculated_at timestamp, risk_score int, risk_level string")
-    return listing.listing(sales, properties, valued, liens, reports, listing.ListingFilters(states=["nj"], status="scheduled", min_equity=1000), date(2000, 1, 1))
+    priority = F.when(F.col("l_returnflag") == "A", "SENIOR_LIEN").when(F.col("l_returnflag") == "R", "JUNIOR_LIEN").otherwise("NONE")
+    number, line = F.col("l_linenumber"), F.col("l_partkey") * 1000 + F.col("l_suppkey") % 100 * 10 + F.col("l_linenumber")
+    liens = i.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == k).select(
+        owner.alias("property_id"), line.alias("lien_id"), F.when(F.col("l_discount") <= 0.08, money("l_extendedprice")).alias("current_amount"), none("decimal(14,2)").alias("original_amount"), F.when(F.col("l_returnflag") == "R", "RELEASED").otherwise("ACTIVE").alias("status"),
+        F.when(F.col("l_quantity") > 40, "MAY_SURVIVE").otherwise("NONE").alias("survival_classification"), (F.col("l_linestatus") == "F").alias("requires_manual_review"), F.when(number == 1, "PROPERTY_TAX").otherwise("MORTGAGE").alias("lien_type"), none("string").alias("lien_subtype"),
+        F.when(number > 3, F.concat(F.lit("Holder "), text(F.col("l_suppkey")))).alias("creditor_name"), (number == 2).alias("is_foreclosing_lien"), priority.alias("priority_classification"), none("double").alias("priority_confidence"),
+    )
+    place = [F.col("c_custkey").alias("lot"), F.lit("1301").alias("municipality_code"), F.lit("1").alias("block")]
+    features = c.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("property_id"), *place, (F.col("c_custkey") % 21 + 80).cast("int").alias("match_confidence"), F.when(F.col("c_custkey") % 7 == 0, "4A").when(F.col("c_custkey") % 7 != 1, " 2 ").alias("property_class"))
+    training = o.select(owner.alias("lot"), *place[1:], F.col("o_orderdate").alias("deed_date"), k.alias("training_id"), F.when(k % 2 == 0, k % 3000).alias("living_space"))
+    score = lambda **more: i.select(F.col("l_orderkey").alias("sale_id"), F.col("l_shipdate").alias("at_"), line.alias("line_"), *(x.alias(n) for n, x in more.items()))
+    predictions = score(probability=F.col("l_discount"), feature_values=none("string"), prediction_target=F.when(number > 1, "reaches_auction").otherwise("other")).withColumnsRenamed({"at_": "predicted_at", "line_": "prediction_id"})
+    assessments = score(risk_score=F.col("l_quantity").cast("int"), risk_level=F.col("l_linestatus"), quantity=F.col("l_quantity")).filter("quantity < 45").withColumnsRenamed({"at_": "calculated_at", "line_": "assessment_id"})
+    reports = o.filter("o_orderstatus = 'F'").select(owner.alias("property_id"), k.alias("report_id"), F.col("o_orderdate").alias("calculated_at"), (k % 100).cast("int").alias("risk_score"), F.col("o_orderpriority").alias("risk_level"), none("double").alias("confidence_score"), money(price).alias("known_exposure"))
+    candidates = c.select(F.col("c_custkey").alias("property_id"), F.when(F.col("c_custkey") % 2 == 0, "PENDING").otherwise("REJECTED").alias("review_status"))
+    return listing.ListingTables(sales, properties, valuations, liens, features, training, o.filter("o_orderkey % 2 = 1").select(k.alias("sale_id")), candidates, predictions, assessments, reports)
+
+
+def _listing_columns(d: DataFrame) -> DataFrame:
+    share = F.round(F.col("gross_equity_percent").cast("double"), 4)
+    items = F.transform("lien_items", lambda x: F.concat_ws("|", x["lien_id"].cast("string"), x["holder"], F.coalesce(x["amount"].cast("string"), F.lit("")), x["lien_type"], x["status"], x["position"]))
+    plain = ["sale_id", "property_id", "normalized_address", "state", "county", "court_case_number", "plaintiff", "current_status", "current_sale_date", "judgment_amount", "upset_price", "market_value", "market_value_low", "market_value_high", "valuation_provider", "valuation_confidence", "valuation_retrieved_at", "parcel_match_confidence", "valuation_status", "valuation_pending_reason", "gross_equity"]
+    more = ["sale_probability", "risk_score", "risk_level", "lien_risk_score", "lien_risk_level", "lien_risk_calculated_at", "known_lien_exposure", "total_lien_amount", "lien_record_count", "open_lien_count"]
+    return d.select(*plain, share.alias("gross_equity_percent"), *more, F.col("potentially_surviving_count").alias("surviving_count"), F.col("manual_review_count").alias("manual_count"), F.coalesce(F.array_join(items, ";"), F.lit("")).alias("lien_items"))
+
+
+@query("flagship_listing", _PAGE_SQL)
+def flagship_listing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listing.listing(_listing_tables(spark, sf), listing.ListingFilters(states=["nj"], status="scheduled", min_equity=1000), date(2000, 1, 1))
+    return _listing_columns(listing.listing_page(rows, 2, 50))
 
 
-@query("flagship_listing", _LISTING_SQL)
-def flagship_listing(spark: SparkSession, sf: str) -> DataFrame:
-    n = lambda c, name: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(name)
-    return listing.listing_page(_listing_rows(spark, sf), 2, 50).select(
-        "sale_id", "property_id", "normalized_address", "current_sale_date", "upset_price", "estimated_value", "gross_equity", F.round(F.col("gross_equity").cast("double") / F.col("estimated_value").cast("double"), 4).alias("equity_share"), "total_lien_amount",
-        n("lien_record_count", "lien_record_count"), n("open_lien_count", "open_lien_count"), n("potentially_surviving_count", "surviving_count"), n("manual_review_count", "manual_count"),
-    )
+@query("listing_rows", _LISTING_SQL)
+def listing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _listing_columns(listing.listing(_listing_tables(spark, sf), listing.ListingFilters(), date(2000, 1, 1)))
 
 
 @query("lien_item_lists", """
@@ -494,7 +541,7 @@ def lien_item_lists(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "lineitem")
     priority = F.when(F.col("l_returnflag") == "A", "SENIOR_LIEN").when(F.col("l_returnflag") == "R", "JUNIOR_LIEN").otherwise("NONE")
     liens = d.select(
-        F.col("l_orderkey").alias("property_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 100 * 10 + F.col("l_linenumber")).alias("lien_id"), F.lit("X").alias("lien_type"), F.when(F.col("l_discount") <= 0.05, money("l_extendedprice")).alias("current_amount"), F.lit(None).cast("decimal(14,2)").alias("original_amount"),
+        F.col("l_orderkey").alias("property_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 100 * 10 + F.col("l_linenumber")).alias("lien_id"), F.lit("X").alias("lien_type"), F.lit(None).cast("string").alias("lien_subtype"), F.lit(None).cast("double").alias("priority_confidence"), F.when(F.col("l_discount") <= 0.05, money("l_extendedprice")).alias("current_amount"), F.lit(None).cast("decimal(14,2)").alias("original_amount"),
         F.lit(None).cast("string").alias("creditor_name"), F.lit("ACTIVE").alias("status"), (F.col("l_linenumber") == 1).alias("is_foreclosing_lien"), priority.alias("priority_classification"),
     )
     text = F.transform("lien_items", lambda x: F.concat_ws(":", x["lien_id"].cast("string"), x["position"]))

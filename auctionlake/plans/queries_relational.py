@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auctionlake.domain.scoring import event_counts
 from auctionlake.domain.valuation import metrics
 from auctionlake.functions.text import address_key, alias_key, map_number
 from auctionlake.operators import relational as R
@@ -184,12 +185,13 @@ def _segment_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("event_bucket_counts", """
-WITH e AS (SELECT DISTINCT user_id, event_type, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS bucket, CAST(ts AS DATE) AS day FROM events)
-SELECT user_id, count(*) AS distinct_events, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE bucket = 'high') AS high_values FROM e GROUP BY user_id""")
+WITH e AS (SELECT DISTINCT user_id, CASE WHEN value > 40 THEN 'adjourned' ELSE event_type END AS s, CASE WHEN value > 80 THEN 'adjourned by defendant' WHEN value > 60 THEN 'adjourned, plaintiff' WHEN value > 40 THEN 'adjourned' WHEN value > 35 THEN 'bankruptcy' ELSE event_type END AS r, CAST(ts AS DATE) AS d FROM events)
+SELECT user_id, count(*) FILTER (WHERE r = 'adjourned, plaintiff') AS plaintiff_adjournments, count(*) FILTER (WHERE r = 'adjourned by defendant') AS defendant_adjournments, count(*) FILTER (WHERE r = 'adjourned') AS generic_adjournments, count(*) FILTER (WHERE r = 'bankruptcy') AS bankruptcy_events, count(*) AS distinct_status_events FROM e GROUP BY user_id""")
 def event_bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    raw = F.when(v > 80, "Adjourned by Defendant").when(v > 60, "adjourned, plaintiff").when(v > 40, "").when(v > 35, "Bankruptcy").otherwise(F.col("event_type"))
     e = read(spark, sf, "events", ["user_id", "event_type", "value", "ts"])
-    once = e.select("user_id", "event_type", F.when(F.col("value") >= 50, "high").otherwise("low").alias("bucket"), F.to_date("ts").alias("day")).distinct()
-    return once.groupBy("user_id").agg(F.count("*").alias("distinct_events"), R.filtered_count(F.col("event_type") == "click").alias("clicks"), R.filtered_count(F.col("bucket") == "high").alias("high_values"))
+    return event_counts(e.select("user_id", F.when(v > 40, "Adjourned").otherwise(F.col("event_type")).alias("status"), raw.alias("raw_status"), F.col("ts").alias("sale_date")), "user_id")
 
 
 @query("model_metrics", """
