@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,21 +62,30 @@ def repeated_words(w: list[bytes], window: int = REPEAT_WINDOW) -> int:
 
 
 class _Pieces(dict):
-    """Pieces of a word << 32 | fallback bytes among them; every distinct word is encoded once."""
+    """Pieces of a word << 32 | fallback bytes among them; every distinct word is encoded once, many at a time."""
 
     def __init__(self, fallback: str):
         self.model, self.is_byte = vocab.pieces(fallback)
 
-    def __missing__(self, word: bytes) -> int:
-        ids = self.model.encode(word.decode("utf-8", "surrogatepass"))
-        found = len(ids) << 32 | int(self.is_byte[ids].sum())
-        if len(word) <= KNOWN_BYTES:
-            self[word] = found
-        return found
+    def _encoded(self, words: list[bytes]) -> list[int]:
+        ids = self.model.encode([w.decode("utf-8", "surrogatepass") for w in words])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+        upto = np.concatenate([[0], np.cumsum(self.is_byte[flat])])
+        ends = np.cumsum(sizes)
+        return (sizes << 32 | upto[ends] - upto[ends - sizes]).tolist()
 
-    def of(self, words: list[bytes]) -> tuple[int, float | None]:
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Before the words of ``texts`` are asked for; longer ones than KNOWN_BYTES are not kept."""
         if len(self) > KNOWN_WORDS:
             self.clear()
+        new = [w for w in set(chain.from_iterable(texts)) if w not in self and len(w) <= KNOWN_BYTES]
+        self.update(zip(new, self._encoded(new), strict=True))
+
+    def __missing__(self, word: bytes) -> int:
+        return self._encoded([word])[0]
+
+    def of(self, words: list[bytes]) -> tuple[int, float | None]:
         total = sum(map(self.__getitem__, words))
         n = total >> 32
         return n, (total & 0xFFFFFFFF) / n if n else None
@@ -123,8 +133,10 @@ def measure(df: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, lang in zip(texts_of(batch.column(place)), batch.column(lang_at).to_pylist(), strict=True):
-                w = ascii_words(text)
+            texts = texts_of(batch.column(place))
+            words = [ascii_words(t) for t in texts]
+            _pieces(fallback).learn(words)
+            for text, w, lang in zip(texts, words, batch.column(lang_at).to_pylist(), strict=True):
                 data = np.frombuffer(b"".join(w), np.uint8)
                 lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")] if w else []
                 counts = (len(w), int(((data & 0xC0) != 0x80).sum()), int(_SYMBOLS[data].sum()), len(lines) - len(set(lines)), repeated_words(w))
