@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auctionlake.functions.text import address_hash, clean_whitespace, last_zip, suffix_municipality, title_case_address, unit_number, without_unit
+from auctionlake.functions.text import address_hash, clean_whitespace, found, last_zip, squeeze, suffix_municipality, title_case_address, unit_number, without_unit
 from auctionlake.operators.relational import reasons
 
 
@@ -46,3 +46,21 @@ def normalise_addresses(df: DataFrame, column: str, municipalities: Sequence[str
         (F.size("review_") > 0).alias("needs_manual_review"), F.nullif(F.concat_ws("; ", "review_"), F.lit("")).alias("review_reason"),
     )
     return good, d.filter("reason IS NOT NULL").select(*df.columns, "reason")
+
+
+# Letters of a city after its first, and whether the street keeps the city.
+LISTED_CITY = {"PA": (30, True), "NY": (40, False)}
+
+
+def address_parts(raw: Column, state: str) -> dict[str, Column]:
+    """Value, street, city and code of an address as sheriffs' lists write it; a city that is not found is ``Unknown``.
+
+    What stands before the first mention of the state with a code is the street, and letters at its end the city.
+    """
+    longest, keeps_city = LISTED_CITY[state]
+    value, code = squeeze(raw), rf"\b{state}\s+(\d{{5}})(?:-\d{{4}})?\b"
+    ends, city = r"^[ ,]+|[ ,]+$", rf"([A-Za-z][A-Za-z .'-]{{1,{longest}}}),?$"
+    before = F.when(value.rlike(f"(?i){code}"), F.regexp_replace(F.regexp_extract(value, f"(?i)^(.*?){code}", 1), ends, "")).otherwise(value)
+    street = before if keeps_city else F.when(before.rlike(city), F.regexp_replace(F.regexp_replace(before, city, ""), ends, "")).otherwise(before)
+    named = F.when(value.isNotNull(), F.coalesce(F.trim(found(before, city)), F.lit("Unknown")))
+    return {"value": value, "street": street, "city": named, "zip_code": found(value, f"(?i){code}")}

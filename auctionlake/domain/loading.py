@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auctionlake.functions.text import address_key, alias_key, identity_component
+from auctionlake.functions.text import address_key, alias_key, identity_component, parcel_pin
 from auctionlake.operators.merge import append_new, merge_upsert
-from auctionlake.operators.relational import unanimous
+from auctionlake.operators.relational import filtered_count, unanimous
 
 # How each column of a known sale takes a new observation. upset_price only rises.
 SALE_RULES = (
@@ -19,6 +21,8 @@ SALE_RULES = (
     | dict.fromkeys(["first_seen_at", "source_system", "is_active"], "insert_only")
     | {"upset_price": "greatest"}
 )
+# What a new match may change of features that are there already; assessed figures stay.
+MATCH_COLUMNS = ["municipality_code", "block", "lot", "qualifier", "property_location", "match_method", "match_confidence", "source_hash"]
 PROPERTY_RULES = {"data_quality_score": "greatest"}
 PARCEL_RULES = {"first_seen": "least", "last_seen": "greatest"}
 
@@ -110,3 +114,68 @@ def run_log(job: str, found: DataFrame, created: DataFrame, updated: DataFrame,
     counts = tagged.agg(*[F.count(F.when(F.col("side") == n, 1)).alias(n) for n in sides])
     status = F.when(F.col("records_failed") > 0, "partially_completed").otherwise("completed")
     return counts.select(F.lit(job).alias("job_name"), status.alias("status"), *sides)
+
+
+def scrape_tallies(records: DataFrame) -> DataFrame:
+    """One row about a scrape: records, scheduled ones, those with a judgment and those with an upset price."""
+    return records.agg(F.count("*").alias("records"), filtered_count(F.col("status") == "scheduled").alias("scheduled"), F.count("judgment_amount").alias("judgments"), F.count("upset_price").alias("upset_prices"))
+
+
+def counted_upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], newest: str) -> tuple[DataFrame, DataFrame]:
+    """(the merged table, one row with how many keys are inserted and updated, and how many rows repeat a key).
+
+    Of rows with one key the one with the largest ``newest``, which is unique in a key, counts; it overwrites every column.
+    """
+    each = incoming.groupBy(*keys).agg(F.max_by(F.struct(*existing.columns), F.col(newest)).alias("row_"), F.count("*").alias("rows_"))
+    known = existing.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.lit(True).alias("known_"))
+    seen = each.join(known, reduce(and_, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]), "left")
+    counts = seen.agg(filtered_count(F.col("known_").isNull()).alias("inserted"), F.count("known_").alias("updated"), F.coalesce(F.sum(F.col("rows_") - 1), F.lit(0)).alias("duplicates"))
+    return merge_upsert(existing, each.select("row_.*"), list(keys), {c: "overwrite" for c in existing.columns if c not in keys}), counts
+
+
+def upsert_known_details(parcels: DataFrame, details: DataFrame, incoming: DataFrame) -> Mapping[str, DataFrame]:
+    """Details of parcels whose map number is known; those of others are only counted.
+
+    parcels (parcel_id, map_number, tax_parcel_id) take the tax number, details (parcel_id, ...) every column.
+    ``incoming`` has one row for each map number and the columns of details but for parcel_id.
+    """
+    known = incoming.join(parcels.select("parcel_id", "map_number"), "map_number", "left").join(details.select("parcel_id", F.lit(True).alias("had_")), "parcel_id", "left")
+    found = F.col("parcel_id").isNotNull()
+    counts = known.agg(F.count("*").alias("parsed"), filtered_count(found).alias("matched"), filtered_count(found & F.col("had_").isNull()).alias("inserted"), F.count("had_").alias("updated"), filtered_count(~found).alias("unmatched"))
+    matched = known.filter(found)
+    numbers = matched.select("parcel_id", F.col("tax_parcel_id").alias("new_"), F.lit(True).alias("hit_"))
+    numbered = parcels.join(numbers, "parcel_id", "left").withColumn("tax_parcel_id", F.when(F.col("hit_"), F.col("new_")).otherwise(F.col("tax_parcel_id"))).select(*parcels.columns)
+    merged = merge_upsert(details, matched.select(*details.columns), ["parcel_id"], {c: "overwrite" for c in details.columns if c != "parcel_id"})
+    return {"parcels": numbered, "details": merged, "counts": counts}
+
+
+def upsert_features(features: DataFrame, matched: DataFrame, identity_only: bool = False, keeps_year: bool = False) -> DataFrame:
+    """Features of properties with accepted matches, one for each property.
+
+    A match found by the matcher overwrites every column. With ``identity_only`` features that are there keep their
+    assessed figures and take where and how the parcel was matched, and its year unless ``keeps_year`` (approved by hand).
+    """
+    taken = MATCH_COLUMNS + ([] if keeps_year else ["snapshot_year"])
+    rules = {c: "insert_only" if identity_only and c not in taken else "overwrite" for c in features.columns if c != "property_id"}
+    return merge_upsert(features, matched.select(*features.columns), ["property_id"], rules)
+
+
+def identify_properties(properties: DataFrame, matched: DataFrame) -> DataFrame:
+    """Properties with the block, lot, qualifier, parcel number and confidence of their match; others stay."""
+    pin = parcel_pin(F.col("municipality_code"), F.col("block"), F.col("lot"), F.col("qualifier"))
+    new = {"block": F.col("block"), "lot": F.col("lot"), "qualifier": F.col("qualifier"), "pams_pin": pin, "identity_confidence": F.col("match_confidence")}
+    m = matched.select(F.col("property_id").alias("m_"), *[v.alias(f"m_{c}") for c, v in new.items()])
+    joined = properties.join(m, F.col("property_id") == F.col("m_"), "left")
+    return joined.select(*[F.when(F.col("m_").isNotNull(), F.col(f"m_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in properties.columns])
+
+
+def add_links(links: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Links of sales to parcels with those of accepted matches; a link that is there stays as it is."""
+    keys = ["sale_id", "parcel_id"]
+    return links.unionByName(append_new(links, accepted.select(*links.columns), keys))
+
+
+def upsert_analyses(analyses: DataFrame, calculated: DataFrame) -> DataFrame:
+    """Analyses with calculated ones merged in by sale and version: all is overwritten but the id."""
+    keys = ["sheriff_sale_id", "calculation_version"]
+    return merge_upsert(analyses, calculated, keys, {c: "insert_only" if c == "analysis_id" else "overwrite" for c in analyses.columns if c not in keys})

@@ -10,7 +10,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auctionlake.operators.relational import filtered_count, first_label, reasons
+from auctionlake.functions.values import nonzero
+from auctionlake.operators.relational import filtered_count, first_label, largest_per_key, reasons
 from auctionlake.operators.spatial import comparables, knn_within
 from auctionlake.operators.windows import group_medians, prior_event, prior_period, quarter, trailing_median
 
@@ -131,6 +132,50 @@ def valuations(scored: DataFrame, mae: float, imputed: str = "living_area_impute
     )
 
 
+# Days for which a valuation holds.
+EXPIRY_DAYS = {"listing_provider": 30, "local_model": 90, "experimental_model": 30}
+
+
+def expires(retrieved_at: Column, kind: str) -> Column:
+    return retrieved_at + F.make_dt_interval(F.lit(EXPIRY_DAYS[kind]))
+
+
+def experimental_valuations(scored: DataFrame, mae: float, prediction: str = "prediction") -> DataFrame:
+    """As ``valuations`` for the model of few sales: the interval is the error itself, confidence 0.25."""
+    p = F.col(prediction)
+    return scored.select(
+        "*", F.round(F.greatest(p, F.lit(FLOOR)), 2).alias("estimated_value"), F.round(F.greatest(F.greatest(p, F.lit(FLOOR)) - mae, F.lit(FLOOR)), 2).alias("low_value"),
+        F.round(F.greatest(p, F.lit(FLOOR)) + mae, 2).alias("high_value"), F.lit(0.25).alias("confidence_score"),
+    )
+
+
+def scoring_subjects(features: DataFrame, properties: DataFrame, sales: DataFrame, training: DataFrame, as_of: Column, valuations: DataFrame | None = None) -> DataFrame:
+    """Properties to score: class 2, matched with 90 points, a sale to come, and no current valuation where those are given.
+
+    The living area is the property's, else that of the parcel's latest training sale; where both are missing or zero
+    it is imputed. Month and age are those of ``as_of``; place and area of the latest training sale come along.
+    """
+    to_come = sales.filter(F.col("current_sale_date") >= as_of).select("property_id")
+    d = features.filter((F.col("match_confidence") >= 90) & (F.trim("property_class") == "2")).join(to_come, "property_id", "left_semi")
+    if valuations is not None:
+        d = d.join(valuations.filter("is_current").select("property_id"), "property_id", "left_anti")
+    parcel = ["municipality_code", "block", "lot"]
+    wanted = training.join(d.select(*parcel).distinct(), parcel, "left_semi")
+    latest = largest_per_key(wanted, parcel, ["deed_date", "training_id"], ["living_space", "latitude", "longitude"]).withColumnRenamed("living_space", "sold_area_")
+    d = d.join(properties.select("property_id", "square_feet"), "property_id").join(latest, parcel, "left")
+    area = nonzero(F.col("square_feet").cast("double"), F.col("sold_area_").cast("double"))
+    built = F.nullif(F.col("year_built"), F.lit(0))
+    return d.withColumn("living_space", area).withColumn("living_area_imputed", area.isNull()).withColumn("sale_month", F.month(as_of)).withColumn("property_age", F.year(as_of) - built).drop("sold_area_")
+
+
+def experimental_subjects(sales: DataFrame, matches: DataFrame, details: DataFrame, as_of: Column) -> DataFrame:
+    """One row for each property with a matched sale to come, its earliest (then the lowest sale), parcel and details."""
+    to_come = sales.filter(F.col("current_sale_date") >= as_of).join(matches, "sale_id").join(details, "parcel_id")
+    rest = [c for c in to_come.columns if c != "property_id"]
+    first = to_come.groupBy("property_id").agg(F.min_by(F.struct(*rest), F.struct("current_sale_date", "sale_id", "parcel_id")).alias("x_"))
+    return first.select("property_id", "x_.*").withColumn("sale_year", F.year(as_of)).withColumn("sale_month", F.month(as_of))
+
+
 # What each gap is called, and how it is told to a reader.
 PENDING = [
     ("VALUED", None),
@@ -170,7 +215,6 @@ def training_rows(deeds: DataFrame, assessments: DataFrame, county: str = "13")
 
     A price of zero counts as missing, and so does a building year of zero.
     """
-    from auctionlake.functions.values import nonzero
     from auctionlake.operators.relational import nearest_year_match
 
     price = nonzero(F.col("verified_price").cast("decimal(14,2)"), F.col("reported_price").cast("decimal(14,2)"))

@@ -9,6 +9,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bins of the bracket of ``nearest_rank_quartile``.
+BINS = 10_000
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key, the first by ``order``, which must be a total order."""
@@ -132,7 +135,8 @@ def page_arithmetic(total: Column, number: int, size: int) -> Mapping[str, Colum
 def nearest_rank_quartile(df: DataFrame, column: str, share: float = 0.75) -> DataFrame:
     """One row: the value at place floor((n - 1) * share) of the sorted column, as ``threshold``.
 
-    The column is counted by value and summed up in order, so no list of all values is ever made.
+    The column is numeric. Values near the place are counted in bins and those of one bin by value, so neither
+    a list of all values nor all different values of the bracket ever meet in one task.
     """
     v = F.col(column)
     known = df.filter(v.isNotNull()).select(column)
@@ -144,9 +148,14 @@ def nearest_rank_quartile(df: DataFrame, column: str, share: float = 0.75) -> Da
     high = F.when(F.col("upto_") > F.col("place_"), F.col("q_")[1]).otherwise(F.col("max_"))
     below = F.when(F.col("under_") <= F.col("place_"), F.col("under_")).otherwise(0)
     bracket = F.broadcast(checked.select(low.alias("low_"), high.alias("high_"), below.alias("below_"), "place_"))
-    near = known.join(bracket, how="cross").filter(v.between(F.col("low_"), F.col("high_"))).groupBy(column, "below_", "place_").agg(F.count("*").alias("n_"))
-    placed = near.withColumn("sum_", F.sum("n_").over(Window.orderBy(column)))
-    return placed.filter(F.col("below_") + F.col("sum_") > F.col("place_")).agg(F.min(column).alias("threshold"))
+    offset = F.try_divide((v - F.col("low_")).cast("double"), (F.col("high_") - F.col("low_")).cast("double"))
+    near = known.join(bracket, how="cross").filter(v.between(F.col("low_"), F.col("high_"))).withColumn("bin_", F.coalesce(F.floor(offset * BINS), F.lit(0)))
+    bins = near.groupBy("bin_", "below_", "place_").agg(F.count("*").alias("n_"))
+    summed = bins.withColumn("upto_", F.col("below_") + F.sum("n_").over(Window.orderBy("bin_")))
+    hit = summed.filter((F.col("upto_") > F.col("place_")) & (F.col("upto_") - F.col("n_") <= F.col("place_"))).select("bin_", (F.col("upto_") - F.col("n_")).alias("before_"))
+    inside = near.join(F.broadcast(hit), "bin_").groupBy(column, "before_", "place_").agg(F.count("*").alias("n_"))
+    placed = inside.withColumn("sum_", F.sum("n_").over(Window.orderBy(column)))
+    return placed.filter(F.col("before_") + F.col("sum_") > F.col("place_")).agg(F.min(column).alias("threshold"))
 
 
 def missing_last(column: str, descending: bool = False) -> list[Column]:
@@ -154,3 +163,19 @@ def missing_last(column: str, descending: bool = False) -> list[Column]:
     text = F.lower(F.regexp_replace(F.col(column).cast("string"), r"(\d+)", r"000000000000$1"))
     text = F.regexp_replace(text, r"0*(\d{12})(?!\d)", "$1")
     return [F.col(column).isNull().asc(), text.desc() if descending else text.asc()]
+
+
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the most frequent value of each column; the smallest of equals, null where there is none."""
+    return df.agg(*[F.mode(c, deterministic=True).alias(c) for c in columns])
+
+
+def fill_with(df: DataFrame, values: DataFrame) -> DataFrame:
+    """``df`` with nulls filled from the one row of ``values``, column by column."""
+    one = F.broadcast(values.select(*[F.col(c).alias(f"{c}_fill_") for c in values.columns]))
+    return df.join(one, how="cross").select(*[F.coalesce(F.col(c), F.col(f"{c}_fill_")).alias(c) if c in values.columns else F.col(c) for c in df.columns])
+
+
+def trimmed_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """An equi-join on pairs of columns whose right side is padded with spaces."""
+    return left.join(right, reduce(and_, [left[a] == F.trim(right[b]) for a, b in keys]), how)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,6 +222,28 @@ def detail_record(pages: DataFrame, id_col: str, html_col: str, listed_upset: Co
     )
 
 
+# Labels of the shorter reading of a detail page, and the path of such pages.
+BRIEF_MONEY = {"upset_price": ["upset price", "upset amount", "opening bid"], "judgment_amount": ["judgment amount", "final judgment", "judgment"]}
+BRIEF_TEXT = {"plaintiff_attorney": ["plaintiff attorney", "attorney"], "court_case_number": ["court case", "case number", "docket number"], "block": ["block"], "lot": ["lot"], "qualifier": ["qualifier"]}
+DETAIL_PATH = "/Sales/SaleDetails"
+
+
+def brief_detail(listed: DataFrame, html_col: str, source_url: str, final_url: str) -> DataFrame:
+    """Listed sales with the labelled fields of their detail pages, which replace what was listed, missing ones too.
+
+    Of several labels with one of the names the first on the page counts, of amounts the first that has a number.
+
+    A sale without a detail address, one that was sent on to another page and one whose page has no fields stay as they are.
+    """
+    d = listed.withColumn("fields_", F.filter(F.map_entries(labelled_values(F.col(html_col))), lambda e: e["value"] != ""))
+    named = lambda names: F.filter("fields_", lambda e: reduce(or_, [e["key"].contains(n) for n in names]))
+    read = F.col(source_url).contains(DETAIL_PATH) & F.col(final_url).contains(DETAIL_PATH) & (F.size("fields_") > 0)
+    price = lambda e: F.regexp_extract(F.regexp_replace(e["value"], "[$,]", ""), r"(-?\d+(?:\.\d{1,2})?)", 1)
+    new = {c: F.get(F.filter(F.transform(named(names), price), lambda x: x != ""), F.lit(0)).try_cast("decimal(14,2)") for c, names in BRIEF_MONEY.items()}
+    new |= {c: F.get(named(names), F.lit(0))["value"] for c, names in BRIEF_TEXT.items()}
+    return d.select(*[F.when(read, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in listed.columns])
+
+
 def dated_links(pages: DataFrame, id_col: str, html_col: str, prefix: str, base: str) -> DataFrame:
     """Listings written as linked lines: a date, ``Sale of``, an address with its code, perhaps a cancellation; the number is made from the link."""
     line = r"(?i)([A-Z][a-z]+\s+\d{1,2},\s+\d{4})\s*-\s*Sale of\s+(.+?\bNY\s+\d{5})(?:\s*-\s*(Cancell?ed))?$"
