@@ -63,3 +63,51 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM doc UNION SELECT reach.doc_i
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM doc JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)
 """
+
+ORACLES["op13_merkle"] = r"""
+WITH RECURSIVE crc(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+source_row AS (
+  SELECT row_number() OVER () AS rid, *, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc_table),
+shown AS (
+  SELECT rid, doc_id, g, text AS original, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM source_row),
+hashed AS (
+  SELECT rid, doc_id, g, sha256(head || coalesce(strlen(original) || ':' || original, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS other FROM shown),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+node(g, level, k, h, n) AS (
+  SELECT g, 0, place, leaf, n FROM leaves
+  UNION ALL SELECT g, level + 1, k // 3, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 2) // 3 FROM node WHERE n > 1 GROUP BY g, level, k // 3),
+subroots AS (
+  SELECT g, level AS height, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM node WHERE n = 1),
+upper(level, k, h, n) AS (
+  SELECT 0, place, subroot, n FROM subroots
+  UNION ALL SELECT level + 1, k // 3, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, k // 3),
+low_path AS (
+  SELECT rid, level, string_agg(h, '' ORDER BY k) FILTER (k < own) AS l, string_agg(h, '' ORDER BY k) FILTER (k > own) AS r
+  FROM (SELECT rid, level, k, h, l.place // CAST(pow(3, level) AS BIGINT) AS own FROM leaves AS l JOIN node ON node.g = l.g AND node.n > 1)
+  WHERE k // 3 = own // 3 GROUP BY rid, level),
+high_path AS (
+  SELECT g, height + level AS level, string_agg(h, '' ORDER BY k) FILTER (k < own) AS l, string_agg(h, '' ORDER BY k) FILTER (k > own) AS r
+  FROM (SELECT g, height, level, k, h, s.place // CAST(pow(3, level) AS BIGINT) AS own FROM subroots AS s JOIN upper ON upper.n > 1)
+  WHERE k // 3 = own // 3 GROUP BY g, height, level),
+steps AS (
+  SELECT rid, level, coalesce(l, '') AS l, coalesce(r, '') AS r FROM low_path
+  UNION ALL SELECT rid, level, coalesce(l, ''), coalesce(r, '') FROM high_path JOIN leaves USING (g)),
+proof AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY rid),
+folding(rid, level, h) AS (
+  SELECT rid, 0, other FROM leaves
+  UNION ALL SELECT f.rid, f.level + 1, sha256(l || h || r) FROM folding AS f JOIN steps AS s ON f.rid = s.rid AND f.level = s.level),
+folded AS (SELECT rid, max_by(h, level) AS folded_root FROM folding GROUP BY rid),
+root AS (SELECT h AS root FROM upper WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (g) JOIN folded USING (rid) LEFT JOIN proof USING (rid), root
+"""

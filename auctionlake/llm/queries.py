@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auctionlake.llm import byte_bpe, chat_format, decontaminate, html_extract, importance, jaccard_join, line_dedup, quality_rules, sharding, token_counts
+from auctionlake.llm import alignment, byte_bpe, chat_format, decontaminate, html_extract, importance, jaccard_join, line_dedup, merkle, packing, quality_rules, sharding, token_counts
 from auctionlake.llm.common import materialize, table
 from auctionlake.llm.oracles import ORACLES
 
@@ -70,3 +70,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_links(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), presented={"text": merkle.without_line_ends()})

@@ -21,10 +21,10 @@ def ranks(name: str) -> dict[bytes, int]:
 
 
 @lru_cache(4)
-def encoding(name: str):
+def encoding(name: str, special: tuple[tuple[str, int], ...] = ()):
     import tiktoken
 
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(name), special_tokens=dict(special))
 
 
 @lru_cache(4)
@@ -61,3 +61,12 @@ def pieces(name: str):
 
     model = sentencepiece.SentencePieceProcessor(model_file=path(name))
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+
+
+@lru_cache(4)
+def piece_bytes(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """As ``token_bytes`` for a ``.model`` vocabulary: U+2581 is a space, a byte piece its byte."""
+    model, single = pieces(name)
+    tokens = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    data = [bytes([int(t[3:5], 16)]) if one else t.replace("\u2581", " ").encode() for t, one in zip(tokens, single.tolist(), strict=True)]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])])
