@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auctionlake.functions.text import address_hash, clean_whitespace, found, last_zip, squeeze, suffix_municipality, title_case_address, unit_number, without_unit
+from auctionlake.domain.municipalities import with_suffix_municipality
+from auctionlake.functions.text import address_hash, clean_whitespace, found, last_zip, squeeze, title_case_address, unit_number, without_unit
 from auctionlake.operators.relational import reasons
 
 
-def normalise_addresses(df: DataFrame, column: str, municipalities: Sequence[str], state: str = "NJ") -> tuple[DataFrame, DataFrame]:
+def normalise_addresses(df: DataFrame, column: str, municipalities: DataFrame, state: str = "NJ") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejects): addresses cut into street, unit, city, state and code; the rejects carry a reason.
 
-    The part before the last mention of the state must end with a municipality of the list. A missing code
-    costs 15 points, any reason for review 20.
+    The part before the last mention of the state must end with a municipality of the table (column ``municipality``). A
+    missing code costs 15 points, any reason for review 20.
     """
     original = clean_whitespace(F.coalesce(F.col(column), F.lit("")))
     d = df.withColumn("original_address", original).withColumn("zip_code", last_zip(F.col("original_address")))
     without_zip = F.when(F.col("zip_code").isNotNull(), F.regexp_replace("original_address", F.concat(F.lit(r"\b"), F.col("zip_code"), F.lit(r"(?:-\d{4})?\b")), F.lit(""))).otherwise(F.col("original_address"))
     before = F.when(without_zip.rlike(rf"(?i)\b{state}\b"), F.regexp_extract(without_zip, rf"(?is)^(.*)\b{state}\b", 1))
     d = d.withColumn("before_", clean_whitespace(before))
-    d = d.withColumn("city_", suffix_municipality(F.col("before_"), municipalities))
+    d = with_suffix_municipality(d, "before_", municipalities, "city_")
     street = clean_whitespace(F.substring(F.col("before_"), F.lit(1), F.length("before_") - F.length("city_")))
     d = d.withColumn("street_", street).withColumn("unit_number", unit_number(F.col("street_"))).withColumn("street_address", title_case_address(without_unit(F.col("street_"))))
     reason = F.when(F.col("original_address") == "", "Address is empty.").when(F.col("before_").isNull(), F.concat(F.lit(f"Could not find {state} in address: "), "original_address"))

@@ -52,7 +52,8 @@ def resolve(sales: DataFrame, identifiers: DataFrame, parcels: DataFrame, aliase
     normalized_address, current_address. ``aliases``: county, alias, municipality_code.
     Legal identifiers come first: each must have one candidate, all in one municipality, else the sale goes
     to review. The first identifier with a single candidate that the address supports fixes the
-    municipality of those after it. Sales without identifiers go by exact address in an unambiguous city.
+    municipality of those after it; only there a lot that is unknown is looked up without its part after
+    the dot. Sales without identifiers go by exact address in an unambiguous city.
     """
     wanted = identifiers.join(sales.select("sale_id", "county", F.col("normalized_address").alias("sale_address")), "sale_id").select(
         "sale_id", "county", "sale_address", "position", identity_component(F.col("block")).alias("block"), identity_component(F.col("lot")).alias("lot"), F.nullif(identity_component(F.col("qualifier")), F.lit("")).alias("want_qualifier"),
@@ -74,8 +75,9 @@ def resolve(sales: DataFrame, identifiers: DataFrame, parcels: DataFrame, aliase
     bound = every.join(fixed, "sale_id", "left")
     after = F.coalesce(F.col("position") > F.col("from_position"), F.lit(False))
     bound = bound.filter((~F.col("base") & (~after | (F.col("municipality_code") == F.col("code")))) | (F.col("base") & after & (F.col("municipality_code") == F.col("code"))))
-    has_direct = bound.withColumn("direct_", F.max(~F.col("base")).over(by_identifier)).filter("NOT base OR NOT direct_")
-    narrowed = has_direct.withColumn("any_supported", F.max("supported").over(by_identifier)).filter("supported OR NOT any_supported")
+    # a lot without its part after the dot counts only where the whole one has no parcel, and is alone itself
+    lots = bound.withColumn("direct_", F.max(~F.col("base")).over(by_identifier)).withColumn("alone_", F.count("*").over(by_identifier) == 1).filter("NOT base OR (NOT direct_ AND alone_)")
+    narrowed = lots.withColumn("any_supported", F.max("supported").over(by_identifier)).filter("supported OR NOT any_supported")
     counted = narrowed.groupBy("sale_id", "position").agg(F.count("*").alias("n"), F.min("parcel_id").alias("parcel_id"), F.min("municipality_code").alias("municipality_code"))
     legal = wanted.select("sale_id", "position").join(counted, ["sale_id", "position"], "left")
     verdict = legal.groupBy("sale_id").agg(F.min(F.coalesce(F.col("n"), F.lit(0)) == 1).alias("clear"), F.count_distinct("municipality_code").alias("codes"), F.count("*").alias("identifiers"))
@@ -89,7 +91,7 @@ def resolve(sales: DataFrame, identifiers: DataFrame, parcels: DataFrame, aliase
     p = parcels.select("parcel_id", F.col("county").alias("pc_"), F.col("municipality_code").alias("pm_"), F.col("normalized_address").alias("pa_"))
     hits = placed.join(p, (F.col("county") == F.col("pc_")) & (F.col("municipality_code") == F.col("pm_")) & (address_key(F.col("street_address")) == F.col("pa_")), "left")
     exact = hits.groupBy("sale_id").agg(F.count("parcel_id").alias("n"), F.min("parcel_id").alias("only_"), F.max("municipality_code").alias("code"))
-    kind = first_label([(F.col("code").isNull(), "REVIEW_ALIAS"), (F.col("n") == 1, "EXACT_ADDRESS")], "REVIEW_ADDRESS")
+    kind = first_label([(F.col("code").isNull(), "REVIEW_ALIAS"), (F.col("n") == 1, "EXACT_ADDRESS"), (F.col("n") > 1, "REVIEW_ADDRESS")], "UNRESOLVED")
     by_address = exact.select("sale_id", F.when((F.col("n") == 1) & F.col("code").isNotNull(), F.col("only_")).alias("parcel_id"), kind.alias("match_kind"))
     return by_law.unionByName(doubtful).unionByName(by_address)
 

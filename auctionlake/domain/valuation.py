@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auctionlake.functions.values import nonzero
 from auctionlake.operators.relational import filtered_count, first_label, largest_per_key, reasons
-from auctionlake.operators.spatial import comparables, knn_within
+from auctionlake.operators.spatial import comparables, knn_before
 from auctionlake.operators.windows import group_medians, prior_event, prior_period, quarter, trailing_median
 
 FLOOR = 25_000.0
@@ -65,20 +65,19 @@ def market_features(df: DataFrame) -> DataFrame:
 
 def distance_features(df: DataFrame, id_col: str, k: int = 20, miles: float = 5.0, quarters: int = 8) -> DataFrame:
     """Adds what the nearest sales of the eight quarters before a sale's own say; sales of its quarter never count."""
-    d = df.withColumn("q_start", quarter(F.col("deed_date")))
-    earlier = (F.col("p_deed_date") < F.col("t_q_start")) & (F.col("p_deed_date") >= F.add_months("t_q_start", -3 * quarters))
-    points = df.select(F.col(id_col).alias("point_id"), "deed_date", "latitude", "longitude", F.col("sale_price").cast("double").alias("sale_price"), F.col("living_space").cast("double").alias("living_space"))
-    near = knn_within(d.select(id_col, "q_start", "latitude", "longitude"), points, id_col, "point_id", "latitude", "longitude", k, miles, earlier, ("sale_price", "living_space"))
+    price, area = F.col("sale_price").cast("double").alias("sale_price"), F.col("living_space").cast("double").alias("living_space")
+    sales = df.select(id_col, "deed_date", "latitude", "longitude", price, area)
+    near = knn_before(sales, sales.withColumnRenamed(id_col, "point_id"), id_col, "point_id", "latitude", "longitude", "deed_date", k, miles, quarters, ("sale_price", "living_space"))
     found = comparables(near, id_col, "sale_price", "living_space")
     return df.join(found, id_col, "left").withColumn("local_comp_count", F.coalesce("local_comp_count", F.lit(0).cast("long")))
 
 
-def metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """MAE, RMSE, median error, MAPE, shares within 10 and 20 per cent and R², in one pass of sums."""
+def metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """MAE, RMSE, median error, MAPE, shares within 10 and 20 per cent and R², for each group of ``by``, in one pass of sums."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     error = F.abs(a - p)
     share = F.try_divide(error, F.abs(a))
-    sums = df.filter(a.isNotNull() & p.isNotNull()).agg(
+    sums = df.filter(a.isNotNull() & p.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("rows"), F.avg(error).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.median(error).alias("median_error"), F.avg(share).alias("mape"),
         F.avg((share <= 0.1).cast("double")).alias("within_10"), F.avg((share <= 0.2).cast("double")).alias("within_20"),
         F.sum(error * error).alias("rss_"), (F.var_pop(a) * F.count("*")).alias("tss_"),
@@ -86,6 +85,38 @@ def metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return sums.withColumn("r2", 1 - F.try_divide(F.col("rss_"), F.col("tss_"))).drop("rss_", "tss_")
 
 
+BASELINE = "training_median_ratio"
+
+
+def with_ratio_baseline(training: DataFrame, later: DataFrame, price: str, assessed: str) -> DataFrame:
+    """``later`` with the prediction ``training_median_ratio``: the assessed value times the training sales' median ratio of price to it.
+
+    The ratio is one row, so the join is a broadcast of one number; without any training sale with a value the prediction is null.
+    """
+    ratio = training.agg(F.median(F.col(price).cast("double") / F.nullif(F.col(assessed).cast("double"), F.lit(0.0))).alias("ratio_"))
+    return later.crossJoin(F.broadcast(ratio)).withColumn(BASELINE, F.col(assessed).cast("double") * F.col("ratio_")).drop("ratio_")
+
+
+def candidate_metrics(predicted: DataFrame, actual: str, candidates: Sequence[str], partition: str = "partition") -> DataFrame:
+    """(partition, candidate, metrics): the predictions of all candidates, one column each, held against the sales of each partition."""
+    long = predicted.unpivot([partition, actual], list(candidates), "candidate", "prediction_")
+    return metrics(long, actual, "prediction_", [partition, "candidate"])
+
+
+def promotion_gate(measured: DataFrame, candidates: Sequence[str], partition: str = "partition", choice: str = "validation") -> DataFrame:
+    """One row: the candidate with the smallest error on ``choice`` (the first of equals), and whether it is promoted.
+
+    It is if its error is below the baseline's on every partition; a partition without either figure fails it.
+    """
+    order = F.element_at(F.create_map(*[x for k, c in enumerate(candidates) for x in (F.lit(c), F.lit(k))]), F.col("candidate"))
+    chosen = measured.filter(F.col("candidate").isin(*candidates) & (F.col(partition) == choice)).agg(F.min_by("candidate", F.struct("mae", order)).alias("selected_candidate"))
+    base = measured.filter(F.col("candidate") == BASELINE).select(partition, F.col("mae").alias("base_"))
+    own = measured.join(F.broadcast(chosen), F.col("candidate") == F.col("selected_candidate")).select(partition, "selected_candidate", "mae")
+    return base.join(own, partition, "full").agg(
+        F.max("selected_candidate").alias("selected_candidate"), F.coalesce(F.min(F.coalesce(F.col("mae") < F.col("base_"), F.lit(False))), F.lit(False)).alias("promoted"), F.count("*").alias("partitions"),
+    )
+
+
 def split_by_year(df: DataFrame, year: str, last_training: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training, validation and test rows in the order of time; each must have some."""
     parts = (df.filter(F.col(year) <= last_training), df.filter(F.col(year) == last_training + 1), df.filter(F.col(year) > last_training + 1))

@@ -65,6 +65,7 @@ def last_zip(c: Column) -> Column:
     return F.try_element_at(codes, F.lit(-1))
 
 
+# Fixed value: the designators of a unit, and what is its number.
 _UNIT = r"(?i)\b(?:UNIT|APT|APARTMENT|SUITE|STE|#)\s*([A-Z0-9-]+)\b"
 
 
@@ -77,14 +78,6 @@ def without_unit(c: Column) -> Column:
     return F.when(c.rlike(_UNIT), clean_whitespace(F.regexp_replace(c, r"(?s)^(.*?)" + _UNIT.replace("(?i)", "(?i:") + r")(.*)$", "$1$3"))).otherwise(c)
 
 
-def suffix_municipality(c: Column, names: Sequence[str]) -> Column:
-    """The longest of ``names`` that ends the text as whole words, in the list's own spelling."""
-    longest = sorted(set(names), key=lambda x: (-len(x), x))
-    lower = _mapping({n.lower(): n for n in longest})
-    hit = found(c, r"(?i)(?:^|\s)(" + "|".join(map(re.escape, longest)) + r")$")
-    return F.try_element_at(lower, F.lower(hit))
-
-
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.upper(F.coalesce(c, F.lit(""))), F.lit(r"([A-Z0-9]+)"), 1)
 
@@ -161,10 +154,39 @@ def money_after(c: Column, labels: Sequence[str], distance: int = 180) -> Column
     return F.coalesce(*[amount(found(c, rf"(?is)(?:{label}).{{0,{distance}}}?{MONEY}")) for label in labels])
 
 
-def money_after_unless(c: Column, label: str, distance: int, stops: Sequence[str]) -> Column:
+#: Characters of a window: more than the longest label, distance and value take together.
+WINDOW = 340
+
+
+def first_word(pattern: str) -> str:
+    """The literal letters with which a pattern starts."""
+    return re.match(r"[a-z]+(?![?*])", pattern)[0]
+
+
+def windows(c: Column, words: Sequence[str], size: int = WINDOW) -> Column:
+    """The text from each place where one of ``words`` (patterns, any case) stands, ``size`` characters of it, in the order of the places.
+
+    One scan of the text, however many patterns then look at the windows' beginnings.
+    """
+    shortest = [w for w in dict.fromkeys(words) if not any(w != x and w.startswith(x) for x in words)]
+    return F.regexp_extract_all(c, F.lit(rf"(?is)(?=((?:{'|'.join(shortest)}).{{0,{size}}}))"), 1)
+
+
+def in_windows(places: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first window that starts with ``pattern``, null where none does or the group is empty."""
+    at_start = rf"(?is)^(?:{pattern})"
+    return found(F.get(F.filter(places, lambda w: w.rlike(at_start)), F.lit(0)), at_start, group)
+
+
+def money_in(places: Column, labels: Sequence[str], distance: int = 180) -> Column:
+    """As ``money_after``, by windows."""
+    return F.coalesce(*[amount(in_windows(places, rf"(?:{label}).{{0,{distance}}}?{MONEY}")) for label in labels])
+
+
+def money_in_unless(places: Column, label: str, distance: int, stops: Sequence[str]) -> Column:
     """The first amount with a dollar sign after a label, none of ``stops`` between them."""
     between = rf"(?:(?!{'|'.join(stops)})(?!\$\s*\d).){{0,{distance}}}"
-    return amount(found(c, rf"(?is)(?:{label}){between}{MONEY.replace('?', '', 1)}"))
+    return amount(in_windows(places, rf"(?:{label}){between}{MONEY.replace('?', '', 1)}"))
 
 
 def first_rule(c: Column, rules: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:

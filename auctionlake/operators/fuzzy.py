@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Candidates of one block that are compared in one place; larger blocks are cut.
+BLOCK_ROWS = 2000
+_COUNTED = string.ascii_uppercase + string.digits
+
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -20,20 +25,47 @@ def _ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 def matching_ratio(a: Column, b: Column) -> Column:
     """Ratcliff/Obershelp similarity. Spark has no such function (levenshtein is another measure), so this is Python.
 
-    Twice the length of the shorter text over both lengths bounds it: callers filter by that first.
+    ``ratio_bound`` is never below it: callers filter by that first.
     """
     return _ratio(a, b)
 
 
-def best_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: tuple[Column, Column], names: tuple[Column, Column], top: int = 5, least: float = 0.0) -> DataFrame:
+def letter_counts(c: Column) -> Column:
+    """How often each of the letters A to Z and the digits stands in a text, and how many other characters there are."""
+    counted = F.transform(F.array(*map(F.lit, _COUNTED)), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
+    return F.array_append(counted, F.length(F.regexp_replace(c, "[A-Z0-9]", "")))
+
+
+def ratio_bound(a_counts: Column, b_counts: Column, a_length: Column, b_length: Column) -> Column:
+    """What the ratio of two texts would be if all characters that they share stood in one order."""
+    shared = F.aggregate(F.zip_with(a_counts, b_counts, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return 2.0 * shared / (a_length + b_length)
+
+
+def in_parts(left: DataFrame, right: DataFrame, key: str, right_id: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``part_``: right rows of a large block are dealt over parts, left rows are in each of them."""
+    large = right.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts_")).filter("parts_ > 1")
+    one = F.coalesce("parts_", F.lit(1))
+    a = left.join(large, key, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts_")
+    return a, right.join(large, key, "left").withColumn("part_", F.pmod(F.xxhash64(right_id), one).cast("int")).drop("parts_")
+
+
+def best_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: tuple[Column, Column], names: tuple[Column, Column], top: int = 5, least: float = 0.0, keep: Column | None = None) -> DataFrame:
     """(left id, right id, score, candidate_rank): the ``top`` partners with an equal block, by falling score and id.
 
-    Candidates whose lengths alone rule out ``least`` do not reach Python.
+    Candidates whose lengths or letters alone rule out ``least`` do not reach Python, nor those that ``keep`` drops.
     """
     a = left.select(F.col(left_id), block[0].alias("b_"), names[0].alias("ln_")).filter("b_ IS NOT NULL AND ln_ <> ''")
     b = right.select(F.col(right_id), block[1].alias("b_"), names[1].alias("rn_")).filter("b_ IS NOT NULL AND rn_ <> ''")
+    if least > 0:
+        a, b = a.withColumn("lc_", letter_counts(F.col("ln_"))), b.withColumn("rc_", letter_counts(F.col("rn_")))
+    a, b = in_parts(a, b, "b_", right_id)
     x, y = F.length("ln_"), F.length("rn_")
-    pairs = a.join(b, "b_").filter(2.0 * F.least(x, y) / (x + y) >= least)
+    pairs = a.join(b, ["b_", "part_"])
+    if keep is not None:
+        pairs = pairs.filter(keep)
+    if least > 0:
+        pairs = pairs.filter(2.0 * F.least(x, y) / (x + y) >= least).filter(ratio_bound(F.col("lc_"), F.col("rc_"), x, y) >= least)
     scored = pairs.select(left_id, right_id, F.when(F.col("ln_") == F.col("rn_"), F.lit(1.0)).otherwise(matching_ratio(F.col("ln_"), F.col("rn_"))).alias("score"))
     w = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
     return scored.filter((F.col("score") > 0) & (F.col("score") >= least)).withColumn("candidate_rank", F.row_number().over(w)).filter(F.col("candidate_rank") <= top)

@@ -158,11 +158,25 @@ def nearest_rank_quartile(df: DataFrame, column: str, share: float = 0.75) -> Da
     return placed.filter(F.col("before_") + F.col("sum_") > F.col("place_")).agg(F.min(column).alias("threshold"))
 
 
-def missing_last(column: str, descending: bool = False) -> list[Column]:
-    """Order by a text column without regard to case and by value where it holds numbers; missing values come last either way."""
-    text = F.lower(F.regexp_replace(F.col(column).cast("string"), r"(\d+)", r"000000000000$1"))
-    text = F.regexp_replace(text, r"0*(\d{12})(?!\d)", "$1")
-    return [F.col(column).isNull().asc(), text.desc() if descending else text.asc()]
+def natural_key(text: Column) -> Column:
+    """A sort key in which numbers inside a text go by value, however long, and case does not count.
+
+    An array of (text, digits, number) parts: runs of digits have no text and sort by their number of digits without leading
+    zeros, then by these; other runs sort by their text. Numbers come before text.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    bare = lambda r: F.regexp_replace(r, "^0+(?=[0-9])", "")
+    number = lambda r: F.struct(F.lit("").alias("text"), F.length(bare(r)).alias("digits"), bare(r).alias("number"))
+    word = lambda r: F.struct(r.alias("text"), F.lit(0).alias("digits"), F.lit("").alias("number"))
+    return F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(word(r)))
+
+
+def missing_last(column: str, descending: bool = False, numeric: bool = False) -> list[Column]:
+    """Order by a column, texts naturally (``natural_key``), numbers (``numeric``) by value; null and empty values come last either way."""
+    c = F.col(column)
+    missing = F.coalesce(c.cast("string") == "", F.lit(True))
+    key = c if numeric else F.when(~missing, natural_key(c.cast("string")))
+    return [missing.asc(), key.desc() if descending else key.asc()]
 
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -57,3 +57,73 @@ def comparables(neighbours: DataFrame, target_id: str, price: str, area: str) ->
         F.median("miles").alias("local_comp_median_miles"),
         F.count("*").alias("local_comp_count"),
     )
+
+
+# --- nearest of the quarters before ----------------------------------------------------------------
+
+#: Halvings of a cell, and the latitude above which cells are not halved: there a cell may be twice as wide as high.
+LEVELS, STEEP = 8, 75.0
+
+
+def _grid(lat: Column, lon: Column, zone: Column, miles: float, level: Column) -> tuple[Column, Column]:
+    """Row and column of the cell at ``level``: its height is ``miles`` halved so often; cells of a level lie whole in those above."""
+    size = miles / _MILES_PER_DEGREE
+    width = size / F.greatest(F.cos(F.radians(F.least(zone * 5 + 5 + 2 * size, F.lit(89.0)))), F.lit(0.01))
+    times = F.pow(F.lit(2.0), level)
+    return F.floor(lat / size * times), F.floor(lon / width * times)
+
+
+def history_points(points: DataFrame, point_id: str, lat: str, lon: str, day: str, k: int, quarters: int) -> DataFrame:
+    """Points with the quarters (``q_``) that may look back at them: the next ``quarters``, not their own.
+
+    Of the points of one place and quarter only the ``k`` with the lowest ids can be among the nearest, so others go: a
+    place with many sales costs no more than one with ``k`` a quarter.
+    """
+    own = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(day).isNotNull()).withColumn("own_", F.trunc(day, "quarter"))
+    w = Window.partitionBy(lat, lon, "own_").orderBy(point_id)
+    few = own.withColumn("place_", F.row_number().over(w)).filter(F.col("place_") <= k).drop("place_")
+    after = F.transform(F.sequence(F.lit(1), F.lit(quarters)), lambda n: F.add_months("own_", 3 * n))
+    return few.withColumn("q_", F.explode(after)).drop("own_")
+
+
+def knn_before(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, lat: str, lon: str, day: str, k: int = 20, miles: float = 5.0, quarters: int = 8, carry: tuple[str, ...] = (), levels: int = LEVELS) -> DataFrame:
+    """(target id, point id, miles, rank, carried columns): of the points of the ``quarters`` before a target's own its ``k`` nearest within ``miles``.
+
+    The join's key is a cell and a quarter. A cell with ``k`` points or more for its quarter is halved, as often as ``levels``
+    allows: a target whose own cell has that many finds its nearest within the cell's diagonal, so it looks only at cells of
+    twice the size around it, and nothing is lost. Dense cells are therefore never joined whole. Ties go by point id; rows
+    without place or day have no neighbours and are none.
+    """
+    size = miles / _MILES_PER_DEGREE
+    p = history_points(points.select(point_id, lat, lon, day, *carry), point_id, lat, lon, day, k, quarters)
+    p = p.select(F.col(point_id).alias("p_id"), F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"), "q_", *[F.col(c).alias(f"p_{c}") for c in carry])
+    zones = F.array_distinct(F.array(*[F.floor(F.abs(F.col("p_lat") + d) / 5) for d in (-2 * size, 0.0, 2 * size)]))
+    p = p.withColumn("zone", F.explode(zones))
+    t = targets.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(day).isNotNull())
+    t = t.select(F.col(target_id).alias("t_id"), F.col(lat).alias("t_lat"), F.col(lon).alias("t_lon"), F.trunc(day, "quarter").alias("q_"), F.floor(F.abs(F.col(lat)) / 5).alias("zone"))
+
+    # how many points the finest cells have, then those above them
+    row, column = _grid(F.col("p_lat"), F.col("p_lon"), F.col("zone"), miles, F.lit(levels))
+    finest = p.groupBy("zone", "q_", row.alias("r_"), column.alias("c_")).agg(F.count("*").alias("n"))
+    up = F.explode(F.sequence(F.lit(1), F.lit(levels)))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), levels - F.col("level")))
+    full = finest.withColumn("level", up).groupBy("zone", "q_", "level", at("r_").alias("r_"), at("c_").alias("c_")).agg(F.sum("n").alias("n")).filter(F.col("n") >= k).drop("n")
+    own = t.filter(F.abs("t_lat") < STEEP).withColumn("level", up)
+    row, column = _grid(F.col("t_lat"), F.col("t_lon"), F.col("zone"), miles, F.col("level"))
+    own = own.withColumn("r_", row).withColumn("c_", column).join(full, ["zone", "q_", "level", "r_", "c_"], "left_semi")
+    deepest = own.groupBy("t_id").agg((F.max("level") - 1).alias("level"))
+    t = t.join(deepest, "t_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+    row, column = _grid(F.col("t_lat"), F.col("t_lon"), F.col("zone"), miles, F.col("level"))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    t = t.withColumn("r_", row).withColumn("c_", column).withColumn("s_", F.explode(steps)).withColumn("r_", F.col("r_") + F.col("s_.a")).withColumn("c_", F.col("c_") + F.col("s_.b")).drop("s_")
+    # a point stands under the cells of all levels that a target of its coarsest neighbourhood asks for
+    used = t.groupBy("zone", "q_", F.floor(F.col("r_") / F.pow(F.lit(2.0), "level")).alias("r0_"), F.floor(F.col("c_") / F.pow(F.lit(2.0), "level")).alias("c0_")).agg(F.collect_set("level").alias("levels_"))
+    row, column = _grid(F.col("p_lat"), F.col("p_lon"), F.col("zone"), miles, F.lit(0))
+    p = p.withColumn("r0_", row).withColumn("c0_", column).join(used, ["zone", "q_", "r0_", "c0_"]).withColumn("level", F.explode("levels_")).drop("r0_", "c0_", "levels_")
+    row, column = _grid(F.col("p_lat"), F.col("p_lon"), F.col("zone"), miles, F.col("level"))
+    pairs = t.join(p.withColumn("r_", row).withColumn("c_", column), ["zone", "q_", "level", "r_", "c_"])
+    pairs = pairs.withColumn("miles", haversine_miles(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon"))).filter(F.col("miles") <= miles)
+    w = Window.partitionBy("t_id").orderBy("miles", "p_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("t_id").alias(target_id), F.col("p_id").alias(point_id if point_id != target_id else f"near_{point_id}"), "miles", "rank", *[F.col(f"p_{c}").alias(c) for c in carry])

@@ -47,12 +47,6 @@ def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], watched: S
     return df.withColumn("first_", F.row_number().over(w) == 1).withColumn("same_", same).filter("first_ OR NOT same_").drop("first_", "same_")
 
 
-def margin_over_next(df: DataFrame, keys: Sequence[str], score: str, tiebreak: str) -> DataFrame:
-    """Adds the rank by falling score and how far each score is above the next."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), tiebreak)
-    return df.withColumn("candidate_rank", F.row_number().over(w)).withColumn("margin", F.col(score) - F.coalesce(F.lead(score).over(w), F.lit(0.0)))
-
-
 def history_before(targets: DataFrame, history: DataFrame, target_id: str, key: str, date_col: str, quarters: int = 8) -> DataFrame:
     """Pairs of a target and the rows of its key in the ``quarters`` full quarters before its own.
 

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from auctionlake.plans import queries_domain, queries_loading, queries_relational, queries_serving  # noqa: F401
+    from auctionlake.plans import queries_domain, queries_identity, queries_loading, queries_notices, queries_relational, queries_serving, queries_sources, queries_valuation  # noqa: F401

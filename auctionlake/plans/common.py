@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,3 +21,19 @@ def money(c: str | Column) -> Column:
 
 def big(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one in local mode only."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is read in few tasks, dealt over all cores before costly expressions; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -137,22 +137,6 @@ def whitespace_and_case(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.sha2(X.clean_whitespace(F.col("text")), 256).alias("cleaned_hash"), X.alias_key(F.col("source")).alias("alias"))
 
 
-_TOWNS = ["Asbury Park", "Long Branch", "West Long Branch", "Red Bank"]
-
-
-@query("address_normalise", """
-WITH s AS (SELECT c_custkey, c_nationkey % 4 AS t, c_custkey % 3 AS z FROM customer),
-a AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) || ' Main Street' AS street, CASE t WHEN 0 THEN 'Asbury Park' WHEN 1 THEN 'Long Branch' WHEN 2 THEN 'West Long Branch' ELSE 'Red Bank' END AS city, CASE WHEN z > 0 THEN '0770' || CAST(z AS VARCHAR) END AS zip FROM s)
-SELECT c_custkey, street AS street_address, city, zip AS zip_code, sha256(upper(street) || '||' || upper(city) || '|NJ|' || coalesce(zip, '')) AS address_hash, CAST(CASE WHEN zip IS NULL THEN 65 ELSE 100 END AS INTEGER) AS data_quality_score, CASE WHEN zip IS NULL THEN 'ZIP code missing' END AS review_reason FROM a""")
-def address_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "customer", ["c_custkey", "c_nationkey"])
-    town = F.element_at(F.array(*map(F.lit, ["ASBURY PARK", "long branch", "West  Long Branch", "Red Bank"])), (F.col("c_nationkey") % 4 + 1).cast("int"))
-    zip_code = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit(" 0770"), (F.col("c_custkey") % 3).cast("string"))).otherwise("")
-    raw = c.select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit("  main street "), town, F.lit(" , NJ"), zip_code).alias("raw"))
-    good, _ = addresses.normalise_addresses(raw, "raw", _TOWNS)
-    return good.select("c_custkey", "street_address", "city", "zip_code", "address_hash", "data_quality_score", "review_reason")
-
-
 @query("street_key", r"""
 SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(upper(CAST(p_size AS VARCHAR) || ' ' || p_name || ' Avenue'), '[A-Z0-9]+'), lambda x: CASE x WHEN 'AVENUE' THEN 'AVE' ELSE x END), '') AS key FROM part""")
 def street_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,27 +162,6 @@ def money_after_label(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("o_orderkey", X.money_after(F.col("s"), notices.ESTIMATED_UPSET).alias("upset"), X.money_after(F.col("s"), notices.DAILY_INTEREST, 100).alias("interest"))
 
 
-@query("notice_parse", """
-SELECT o_orderkey, CAST(o_orderkey % 900 AS VARCHAR) AS block, CAST(o_custkey AS VARCHAR) || '.01' AS lot, CAST(1 AS INTEGER) AS n_parcels, CAST(30 AS INTEGER) AS balance_due_days, o_orderstatus = 'O' AS owner_occupied, CAST(20 AS DECIMAL(14,2)) AS deposit_percent FROM orders""")
-def notice_parse(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
-    occupied = F.when(F.col("o_orderstatus") == "O", "The property is owner occupied.").otherwise("The premises are vacant.")
-    s = F.concat(occupied, F.lit(" A deposit of 20% is required, and the remaining balance is due within 30 days. Block "), (F.col("o_orderkey") % 900).cast("string"), F.lit(", Lot "), F.col("o_custkey").cast("string"), F.lit(".01."))
-    d = o.select("o_orderkey", notices.parse_notice(s).alias("n"))
-    return d.select("o_orderkey", "n.block", "n.lot", F.size("n.parcel_identifiers").alias("n_parcels"), "n.balance_due_days", "n.owner_occupied", "n.deposit_percent")
-
-
-@query("lien_disclosures", """
-SELECT o_orderkey, 'MUNICIPAL_LIEN' AS lien_type, 'SEWER_CHARGE' AS lien_subtype, CAST(o_orderkey % 500 AS DECIMAL(14,2)) AS current_amount FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT o_orderkey, 'PROPERTY_TAX', 'DISCLOSED_CURRENT_THROUGH_DATE', NULL FROM orders WHERE o_orderkey % 2 = 0""")
-def lien_disclosures(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    sewer = F.when(k % 3 == 0, F.concat(F.lit("Water/sewer balance of $"), (k % 500).cast("string"), F.lit(" is owed. "))).otherwise("Sewer: see judgment of $100. ")
-    taxes = F.when(k % 2 == 0, "Taxes current through 2nd quarter.").otherwise("")
-    d = read(spark, sf, "orders", ["o_orderkey"]).select("o_orderkey", F.explode(notices.disclosed_liens(F.concat(sewer, taxes))).alias("x"))
-    return d.select("o_orderkey", "x.lien_type", "x.lien_subtype", "x.current_amount")
-
-
 @query("html_table_rows", r"""
 SELECT page_id, CAST(count(*) AS BIGINT) AS n_links, sha256(string_agg(href, ',' ORDER BY k)) AS hrefs FROM (
   SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS k FROM pages) GROUP BY page_id""")
@@ -375,18 +338,6 @@ def sale_probability(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.sale_probability(sales, events, "user_id", day).select("user_id", "probability", "confidence", "predicted_class")
 
 
-@query("identity_score")  # its address part is a Ratcliff/Obershelp ratio, which SQL does not have
-def identity_score(spark: SparkSession, sf: str) -> DataFrame:
-    p = read(spark, sf, "part", ["p_partkey", "p_name", "p_brand", "p_size"])
-    side = lambda d, x: d.select(
-        F.col("p_partkey").alias(f"{x}_id"), F.col("p_brand").alias(f"{x}_municipality_code"), F.col("p_size").cast("string").alias(f"{x}_block"), (F.col("p_partkey") % 3).cast("string").alias(f"{x}_lot"),
-        F.lit("").alias(f"{x}_qualifier"), F.concat_ws(" ", (F.col("p_partkey") % 50).cast("string"), "p_name").alias(f"{x}_address"), F.lit(None).cast("string").alias(f"{x}_zip_code"),
-    )
-    s, c = side(p.filter("p_partkey % 4 = 0"), "s"), side(p.filter("p_partkey % 4 = 1"), "c")
-    pairs = s.join(c, (F.col("s_municipality_code") == F.col("c_municipality_code")) & (F.col("s_block") == F.col("c_block")))
-    return identity.score_pairs(pairs).select("s_id", "c_id", "total", "decision", F.concat_ws(",", "conflicts").alias("conflicts"))
-
-
 @query("avm_eligibility", """
 WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS sale_date, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(14,2)) END AS price, CAST(CASE WHEN o_custkey % 17 = 0 THEN 0 ELSE o_custkey * 100 END AS DECIMAL(14,2)) AS assessed FROM orders),
 f AS (SELECT *, price / nullif(assessed, 0) AS ratio FROM d)
@@ -404,19 +355,6 @@ def avm_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("o_orderkey", F.array_join(flags["exclusion_reasons"], ",").alias("reasons"), flags["eligible_for_baseline"].alias("eligible"))
 
 
-@query("leakage_free_features", """
-WITH d AS (SELECT o_orderkey, c_nationkey AS town, c_custkey AS lot, CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, CAST(o_totalprice AS DECIMAL(14,2)) AS price FROM orders JOIN customer ON o_custkey = c_custkey),
-m AS (SELECT town, q, median(CAST(price AS DOUBLE)) AS v FROM d GROUP BY 1, 2), f AS (SELECT town, q, lag(v) OVER w AS prior, median(v) OVER (PARTITION BY town ORDER BY q ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS before4 FROM m WINDOW w AS (PARTITION BY town ORDER BY q))
-SELECT o_orderkey, round(prior, 4) AS prior_quarter, round(before4, 4) AS trailing_4q, lag(price) OVER (PARTITION BY d.town, lot ORDER BY day, price) AS prior_sale FROM d JOIN f ON d.town = f.town AND d.q = f.q""")
-def leakage_free_features(spark: SparkSession, sf: str) -> DataFrame:
-    o, c = read(spark, sf, "orders"), read(spark, sf, "customer", ["c_custkey", "c_nationkey"])
-    d = o.join(c, o.o_custkey == c.c_custkey).select(
-        "o_orderkey", F.col("c_nationkey").alias("municipality_code"), F.lit("1").alias("block"), F.col("c_custkey").alias("lot"), F.lit("t").alias("census_tract"), F.to_date("o_orderdate").alias("deed_date"), money("o_totalprice").alias("sale_price"), F.lit(1000).alias("living_space"),
-    )
-    f = valuation.market_features(d)
-    return f.select("o_orderkey", F.round("municipality_prior_quarter_median_price", 4).alias("prior_quarter"), F.round("municipality_trailing_4q_median_price", 4).alias("trailing_4q"), F.col("prior_parcel_sale_price").alias("prior_sale"))
-
-
 @query("centroid", """
 SELECT vec_id, round(40 + x * 0.25 + 0.5, 7) AS latitude, round(-74 + y * 0.25 + 0.25, 7) AS longitude FROM (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 4) AS x, round(CAST(embedding[2] AS DOUBLE), 4) AS y FROM embeddings)""")
 def centroid(spark: SparkSession, sf: str) -> DataFrame:

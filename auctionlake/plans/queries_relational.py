@@ -122,15 +122,6 @@ def or_key_join(spark: SparkSession, sf: str) -> DataFrame:
     return R.either_key(p, p.filter("p_size = 10"), key("p_name"), [key("p_name"), F.upper("p_brand")]).select("p_partkey", "p_name")
 
 
-@query("fuzzy_topk")  # SQL has no Ratcliff/Obershelp ratio; tests compare with a brute-force version
-def fuzzy_topk(spark: SparkSession, sf: str) -> DataFrame:
-    p = read(spark, sf, "part", ["p_partkey", "p_name", "p_size", "p_brand"])
-    subjects = p.filter("p_partkey % 10 = 0")
-    block = lambda d: F.concat_ws("|", d["p_size"].cast("string"), d["p_brand"])
-    ranked = best_matches(subjects, p.filter("p_partkey % 10 <> 0").withColumnRenamed("p_partkey", "candidate"), "p_partkey", "candidate", (block(p), block(p)), (address_key(F.col("p_name")),) * 2, least=0.3)
-    return conservative_accept(ranked, "p_partkey", "candidate")
-
-
 @query("spatial_knn", """
 WITH p AS (SELECT vec_id, 40 + CAST(embedding[1] AS DOUBLE) AS lat, -74 + CAST(embedding[2] AS DOUBLE) AS lon FROM embeddings),
 d AS (SELECT t.vec_id, s.vec_id AS near_id, 2 * 3958.7613 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - t.lon) / 2), 2)))) AS miles
@@ -275,14 +266,6 @@ def nulls_sort(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("o_orderkey", F.row_number().over(price).alias("by_price"), F.row_number().over(flag).alias("by_flag"))
 
 
-@query("natural_sort_key", """
-SELECT p_partkey, p_size, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC NULLS LAST, p_partkey) AS INTEGER) AS place FROM part""")
-def natural_sort_key(spark: SparkSession, sf: str) -> DataFrame:
-    p = read(spark, sf, "part", ["p_partkey", "p_brand", "p_size"])
-    w = Window.partitionBy("p_brand").orderBy(*R.missing_last("p_size", True), "p_partkey")
-    return p.select("p_partkey", "p_size", F.row_number().over(w).alias("place"))
-
-
 @query("page_arithmetic", """
 SELECT o_orderstatus, count(*) AS total_rows, CAST(greatest(ceil(count(*) / 50.0), 1) AS BIGINT) AS total_pages, CAST(CASE WHEN count(*) = 0 THEN 0 ELSE 101 END AS BIGINT) AS first_row, CAST(least(count(*), 150) AS BIGINT) AS last_row FROM orders GROUP BY o_orderstatus""")
 def page_arithmetic(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,9 +21,9 @@ FEATURE = T.StructType([
 ])
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = SNAPSHOT) -> DataFrame:
-    """A JSON array of listings; amounts stay text until a parser decides, the payload stays JSON."""
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = SNAPSHOT, array: bool = True) -> DataFrame:
+    """Listings out of JSON arrays, one to a file, or (without ``array``) out of the JSON lines that ``write_snapshot`` writes; the payload stays JSON."""
+    raw = spark.read.schema(schema).json(path, multiLine=array)
     money = [F.regexp_replace(c, r"[$,\s]", "").try_cast("decimal(14,2)").alias(c) if c in ("upset_price", "judgment_amount") else F.col(c) for c in raw.columns]
     return raw.select(*money)
 
@@ -85,11 +85,13 @@ def county_code(c):
     return F.when(text.rlike(r"^\d{1,2}$") & number.isin(list(codes.values())), number).otherwise(F.try_element_at(by_name, text))
 
 
-def one_county_file(spark: SparkSession, pattern: str, county: str) -> str:
-    """The path of the one file whose name starts with the county's letters; more or none raise."""
+def one_county_file(spark: SparkSession, pattern: str, county: str, folder: bool = False) -> str:
+    """The path of the one file (or, with ``folder``, of the one folder of files) whose name starts with the county's letters; more or none raise."""
     files = spark.read.format("binaryFile").load(pattern).select("path")
-    name = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), "[^a-z.]", "")
-    found = [r["path"] for r in files.filter(name.startswith("".join(x for x in county.lower() if x.isalpha()))).limit(2).collect()]
+    parts = F.split("path", "/")
+    path = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/") if folder else F.col("path")
+    name = F.regexp_replace(F.lower(F.element_at(F.split(path, "/"), -1)), "[^a-z.]", "")
+    found = [r["path"] for r in files.select(path.alias("path"), name.alias("name")).filter(F.col("name").startswith("".join(x for x in county.lower() if x.isalpha()))).select("path").distinct().limit(2).collect()]
     if len(found) != 1:
         raise FileNotFoundError(f"expected one file for {county}; found {'several' if found else 'none'}")
     return found[0]

@@ -176,10 +176,35 @@ def status_history(pages: DataFrame, id_col: str, html_col: str, table_id: str =
     return d.filter("event_date IS NOT NULL AND trim(raw_status) <> ''").withColumn("status", normalise_status(F.col("raw_status")))
 
 
-def embedded_grid(pages: DataFrame, id_col: str, html_col: str, schema: T.StructType, key: str, marker: str = r'"data"\s*:\s*\{\s*"Data"\s*:\s*') -> DataFrame:
-    """Rows of a JSON array that a script holds after ``marker``; the last row of each key stays."""
-    # The array ends at its own bracket: strings and one level of nested brackets may stand in it.
-    text = found(F.col(html_col), rf'(?s){marker}(\[(?:[^\[\]"]|"(?:[^"\\]|\\.)*"|\[(?:[^\[\]"]|"(?:[^"\\]|\\.)*")*\])*\])')
+# Fixed value: what stands before the rows of a portal's grid.
+GRID_MARKER = r'"data"\s*:\s*\{\s*"Data"\s*:\s*'
+_JSON_PARTS = r'("(?:[^"\\]++|\\.)*+"?|[\[\]{}]|[^"\[\]{}]++)'
+
+
+def json_value(text: Column) -> Column:
+    """The array or object with which a text starts, up to its own closing bracket, however deep others lie in it; null if it does not end.
+
+    The text is cut into strings, brackets and the rest, so brackets in strings count for nothing; a fold over the parts keeps the depth.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("over"))
+
+    def step(a: Column, part: Column) -> Column:
+        turn = F.when(part.isin("[", "{"), 1).when(part.isin("]", "}"), -1).otherwise(0)
+        depth = a["depth"] + turn
+        return F.when(a["over"], a).otherwise(F.struct(depth.alias("depth"), (a["length"] + F.length(part)).alias("length"), ((turn != 0) & (depth == 0)).alias("over")))
+
+    def cut(end: Column) -> Column:
+        return F.when(end["over"] & F.substring(text, 1, 1).isin("[", "{"), F.substring(text, F.lit(1), end["length"]))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_JSON_PARTS), 1), start, step, cut)
+
+
+def embedded_grid(pages: DataFrame, id_col: str, html_col: str, schema: T.StructType, key: str, marker: str = GRID_MARKER) -> DataFrame:
+    """Rows of a JSON array that a script holds after ``marker``; the last row of each key stays.
+
+    Pages without the marker, and arrays that do not end or are no JSON, give no rows.
+    """
+    text = json_value(found(F.col(html_col), rf"(?s){marker}(.*)$"))
     each = pages.select(F.col(id_col), F.posexplode(F.from_json(text, T.ArrayType(schema))).alias("position", "x"))
     last = each.groupBy(F.col(f"x.{key}").alias("key_")).agg(F.max_by("x", F.struct(id_col, "position")).alias("x"))
     return last.select("x.*")

@@ -1,50 +1,54 @@
-"""Streams of listings and events into tables that can be run again without harm."""
+"""Streams of listings and events into tables that can be run again without harm.
+
+What a stream has seen is keyed state of Spark's own (the hashes or the last row of each key, dealt over the tasks and kept in
+the checkpoint folder), so a batch costs as much as the batch: the target is only ever appended to.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from auctionlake.operators.merge import append_new, content_addressed
-from auctionlake.operators.windows import changes
-
-
-def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return like.limit(0)
-
+from auctionlake.operators.merge import content_addressed
 
-def append_distinct(path: str, keys: Sequence[str], payload: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends the rows whose key and content hash the table does not have yet."""
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        hashed = content_addressed(batch, payload)
-        append_new(_existing(batch.sparkSession, path, hashed), hashed, [*keys, "content_hash"]).write.mode("append").parquet(path)
+def first_contents(stream: DataFrame, keys: Sequence[str], payload: Sequence[str]) -> DataFrame:
+    """The rows whose key and content hash (added as ``content_hash``) the stream has not had before. Nulls equal nulls."""
+    return content_addressed(stream, payload).dropDuplicates([*keys, "content_hash"])
 
-    return write
 
+def changed_rows(stream: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str]) -> DataFrame:
+    """The rows in which a watched column differs from the row before of their key, batches before included; first rows count.
 
-def append_changes(path: str, keys: Sequence[str], order: Sequence[str], watched: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends the rows in which a watched column differs from the row before, batches included."""
+    A batch's rows of a key go by ``order``; the state of a key is its last row's watched values. Nulls equal nulls.
+    """
+    schema = stream.schema
+    state = T.StructType([T.StructField(f"w{k}_", schema[c].dataType) for k, c in enumerate(watched)])
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        old = _existing(batch.sparkSession, path, batch)
-        known = old.withColumn("new_", F.lit(False)).unionByName(batch.withColumn("new_", F.lit(True)))
-        changes(known, keys, [*order, "new_"], watched).filter("new_").drop("new_").write.mode("append").parquet(path)
+    def run(_: tuple, parts: Iterator[pd.DataFrame], known: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(list(order), kind="stable", na_position="first")
+        values = rows[list(watched)].astype(object)
+        values = values.where(values.notna(), None)
+        last = known.get if known.exists else None
+        keep = []
+        for row in values.itertuples(index=False, name=None):
+            keep.append(row != last)
+            last = row
+        known.update(last)
+        yield rows[keep]
 
-    return write
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Everything that is there now, in order, once."""
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends to the Parquet table at ``path`` everything that is there now and was not there in an earlier run with this checkpoint."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auctionlake.functions.text import address_key
 from auctionlake.operators import merge as M
@@ -78,26 +79,30 @@ def test_fuzzy_matches_brute_force(spark, sf_dir):
 
 def test_streams_can_run_again(spark, tmp_path, sf_dir):
     events = read(spark, sf_dir, "events")
-    source = str(tmp_path / "in")
-    events.repartition(3).write.parquet(source)
-    out = str(tmp_path / "out")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    write = incremental.append_distinct(out, ["user_id"], ["event_type", "value"])
-    incremental.run_available(stream, write, str(tmp_path / "c1"))
-    n = spark.read.parquet(out).count()
-    assert n == events.select("user_id", "event_type", "value").distinct().count()
-    incremental.run_available(stream, write, str(tmp_path / "c2"))
-    assert spark.read.parquet(out).count() == n
+    source, out, done = (str(tmp_path / x) for x in ("in", "out", "done"))
+    half = events.withColumn("k_", F.xxhash64("event_id") % 2)
+    half.filter("k_ = 0").drop("k_").repartition(3).write.parquet(source)
+    stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda: incremental.append_available(incremental.first_contents(stream(), ["user_id"], ["event_type", "value"]), out, done)
+    run()
+    run()
+    distinct = lambda d: d.select("user_id", "event_type", "value").distinct().count()
+    assert spark.read.parquet(out).count() == distinct(half.filter("k_ = 0"))
+    half.filter("k_ <> 0").drop("k_").repartition(2).write.mode("append").parquet(source)
+    run()
+    assert spark.read.parquet(out).count() == distinct(events)
 
 
 def test_stream_changes_and_windows(spark, tmp_path, sf_dir):
-    events = read(spark, sf_dir, "events", ["event_id", "user_id", "ts", "event_type"])
-    write = incremental.append_changes(str(tmp_path / "h"), ["user_id"], ["ts", "event_id"], ["event_type"])
-    write(events, 0)
-    first = spark.read.parquet(str(tmp_path / "h")).count()
     from auctionlake.operators.windows import changes
 
-    assert first == changes(events, ["user_id"], ["ts", "event_id"], ["event_type"]).count()
-    write(events, 1)
-    assert spark.read.parquet(str(tmp_path / "h")).count() == first
+    events = read(spark, sf_dir, "events", ["event_id", "user_id", "ts", "event_type"]).withColumn("event_type", F.when(F.col("event_id") % 9 != 0, F.col("event_type")))
+    source, out, done = (str(tmp_path / x) for x in ("in", "out", "done"))
+    cuts = events.approxQuantile("event_id", [0.4, 0.7], 0.0)
+    ordered = spark.createDataFrame(events.orderBy("ts", "event_id").toPandas().assign(n=range(events.count())), T.StructType([*events.schema, T.StructField("n", T.LongType())]))
+    for low, high in ((-1, cuts[0]), (cuts[0], cuts[1]), (cuts[1], 1e18)):  # what comes later in time comes in a later batch
+        ordered.filter((F.col("n") > low) & (F.col("n") <= high)).drop("n").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        incremental.append_available(incremental.changed_rows(stream, ["user_id"], ["ts", "event_id"], ["event_type"]), out, done)
+    assert rows(spark.read.parquet(out)) == rows(changes(events, ["user_id"], ["ts", "event_id"], ["event_type"]))
     assert incremental.windowed_counts(events, "ts", ["event_type"]).agg(F.sum("n")).first()[0] == events.count()
