@@ -1,4 +1,4 @@
-"""Main text of web pages: page furniture by element and name, and site templates by recurrence."""
+"""Main text of web pages: a site's templates by counts of subtrees for each host; elements and names where a host has too few pages."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,15 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import bitmap, in_bitmap, materialize, texts_of
+from auctionlake.llm.common import join_counted, materialize, texts_of
 
 #: A subtree is part of a site's template if it stands on so many pages of the host with different main texts.
 MIN_PAGES = 5
+#: A host with so many pages of different main texts shows what its template is: there counts decide about all that is outside the main element.
+HOST_PAGES = 20
 
 # Element names of HTML by their part on a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
 EMBEDDED = {"svg", "math", "canvas", "object", "audio", "video", "head"}
-FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "input", "label", "fieldset", "datalist", "option", *RAW, *EMBEDDED}
+PARTS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "input", "label", "fieldset", "datalist", "option"}
+FURNITURE = {*PARTS, *RAW, *EMBEDDED}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *FURNITURE}
 #: A new one ends an open one of the same kind (the end tag may be left out).
@@ -45,28 +47,43 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*
 _SPACE = re.compile(r"\s+")
 
 
-def _is_furniture(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in FURNITURE or tag == "header" and not inside_main:
-        return True
+#: What a block is: text, page furniture by a name or by its element, or nothing that a reader sees.
+TEXT, NAMED, PART, NEVER = range(4)
+
+
+def _kind(tag: str, attributes: str, inside_main: bool) -> int:
+    if tag in RAW or tag in EMBEDDED:
+        return NEVER
+    kind = PART if tag in PARTS or tag == "header" and not inside_main else TEXT
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return kind
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and NAMES.search(entities.unescape(value)):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+        if name in ("class", "id") and NAMES.search(entities.unescape(value)) or name == "role" and value.lower() in ROLES:
+            kind = max(kind, NAMED)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            return NEVER
+    return kind
+
+
+_DIGITS = re.compile(r"\d+")
+
+
+def _label(tag: str, attributes: str) -> str:
+    """An element's name in a shape: its tag and its class, id and role without digits."""
+    if not attributes:
+        return tag
+    return tag + "".join(f"|{m[1]}={_DIGITS.sub('', m[2] or m[3] or m[4] or '')}" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role"))
 
 
 class _Open:
-    __slots__ = ("tag", "furniture", "main", "prose", "first")
+    __slots__ = ("tag", "kind", "main", "prose", "first", "label", "own", "shape", "child")
 
-    def __init__(self, tag: str, furniture: bool, main: bool, prose: bool, first: int):
-        self.tag, self.furniture, self.main, self.prose = tag, furniture, main, prose
+    def __init__(self, tag: str, kind: int, main: bool, prose: bool, first: int, label: str, own: bool):
+        self.tag, self.kind, self.main, self.prose = tag, kind, main, prose
         self.first = first  # the first block that may be in it
+        self.label, self.own = label, own  # own: a part of a page, or with attributes; only then its shape may be a template
+        self.shape, self.child = 0, 0  # hash of its children's shapes, repeats left out, and the last of these
 
 
 class _Ranges:
@@ -86,17 +103,19 @@ class _Ranges:
         return (self.sums[stop] - self.sums[start] * self.powers[stop - start]) % self.MODULUS
 
 
-def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int, bool, bool]]]:
-    """Blocks (text, furniture, in the main element) in page order, and subtrees (hash, first block, stop, inside the main element, prose).
+def read_page(source: str) -> tuple[list[tuple[str, int, bool]], list[tuple[int, int | None, int, int, bool, bool]]]:
+    """Blocks (text, kind, in the main element) in page order, and subtrees (hash, shape, first block, stop, inside the main element, prose).
 
-    Time and memory grow with the page's length, however its elements are nested: a subtree is a range of
+    A shape is the hash of an element's tag, names and children's shapes, whatever their words; a run of equal children counts
+    as one, so menus and comments of any length have one shape. It is None where an element has no attributes and is no part
+    of a page by its tag. Time and memory grow with the page's length, however its elements are nested: a subtree is a range of
     blocks, and of inline elements only furniture and what stands in it is followed.
     """
-    stack = [_Open("", False, False, False, 0)]
+    stack = [_Open("", TEXT, False, False, 0, "", False)]
     opened: Counter[str] = Counter()
-    blocks: list[tuple[str, bool, bool]] = []
+    blocks: list[tuple[str, int, bool]] = []
     ranges = _Ranges()
-    subtrees: list[tuple[int, int, int, bool, bool]] = []
+    subtrees: list[tuple[int, int | None, int, int, bool, bool]] = []
     pending: list[str] = []
 
     def end_block() -> None:
@@ -104,16 +123,21 @@ def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int
             text = _SPACE.sub(" ", entities.unescape("".join(pending))).strip()
             pending.clear()
             if text:
-                blocks.append((text, stack[-1].furniture, stack[-1].main))
+                blocks.append((text, stack[-1].kind, stack[-1].main))
                 ranges.add(text)
 
     def close(to: int) -> None:
         while len(stack) > to:
             e = stack.pop()
             opened[e.tag] -= 1
-            if len(blocks) > e.first and e.tag in BLOCKS:
-                h = xxhash.xxh3_64_intdigest(f"{e.tag} {len(blocks) - e.first} {ranges.digest(e.first, len(blocks))}") - (1 << 63)
-                subtrees.append((h, e.first, len(blocks), stack[-1].main, e.prose))
+            if e.tag in BLOCKS:
+                shape = xxhash.xxh3_64_intdigest(f"{e.label} {e.shape}") - (1 << 63)
+                parent = stack[-1]
+                if shape != parent.child:
+                    parent.shape, parent.child = xxhash.xxh3_64_intdigest(f"{parent.shape} {shape}"), shape
+                if len(blocks) > e.first:
+                    h = xxhash.xxh3_64_intdigest(f"{e.tag} {len(blocks) - e.first} {ranges.digest(e.first, len(blocks))}") - (1 << 63)
+                    subtrees.append((h, shape if e.own else None, e.first, len(blocks), parent.main, e.prose))
 
     def close_to(wanted: set[str], until: set[str]) -> None:
         """Closes the innermost open element of ``wanted``, unless one of ``until`` stands before it."""
@@ -157,110 +181,121 @@ def read_page(source: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int
         if closes:
             close_to(closes, CONTAINERS)
         parent = stack[-1]
-        main = parent.main or tag in ("article", "main") and not parent.furniture
-        furniture = parent.furniture or _is_furniture(tag, attributes, parent.main)
-        if tag in BLOCKS or furniture:
-            stack.append(_Open(tag, furniture, main, tag in PROSE and not attributes.strip(), len(blocks)))
+        main = parent.main or tag in ("article", "main") and parent.kind == TEXT
+        kind = max(parent.kind, _kind(tag, attributes, parent.main))
+        if tag in BLOCKS or kind:
+            named = attributes.strip()
+            stack.append(_Open(tag, kind, main, tag in PROSE and not named, len(blocks), _label(tag, named), bool(named) or tag in PARTS or tag == "header"))
             opened[tag] += 1
     end_block()
     close(1)
     return blocks, subtrees
 
 
+_PLACES = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("shape", T.BooleanType())]))
+
+
+def _hosted(host: str, h: object) -> int:
+    return xxhash.xxh3_64_intdigest(f"{host}\0{h}") - (1 << 63)
+
+
 def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """One row for each page: its blocks outside furniture, and the subtrees that count towards its host's template.
+    """One row for each page: its blocks, which of them elements and names keep (``named``) or leave to the counts (``open``: 1, or 2
+    for what its element says is no text if it does not recur either), and its subtrees.
 
     Where a page has an article or main element, that is its main text: the element itself and what it
-    stands in are never a template. Furniture is recognised by elements and names. All other subtrees are left
-    to the counts; their hashes hold the host. Inside the main element bare prose (paragraphs, headings, list
-    items without attributes) is the article's own, however often its words recur; what is put in there by a
-    site stands in an element of its own (div, section, table, or any with a class), and these are counted.
+    stands in are never a template. Outside it every subtree is counted before any name is looked at, by its words and, if it
+    is a part of a page or has attributes, by its shape; all hashes hold the host. Inside the main element bare prose
+    (paragraphs, headings, list items without attributes) is the article's own, however often its words recur; what is put in
+    there by a site stands in an element of its own (div, section, table, or any with a class), and is counted by its words.
+    A shape alone can't tell a lead from a comment there, so tags and names decide about the rest, as they do for pages
+    without a main element.
     """
     ids = T.StructType([pages.schema[id_col], pages.schema[url_col]])
     schema = T.StructType([
         T.StructField("id", ids[0].dataType), T.StructField("url", ids[1].dataType), T.StructField("host", T.StringType()), T.StructField("content", T.LongType()),
-        T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("seen", T.ArrayType(T.LongType())),
-        T.StructField("doubtful", T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("stop", T.IntegerType())]))),
+        T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("named", T.ArrayType(T.BooleanType())), T.StructField("open", T.ArrayType(T.ByteType())),
+        T.StructField("places", _PLACES), T.StructField("marker", T.LongType()),
     ])
     arrow = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
     host_of = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, contents, kept, seen, doubtful = [], [], [], [], []
+            out: list[list] = [[] for _ in arrow[2:]]
             for url, source in zip(texts_of(batch.column(1).cast(pa.string())), texts_of(batch.column(2)), strict=True):
                 m = host_of.match(url)
-                hosts.append(m[1].rpartition("@")[2].lower() if m else "")
+                host = m[1].rpartition("@")[2].lower() if m else ""
                 blocks, subtrees = read_page(source)
-                has_main = any(main and not furniture for _, furniture, main in blocks)
-                keep = [not furniture and (main or not has_main) for _, furniture, main in blocks]
-                place = [0, *itertools.accumulate(map(int, keep))]  # kept blocks before each block
+                has_main = any(main and kind == TEXT for _, kind, main in blocks)
+                named = [kind == TEXT and (main or not has_main) for _, kind, main in blocks]
+                left = [int(kind == TEXT) if main else (1, 1, 2, 0)[kind] for _, kind, main in blocks] if has_main else list(map(int, named))
+                seen = [0, *itertools.accumulate(int(a or b > 0) for a, b in zip(named, left, strict=True))]  # blocks before each that may be text
                 main_before = [0, *itertools.accumulate(int(main) for *_, main in blocks)]
-                texts = [b[0] for b, k in zip(blocks, keep, strict=True) if k]
-                kept.append(texts)
-                contents.append(xxhash.xxh3_64_intdigest("\0".join(texts)) - (1 << 63))
-                counted = []
-                for h, first, stop, inside, prose in subtrees:
-                    if place[first] == place[stop] or (inside and prose):
+                places = []
+                for words, shape, first, stop, inside, prose in subtrees:
+                    if seen[first] == seen[stop] or inside and prose or not inside and has_main and main_before[first] < main_before[stop]:
                         continue
-                    if inside or not (has_main and main_before[first] < main_before[stop]):
-                        counted.append((xxhash.xxh3_64_intdigest(f"{hosts[-1]}\0{h}") - (1 << 63), place[first], place[stop]))
-                seen.append(sorted({h for h, *_ in counted}))
-                doubtful.append([{"hash": h, "first": a, "stop": b} for h, a, b in counted] or None)
-            columns = [hosts, contents, kept, seen, doubtful]
-            rest = [pa.array(c, f.type) for c, f in zip(columns, arrow[2:], strict=True)]
+                    places.append({"hash": _hosted(host, words), "first": first, "stop": stop, "shape": False})
+                    if shape is not None and has_main and not inside:
+                        places.append({"hash": _hosted(host, f"shape {shape}"), "first": first, "stop": stop, "shape": True})
+                text = "\0".join(b[0] for b, k in zip(blocks, named, strict=True) if k)
+                row = (host, xxhash.xxh3_64_intdigest(text) - (1 << 63), [b[0] for b in blocks], named, left, places, _hosted(host, "pages"))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            rest = [pa.array(c, f.type) for c, f in zip(out, arrow[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], [f.name for f in arrow])
 
     return pages.select(id_col, url_col, F.col(html_col).cast("string")).mapInArrow(run, schema)
 
 
-def templates(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(hash) of the subtrees that recur on many pages of a host. Copies of one page count once."""
-    distinct = read.groupBy("host", "content").agg(F.first("seen").alias("seen"))
-    return distinct.select(F.explode("seen").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("hash")
-
-
-def _suspects(read: DataFrame, common: DataFrame) -> DataFrame:
-    """Adds suspect: whether a page may hold one of the hashes. A bitmap of fixed size keeps the others from shuffling."""
-    bits = read.sparkSession.sparkContext.broadcast(bitmap(common, "hash"))
-    place = read.columns.index("doubtful")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [x is not None and bool(in_bitmap(bits.value, np.array([d["hash"] for d in x], np.int64)).any()) for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "suspect"])
-
-    return read.mapInArrow(run, T.StructType([*read.schema.fields, T.StructField("suspect", T.BooleanType())]))
+def templates(read: DataFrame, min_pages: int = MIN_PAGES, host_pages: int = HOST_PAGES) -> DataFrame:
+    """(hash, n) of the subtrees that recur on many pages of a host, and of hosts with enough pages (their ``marker``). Copies of one page count once."""
+    hashes = F.array_distinct(F.transform("places", lambda p: p["hash"]))
+    distinct = read.select("host", "content", "marker", hashes.alias("hashes")).groupBy("host", "content").agg(F.first("hashes").alias("hashes"), F.first("marker").alias("marker"))
+    subtrees = distinct.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    hosts = distinct.groupBy(F.col("marker").alias("hash")).agg(F.count("*").alias("n")).filter(F.col("n") >= host_pages)
+    return subtrees.unionByName(hosts)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes the blocks of the ranges in ``gone`` (sorted) out of (id, url, blocks, gone)."""
+    """What is left of each page: by the counts, then by elements where its host has enough pages; else by elements and names, then the counts."""
     for batch in batches:
-        left = []
-        for blocks, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            kept, at = [], 0
-            for r in gone or []:
-                kept += blocks[at : r["first"]]
-                at = max(at, r["stop"])
-            left.append(kept + blocks[at:])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.list_(pa.string()))], batch.schema.names[:3])
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """(id, url, text, n_chars) of each page: its main blocks in order, joined by line feeds.
-
-    White space inside a block becomes one space and character references are decoded. Null html is empty
-    and gives an empty text, a null url belongs to the host without a name; broken markup is read as far as
-    it goes. Repeated rows and null ids give a row each; an empty table gives none; other columns are not read.
+        left, counted, by_name = [], [], []
+        for blocks, named, open_, found in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+            large = any(f["first"] < 0 for f in found or [])
+            keep = [o > 0 for o in open_] if large else list(named)
+            before = sum(keep)
+            for f in found or []:
+                if f["first"] >= 0 and (large or not f["shape"]):
+                    keep[f["first"] : f["stop"]] = [False] * (f["stop"] - f["first"])
+            counted.append(before - sum(keep))
+            if large:
+                keep = [k and o == 1 for k, o in zip(keep, open_, strict=True)]
+            left.append([b for b, k in zip(blocks, keep, strict=True) if k])
+            by_name.append(len(blocks) - len(left[-1]) - counted[-1])
+        columns = [pa.array(left, pa.list_(pa.string())), pa.array(counted, pa.int64()), pa.array(by_name, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "url", "blocks", "n_counted", "n_named"])
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, host_pages: int = HOST_PAGES) -> DataFrame:
+    """(id, url, text, n_chars, n_counted, n_named) of each page: its main blocks in order, joined by line feeds.
+
+    On a host with ``host_pages`` pages of different main texts, subtrees outside the main element go because they recur, by
+    words or shape, on ``min_pages`` of them; no name counts there, and of what does not recur only elements that are no text by
+    their tag (``nav``, ``footer``, ``form`` and the like) go too. Names and tags decide inside the main element and on smaller hosts. ``n_counted`` are the blocks that the counts took, ``n_named`` those that tags and names did. White space inside
+    a block becomes one space and character references are decoded. Null html is empty and gives an empty text, a null url
+    belongs to the host without a name; broken markup is read as far as it goes. Repeated rows and null ids give a row each; an
+    empty table gives none; other columns are not read.
     """
     read = materialize(read_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
-    common = materialize(templates(read, min_pages), "templates")
-    marked = _suspects(read, common)
-    plain = marked.filter("NOT suspect").select("id", "url", "blocks")
-    doubt = materialize(marked.filter("suspect").drop("suspect"), "suspects")
-    each = doubt.select("row", F.explode("doubtful").alias("d")).select("row", "d.hash", "d.first", "d.stop")
-    hits = each.join(common, "hash", "left_semi")
-    gone = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "stop"))).alias("gone")).withColumnRenamed("row", "r_")
-    cleaned = doubt.join(gone, doubt.row == gone.r_, "left").select("id", "url", "blocks", "gone").mapInArrow(_cut, T.StructType(plain.schema.fields))
+    common = materialize(templates(read, min_pages, host_pages), "templates")
+    marker = F.array(F.struct(F.col("marker").alias("hash"), F.lit(-1).alias("first"), F.lit(-1).alias("stop"), F.lit(False).alias("shape")))
+    each = read.select("row", F.explode(F.concat("places", marker)).alias("d")).select("row", "d.*")
+    total = common.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hits = join_counted(each, common, "hash", "n", total)
+    found = hits.groupBy("row").agg(F.collect_list(F.struct("first", "stop", "shape")).alias("found"))
+    schema = T.StructType([read.schema["id"], read.schema["url"], read.schema["blocks"], T.StructField("n_counted", T.LongType()), T.StructField("n_named", T.LongType())])
+    cut = read.join(found, "row", "left").select("id", "url", "blocks", "named", "open", "found").mapInArrow(_cut, schema)
     text = F.array_join("blocks", "\n")
-    return plain.unionByName(cleaned).select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    return cut.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_counted", "n_named")

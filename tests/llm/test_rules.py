@@ -278,6 +278,36 @@ def test_page_text(spark, data):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_page_text_by_counts_alone(spark):
+    """Elements and names that say nothing: on hosts with enough pages the counts find the same text, without them much stays."""
+    import html
+
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"<(/?)nav>", r"<$1div>"), r"<footer>", r'<div class="q1">'), r"</footer>", "</div>")
+    plain = F.regexp_replace(F.regexp_replace(plain, 'class="ad"', 'id="z9"'), r"<div><ul>", '<div class="k3"><ul>')
+    d = pages.withColumn("html", plain).withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))
+    large = {r.host for r in d.groupBy("host").agg(F.count_distinct("html").alias("n")).filter("n >= 60").collect()}
+    body = {r.page_id: (r.host, re.search(r"<article>(.*)</article>", r.html, re.S)[1]) for r in d.collect()}
+    blocks = lambda x: (re.sub(r"\s+", " ", html.unescape(b)).strip() for b in re.split(r"</?(?:p|h1|br|b)>", x))
+    expected = {k: "\n".join(b for b in blocks(x) if b) for k, (host, x) in body.items() if host in large}
+    got = {r.page_id: r for r in html_extract.extract_text(d).collect() if r.page_id in expected}
+    assert len(expected) > 500 and {k: r.text for k, r in got.items()} == expected
+    assert all(r.n_counted > 0 and r.n_named == 0 for r in got.values())
+    off = {r.page_id: r.text for r in html_extract.extract_text(d, min_pages=10**9).collect() if r.page_id in expected}
+    assert all(len(off[k]) > len(expected[k]) for k in expected)
+
+
+def test_shapes_find_what_changes_its_words(spark):
+    page = '<body><div class="m1"><ul>{1}</ul></div><article><h1>Title {0}</h1><p>Story {0}.</p><div class="lead"><p>Lead {0}</p></div></article><div class="c{0}"><p>Reader {0}</p><p>says {0}</p></div><section><p>Kept {0}</p></section></body>'
+    rows = [(k, "http://a.com/x", page.format(k, "".join(f"<li>link {k} {j}</li>" for j in range(1 + k % 4)))) for k in range(25)]
+    rows += [(100 + k, "http://b.com/x", page.format(k, "<li>x</li>")) for k in range(6)]  # too few pages: the main element decides
+    got = {r.page_id: r for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    article = "Title {0}\nStory {0}.\nLead {0}"
+    assert all(got[k].text == f"{article}\nKept {{0}}".format(k) for k in range(25))  # no name, no attribute, other words on each page
+    assert all(got[100 + k].text == article.format(k) and got[100 + k].n_counted == 0 for k in range(6))
+    assert got[3].n_counted == 6 and got[3].n_named == 0
+
+
 def test_site_templates_and_furniture(spark):
     story = "<div><p>Story {0} is long &amp; told<p>Part <i>two</i> {0}</div>"
     page = "<body><header><h1>Site</h1></header><div>Welcome to <b>our</b> site</div>" + story + '<div class="reader-comments"><p>first!</p></div><form><p>mail</p></form><div id=cookie-banner>ok?</div></body>'
