@@ -34,7 +34,8 @@ class WuManber:
 
     The last two words of the text window are its block. A shift table says how far the window may move
     before the block can line up with any pattern; where the shift is 0 the block picks the bucket of
-    patterns that end with it, and a comparison decides.
+    patterns that end with it, in which the window's hash picks those of equal hash, and a comparison
+    decides. However many patterns end alike, a window is compared with its likes only.
     """
 
     def __init__(self, patterns: dict[tuple[bytes, ...], list], length: int):
@@ -42,12 +43,12 @@ class WuManber:
         self.block = min(2, length)
         self.furthest = length - self.block + 1
         self.shift: dict = {}
-        self.ending: dict = defaultdict(list)
+        self.ending: dict = defaultdict(lambda: defaultdict(list))
         for pattern, items in patterns.items():
             for end in range(self.block, length + 1):
                 key = self._key(pattern, end)
                 self.shift[key] = min(self.shift.get(key, self.furthest), length - end)
-            self.ending[self._key(pattern, length)].append((list(pattern), items))
+            self.ending[self._key(pattern, length)][hash(pattern)].append((pattern, items))
 
     def _key(self, text, end: int):
         return text[end - 1] if self.block == 1 else (text[end - 2], text[end - 1])
@@ -63,8 +64,8 @@ class WuManber:
             if step:
                 end += step
                 continue
-            window = text[end - m : end]
-            for pattern, items in ending[key]:
+            window = tuple(text[end - m : end])
+            for pattern, items in ending[key].get(hash(window), ()):
                 if pattern == window:
                     yield end - m, items
             end += 1
@@ -87,7 +88,9 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_chars: int)
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text") + 16).alias("n")).first()["n"] or 0
     n = max(1, -(-total // pass_chars))
-    return n, lambda k: [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
+    if n > 1:  # dealt to passes once: a pass reads its own rows
+        items = materialize(items.withColumn("pass", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")).repartition("pass").sortWithinPartitions("pass"), "passes")
+    return n, lambda k: [(r["item"], r["text"]) for r in (items.filter(F.col("pass") == k) if n > 1 else items).toLocalIterator()]
 
 
 RESULTS = ("n_words", "hit_spans", "hit_items")

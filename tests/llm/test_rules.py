@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -343,6 +344,27 @@ def test_a_long_page_of_unclosed_elements(unit):
     assert time.time() - began < 5 and blocks and len(subtrees) <= 1_000_000
 
 
+def test_windows_that_end_alike_cost_no_more():
+    import time
+
+    rng = random.Random(8)
+    text = [b"w%d" % rng.randrange(50) for _ in range(20_000)]
+    for k in range(0, 20_000, 9):
+        text[k : k + 2] = [b"same", b"end"]
+    alike = {(*(b"p%d" % rng.randrange(10_000) for _ in range(8)), b"same", b"end"): [k] for k in range(20_000)}
+    apart = {tuple(b"p%d" % rng.randrange(10_000) for _ in range(10)): [k] for k in range(20_000)}
+    alike[tuple(text[91:101])] = ["here"]  # ends with the common words
+    found, took = {}, {}
+    for name, patterns in (("alike", alike), ("apart", apart)):
+        searcher = decontaminate.WuManber(patterns, 10)
+        began = time.process_time()
+        for _ in range(5):
+            found[name] = list(searcher.search(text))
+        took[name] = time.process_time() - began
+    assert found == {"alike": [(91, ["here"])], "apart": []}
+    assert took["alike"] < 0.5  # it was 1.6 s for each search when a bucket was compared whole
+
+
 def test_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hot = [(100_000 + k, "same") for k in range(90)] + [(200_000 + k, f"pair {k // 2}") for k in range(60)] + [(-1, None), (-2, None), (None, ""), (-3, "")]
