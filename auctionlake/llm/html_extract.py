@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,6 +193,8 @@ def read_page(source: str) -> tuple[list[tuple[str, int, bool]], list[tuple[int,
     return blocks, subtrees
 
 
+#: Characters of the pages' text that travel together, and pages.
+BLOCK_CHARS, BLOCK_PAGES = 2_000_000, 2000
 _PLACES = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("shape", T.BooleanType())]))
 
 
@@ -199,9 +202,11 @@ def _hosted(host: str, h: object) -> int:
     return xxhash.xxh3_64_intdigest(f"{host}\0{h}") - (1 << 63)
 
 
-def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """One row for each page: its blocks, which of them elements and names keep (``named``) or leave to the counts (``open``: 1, or 2
-    for what its element says is no text if it does not recur either), and its subtrees.
+def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each page with its subtrees (``page`` is its place in its block), and one for each block of pages with their texts (``page`` null).
+
+    ``payload`` holds a block's pages as a compressed Arrow stream: id, url, blocks, which of them elements and names keep
+    (``named``), and which are left to the counts (``open``: 1, or 2 for what its element says is no text if it does not recur either).
 
     Where a page has an article or main element, that is its main text: the element itself and what it
     stands in are never a template. Outside it every subtree is counted before any name is looked at, by its words and, if it
@@ -211,40 +216,58 @@ def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
     A shape alone can't tell a lead from a comment there, so tags and names decide about the rest, as they do for pages
     without a main element.
     """
-    ids = T.StructType([pages.schema[id_col], pages.schema[url_col]])
-    schema = T.StructType([
-        T.StructField("id", ids[0].dataType), T.StructField("url", ids[1].dataType), T.StructField("host", T.StringType()), T.StructField("content", T.LongType()),
-        T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("named", T.ArrayType(T.BooleanType())), T.StructField("open", T.ArrayType(T.ByteType())),
-        T.StructField("places", _PLACES), T.StructField("marker", T.LongType()),
-    ])
-    arrow = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
+    fields = [("block", T.LongType()), ("page", T.IntegerType()), ("host", T.StringType()), ("content", T.LongType()), ("marker", T.LongType()), ("places", _PLACES), ("payload", T.BinaryType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    arrow = pa.schema([pa.field(n, to_arrow_type(t)) for n, t in fields])
+    held_as = pa.schema([("id", to_arrow_type(pages.schema[id_col].dataType)), ("url", to_arrow_type(pages.schema[url_col].dataType)), ("blocks", pa.list_(pa.string())), ("named", pa.list_(pa.bool_())), ("open", pa.list_(pa.int8()))])
     host_of = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
 
+    def read(url: str, source: str) -> tuple[dict, dict]:
+        m = host_of.match(url)
+        host = m[1].rpartition("@")[2].lower() if m else ""
+        blocks, subtrees = read_page(source)
+        has_main = any(main and kind == TEXT for _, kind, main in blocks)
+        named = [kind == TEXT and (main or not has_main) for _, kind, main in blocks]
+        left = [int(kind == TEXT) if main else (1, 1, 2, 0)[kind] for _, kind, main in blocks] if has_main else list(map(int, named))
+        seen = [0, *itertools.accumulate(int(a or b > 0) for a, b in zip(named, left, strict=True))]  # blocks before each that may be text
+        main_before = [0, *itertools.accumulate(int(main) for *_, main in blocks)]
+        places = []
+        for words, shape, first, stop, inside, prose in subtrees:
+            if seen[first] == seen[stop] or inside and prose or not inside and has_main and main_before[first] < main_before[stop]:
+                continue
+            places.append({"hash": _hosted(host, words), "first": first, "stop": stop, "shape": False})
+            if shape is not None and has_main and not inside:
+                places.append({"hash": _hosted(host, f"shape {shape}"), "first": first, "stop": stop, "shape": True})
+        text = "\0".join(b[0] for b, k in zip(blocks, named, strict=True) if k)
+        counted = {"host": host, "content": xxhash.xxh3_64_intdigest(text) - (1 << 63), "marker": _hosted(host, "pages"), "places": places}
+        return counted, {"blocks": [b[0] for b in blocks], "named": named, "open": left}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, numbers = TaskContext.get().partitionId() << 32, itertools.count()
+        rows: list[dict] = []
+        held: list[dict] = []
+        chars = 0
+
+        def block_done() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, held, chars
+            block = base + next(numbers)
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held_as, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
+                stream.write_batch(pa.RecordBatch.from_pylist(held, held_as))
+            yield pa.RecordBatch.from_pylist([*({"block": block, "page": k} | r for k, r in enumerate(rows)), {"block": block, "payload": out.getvalue().to_pybytes()}], arrow)
+            rows, held, chars = [], [], 0
+
         for batch in batches:
-            out: list[list] = [[] for _ in arrow[2:]]
-            for url, source in zip(texts_of(batch.column(1).cast(pa.string())), texts_of(batch.column(2)), strict=True):
-                m = host_of.match(url)
-                host = m[1].rpartition("@")[2].lower() if m else ""
-                blocks, subtrees = read_page(source)
-                has_main = any(main and kind == TEXT for _, kind, main in blocks)
-                named = [kind == TEXT and (main or not has_main) for _, kind, main in blocks]
-                left = [int(kind == TEXT) if main else (1, 1, 2, 0)[kind] for _, kind, main in blocks] if has_main else list(map(int, named))
-                seen = [0, *itertools.accumulate(int(a or b > 0) for a, b in zip(named, left, strict=True))]  # blocks before each that may be text
-                main_before = [0, *itertools.accumulate(int(main) for *_, main in blocks)]
-                places = []
-                for words, shape, first, stop, inside, prose in subtrees:
-                    if seen[first] == seen[stop] or inside and prose or not inside and has_main and main_before[first] < main_before[stop]:
-                        continue
-                    places.append({"hash": _hosted(host, words), "first": first, "stop": stop, "shape": False})
-                    if shape is not None and has_main and not inside:
-                        places.append({"hash": _hosted(host, f"shape {shape}"), "first": first, "stop": stop, "shape": True})
-                text = "\0".join(b[0] for b, k in zip(blocks, named, strict=True) if k)
-                row = (host, xxhash.xxh3_64_intdigest(text) - (1 << 63), [b[0] for b in blocks], named, left, places, _hosted(host, "pages"))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            rest = [pa.array(c, f.type) for c, f in zip(out, arrow[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], [f.name for f in arrow])
+            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, url, link, source in zip(ids, urls, texts_of(batch.column(1).cast(pa.string())), texts_of(batch.column(2)), strict=True):
+                counted, own = read(link, source)
+                rows.append(counted)
+                held.append({"id": key, "url": url} | own)
+                chars += sum(map(len, own["blocks"]))
+                if chars >= block_chars or len(held) >= BLOCK_PAGES:
+                    yield from block_done()
+        if held:
+            yield from block_done()
 
     return pages.select(id_col, url_col, F.col(html_col).cast("string")).mapInArrow(run, schema)
 
@@ -259,43 +282,50 @@ def templates(read: DataFrame, min_pages: int = MIN_PAGES, host_pages: int = HOS
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each page: by the counts, then by elements where its host has enough pages; else by elements and names, then the counts."""
+    """What is left of each page of a block: by the counts, then by elements where its host has enough pages; else by elements and names, then the counts."""
     for batch in batches:
-        left, counted, by_name = [], [], []
-        for blocks, named, open_, found in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-            large = any(f["first"] < 0 for f in found or [])
-            keep = [o > 0 for o in open_] if large else list(named)
-            before = sum(keep)
-            for f in found or []:
-                if f["first"] >= 0 and (large or not f["shape"]):
-                    keep[f["first"] : f["stop"]] = [False] * (f["stop"] - f["first"])
-            counted.append(before - sum(keep))
-            if large:
-                keep = [k and o == 1 for k, o in zip(keep, open_, strict=True)]
-            left.append([b for b, k in zip(blocks, keep, strict=True) if k])
-            by_name.append(len(blocks) - len(left[-1]) - counted[-1])
-        columns = [pa.array(left, pa.list_(pa.string())), pa.array(counted, pa.int64()), pa.array(by_name, pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "url", "blocks", "n_counted", "n_named"])
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, host_pages: int = HOST_PAGES) -> DataFrame:
+        for payload, hits in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            found: dict[int, list[dict]] = {}
+            for f in hits or []:
+                found.setdefault(f["page"], []).append(f)
+            t = pa.ipc.open_stream(payload.as_buffer()).read_all()
+            left, counted, by_name = [], [], []
+            for page, (blocks, named, open_) in enumerate(zip(*(t[c].to_pylist() for c in ("blocks", "named", "open")), strict=True)):
+                gone = found.get(page, [])
+                large = any(f["first"] < 0 for f in gone)
+                keep = [o > 0 for o in open_] if large else list(named)
+                before = sum(keep)
+                for f in gone:
+                    if f["first"] >= 0 and (large or not f["shape"]):
+                        keep[f["first"] : f["stop"]] = [False] * (f["stop"] - f["first"])
+                counted.append(before - sum(keep))
+                if large:
+                    keep = [k and o == 1 for k, o in zip(keep, open_, strict=True)]
+                left.append("\n".join(b for b, k in zip(blocks, keep, strict=True) if k))
+                by_name.append(len(blocks) - sum(keep) - counted[-1])
+            whole = pa.table({"id": t["id"], "url": t["url"], "text": pa.array(left, pa.string()), "n_counted": pa.array(counted, pa.int64()), "n_named": pa.array(by_name, pa.int64())})
+            yield from whole.combine_chunks().to_batches(max_chunksize=1000)
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, host_pages: int = HOST_PAGES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, url, text, n_chars, n_counted, n_named) of each page: its main blocks in order, joined by line feeds.
 
     On a host with ``host_pages`` pages of different main texts, subtrees outside the main element go because they recur, by
     words or shape, on ``min_pages`` of them; no name counts there, and of what does not recur only elements that are no text by
-    their tag (``nav``, ``footer``, ``form`` and the like) go too. Names and tags decide inside the main element and on smaller hosts. ``n_counted`` are the blocks that the counts took, ``n_named`` those that tags and names did. White space inside
+    their tag (``nav``, ``footer``, ``form`` and the like) go too. Names and tags decide inside the main element and on smaller hosts.
+    ``n_counted`` are the blocks that the counts took, ``n_named`` those that tags and names did. White space inside
     a block becomes one space and character references are decoded. Null html is empty and gives an empty text, a null url
     belongs to the host without a name; broken markup is read as far as it goes. Repeated rows and null ids give a row each; an
     empty table gives none; other columns are not read.
     """
-    read = materialize(read_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
-    common = materialize(templates(read, min_pages, host_pages), "templates")
+    read = materialize(read_pages(pages, id_col, url_col, html_col, block_chars), "pages")
+    each_page = read.filter("page IS NOT NULL")
+    common = materialize(templates(each_page, min_pages, host_pages), "templates")
     marker = F.array(F.struct(F.col("marker").alias("hash"), F.lit(-1).alias("first"), F.lit(-1).alias("stop"), F.lit(False).alias("shape")))
-    each = read.select("row", F.explode(F.concat("places", marker)).alias("d")).select("row", "d.*")
+    each = each_page.select("block", "page", F.explode(F.concat("places", marker)).alias("d")).select("block", "page", "d.*")
     total = common.agg(F.sum("n").alias("n")).first()["n"] or 0
     hits = join_counted(each, common, "hash", "n", total)
-    found = hits.groupBy("row").agg(F.collect_list(F.struct("first", "stop", "shape")).alias("found"))
-    schema = T.StructType([read.schema["id"], read.schema["url"], read.schema["blocks"], T.StructField("n_counted", T.LongType()), T.StructField("n_named", T.LongType())])
-    cut = read.join(found, "row", "left").select("id", "url", "blocks", "named", "open", "found").mapInArrow(_cut, schema)
-    text = F.array_join("blocks", "\n")
-    return cut.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_counted", "n_named")
+    found = hits.groupBy("block").agg(F.collect_list(F.struct("page", "first", "stop", "shape")).alias("found"))
+    schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_counted", T.LongType()), T.StructField("n_named", T.LongType())])
+    cut = read.filter("page IS NULL").select("block", "payload").join(found, "block", "left").select("payload", "found").mapInArrow(_cut, schema)
+    return cut.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_counted", "n_named")
