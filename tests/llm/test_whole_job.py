@@ -49,6 +49,19 @@ def test_sharding_exchanges_nodes_of_several_groups(spark):
     assert sharding._allowed({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 1, 0], True) == [0, 4, 0, 3, 0, 0, 0, 0, 0]
 
 
+def test_rounds_bring_groups_together(spark):
+    """From where hashes put them, groups of two to four come together in the first round; the cut falls to nothing."""
+    links = spark.createDataFrame([(k, 7919 * (k // (2 + (k // 600) % 3))) for k in range(1800)], "node long, hub long")
+    apart = lambda state: sharding.cut_links(state, links).agg({"outside": "sum"}).first()[0]
+    history = []
+    quotas = [400] * 8
+    before = apart(sharding._start(links, quotas))
+    state = sharding.propagate(links, quotas, history)
+    assert before > 600 and apart(state) == 0
+    assert history[0]["moved"] == 0 and history[1]["moved"] > 600 and len(history) <= 4
+    assert [h["together"] for h in history] == sorted({h["together"] for h in history})
+
+
 def test_copies_of_junk_do_not_set_the_limits(spark):
     rng = random.Random(3)
     words = "the of and to in is that for it was on are with they be at this have from or had by word but what some we can out other were all there when up use your how said an each she".split()
