@@ -35,32 +35,42 @@ def edits_for(length: int, threshold: int) -> int:
     return min(threshold, length // PER_EDIT)
 
 
-def segments(length: int, threshold: int) -> list[tuple[int, int]]:
-    """(start, length) of the even segments of a line, one more than the edits it allows."""
-    n = edits_for(length, threshold) + 1
-    base, longer = divmod(length, n)
+def even(length: int, parts: int) -> list[tuple[int, int]]:
+    """(start, length) of ``parts`` even segments."""
+    base, longer = divmod(length, parts)
     out, at = [], 0
-    for k in range(n):
-        size = base + (k >= n - longer)
+    for k in range(parts):
+        size = base + (k >= parts - longer)
         out.append((at, size))
         at += size
     return out
 
 
-def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
-    """(shorter by, segment, start, size) of the substrings of a line that can equal a segment of a line up to ``threshold`` shorter.
+def segments(length: int, threshold: int) -> list[tuple[int, int]]:
+    """(start, length) of the even segments of a line, one more than the edits it allows."""
+    return even(length, edits_for(length, threshold) + 1)
+
+
+def substrings(length: int, less: int, edits: int) -> list[tuple[int, int, int]]:
+    """(segment, start, size) of the substrings of a text that can equal a segment of one ``less`` characters shorter, ``edits`` away at most.
 
     A segment may be moved only as far as the edits on its left and those on its right both allow.
     """
     out = []
+    for k, (at, size) in enumerate(even(length - less, edits + 1)):
+        low = max(at - k, at + less - (edits - k), 0)
+        high = min(at + k, at + less + (edits - k), length - size)
+        out += [(k, start, size) for start in range(low, high + 1)]
+    return out
+
+
+def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
+    """(shorter by, segment, start, size) of the substrings of a line that can equal a segment of a line up to ``threshold`` shorter."""
+    out = []
     for less in range(threshold + 1):
         edits = edits_for(length - less, threshold)
-        if not edits or edits < less:
-            continue
-        for k, (at, size) in enumerate(segments(length - less, threshold)):
-            low = max(at - k, at + less - (edits - k), 0)
-            high = min(at + k, at + less + (edits - k), length - size)
-            out += [(less, k, start, size) for start in range(low, high + 1)]
+        if edits and edits >= less:
+            out += [(less, *found) for found in substrings(length, less, edits)]
     return out
 
 
@@ -116,6 +126,114 @@ def _postings(docs: DataFrame, text_col: str, threshold: int, min_chars: int) ->
     return docs.select(text_col).mapInArrow(run, "key long, node binary, tag long")
 
 
+# --- keys that many lines share ------------------------------------------------------------------
+
+#: Postings of a key beyond which its lines are not compared in pairs but by what else they share, and how often that is repeated.
+FEW, DEPTH = 1000, 3
+_REST = "key long, node binary, tag long, part binary, less int, edits int, rest string"
+
+
+def _rests(threshold: int):
+    """For lines (node, value, part, keys): a row for each of their segments and substrings with one of the keys, and the line without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            lines = batch["value"].to_pylist()
+            counts = _letter_counts(lines).tolist() if lines else []
+            for node, line, part, keys, letters in zip(batch["node"].to_pylist(), lines, batch["part"].to_pylist(), batch["keys"].to_pylist(), counts, strict=True):
+                wanted, n = set(keys), len(line)
+                aligned = {(k, at) for k, (at, _) in enumerate(segments(n, threshold))}
+                wide = line.encode("utf-32-le", "surrogatepass")
+                for less, k, start, size in probes(n, threshold):
+                    key = _signed(xxhash.xxh3_64_intdigest(wide[4 * start : 4 * (start + size)], (n - less) * 64 + k))
+                    if key in wanted:
+                        role = _PROBE_LONGER if less else _INDEX if (k, start) in aligned else _PROBE_SAME
+                        out.append((key, node, letters << 2 | role, part, less, edits_for(n - less, threshold), line[:start] + line[start + size :]))
+            yield _rest_rows(out)
+
+    return run
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _rest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "node", "tag", "part", "less", "edits", "rest"])
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose key is the one before and a segment (or substring) of the rest, which goes from the rest.
+
+    Two near lines that share a segment that no edit touches have all their edits in their rests, so these share one as well.
+    """
+    for batch in batches:
+        out = []
+        for key, node, tag, part, less, edits, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            wide, role, n = rest.encode("utf-32-le", "surrogatepass"), tag & 3, len(rest)
+            aligned = {(k, at) for k, (at, _) in enumerate(even(n, edits + 1))} if role == _INDEX else ()
+            for k, start, size in substrings(n, less, edits):
+                own = role if role != _INDEX or (k, start) in aligned else _PROBE_SAME
+                seed = (key + (k + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+                out.append((_signed(xxhash.xxh3_64_intdigest(wide[4 * start : 4 * (start + size)], seed)), node, tag >> 2 << 2 | own, part, less, edits, rest[:start] + rest[start + size :]))
+            if len(out) > 20_000:
+                yield _rest_rows(out)
+                out = []
+        yield _rest_rows(out)
+
+
+def _crowded(known: DataFrame) -> DataFrame:
+    """The keys of more than FEW postings in different components."""
+    counts = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    return materialize(counts.filter((F.col("low") != F.col("high")) & (F.col("n") > FEW)).select("key", "n"), "crowded")
+
+
+def _met(known: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components, an indexed line and one that probes it, under one key (key, node, tag, part)."""
+    role = F.col("tag").bitwiseAND(3)
+    mixed = in_cells(known.select("key", "node", "tag", "part").distinct())
+    x = mixed.filter(role == _INDEX).select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("node", "tag", "part", "block")))
+    y = mixed.select("key", "i", "j", *(F.col(c).alias(f"y_{c}") for c in ("node", "tag", "part", "block")))
+    one_way = (F.col("y_tag").bitwiseAND(3) == _PROBE_LONGER) | (F.col("x_node") < F.col("y_node"))
+    met = x.join(y, ["key", "i", "j"]).filter(meet("x_block", "y_block") & one_way & (F.col("x_part") != F.col("y_part")) & _near("x_tag", "y_tag", threshold))
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+
+def _across(docs: DataFrame, text_col: str, threshold: int, min_chars: int, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key, and where many lines share it as much more of their text as sets them apart.
+
+    Lines under a crowded key are posted again by that key and a segment of what is left of them, as often as keys are still
+    crowded and lines have something left; so a segment that stands in every line costs in proportion to the lines.
+    """
+    crowded = _crowded(known)
+    if crowded.isEmpty():
+        return _met(known, threshold).distinct()
+    pairs = [_met(known.join(crowded, "key", "left_anti"), threshold)]
+    total = known.count()
+    held = join_counted(known, crowded, "key", "n", total).groupBy("node").agg(F.first("part").alias("part"), F.collect_set("key").alias("keys"))
+    held = materialize(held, "crowded_lines")
+    lines = _lines_of(docs, text_col, held.select("node"), min_chars)
+    rows = materialize(lines.join(held, "node").select("node", "value", "part", "keys").mapInArrow(_rests(threshold), _REST), "rests")
+    for depth in range(DEPTH):
+        rows = materialize(rows.mapInArrow(_refined, _REST).distinct(), "refined")
+        crowded = _crowded(rows) if depth < DEPTH - 1 else None
+        if crowded is None or crowded.isEmpty():
+            pairs.append(_met(rows, threshold))
+            break
+        pairs.append(_met(rows.join(crowded, "key", "left_anti"), threshold))
+        rows = join_counted(rows, crowded, "key", "n", rows.count()).select("key", "node", "tag", "part", "less", "edits", "rest")
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+# --- links -----------------------------------------------------------------------------------------
+
+
 def _near(a: str, b: str, threshold: int) -> Column:
     """The letter counts of two tags differ by no more than ``threshold`` edits can make."""
     total = F.lit(0)
@@ -239,27 +357,25 @@ def near_lines(docs: DataFrame, text_col: str = "text", threshold: int = THRESHO
     Two different lines are near if at most ``threshold`` edits (characters put in, left out or replaced) are
     between them, and no more than one for each PER_EDIT characters of the shorter. Blank lines and those under
     ``min_chars`` characters are left out. First every line meets one central line for each of its segments;
-    only what these links leave in different components is then compared pair by pair.
+    only what these links leave in different components is then compared pair by pair, under a key that many lines share only
+    where they share more of their text.
     """
     if not 1 <= threshold <= 7:
         raise ValueError("threshold is 1 to 7")
     with scratch(docs.sparkSession):
         p = materialize(shared_keys(_postings(docs, text_col, threshold, min_chars)), "postings")
         role = F.col("tag").bitwiseAND(3)
-        centres = p.filter(role == _INDEX).groupBy("key").agg(F.min(F.struct("node", "tag")).alias("c"))
-        star = p.join(centres.select("key", F.col("c.node").alias("centre"), F.col("c.tag").alias("tag_c")), "key")
+        least = F.min(F.when(role == _INDEX, F.struct("node", "tag"))).alias("c")
+        centres = p.groupBy("key").agg(least, F.count("*").alias("n")).filter("c IS NOT NULL")
+        centres = materialize(centres.select("key", F.col("c.node").alias("centre"), F.col("c.tag").alias("tag_c"), "n"), "centres")
+        star = join_counted(p, centres, "key", "n", p.count())
         star = star.filter((F.col("node") != F.col("centre")) & _near("tag", "tag_c", threshold))
         first = materialize(star.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre")), "pairs")
         linked = _verified(docs, text_col, threshold, min_chars, first)
 
         of = connected_components(linked).select(F.col("node").alias("n_"), "component")
         known = p.join(of, p.node == of.n_, "left").select("key", "node", "tag", F.coalesce("component", "node").alias("part"))
-        mixed = in_cells(materialize(known, "parts"))
-        x = mixed.filter(role == _INDEX).select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("node", "tag", "part", "block")))
-        y = mixed.select("key", "i", "j", *(F.col(c).alias(f"y_{c}") for c in ("node", "tag", "part", "block")))
-        one_way = (F.col("y_tag").bitwiseAND(3) == _PROBE_LONGER) | (F.col("x_node") < F.col("y_node"))
-        met = x.join(y, ["key", "i", "j"]).filter(meet("x_block", "y_block") & one_way & (F.col("x_part") != F.col("y_part")) & _near("x_tag", "y_tag", threshold))
-        rest = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+        rest = _across(docs, text_col, threshold, min_chars, materialize(known, "parts"))
         second = materialize(rest.join(first.select("a", "b"), ["a", "b"], "left_anti").withColumn("centre", F.col("b")), "pairs")
         if second.isEmpty():
             return materialize(linked, "links", keep=True)

@@ -243,6 +243,49 @@ def test_many_variants_of_a_line_give_links_in_proportion(spark):
     assert line_dedup.line_classes(docs).select("class").distinct().count() == 1
 
 
+@pytest.mark.parametrize("few", [0, 40])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, few):
+    """Lines that share beginnings, ends or middles, some of them near: links join the same classes whatever counts as crowded."""
+    rng = random.Random(few)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    lines = []
+    for left, right in ((25, 0), (0, 25), (20, 20), (30, 8), (8, 4)):
+        a, b = word(left), word(right)
+        for _ in range(40):
+            line = a + word(rng.choice((12, 13, 26, 40))) + b
+            lines += [line, *(edited(line, rng.randint(1, 2)) for _ in range(rng.randrange(3)))]
+    lines += [f"{word(3)} 2026-01-{d:02d} connection from host number {k} closed" for d in range(9) for k in range(9)]
+    lines = sorted(set(lines))
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    links = line_dedup.near_lines(docs)
+    found = {bytes(r.node): bytes(r.component) for r in connected_components(links).collect()}
+    by_class = defaultdict(list)
+    for line in lines:
+        by_class[found.get(line_dedup.line_hash(line), line)].append(line)
+    assert {x: min(g) for g in by_class.values() for x in g} == line_components(lines)
+
+
+def test_a_common_beginning_costs_in_proportion(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    monkeypatch.setattr(line_dedup, "FEW", 100)
+    compared, real = {}, line_dedup._verified
+
+    def counting(docs, text_col, threshold, min_chars, pairs):
+        compared.setdefault(n, []).append(pairs.count())
+        return real(docs, text_col, threshold, min_chars, pairs)
+
+    monkeypatch.setattr(line_dedup, "_verified", counting)
+    head = "2026-03-01T00:00:00 INFO  "
+    for n in (1000, 4000):
+        lines = [head + word(50) for _ in range(n)]
+        lines += [edited(x, 2) for x in lines[:20]]
+        docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+        assert line_dedup.near_lines(docs).count() >= 20
+    assert sum(compared[4000]) < 5 * sum(compared[1000]) and sum(compared[4000]) < 20_000
+
+
 def test_dropped_lines(spark):
     line = "this line stands in many of the documents"
     near = "this line stands in many of the document!"
