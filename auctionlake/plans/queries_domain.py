@@ -13,7 +13,7 @@ from auctionlake.functions import values as V
 from auctionlake.operators import merge as M
 from auctionlake.operators import relational as R
 from auctionlake.plans.catalog import query
-from auctionlake.plans.common import money, read
+from auctionlake.plans.common import money, read, spread
 from auctionlake.sources import fixed_width, pages
 
 
@@ -208,7 +208,7 @@ def sale_listing_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(layout == 1, F.concat(head("", "Sheriff #", "Sales Date", "Plaintiff", "Defendant", "Address"), link, number, day, bank, owner, address))
         .otherwise(F.concat(head("Address:", "Defendant", "Plaintiff", "Sale Date", "Status", "Sheriff Number", ""), address, owner, bank, day, status, number, link))
     )
-    listed = pages.sale_listing(o.select(F.col("o_orderkey").alias("page_id"), F.concat(html, F.lit("</tr></table>")).alias("html")), "page_id", "html")
+    listed = pages.sale_listing(spread(o.select(F.col("o_orderkey").alias("page_id"), F.concat(html, F.lit("</tr></table>")).alias("html"))), "page_id", "html")
     return listed.select("sheriff_number", "sale_date", "plaintiff", "defendant", "address", "status", "detail_href")
 
 
@@ -243,20 +243,6 @@ def json_path_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.coalesce(F.get_json_object("props", "$.address"), F.get_json_object("props", "$.k"), F.lit("none")).alias("v"))
 
 
-@query("fixed_width_parse", """
-SELECT lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS municipality_code, CAST(o_custkey AS VARCHAR) AS block, CAST(o_orderkey AS VARCHAR) AS lot, CAST(o_orderdate AS DATE) AS deed_date, CAST(CAST(floor(o_totalprice) AS BIGINT) AS DECIMAL(14,4)) AS sale_price, CAST(12.5 AS DECIMAL(14,4)) AS acreage
-FROM orders JOIN customer ON o_custkey = c_custkey""")
-def fixed_width_parse(spark: SparkSession, sf: str) -> DataFrame:
-    o, c = read(spark, sf, "orders"), read(spark, sf, "customer", ["c_custkey", "c_nationkey"])
-    put = lambda c, n: F.rpad(c.cast("string"), n, " ")
-    line = F.concat(
-        F.lpad(F.col("c_nationkey").cast("string"), 4, "0"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(" " * 96), put(F.lit("000125000"), 9), F.lit(" " * 179),
-        F.date_format("o_orderdate", "yyMMdd"), F.lpad(F.floor("o_totalprice").cast("string"), 9, "0"), F.lit(" " * 379),
-    )
-    good, _ = fixed_width.parse_assessments(o.join(c, o.o_custkey == c.c_custkey).select(line.alias("value")), 2026)
-    return good.select("municipality_code", "block", "lot", "deed_date", "sale_price", "acreage")
-
-
 @query("equity", """
 WITH l AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS upset FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) - upset AS gross_equity, CASE WHEN o_totalprice > 0 THEN round((o_totalprice - CAST(upset AS DOUBLE)) / o_totalprice, 4) END AS gross_equity_percent, CAST(o_totalprice AS DECIMAL(14,2)) - upset - 1500 AS net_equity, CAST(o_totalprice AS DECIMAL(14,2)) - 1500 AS maximum_bid FROM orders JOIN l ON o_orderkey = l_orderkey""")

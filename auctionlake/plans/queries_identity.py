@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auctionlake.domain import identity
-from auctionlake.functions.text import ORDINALS, SUFFIXES, address_key
+from auctionlake.functions.text import ORDINALS, SUFFIXES, address_key, address_supports, street_number
 from auctionlake.operators.fuzzy import best_matches, conservative_accept
 from auctionlake.plans.catalog import query
 from auctionlake.plans.common import read
@@ -166,3 +166,81 @@ def resolve_parcels(spark: SparkSession, sf: str) -> DataFrame:
     r = r.filter("r_regionkey = m OR (r_regionkey = 3 AND m < 2)")
     aliases = r.select(F.concat(F.lit("C"), text(F.col("c"))).alias("county"), F.concat(F.lit("Town "), text(F.col("r_regionkey"))).alias("alias"), F.concat(F.lit("M"), text(F.col("m"))).alias("municipality_code"))
     return identity.resolve(sales.drop("k", "n"), identifiers, parcels, aliases)
+
+
+# --- matches by address ----------------------------------------------------------------------------
+
+
+def _short_sql(short: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in short.items()) + "}"
+
+
+_NAME_SQL = f"array_to_string(list_transform(regexp_extract_all(regexp_replace(upper(#), '^\\s*[0-9]+[A-Z]?\\b|\\b[AF]KA\\b', '', 'g'), '[A-Z0-9]+'), lambda w: coalesce({_short_sql(SUFFIXES)}[w], w)), '')"
+_KEY_SQL = f"array_to_string(list_transform(regexp_extract_all(upper(#), '[A-Z0-9]+'), lambda w: coalesce({_short_sql(SUFFIXES)}[w], w)), '')"
+
+
+@query("conservative_match", f"""
+WITH RECURSIVE homes AS (
+  SELECT p_partkey AS parcel_id, 'M' || CAST(p_partkey % 5 AS VARCHAR) AS code, CAST(p_partkey % 83 + 1 AS VARCHAR) || ' ' || p_name || ' ' || p_type || ' Avenue' AS place FROM part WHERE p_partkey % 6 <> 0),
+wanted AS (
+  SELECT c_custkey AS property_id, 'Town ' || CAST(c_custkey % 7 AS VARCHAR) AS city, CASE WHEN c_custkey % 7 < 4 THEN 'M' || CAST(c_custkey % 7 AS VARCHAR) END AS code,
+    CAST(p_partkey % 83 + 1 AS VARCHAR) || CASE WHEN c_custkey % 17 = 0 THEN 'Z' ELSE '' END || ' ' || CASE c_custkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'e', 'ea') WHEN 2 THEN p_name || ' old' ELSE 'aka ' || reverse(p_name) END || ' ' || p_type || ' Ave' AS place
+  FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part)),
+keyed AS (SELECT {_KEY_SQL.replace('#', 'place')} AS k, count(*) AS n, min(parcel_id) AS only_id FROM homes GROUP BY 1),
+unique_ AS (SELECT property_id, only_id AS parcel_id FROM wanted JOIN keyed ON k = {_KEY_SQL.replace('#', 'place')} WHERE n = 1),
+rest AS (SELECT property_id, code, regexp_extract(upper(place), '^\\s*([0-9]+[A-Z]?)\\b', 1) AS number, {_NAME_SQL.replace('#', 'place')} AS a FROM wanted WHERE property_id NOT IN (SELECT property_id FROM unique_)),
+sides AS (SELECT parcel_id, code, regexp_extract(upper(place), '^\\s*([0-9]+[A-Z]?)\\b', 1) AS number, {_NAME_SQL.replace('#', 'place')} AS b FROM homes),
+pairs AS (SELECT property_id, parcel_id, a, b FROM rest JOIN sides ON rest.number = sides.number AND (rest.code IS NULL OR rest.code = sides.code) WHERE a <> '' AND b <> ''),
+pair AS (SELECT DISTINCT a, b FROM pairs), {RATIO_SQL},
+ranked AS (SELECT property_id, parcel_id, r, row_number() OVER (PARTITION BY property_id ORDER BY r DESC, parcel_id) AS k FROM pairs JOIN ratio USING (a, b) WHERE r > 0),
+best AS (SELECT property_id, parcel_id, r, coalesce(lead(r) OVER (PARTITION BY property_id ORDER BY k), 0) AS next, k FROM ranked),
+taken AS (SELECT rest.property_id, parcel_id, r, r >= 0.94 AND r - next >= 0.08 AS ok FROM rest LEFT JOIN (SELECT * FROM best WHERE k = 1) AS b ON b.property_id = rest.property_id)
+SELECT property_id, parcel_id, CAST(95 AS INTEGER) AS match_confidence, 'unique street address' AS match_method FROM unique_
+UNION ALL SELECT property_id, CASE WHEN ok THEN parcel_id END, CASE WHEN ok THEN CAST(90 AS INTEGER) END, CASE WHEN ok THEN 'fuzzy street of the same number' WHEN r IS NOT NULL THEN 'review: ambiguous candidates' ELSE 'review: no candidates' END FROM taken""")
+def conservative_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties whose streets are written like a parcel's, with another letter, a word more, or backwards."""
+    p = read(spark, sf, "part", ["p_partkey", "p_name", "p_type"])
+    n, k, c = p.count(), F.col("p_partkey"), F.col("c_custkey")
+    text = lambda x: x.cast("string")
+    homes = p.select(k.alias("parcel_id"), F.concat(F.lit("M"), text(k % 5)).alias("municipality_code"), F.concat_ws(" ", text(k % 83 + 1), "p_name", "p_type", F.lit("Avenue")).alias("property_location"), F.when(k % 6 == 0, "4A").otherwise(" 2 ").alias("property_class"))
+    name = F.when(c % 4 == 0, F.col("p_name")).when(c % 4 == 1, F.replace("p_name", F.lit("e"), F.lit("ea"))).when(c % 4 == 2, F.concat("p_name", F.lit(" old"))).otherwise(F.concat(F.lit("aka "), F.reverse("p_name")))
+    number = F.concat(text(k % 83 + 1), F.when(c % 17 == 0, "Z").otherwise(""))
+    wanted = read(spark, sf, "customer", ["c_custkey"]).join(p, k == c % n).select(c.alias("property_id"), F.concat_ws(" ", number, name, "p_type", F.lit("Ave")).alias("street_address"), F.concat(F.lit("Town "), text(c % 7)).alias("city"))
+    codes = wanted.select("city").distinct().filter(F.substring("city", 6, 1).cast("int") < 4).select("city", F.concat(F.lit("M"), F.substring("city", 6, 1)).alias("municipality_code"))
+    return identity.conservative_match(wanted, homes, codes)
+
+
+_SHORT_ALL = _short_sql(SUFFIXES | ORDINALS)
+
+
+def _parts_sql(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(regexp_replace(upper(coalesce({x}, '')), '([A-Z])([0-9])', '\\1 \\2', 'g'), '[A-Z0-9]+'))"
+
+
+def _words_sql(x: str) -> str:
+    return f"list_distinct(list_transform(list_filter({_parts_sql(x)}, lambda t: NOT regexp_full_match(t, '[0-9]+')), lambda t: coalesce({_SHORT_ALL}[t], t)))"
+
+
+def _numbers_sql(x: str) -> str:
+    return f"list_filter({_parts_sql(x)}, lambda t: regexp_full_match(t, '[0-9]{{1,4}}'))"
+
+
+@query("address_support", f"""
+WITH d AS (
+  SELECT o_orderkey, CAST(o_custkey % 40 AS VARCHAR) || CASE o_orderkey % 3 WHEN 0 THEN 'B' ELSE '' END || ' Second Street and ' || CAST(o_custkey % 40 + 2 AS VARCHAR) || ' ' || c_mktsegment || ' Road, Red Bank' AS subject,
+    CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_custkey % 40 AS VARCHAR) || ' 2nd St' WHEN 2 THEN CAST(o_custkey % 40 + 2 AS VARCHAR) || ' ' || lower(c_mktsegment) || ' rd unit' WHEN 3 THEN CAST(o_custkey % 40 + 3 AS VARCHAR) || ' ' || c_mktsegment || ' Road' WHEN 4 THEN 'Bank of ' || c_mktsegment || ' ' || CAST(o_custkey % 40 + 2 AS VARCHAR) WHEN 5 THEN '' ELSE CAST(o_custkey % 40 + 2 AS VARCHAR) || ' Other Road' END AS candidate
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT *, {key_sql('subject')} AS s, {key_sql("coalesce(candidate, '')")} AS c, {_words_sql('subject')} AS sw, {_words_sql('candidate')} AS cw, {_numbers_sql('subject')} AS sn, {_numbers_sql('candidate')} AS cn FROM d)
+SELECT o_orderkey, s <> '' AND c <> '' AND (contains(s, c) OR (len(cn) > 0 AND list_has_all(sn, cn) AND len(cw) > 0 AND len(list_intersect(cw, sw)) >= 0.6 * len(cw))) AS supported, nullif(regexp_extract(upper(coalesce(candidate, '')), '^\\s*([0-9]+[A-Z]?)\\b', 1), '') AS number, nullif(regexp_extract(upper(subject), '^\\s*([0-9]+[A-Z]?)\\b', 1), '') AS subject_number FROM k""")
+def address_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an address stands in another that names several, as a key or by its numbers and words; and house numbers."""
+    o, c = read(spark, sf, "orders", ["o_orderkey", "o_custkey"]), read(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    text = lambda x: x.cast("string")
+    n, kind, name = F.col("o_custkey") % 40, F.col("o_orderkey") % 7, F.col("c_mktsegment")
+    subject = F.concat(text(n), F.when(F.col("o_orderkey") % 3 == 0, "B").otherwise(""), F.lit(" Second Street and "), text(n + 2), F.lit(" "), name, F.lit(" Road, Red Bank"))
+    candidate = (
+        F.when(kind == 1, F.concat(text(n), F.lit(" 2nd St"))).when(kind == 2, F.concat(text(n + 2), F.lit(" "), F.lower(name), F.lit(" rd unit"))).when(kind == 3, F.concat(text(n + 3), F.lit(" "), name, F.lit(" Road")))
+        .when(kind == 4, F.concat(F.lit("Bank of "), name, F.lit(" "), text(n + 2))).when(kind == 5, "").when(kind == 6, F.concat(text(n + 2), F.lit(" Other Road")))
+    )
+    d = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", subject.alias("s"), candidate.alias("c"))
+    return d.select("o_orderkey", address_supports(F.col("s"), F.col("c")).alias("supported"), street_number(F.col("c")).alias("number"), street_number(F.col("s")).alias("subject_number"))

@@ -10,7 +10,7 @@ from auctionlake.domain import addresses
 from auctionlake.domain.municipalities import MUNICIPALITIES, municipalities
 from auctionlake.operators import relational as R
 from auctionlake.plans.catalog import query
-from auctionlake.plans.common import money, read, shared_folder
+from auctionlake.plans.common import money, read, shared_folder, spread
 from auctionlake.sources import files, fixed_width, pages, services
 from auctionlake.streaming import incremental
 
@@ -318,3 +318,54 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in")
     incremental.append_available(incremental.changed_rows(stream, ["user_id"], ["ts", "event_id"], ["event_type"]), f"{folder}/table", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/table").drop("ts")
+
+
+# --- every field of an assessment line; numbers of one county -------------------------------------------
+
+
+@query("fixed_width_parse", """
+WITH d AS (SELECT o_orderkey AS k, o_custkey AS c, c_nationkey AS n, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderkey % 37 = 5 AS short FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT lpad(CAST(n AS VARCHAR), 4, '0') AS municipality_code, CASE WHEN c = 0 THEN '0' ELSE CAST(c AS VARCHAR) END AS block, CASE WHEN k % 9999 = 0 THEN '' ELSE CAST(k % 9999 AS VARCHAR) END || '.0' || CAST(k % 10 AS VARCHAR) AS lot, CASE WHEN k % 4 = 0 THEN 'C0' || CAST(k % 10 AS VARCHAR) ELSE '' END AS qualifier,
+  lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS record_id, CASE WHEN k % 5 = 0 THEN '4A' ELSE '2' END AS property_class, CAST(k % 1000 AS VARCHAR) || ' ÉMILE ST' AS property_location, '2S-F-' || CAST(c % 9 AS VARCHAR) AS building_description, '50X' || CAST(c % 300 AS VARCHAR) AS land_description,
+  CAST((k % 100000) / 10000.0 AS DECIMAL(14,4)) AS acreage, 'R' || CAST(k % 10 AS VARCHAR) AS zoning, CASE WHEN k % 29 = 0 THEN NULL ELSE day END AS deed_date, CAST(price AS DECIMAL(14,4)) AS sale_price, lpad(CAST(k % 33 AS VARCHAR), 2, '0') AS sale_nonusable_code, CAST(c % 50 AS VARCHAR) AS building_class,
+  CAST(1900 + k % 125 AS INTEGER) AS year_built, CAST(k % 90000 + 1000 AS DECIMAL(14,4)) AS land_assessed, CAST(k % 700000 AS DECIMAL(14,4)) AS improvement_assessed, CASE WHEN k % 31 <> 0 THEN CAST(k % 790000 + 1000 AS DECIMAL(14,4)) END AS total_assessed, lpad(CAST(c % 1000 AS VARCHAR), 5, '0') AS census_tract,
+  lpad(CAST(c % 90 AS VARCHAR), 4, '0') AS census_block, lpad(CAST(c % 500 AS VARCHAR), 3, '0') AS property_use_code, CAST(price * 3 / 100.0 AS DECIMAL(14,4)) AS annual_property_tax, CAST(2026 AS INTEGER) AS source_year, CAST(NULL AS VARCHAR) AS reason
+FROM d WHERE NOT short
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'line has 640 characters, not 700' FROM d WHERE short""")
+def fixed_width_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Assessment lines written to Latin-1 files and read again, every field; lines that are too short come back with the reason."""
+    o, c = read(spark, sf, "orders"), read(spark, sf, "customer", ["c_custkey", "c_nationkey"])
+    k, n, price = F.col("o_orderkey"), F.col("o_custkey"), F.floor("o_totalprice")
+    left = lambda c, size: F.rpad(text(c), size, " ")
+    zero = lambda c, size: F.lpad(text(c), size, "0")
+    parts = [
+        (1, 4, zero("c_nationkey", 4)), (5, 9, zero(n, 9)), (14, 9, F.concat(zero(k % 9999, 6), F.lit(".0"), text(k % 10))), (23, 11, left(F.when(k % 4 == 0, F.concat(F.lit("c0 "), text(k % 10))).otherwise(""), 11)), (34, 2, zero(k % 100, 2)), (56, 3, left(F.when(k % 5 == 0, "4A").otherwise("2"), 3)),
+        (59, 25, left(F.concat(text(k % 1000), F.lit(" ÉMILE ST")), 25)), (84, 15, left(F.concat(F.lit("2S-F-"), text(n % 9)), 15)), (99, 20, left(F.concat(F.lit("50X"), text(n % 300)), 20)), (119, 9, zero(k % 100000, 9)), (168, 4, left(F.concat(F.lit("R"), text(k % 10)), 4)),
+        (307, 6, F.when(k % 29 == 0, "000000").otherwise(F.date_format("o_orderdate", "yyMMdd"))), (313, 9, zero(price, 9)), (331, 2, zero(k % 33, 2)), (411, 5, left(n % 50, 5)), (416, 4, text(1900 + k % 125)), (421, 9, left(F.format_number(k % 90000 + 1000, 0), 9)), (430, 9, zero(k % 700000, 9)),
+        (439, 9, F.when(k % 31 == 0, "n/a      ").otherwise(zero(k % 790000 + 1000, 9))), (551, 5, zero(n % 1000, 5)), (556, 4, zero(n % 90, 4)), (560, 3, zero(n % 500, 3)), (601, 12, zero(price * 3, 12)), (700, 1, F.lit(".")),
+    ]
+    at, columns = 1, []
+    for first, size, value in parts:
+        columns += ([F.lit(" " * (first - at))] if first > at else []) + [value]
+        at = first + size
+    whole = F.concat(*columns)
+    folder = shared_folder(spark, "assessments")
+    line = F.when(k % 37 == 5, F.rpad(F.substring(whole, 1, 612), 640, ".")).otherwise(whole)
+    spread(o.join(c, o.o_custkey == c.c_custkey)).select(line.alias("value")).write.option("encoding", "ISO-8859-1").text(folder)
+    good, bad = fixed_width.parse_assessments(fixed_width.read_lines(spark, folder), 2026)
+    return good.drop("source_hash", "source_file").withColumn("reason", F.lit(None).cast("string")).unionByName(bad.select("reason"), allowMissingColumns=True)
+
+
+@query("county_listing_rows", """
+SELECT upper(substr('abcd', 1, CAST(c_custkey % 4 + 1 AS INTEGER))) || '-' || CAST(c_custkey AS VARCHAR) AS sheriff_number, DATE '2026-01-01' + CAST(c_custkey % 300 AS INTEGER) AS sale_date, 'Bank' AS plaintiff, c_name AS defendant, CAST(c_custkey AS VARCHAR) || ' Elm St' AS address,
+  CASE WHEN c_custkey % 2 = 0 THEN 'scheduled' ELSE 'stayed' END AS status FROM customer WHERE c_custkey % 10 <> 9""")
+def county_listing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing whose sale numbers have a county's own letters; rows whose number is written otherwise go."""
+    k = F.col("c_custkey")
+    number = F.when(k % 10 == 9, F.concat(F.lit("No "), text(k))).otherwise(F.concat(F.substring(F.lit("abcd"), F.lit(1), (k % 4 + 1).cast("int")), F.lit("-"), text(k)))
+    cells = [number, F.when(k % 2 == 0, "Scheduled").otherwise("Stay granted"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (k % 300).cast("int")), "M/d/yyyy"), F.lit("Bank"), F.col("c_name"), F.concat(text(k), F.lit(" Elm St"))]
+    row = F.concat(*[x for cell in cells for x in (F.lit("<td>"), cell, F.lit("</td>"))])
+    head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in ("Sheriff #", "Status", "Sales Date", "Plaintiff", "Defendant", "Address")) + "</tr><tr>"
+    d = spread(read(spark, sf, "customer", ["c_custkey", "c_name"]).select(k.alias("page_id"), F.concat(F.lit(head), row, F.lit("</tr></table>")).alias("html")))
+    listed = pages.sale_listing(d, "page_id", "html", pages.COUNTY_SALE_NUMBER)
+    return listed.select("sheriff_number", "sale_date", "plaintiff", "defendant", "address", "status")

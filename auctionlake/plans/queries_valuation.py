@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auctionlake.domain import valuation
 from auctionlake.plans.catalog import query
-from auctionlake.plans.common import money, read
+from auctionlake.plans.common import money, read, shared_folder
 
 _SALES_SQL = """
 d AS (
@@ -98,3 +98,20 @@ def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
     pools = {"both": ["segment_median", "priority_ratio"], "ratio only": ["priority_ratio"], "assessed only": ["assessed_value"]}
     parts = [valuation.promotion_gate(measured, names).select(F.lit(pool).alias("pool"), "*") for pool, names in pools.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("model_artefact", f"""
+WITH {_GATE_SQL}
+SELECT partition, candidate, rows, round(mae, 4) AS mae, round(r2, 6) AS r2, TRUE AS same_model FROM measured""")
+def model_artefact(spark: SparkSession, sf: str) -> DataFrame:
+    """A fitted model and its metrics, saved side by side and read again: the same figures, and a model that predicts the same."""
+    from pyspark.ml import PipelineModel
+
+    d = read(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"]).select((F.col("o_custkey") % 977).cast("double").alias("n"), F.col("o_orderpriority").alias("c"), F.col("o_totalprice").alias("label"))
+    folder = shared_folder(spark, "model")
+    fitted = valuation.model(["n"], ["c"], "label", trees=3, depth=3).fit(d)
+    valuation.save_model(fitted, _measured(spark, sf), folder)
+    again = PipelineModel.load(f"{folder}/model")
+    total = lambda m: m.transform(d).agg(F.sum("prediction")).first()[0]
+    saved = spark.read.schema("partition string, candidate string, rows long, mae double, r2 double").json(f"{folder}/metrics")
+    return saved.select("partition", "candidate", "rows", F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"), F.lit(abs(total(fitted) - total(again)) <= 1e-6 * abs(total(fitted))).alias("same_model"))
