@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auctionlake.domain.scoring import lien_position, lien_totals, upset_price
+from auctionlake.domain.scoring import lien_position, lien_total_columns, upset_price
 from auctionlake.domain.valuation import pending_reason, valuation_status
 from auctionlake.functions.text import map_number
 from auctionlake.operators.relational import largest_per_key, latest_per_key, ordered_list, page, where_all
@@ -57,13 +57,8 @@ def _latest(df: DataFrame, wanted: DataFrame, key: list[str], when: str, tie: st
     return largest_per_key(own, key, [when, tie], list(keep.values()))
 
 
-def listing(t: ListingTables, filters: ListingFilters, as_of: date) -> DataFrame:
-    """Every sale with its property, valuation, gaps, equity, predictions, risks and liens, filtered but not paged.
-
-    Sales and properties are narrowed first; every other table then keeps only what these need and is reduced
-    to one row for a key before it is joined, so no join multiplies rows.
-    """
-    f = filters
+def _narrowed(t: ListingTables, f: ListingFilters, as_of: date) -> DataFrame:
+    """Sales with their property and what the filters and the order need: upset price, valuation, equity and risk."""
     kept = where_all(t.sales.filter("property_id IS NOT NULL"), [
         F.col("current_status") == f.status if f.status else None,
         F.to_date("current_sale_date") >= F.lit(as_of) if f.future_only else None,
@@ -75,29 +70,34 @@ def listing(t: ListingTables, filters: ListingFilters, as_of: date) -> DataFrame
     ])
     upset = upset_price(F.col("estimated_upset_price"), F.col("alternate_upset_price"), F.col("upset_price"))
     d = kept.join(wanted, "property_id").withColumn("upset_price", upset).withColumn("court_case_number", F.coalesce("docket_number", "court_case_number"))
-    properties, sales = d.select("property_id").distinct(), d.select("sale_id")
-
-    value = _latest(t.valuations.filter("is_current"), properties, ["property_id"], "retrieved_at", "valuation_id", {
+    value = _latest(t.valuations.filter("is_current"), d.select("property_id").distinct(), ["property_id"], "retrieved_at", "valuation_id", {
         "estimated_value": "market_value", "low_value": "market_value_low", "high_value": "market_value_high", "provider": "valuation_provider", "confidence_score": "valuation_confidence", "retrieved_at": "retrieved_at", "valuation_id": "valuation_id",
     }).withColumnRenamed("retrieved_at", "valuation_retrieved_at")
-    risk = _latest(t.assessments, sales, ["sale_id"], "calculated_at", "assessment_id", {"risk_score": "risk_score", "risk_level": "risk_level"})
+    d = d.join(value, "property_id", "left")
+    gross = F.col("market_value") - F.col("upset_price")
+    d = d.withColumn("gross_equity", gross).withColumn("gross_equity_percent", F.when(F.col("market_value") > 0, F.try_divide(gross, F.col("market_value"))))
+    d = where_all(d, [F.col("gross_equity") >= f.min_equity if f.min_equity is not None else None])
+    risk = _latest(t.assessments, d.select("sale_id"), ["sale_id"], "calculated_at", "assessment_id", {"risk_score": "risk_score", "risk_level": "risk_level"})
+    return where_all(d.join(risk, "sale_id", "left"), [F.col("risk_score") <= f.max_risk if f.max_risk is not None else None])
+
+
+def _with_sides(t: ListingTables, d: DataFrame, few: bool = False) -> DataFrame:
+    """Predictions, gaps, reports and liens beside the rows. With ``few`` these are one page, so every side table keeps only its keys where it is read."""
+    small = F.broadcast if few else lambda x: x
+    properties, sales = small(d.select("property_id").distinct()), small(d.select("sale_id"))
     prediction = _latest(t.predictions.filter("prediction_target = 'reaches_auction'"), sales, ["sale_id"], "predicted_at", "prediction_id", {"probability": "sale_probability", "feature_values": "sale_probability_features"})
     report = _latest(t.reports, properties, ["property_id"], "calculated_at", "report_id", {
         "risk_score": "lien_risk_score", "risk_level": "lien_risk_level", "confidence_score": "lien_risk_confidence", "known_exposure": "known_lien_exposure", "calculated_at": "calculated_at",
     }).withColumnRenamed("calculated_at", "lien_risk_calculated_at")
-    own_liens = t.liens.join(properties, "property_id", "left_semi")
     feature = t.features.join(properties, "property_id", "left_semi").select("property_id", *PLACE, F.col("match_confidence").alias("parcel_match_confidence"), "property_class", F.lit(True).alias("has_feature"))
-    space = _latest(t.training_sales, feature.select(*PLACE).distinct(), PLACE, "deed_date", "training_id", {"living_space": "living_space"})
-    pending = t.candidates.filter("review_status = 'PENDING'").select("property_id").distinct().withColumn("has_pending", F.lit(True))
-    matched = t.parcel_matches.select("sale_id").distinct().withColumn("has_match", F.lit(True))
+    space = _latest(t.training_sales, small(feature.select(*PLACE).distinct()), PLACE, "deed_date", "training_id", {"living_space": "living_space"})
+    pending = t.candidates.filter("review_status = 'PENDING'").join(properties, "property_id", "left_semi").select("property_id").distinct().withColumn("has_pending", F.lit(True))
+    matched = t.parcel_matches.join(sales, "sale_id", "left_semi").select("sale_id").distinct().withColumn("has_match", F.lit(True))
+    liens = t.liens.join(properties, "property_id", "left_semi").groupBy("property_id").agg(*lien_total_columns(), _lien_list().alias("lien_items"))
 
-    d = d.join(value, "property_id", "left").join(risk, "sale_id", "left")
-    gross = F.col("market_value") - F.col("upset_price")
-    d = d.withColumn("gross_equity", gross).withColumn("gross_equity_percent", F.when(F.col("market_value") > 0, F.try_divide(gross, F.col("market_value"))))
-    d = where_all(d, [F.col("gross_equity") >= f.min_equity if f.min_equity is not None else None, F.col("risk_score") <= f.max_risk if f.max_risk is not None else None])
     for side in (prediction, matched):
         d = d.join(side, "sale_id", "left")
-    for side in (feature.join(space, PLACE, "left").drop(*PLACE), report, pending, lien_totals(own_liens, "property_id"), lien_items(own_liens)):
+    for side in (feature.join(space, PLACE, "left").drop(*PLACE), report, pending, liens):
         d = d.join(side, "property_id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     gaps = (F.col("valuation_id").isNotNull(), F.col("state"), F.col("county"), yes("has_match"), yes("has_feature"), yes("has_pending"), F.col("parcel_match_confidence"), F.col("property_class"))
@@ -106,17 +106,43 @@ def listing(t: ListingTables, filters: ListingFilters, as_of: date) -> DataFrame
     return d.withColumns(counts).drop("valuation_id", "has_match", "has_feature", "has_pending", "living_space", "property_class")
 
 
+def listing(t: ListingTables, filters: ListingFilters, as_of: date) -> DataFrame:
+    """Every sale with its property, valuation, gaps, equity, predictions, risks and liens, filtered but not paged.
+
+    Sales and properties are narrowed first; every other table then keeps only what these need and is reduced
+    to one row for a key before it is joined, so no join multiplies rows.
+    """
+    return _with_sides(t, _narrowed(t, filters, as_of))
+
+
+def _order() -> list[Column]:
+    return [F.asc_nulls_last("current_sale_date"), F.asc_nulls_last("normalized_address"), F.asc("sale_id")]
+
+
 def listing_page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
-    return page(rows, [F.asc_nulls_last("current_sale_date"), F.asc_nulls_last("normalized_address"), F.asc("sale_id")], number, size)
+    return page(rows, _order(), number, size)
 
 
-def lien_items(liens: DataFrame, key: str = "property_id") -> DataFrame:
-    """Each property's liens as one ordered list: largest amounts first, missing ones last, then by type."""
+def page_of_listing(t: ListingTables, filters: ListingFilters, as_of: date, number: int = 1, size: int = 50) -> DataFrame:
+    """One page of ``listing``, in its order.
+
+    Filters and order need valuations and risks alone, so the page is cut first; of all other tables only its at most 200 rows'
+    keys are read on, without a shuffle of any of them.
+    """
+    return _with_sides(t, listing_page(_narrowed(t, filters, as_of), number, size), few=True).orderBy(*_order())
+
+
+def _lien_list() -> Column:
     value = F.coalesce("current_amount", "original_amount")
     unnamed = F.when(F.col("lien_type").isin("MUNICIPAL_LIEN", "PROPERTY_TAX"), "Municipal/utility authority not specified").otherwise("Claimant not specified")
     position = lien_position(F.col("is_foreclosing_lien"), F.col("priority_classification")).alias("position")
     item = F.struct("lien_id", F.coalesce("creditor_name", unnamed).alias("holder"), value.alias("amount"), "lien_type", "lien_subtype", "status", position, F.col("priority_confidence").alias("position_confidence"))
-    return liens.groupBy(key).agg(ordered_list([value.isNull(), -value, F.col("lien_type"), F.col("lien_id")], item).alias("lien_items"))
+    return ordered_list([value.isNull(), -value, F.col("lien_type"), F.col("lien_id")], item)
+
+
+def lien_items(liens: DataFrame, key: str = "property_id") -> DataFrame:
+    """Each property's liens as one ordered list: largest amounts first, missing ones last, then by type."""
+    return liens.groupBy(key).agg(_lien_list().alias("lien_items"))
 
 
 def sale_search(sales: DataFrame, matches: DataFrame, text: str | None = None, county: str | None = None, start: date | None = None, end: date | None = None, matched: bool | None = None) -> DataFrame:

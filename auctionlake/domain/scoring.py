@@ -42,16 +42,20 @@ def lien_position(foreclosing: Column, priority: Column) -> Column:
     return first_label([(F.coalesce(foreclosing, F.lit(False)) | priority.isin(FORECLOSING), "PRIMARY_FORECLOSING"), (priority.isin(SENIOR), "POTENTIALLY_SENIOR"), (priority.isin(JUNIOR), "SECONDARY_JUNIOR")], "PRIORITY_UNKNOWN")
 
 
-def lien_totals(liens: DataFrame, key: str) -> DataFrame:
-    """Amounts and counts of each property's liens in one aggregation."""
+def lien_total_columns() -> list[Column]:
     value = F.coalesce("current_amount", "original_amount")
-    return liens.groupBy(key).agg(
+    return [
         filtered_sum(value, F.col("status").isin(OPEN_STATUSES)).alias("total_lien_amount"),
         F.count("*").alias("lien_record_count"),
         filtered_count(F.col("status").isin(OPEN_STATUSES)).alias("open_lien_count"),
         filtered_count(F.col("survival_classification").isin(SURVIVING)).alias("potentially_surviving_count"),
         filtered_count(F.col("requires_manual_review")).alias("manual_review_count"),
-    )
+    ]
+
+
+def lien_totals(liens: DataFrame, key: str) -> DataFrame:
+    """Amounts and counts of each property's liens in one aggregation."""
+    return liens.groupBy(key).agg(*lien_total_columns())
 
 
 def risk_level(score: Column) -> Column:

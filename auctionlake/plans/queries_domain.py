@@ -449,8 +449,8 @@ def _listing_columns(d: DataFrame) -> DataFrame:
 
 @query("flagship_listing", _PAGE_SQL)
 def flagship_listing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listing.listing(_listing_tables(spark, sf), listing.ListingFilters(states=["nj"], status="scheduled", min_equity=1000), date(2000, 1, 1))
-    return _listing_columns(listing.listing_page(rows, 2, 50))
+    filters = listing.ListingFilters(states=["nj"], status="scheduled", min_equity=1000)
+    return _listing_columns(listing.page_of_listing(_listing_tables(spark, sf), filters, date(2000, 1, 1), 2, 50))
 
 
 @query("listing_rows", _LISTING_SQL)
