@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auctionlake.llm.common import beside_centre, binary, bitmap, connected_components, fresh, in_bitmap, in_cells, join_counted, materialize, meet, return_freed_memory, scratch, shared_keys, texts_of
+from auctionlake.llm.common import beside_centre, binary, bitmap, connected_components, fresh, gather, in_bitmap, in_cells, join_counted, materialize, meet, return_freed_memory, scratch, texts_of
 
 THRESHOLD = 2
 #: A line has so many characters for each edit that may tell it from a near one; shorter lines must be equal.
@@ -74,56 +75,190 @@ def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of lines one after another, and the length of each."""
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
 def _letter_counts(lines: list[str]) -> np.ndarray:
-    """Counts of 15 classes of first bytes of characters modulo 16, four bits each: an edit changes two counts by one at most."""
-    data = [x.encode("utf-8", "surrogatepass") for x in lines]
-    flat = np.frombuffer(b"".join(data), np.uint8)
-    row = np.repeat(np.arange(len(data)), [len(x) for x in data])
-    first = (flat & 0xC0) != 0x80
-    counts = np.bincount(row[first] * _CLASSES + flat[first] % _CLASSES, minlength=len(data) * _CLASSES).reshape(-1, _CLASSES) & 15
+    """Counts of 15 classes of code points modulo 16, four bits each: an edit changes two counts by one at most."""
+    codes, lengths = _code_points(lines)
+    slot = np.repeat(np.arange(len(lines)) * _CLASSES, lengths)
+    slot += codes % np.uint32(_CLASSES)
+    counts = np.bincount(slot, minlength=len(lines) * _CLASSES).reshape(-1, _CLASSES) & 15
     return (counts << (4 * np.arange(_CLASSES))).sum(axis=1)
 
 
+#: Keys are numbers of a polynomial in _BASE over code points modulo 2**64. Two substrings that share one by chance are only compared.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(20_000)
+def _plan(length: int, threshold: int) -> np.ndarray:
+    """(role, shorter by, segment, start, size) of the segments and substrings that a line of ``length`` is posted by."""
+    aligned = {(k, at) for k, (at, _) in enumerate(segments(length, threshold))}
+    rows = [(_PROBE_LONGER if less else _INDEX if (k, start) in aligned else _PROBE_SAME, less, k, start, size) for less, k, start, size in probes(length, threshold)]
+    return np.array(rows, np.int64).reshape(-1, 5)
+
+
+class _Keys:
+    """The keys of lines, of many at a time: (row, key, role, shorter by, start, size) of each segment and substring.
+
+    A sum over code points times powers is carried along all lines; a substring's own is the difference of two
+    sums, brought back to its first place by a power of the inverse.
+    """
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, lines: list[str]) -> tuple[np.ndarray, ...]:
+        codes, lengths = _code_points(lines)
+        if len(self.up) <= len(codes):
+            self.up, self.down = (_powers(x, len(codes) + 1) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * self.up[: len(codes)], out=sums[1:])
+        kinds, kind = np.unique(lengths, return_inverse=True)
+        plans = [_plan(n, self.threshold) for n in kinds.tolist()]
+        picked, each = gather(np.cumsum([0, *map(len, plans)]), kind)
+        role, less, k, start, size = np.concatenate(plans)[picked].T
+        rows = np.repeat(np.arange(len(lines)), each)
+        at = (np.cumsum(lengths) - lengths)[rows] + start
+        keys = (sums[at + size] - sums[at]) * self.down[at]
+        keys += ((lengths[rows] - less) * 64 + k + 1).astype(np.uint64) * np.uint64(_BASE)
+        return rows, _mixed(keys), role, less, start, size
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers one to one, spread over all bits (the last steps of splitmix64); ``x`` is overwritten."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: A posting in a cell, the buckets of keys that cells are for, and the postings of one cell at most.
+_POSTING = np.dtype([("key", "<u8"), ("node", "<u8", 2), ("tag", "<i8")])
+BUCKET_BITS, CELL_POSTINGS = 13, 512
+#: Characters whose keys are found at once, and postings that are dealt to cells at once.
+_CHARS, _DEALT = 1 << 17, 1 << 20
+
+
 def _postings(docs: DataFrame, text_col: str, threshold: int, min_chars: int) -> DataFrame:
-    """(key, node, tag) for the segments and substrings of lines; a line is posted once in a task."""
+    """Cells (bucket, postings) of the segments and substrings of lines; a line is posted once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return_freed_memory()
         seen: set[bytes] = set()
-        plans: dict[int, list] = {}
-        digest = xxhash.xxh3_64_intdigest
+        keys_of = _Keys(threshold)
+        lines: list[str] = []
+        nodes: list[bytes] = []
+        parts: list[np.ndarray] = []
+        chars = waiting = 0
+
+        def post() -> int:
+            rows, keys, role, *_ = keys_of.of(lines)
+            own = np.empty(len(rows), _POSTING)
+            own["key"] = keys
+            own["node"] = np.frombuffer(b"".join(nodes), "<u8").reshape(-1, 2)[rows]
+            own["tag"] = _letter_counts(lines)[rows] << 2 | role
+            parts.append(own)
+            lines.clear()
+            nodes.clear()
+            return len(own)
+
         for batch in batches:
-            lines, nodes = [], []
             for text in texts_of(batch.column(0)):
                 for line in lines_in(text, max(min_chars, PER_EDIT)):
                     if (node := line_hash(line)) not in seen:
                         seen.add(node)
                         lines.append(line)
                         nodes.append(node)
-            if not lines:
-                continue
-            keys, roles, each = [], [], []
-            for line in lines:
-                n = len(line)
-                plan = plans.get(n)
-                if plan is None:
-                    aligned = {(k, at) for k, (at, _) in enumerate(segments(n, threshold))}
-                    found = probes(n, threshold)
-                    plan = (
-                        [((n - less) * 64 + k, 4 * start, 4 * (start + size)) for less, k, start, size in found],
-                        [_PROBE_LONGER if less else _INDEX if (k, start) in aligned else _PROBE_SAME for less, k, start, _ in found],
-                    )
-                    if len(plans) < 20_000:
-                        plans[n] = plan
-                wide = line.encode("utf-32-le", "surrogatepass")  # four bytes a character, so places are the same in all lines
-                keys += [digest(wide[a:b], seed) for seed, a, b in plan[0]]
-                roles += plan[1]
-                each.append(len(plan[1]))
-            rows = np.repeat(np.arange(len(lines)), each)
-            tag = _letter_counts(lines)[rows] << 2 | np.array(roles, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), binary(nodes).take(pa.array(rows)), pa.array(tag)], ["key", "node", "tag"])
-
-    return docs.select(text_col).mapInArrow(run, "key long, node binary, tag long")
+                        chars += len(line)
+                        if chars >= _CHARS:
+                            waiting += post()
+                            chars = 0
+                            if waiting >= _DEALT:
+                                yield _cells(np.concatenate(parts))
+                                parts.clear()
+                                waiting = 0
+        if lines:
+            post()
+        if parts:
+            yield _cells(np.concatenate(parts))
+
+    return docs.select(text_col).mapInArrow(run, "bucket int, postings binary")
+
+
+def _cells(rows: np.ndarray) -> pa.RecordBatch:
+    """Postings dealt by the first bits of their keys, CELL_POSTINGS in a cell at most."""
+    bucket = (rows["key"] >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], _taken(rows, order)
+    place = np.arange(len(rows))
+    begin = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    begin |= (place - np.maximum.accumulate(np.where(begin, place, 0))) % CELL_POSTINGS == 0
+    starts = np.flatnonzero(begin)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), _fixed(rows, np.append(starts, len(rows)) * _POSTING.itemsize)], ["bucket", "postings"])
+
+
+def _taken(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    return rows.view("<u8").reshape(-1, 4).take(order, axis=0).reshape(-1).view(_POSTING)
+
+
+def _fixed(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def shared_postings(cells: DataFrame) -> DataFrame:
+    """Of postings in ``cells``, the distinct (key, node, tag) whose key has two nodes or more.
+
+    One exchange of cells on their bucket, one sort by it, one streaming pass. Of the bucket that is open, one posting
+    stays for each key known to be shared, and of other keys one node's; the postings of shared keys are passed on at once.
+    """
+    ordered = cells.repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(_shared_in_cells, "key long, node binary, tag long").distinct()
+
+
+def _shared_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return_freed_memory()
+    held, passed = np.empty(0, _POSTING), np.empty(0, bool)
+    for batch in batches:
+        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), _POSTING)
+        if not len(rows):
+            continue
+        last = np.uint64(batch.column(0)[batch.num_rows - 1].as_py())
+        rows = np.concatenate([held, rows])
+        passed = np.concatenate([passed, np.zeros(len(rows) - len(passed), bool)])
+        order = np.argsort(rows["key"], kind="stable")
+        key = rows["key"][order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        each = np.diff(np.append(starts, len(key)))
+        node = rows["node"][order]
+        other = np.zeros(len(key), bool)
+        other[1:] = (key[1:] == key[:-1]) & (node[1:] != node[:-1]).any(axis=1)
+        shared = np.logical_or.reduceat(other | passed[order], starts)
+        is_shared = np.repeat(shared, each)
+        out = _taken(rows, order[is_shared & ~passed[order]])
+        if len(out):
+            places = np.arange(len(out) + 1) * 16
+            yield pa.RecordBatch.from_arrays([pa.array(out["key"].view(np.int64)), _fixed(out["node"], places), pa.array(out["tag"])], ["key", "node", "tag"])
+        # The bucket of the batch's end may go on.
+        is_open = (key >> np.uint64(64 - BUCKET_BITS)) == last
+        single = rows[order[is_open & ~is_shared]]
+        single = single[np.lexsort((single["tag"], single["key"]))]
+        if len(single):
+            single = single[np.concatenate([[True], (single["key"][1:] != single["key"][:-1]) | (single["tag"][1:] != single["tag"][:-1])])]
+        known = rows[order[starts[shared & is_open[starts]]]]
+        held = np.concatenate([known, single])
+        passed = np.arange(len(held)) < len(known)
 
 
 # --- keys that many lines share ------------------------------------------------------------------
@@ -137,19 +272,18 @@ def _rests(threshold: int):
     """For lines (node, value, part, keys): a row for each of their segments and substrings with one of the keys, and the line without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of = _Keys(threshold)
         for batch in batches:
             out = []
-            lines = batch["value"].to_pylist()
-            counts = _letter_counts(lines).tolist() if lines else []
-            for node, line, part, keys, letters in zip(batch["node"].to_pylist(), lines, batch["part"].to_pylist(), batch["keys"].to_pylist(), counts, strict=True):
-                wanted, n = set(keys), len(line)
-                aligned = {(k, at) for k, (at, _) in enumerate(segments(n, threshold))}
-                wide = line.encode("utf-32-le", "surrogatepass")
-                for less, k, start, size in probes(n, threshold):
-                    key = _signed(xxhash.xxh3_64_intdigest(wide[4 * start : 4 * (start + size)], (n - less) * 64 + k))
-                    if key in wanted:
-                        role = _PROBE_LONGER if less else _INDEX if (k, start) in aligned else _PROBE_SAME
-                        out.append((key, node, letters << 2 | role, part, less, edits_for(n - less, threshold), line[:start] + line[start + size :]))
+            lines, nodes, parts = (batch[c].to_pylist() for c in ("value", "node", "part"))
+            if lines:
+                wanted = [set(x) for x in batch["keys"].to_pylist()]
+                counts = _letter_counts(lines).tolist()
+                rows, keys, *plan = keys_of.of(lines)
+                for row, key, role, less, start, size in zip(rows.tolist(), keys.view(np.int64).tolist(), *(x.tolist() for x in plan), strict=True):
+                    if key in wanted[row]:
+                        line = lines[row]
+                        out.append((key, nodes[row], counts[row] << 2 | role, parts[row], less, edits_for(len(line) - less, threshold), line[:start] + line[start + size :]))
             yield _rest_rows(out)
 
     return run
@@ -363,7 +497,7 @@ def near_lines(docs: DataFrame, text_col: str = "text", threshold: int = THRESHO
     if not 1 <= threshold <= 7:
         raise ValueError("threshold is 1 to 7")
     with scratch(docs.sparkSession):
-        p = materialize(shared_keys(_postings(docs, text_col, threshold, min_chars)), "postings")
+        p = materialize(shared_postings(_postings(docs, text_col, threshold, min_chars)), "postings")
         role = F.col("tag").bitwiseAND(3)
         least = F.min(F.when(role == _INDEX, F.struct("node", "tag"))).alias("c")
         centres = p.groupBy("key").agg(least, F.count("*").alias("n")).filter("c IS NOT NULL")
@@ -371,6 +505,8 @@ def near_lines(docs: DataFrame, text_col: str = "text", threshold: int = THRESHO
         star = join_counted(p, centres, "key", "n", p.count())
         star = star.filter((F.col("node") != F.col("centre")) & _near("tag", "tag_c", threshold))
         first = materialize(star.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre")), "pairs")
+        # Only lines under shared keys are read again, and texts no more.
+        docs, text_col = materialize(_lines_of(docs, text_col, p.select("node").distinct(), min_chars), "lines"), "value"
         linked = _verified(docs, text_col, threshold, min_chars, first)
 
         of = connected_components(linked).select(F.col("node").alias("n_"), "component")
@@ -461,7 +597,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     hits = join_counted(exploded, classes, "line", "n", total).select("row", F.struct(F.col("line"), F.col("id").eqNullSafe(F.col("keep_id")).alias("stays"), F.col("class")).alias("hit"))
     by_row = hits.groupBy("row").agg(F.collect_list("hit").alias(found)).withColumnRenamed("row", other)
-    touched = touched.join(by_row, F.col(row) == F.col(other), "left").select(*docs.columns, found)
+    touched = touched.join(by_row.hint("shuffle_hash"), F.col(row) == F.col(other), "left").select(*docs.columns, found)
     out_schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

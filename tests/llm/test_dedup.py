@@ -185,6 +185,79 @@ def test_segments_find_every_near_pair(threshold):
     assert checked > 200
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 7])
+def test_keys_are_equal_for_equal_segments_alone(threshold):
+    """Wherever a line stands among others, its keys depend on the segment, its place and the shorter line's length."""
+    lines = ["".join(RNG.choice("abé😀\ud800") for _ in range(RNG.randint(12, 100))) for _ in range(150)]
+    lines += [edited(x, 1) for x in lines if len(x) > 12]
+    found = {}
+    for some in (lines, lines[::-1], lines[7:8]):
+        rows, keys, roles, less, start, size = line_dedup._Keys(threshold).of(some)
+        at = 0
+        for row, line in enumerate(some):
+            plan = line_dedup.probes(len(line), threshold)
+            here = slice(at, at + len(plan))
+            at += len(plan)
+            assert (rows[here] == row).all() and list(zip(less[here].tolist(), start[here].tolist(), size[here].tolist(), strict=True)) == [(le, a, n) for le, _, a, n in plan]
+            aligned = {(k, a) for k, (a, _) in enumerate(line_dedup.segments(len(line), threshold))}
+            assert roles[here].tolist() == [2 if le else 3 if (k, a) in aligned else 1 for le, k, a, _ in plan]
+            for key, (le, k, a, n) in zip(keys[here].tolist(), plan, strict=True):
+                found.setdefault((len(line) - le, k, line[a : a + n]), set()).add(key)
+        assert at == len(keys)
+    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(found)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+@pytest.mark.parametrize("cell", [1, 4, 512])
+def test_shared_postings_match_brute_force(monkeypatch, rows, cell):
+    """Postings of three tasks in cells: each whose key has two lines comes out, wherever a cell or a batch ends; no other does."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "CELL_POSTINGS", cell)
+    rng = np.random.default_rng(rows)
+    keys = rng.integers(0, 1 << 64, 150, np.uint64)
+    keys[:60] = keys[0] + np.arange(60, dtype=np.uint64)  # many keys of one bucket
+    tasks = []
+    for _ in range(3):
+        own = np.empty(200, line_dedup._POSTING)
+        own["key"] = np.concatenate([keys[rng.integers(0, 150, 170)], np.full(30, keys[0])])
+        own["node"] = rng.integers(0, 2, (200, 2))
+        own["tag"] = rng.integers(0, 3, 200)
+        tasks.append(own)
+    nodes = defaultdict(set)
+    postings = {(k, tuple(n), t) for own in tasks for k, n, t in zip(own["key"].tolist(), own["node"].tolist(), own["tag"].tolist(), strict=True)}
+    for k, n, _ in postings:
+        nodes[k].add(n)
+    cells = pa.Table.from_batches([line_dedup._cells(own) for own in tasks]).sort_by("bucket")
+    assert max(map(len, cells["postings"].to_pylist())) <= 32 * cell
+    got = [r for b in line_dedup._shared_in_cells(iter(cells.combine_chunks().to_batches(max_chunksize=rows))) for r in b.to_pylist()]
+    got = {(r["key"] % (1 << 64), tuple(np.frombuffer(r["node"], "<u8").tolist()), r["tag"]) for r in got}
+    assert got == {p for p in postings if len(nodes[p[0]]) > 1} and got < postings
+
+
+def test_texts_are_read_once_for_the_lines_that_are_compared(spark, monkeypatch):
+    """Both rounds of comparisons, and the lines under crowded keys, take their lines from those kept under shared keys."""
+    read, real = [], line_dedup._lines_of
+
+    def noting(docs, text_col, nodes, min_chars):
+        read.append(text_col)
+        return real(docs, text_col, nodes, min_chars)
+
+    monkeypatch.setattr(line_dedup, "_lines_of", noting)
+    monkeypatch.setattr(line_dedup, "FEW", 20)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    lines = ["one beginning of these lines " + word(30) for _ in range(60)]
+    lines += [edited(x, 1) for x in lines[:20]]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    found = {bytes(r.node): bytes(r.component) for r in connected_components(line_dedup.near_lines(docs)).collect()}
+    by_class = defaultdict(list)
+    for line in set(lines):
+        by_class[found.get(line_dedup.line_hash(line), line)].append(line)
+    assert {x: min(g) for g in by_class.values() for x in g} == line_components(lines)
+    assert len(read) > 2 and read.count("text") == 1
+
+
 def line_components(lines, threshold=2):
     """Each different line with the least line that near ones lead to, pair by pair."""
     present = sorted(set(lines), key=len)
