@@ -106,3 +106,12 @@ def test_stream_changes_and_windows(spark, tmp_path, sf_dir):
         incremental.append_available(incremental.changed_rows(stream, ["user_id"], ["ts", "event_id"], ["event_type"]), out, done)
     assert rows(spark.read.parquet(out)) == rows(changes(events, ["user_id"], ["ts", "event_id"], ["event_type"]))
     assert incremental.windowed_counts(events, "ts", ["event_type"]).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_knn_without_itself_at_crowded_places(spark):
+    """Sixty rows at each of two places: a row's nearest are the lowest ids of its place but for its own, and tiles without targets are no error."""
+    pts = [(k, 40.0 if k % 2 else 40.05, -74.0) for k in range(120)] + [(k, 40.2 + k / 1e5, -74.2) for k in range(120, 140)]
+    d = spark.createDataFrame(pts, "id long, lat double, lon double")
+    got = rows(knn_within(d.filter("id < 60"), d.withColumnRenamed("id", "other"), "id", "other", "lat", "lon", 3, 3.0, itself=False).select("id", "rank", "other"))
+    want = sorted(((k, i + 1, o) for k in range(60) for i, o in enumerate([o for o in range(k % 2, 120, 2) if o != k][:3])), key=str)
+    assert got == want
