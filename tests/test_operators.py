@@ -115,3 +115,38 @@ def test_knn_without_itself_at_crowded_places(spark):
     got = rows(knn_within(d.filter("id < 60"), d.withColumnRenamed("id", "other"), "id", "other", "lat", "lon", 3, 3.0, itself=False).select("id", "rank", "other"))
     want = sorted(((k, i + 1, o) for k in range(60) for i, o in enumerate([o for o in range(k % 2, 120, 2) if o != k][:3])), key=str)
     assert got == want
+
+
+def test_later_partners_of_repeated_texts(spark):
+    """Rows repeat few texts; each row's best partners are those with higher ids, as all pairs say."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ABC") for _ in range(rng.randint(3, 7))) for _ in range(14)]
+    data = [(k, "x" if rng.random() < 0.7 else "y", rng.choice(texts)) for k in range(150)]
+    d = spark.createDataFrame(data, "id long, block string, name string")
+    got = rows(best_matches(d, d.withColumnRenamed("id", "other"), "id", "other", (F.col("block"),) * 2, (F.col("name"),) * 2, least=0.5, later=True))
+    want = []
+    for i, b, n in data:
+        near = sorted((-r, j) for j, c, m in data if c == b and j > i and (r := SequenceMatcher(None, n, m).ratio()) >= 0.5)
+        want += [(i, j, -r, k + 1) for k, (r, j) in enumerate(near[:5])]
+    assert got == sorted(want, key=str)
+
+
+def test_ratios_of_many_pairs_at_once():
+    import random
+
+    from auctionlake.operators.fuzzy import ratios
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ABé1 ") for _ in range(n))
+    pairs = [(text(rng.randrange(16)), text(rng.randrange(16))) for _ in range(3000)] + [("", ""), (text(230), text(260))]
+    assert ratios(pairs) == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_candidates_that_share_no_character(spark):
+    from auctionlake.operators.fuzzy import any_alike
+
+    a = spark.createDataFrame([(1, "x", "ABC"), (2, "x", "DEF"), (3, "y", "ABC"), (4, None, "A"), (5, "x", "")], "id long, block string, name string")
+    b = spark.createDataFrame([("x", "CXX"), ("y", "QQ")], "block string, name string")
+    assert rows(any_alike(a, b, "id", (F.col("block"),) * 2, (F.col("name"),) * 2)) == [(1,)]
