@@ -150,3 +150,20 @@ def test_candidates_that_share_no_character(spark):
     a = spark.createDataFrame([(1, "x", "ABC"), (2, "x", "DEF"), (3, "y", "ABC"), (4, None, "A"), (5, "x", "")], "id long, block string, name string")
     b = spark.createDataFrame([("x", "CXX"), ("y", "QQ")], "block string, name string")
     assert rows(any_alike(a, b, "id", (F.col("block"),) * 2, (F.col("name"),) * 2)) == [(1,)]
+
+
+def test_resolver_counts_parcels_that_share_key_and_address(spark):
+    """Two thousand parcels of one lot and address are one comparison for all sales, and still two thousand candidates."""
+    from auctionlake.domain import identity
+    from auctionlake.functions.text import address_parts, address_supports, parts_support
+
+    sales = spark.range(2000).select(F.col("id").alias("sale_id"), F.lit("C").alias("county"), F.lit("T").alias("city"), F.lit("1 Elm St").alias("street_address"), F.lit("1 Elm St").alias("normalized_address"))
+    ids = spark.range(1000).select(F.col("id").alias("sale_id"), F.lit(0).alias("position"), F.when(F.col("id") % 2 == 0, "5").otherwise("6").alias("block"), F.lit("1").alias("lot"), F.lit(None).cast("string").alias("qualifier"))
+    crowd = spark.range(2000).select(F.col("id").alias("parcel_id"), *[F.lit(v).alias(c) for c, v in {"county": "C", "municipality_code": "M", "block": "5", "lot": "1", "qualifier": "", "normalized_address": "1ELMST", "current_address": "1 Elm St"}.items()])
+    one = crowd.limit(1).withColumn("block", F.lit("6")).withColumn("parcel_id", F.lit(9000).cast("long")).withColumn("normalized_address", F.lit("Q"))
+    aliases = spark.createDataFrame([("C", "T", "M")], "county string, alias string, municipality_code string")
+    got = identity.resolve(sales, ids, crowd.unionByName(one), aliases).groupBy("match_kind", "parcel_id").count()
+    assert rows(got) == sorted([("REVIEW_LEGAL", None, 500), ("LEGAL_SINGLE", 9000, 500), ("REVIEW_ADDRESS", None, 1000)], key=str)
+    pair = spark.createDataFrame([("12 Main St and 14 Oak Rd", "14 Oak Road"), (None, "1 A"), ("12 A", "2 A"), ("12 A", "13 A")], "s string, c string")
+    for r in pair.select(address_supports(F.col("s"), F.col("c")).alias("x"), parts_support(address_parts(F.col("s")), address_parts(F.col("c"))).alias("y")).collect():
+        assert r.x == r.y
