@@ -62,10 +62,12 @@ def frozen_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("first_last_seen", """
-SELECT l_suppkey, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS latest_flag FROM lineitem GROUP BY l_suppkey""")
+SELECT l_suppkey, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen,
+  first(l_returnflag ORDER BY l_orderkey DESC NULLS LAST, l_linenumber DESC NULLS LAST, l_shipdate DESC NULLS LAST, l_returnflag DESC NULLS LAST) AS latest_flag FROM lineitem GROUP BY l_suppkey""")
 def first_last_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest line is that of the highest order and line number; lines that share both go by ship date, then by flag."""
     d = read(spark, sf, "lineitem", ["l_suppkey", "l_shipdate", "l_returnflag", "l_orderkey", "l_linenumber"])
-    return d.groupBy("l_suppkey").agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"), F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber")).alias("latest_flag"))
+    return d.groupBy("l_suppkey").agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"), F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")).alias("latest_flag"))
 
 
 @query("current_flag", """

@@ -167,3 +167,22 @@ def test_resolver_counts_parcels_that_share_key_and_address(spark):
     pair = spark.createDataFrame([("12 Main St and 14 Oak Rd", "14 Oak Road"), (None, "1 A"), ("12 A", "2 A"), ("12 A", "13 A")], "s string, c string")
     for r in pair.select(address_supports(F.col("s"), F.col("c")).alias("x"), parts_support(address_parts(F.col("s")), address_parts(F.col("c"))).alias("y")).collect():
         assert r.x == r.y
+
+
+def test_latest_flag_of_lines_that_share_their_key(spark, tmp_path):
+    """Equal order and line numbers: ship date and then flag decide, in the query and in its SQL, whatever the order of the rows."""
+    import duckdb
+
+    from auctionlake.plans import catalog
+
+    catalog.load()
+    lines = [(1, 7, 1, "2020-01-01", "R"), (1, 7, 1, "2020-01-02", "A"), (2, 3, 10, "2020-01-01", "A"), (2, 4, 1, "2020-01-01", "N"), (2, 4, 1, "2020-01-01", "R"), (3, 1, 1, "2020-01-01", None), (3, 1, 1, "2020-01-01", "A")]
+    want = [(1, "A"), (2, "R"), (3, "A")]
+    for k, data in enumerate((lines, lines[::-1])):
+        d = spark.createDataFrame(data, "l_suppkey long, l_orderkey long, l_linenumber int, l_shipdate string, l_returnflag string").withColumn("l_shipdate", F.to_timestamp("l_shipdate"))
+        d.coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        got = catalog.QUERIES["first_last_seen"](spark, f"{tmp_path}/{k}").select("l_suppkey", "latest_flag")
+        assert rows(got) == want
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/{k}/lineitem.parquet/*.parquet')")
+        assert sorted((r[0], r[3]) for r in con.execute(catalog.ORACLES["first_last_seen"]).fetchall()) == want
