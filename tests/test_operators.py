@@ -186,3 +186,13 @@ def test_latest_flag_of_lines_that_share_their_key(spark, tmp_path):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/{k}/lineitem.parquet/*.parquet')")
         assert sorted((r[0], r[3]) for r in con.execute(catalog.ORACLES["first_last_seen"]).fetchall()) == want
+
+
+def test_fixed_width_lines_take_little_disk(spark, tmp_path):
+    from auctionlake.sources import fixed_width
+
+    d = spark.range(3000).select(F.concat(F.rpad(F.col("id").cast("string"), 662, " "), F.lit("é")).alias("value"))
+    fixed_width.write_lines(d.coalesce(1), str(tmp_path / "lines"))
+    again = fixed_width.read_lines(spark, str(tmp_path / "lines")).select("value")
+    assert rows(again) == rows(d)
+    assert sum(p.stat().st_size for p in (tmp_path / "lines").rglob("part-*")) < 663 * 3000 / 10
