@@ -196,3 +196,14 @@ def test_fixed_width_lines_take_little_disk(spark, tmp_path):
     again = fixed_width.read_lines(spark, str(tmp_path / "lines")).select("value")
     assert rows(again) == rows(d)
     assert sum(p.stat().st_size for p in (tmp_path / "lines").rglob("part-*")) < 663 * 3000 / 10
+
+
+def test_sides_prepared_before_their_join_score_the_same(spark):
+    from auctionlake.domain import identity
+
+    columns = ("municipality_code", "block", "lot", "qualifier", "address", "zip_code")
+    data = [("1308", "12.01", "7", None, "12 Main St", "07712"), ("1309", "012", "", "Q1", "12B Oak Avenue", None), (None, None, None, None, None, "07712-1111")]
+    s, c = (spark.createDataFrame(data, ", ".join(f"{x}_{k} string" for k in columns)) for x in "sc")
+    kept = [*s.columns, *c.columns, "components", "total", "conflicts", "decision"]
+    apart = identity.score_prepared(identity.scored_parts(s, "s").crossJoin(identity.scored_parts(c, "c"))).select(*kept)
+    assert rows(apart) == rows(identity.score_pairs(s.crossJoin(c)).select(*kept))
