@@ -207,3 +207,20 @@ def test_sides_prepared_before_their_join_score_the_same(spark):
     kept = [*s.columns, *c.columns, "components", "total", "conflicts", "decision"]
     apart = identity.score_prepared(identity.scored_parts(s, "s").crossJoin(identity.scored_parts(c, "c"))).select(*kept)
     assert rows(apart) == rows(identity.score_pairs(s.crossJoin(c)).select(*kept))
+
+
+def test_first_partners_of_repeated_texts(spark):
+    """All rows of a text have the same partners; only distinct texts of a block go to the ratio."""
+    from auctionlake.operators.fuzzy import _alike
+
+    texts = ["ABCA", "ABCB", "AABC", "CCCC"]
+    data = [(k, "x" if k % 3 else "y", texts[k % 4]) for k in range(60)]
+    d = spark.createDataFrame(data, "id long, block string, name string")
+    got = rows(best_matches(d.filter("id % 10 = 0"), d.filter("id % 10 <> 0").withColumnRenamed("id", "other"), "id", "other", (F.col("block"),) * 2, (F.col("name"),) * 2, top=3, least=0.3))
+    want = []
+    for i, b, n in data[::10]:
+        near = sorted((-r, j) for j, c, m in data if c == b and j % 10 and (r := SequenceMatcher(None, n, m).ratio()) >= 0.3)
+        want += [(i, j, -r, k + 1) for k, (r, j) in enumerate(near[:3])]
+    assert got == sorted(want, key=str)
+    distinct = d.select(F.col("block").alias("b_"), F.col("name").alias("ln_")).distinct()
+    assert _alike(distinct, distinct.withColumnRenamed("ln_", "rn_"), 0.0).count() <= 2 * 16
